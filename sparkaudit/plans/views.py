@@ -107,7 +107,65 @@ SELECT n_nationkey AS ord,
 FROM nation
 """
 
+
+# Sink names: catalogue-like words joined with part words (one per part).
+V_SINKS = """
+SELECT p_partkey AS ord,
+  CASE p_partkey % 10
+    WHEN 0 THEN replace(p_name, ' ', '_') || '.query'
+    WHEN 1 THEN 'DB::' || p_type
+    WHEN 2 THEN 'rawExec_' || replace(p_name, ' ', '')
+    WHEN 3 THEN p_brand || '->fill'
+    WHEN 4 THEN 'child_process.' || replace(p_name, ' ', '')
+    WHEN 5 THEN replace(p_name, ' ', '.') || 'Markup'
+    WHEN 6 THEN 'requests.get_' || lower(p_type)
+    WHEN 7 THEN 'curl_exec_' || CAST(p_size AS STRING)
+    WHEN 8 THEN replace(p_name, ' ', '') || 'Helper'
+    ELSE upper(replace(p_name, ' ', '_')) || '.WriteFile' END AS sink_name,
+  '/src/' || lower(p_type) || '/' || replace(p_name, ' ', '_') || '.py' AS file,
+  CASE p_partkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
+  CASE p_partkey % 3 WHEN 0 THEN 'known_sink' WHEN 1 THEN 'structural' ELSE 'name_pattern' END AS pass
+FROM part
+"""
+
+# Flat scanner results (one per order): rule id, file, line, code, message, severity.
+V_SCAN = """
+SELECT o_orderkey AS ord,
+  CASE o_orderkey % 16
+    WHEN 0 THEN 'python.flask.security.user-input.request-get'
+    WHEN 1 THEN 'php.lang.security.sql-injection.raw-query'
+    WHEN 2 THEN 'javascript.express.security.xss.res-send'
+    WHEN 3 THEN 'java.spring.security.ssrf.rest-template'
+    WHEN 4 THEN 'custom-non-http-source'
+    WHEN 5 THEN 'python.lang.security.deserialization.pickle'
+    WHEN 6 THEN 'go.gin.security.open-redirect.unvalidated'
+    WHEN 7 THEN 'php.lang.security.exec-shell'
+    WHEN 8 THEN 'csharp.dotnet.security.xxe.xmldocument'
+    WHEN 9 THEN 'python.flask.security.template-injection'
+    WHEN 10 THEN 'generic.secrets.hardcoded-password'
+    WHEN 11 THEN 'javascript.browser.dom-based.innerhtml'
+    WHEN 12 THEN 'ruby.rails.security.crlf-injection'
+    WHEN 13 THEN 'java.servlet.taint-source.getparameter'
+    WHEN 14 THEN 'python.lang.path-traversal.open'
+    ELSE 'java.lang.resource-leak' END AS check_id,
+  '/src/' || lower(o_orderpriority) || '/Module' || CAST(o_custkey % 40 AS STRING) || '.php' AS path,
+  CAST(o_custkey % 500 AS INTEGER) + 1 AS line,
+  CASE o_orderkey % 7
+    WHEN 0 THEN '  $sid = $_COOKIE["sid"];  '
+    WHEN 1 THEN 'token = request.headers.get("X-Token")'
+    WHEN 2 THEN 'save(upload.file)'
+    WHEN 3 THEN 'msg = kafka.consumer.poll()'
+    WHEN 4 THEN 'row = cursor.fetchone()'
+    WHEN 5 THEN 'ws.on("message", cb)'
+    ELSE 'q = request.args.get("q")' END AS code,
+  'finding ' || CAST(o_orderkey AS STRING) AS message,
+  CASE o_orderstatus WHEN 'F' THEN 'error' WHEN 'O' THEN 'warning' ELSE NULL END AS severity
+FROM orders
+"""
+
 VIEWS: dict[str, str] = {
+    "v_sinks": V_SINKS,
+    "v_scan": V_SCAN,
     "v_paths": V_PATHS,
     "v_sensitive": V_SENSITIVE,
     "v_cx": V_CX,
@@ -116,6 +174,8 @@ VIEWS: dict[str, str] = {
 
 # Which base tables each view reads (for registration).
 VIEW_DEPS: dict[str, tuple[str, ...]] = {
+    "v_sinks": ("part",),
+    "v_scan": ("orders",),
     "v_paths": ("lineitem",),
     "v_sensitive": ("nation",),
     "v_cx": ("nation",),
