@@ -163,7 +163,11 @@ SELECT o_orderkey AS ord,
 FROM orders
 """
 
+from sparkaudit.plans.views_src import V_SRC_FILES, V_URL_PATHS  # noqa: E402
+
 VIEWS: dict[str, str] = {
+    "v_url_paths": V_URL_PATHS,
+    "v_src_files": V_SRC_FILES,
     "v_sinks": V_SINKS,
     "v_scan": V_SCAN,
     "v_paths": V_PATHS,
@@ -174,6 +178,8 @@ VIEWS: dict[str, str] = {
 
 # Which base tables each view reads (for registration).
 VIEW_DEPS: dict[str, tuple[str, ...]] = {
+    "v_url_paths": ("pages",),
+    "v_src_files": ("pages",),
     "v_sinks": ("part",),
     "v_scan": ("orders",),
     "v_paths": ("lineitem",),
