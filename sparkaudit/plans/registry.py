@@ -42,4 +42,4 @@ def load_all() -> None:
         importlib.import_module(f"sparkaudit.plans.{m}")
 
 
-_MODULES = ["q_triage", "q_classify", "q_secrets", "q_endpoints"]
+_MODULES = ["q_triage", "q_classify", "q_secrets", "q_endpoints", "q_graph"]

@@ -163,9 +163,11 @@ SELECT o_orderkey AS ord,
 FROM orders
 """
 
-from sparkaudit.plans.views_src import V_SRC_FILES, V_URL_PATHS  # noqa: E402
+from sparkaudit.plans.views_src import V_EDGES, V_NODES, V_SRC_FILES, V_URL_PATHS  # noqa: E402
 
 VIEWS: dict[str, str] = {
+    "v_edges": V_EDGES,
+    "v_nodes": V_NODES,
     "v_url_paths": V_URL_PATHS,
     "v_src_files": V_SRC_FILES,
     "v_sinks": V_SINKS,
@@ -178,6 +180,8 @@ VIEWS: dict[str, str] = {
 
 # Which base tables each view reads (for registration).
 VIEW_DEPS: dict[str, tuple[str, ...]] = {
+    "v_edges": ("lineitem", "supplier", "nation"),
+    "v_nodes": ("orders", "part", "supplier", "nation", "region"),
     "v_url_paths": ("pages",),
     "v_src_files": ("pages",),
     "v_sinks": ("part",),

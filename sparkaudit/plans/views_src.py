@@ -80,3 +80,44 @@ FROM (SELECT page_id,
         regexp_replace(regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1), '/[0-9]+', '/{item_id}') AS rp
       FROM pages) t
 """
+
+# Call graph: a depth-4 DAG order -> part -> supplier -> nation -> region.
+V_EDGES = """
+SELECT DISTINCT 'o' || CAST(l_orderkey AS STRING) AS src, 'p' || CAST(l_partkey AS STRING) AS dst,
+       'CALLS' AS kind FROM lineitem
+UNION
+SELECT DISTINCT 'p' || CAST(l_partkey AS STRING), 's' || CAST(l_suppkey AS STRING), 'CALLS' FROM lineitem
+UNION
+SELECT 's' || CAST(s_suppkey AS STRING), 'n' || CAST(s_nationkey AS STRING), 'CALLS' FROM supplier
+UNION
+SELECT 'n' || CAST(n_nationkey AS STRING), 'r' || CAST(n_regionkey AS STRING), 'CALLS' FROM nation
+"""
+
+# Graph nodes: names mix handlers, helpers and sink-like callees.
+V_NODES = """
+SELECT 'o' || CAST(o_orderkey AS STRING) AS node_id, 'handleOrder' || CAST(o_orderkey % 50 AS STRING) AS name,
+       '/app/controller/order' || CAST(o_orderkey % 20 AS STRING) || '.php' AS file,
+       CAST(o_orderkey % 300 AS INTEGER) + 1 AS line, 'Method' AS type FROM orders
+UNION ALL
+SELECT 'p' || CAST(p_partkey AS STRING), replace(p_name, ' ', '_'),
+       CASE WHEN p_partkey % 17 = 0 THEN '/src/tests/mock/part' ELSE '/src/part/' || lower(p_type) END
+         || CAST(p_partkey % 20 AS STRING) || '.java',
+       CAST(p_size AS INTEGER), 'Function' FROM part
+UNION ALL
+SELECT 's' || CAST(s_suppkey AS STRING),
+       CASE s_suppkey % 4 WHEN 0 THEN 'authGuard' WHEN 1 THEN 'supplierRepository.find'
+            WHEN 2 THEN 'jwtMiddleware' ELSE 'supplierService' END || CAST(s_suppkey % 7 AS STRING),
+       CASE WHEN s_suppkey % 5 = 0 THEN '/lib/supplier/SupplierRepository.java'
+            ELSE '/src/supplier/Supplier' || CAST(s_suppkey % 10 AS STRING) || '.java' END,
+       CAST(s_suppkey % 100 AS INTEGER) + 1, 'Method' FROM supplier
+UNION ALL
+SELECT 'n' || CAST(n_nationkey AS STRING),
+       CASE n_nationkey % 5 WHEN 0 THEN 'exec' WHEN 1 THEN 'DB::statement' WHEN 2 THEN 'curl_exec'
+            WHEN 3 THEN 'sendMail' ELSE 'writeLog' END,
+       '/src/nation/Nation' || CAST(n_nationkey AS STRING) || '.java', n_nationkey + 1, 'Function' FROM nation
+UNION ALL
+SELECT 'r' || CAST(r_regionkey AS STRING),
+       CASE r_regionkey WHEN 0 THEN 'eval' WHEN 1 THEN 'unserialize' WHEN 2 THEN 'executeCommand'
+            WHEN 3 THEN 'render_template_string' ELSE 'dispatchJob' END,
+       '/vendor/region/Region' || CAST(r_regionkey AS STRING) || '.java', r_regionkey + 1, 'Function' FROM region
+"""
