@@ -135,11 +135,14 @@ _REGION_SINKS = ["eval", "unserialize", "render_template_string"]
   UNION ALL
   SELECT t.start, e.dst, list_append(t.ids, e.dst), t.depth + 1
   FROM t JOIN v_edges e ON e.src = t.node
-  WHERE t.depth < 8 AND e.kind = 'CALLS' AND NOT list_contains(t.ids, e.dst))
-SELECT t.start, n.name AS sink, CAST(t.depth AS INTEGER) AS depth,
-  array_to_string(list_transform(t.ids, lambda i: (SELECT name FROM v_nodes WHERE node_id = i)), ' -> ') AS call_chain
-FROM t JOIN v_nodes n ON n.node_id = t.node
-WHERE t.depth >= 1 AND n.name IN ({', '.join(q(s) for s in _REGION_SINKS)})
+  WHERE t.depth < 8 AND e.kind = 'CALLS' AND NOT list_contains(t.ids, e.dst)),
+tt AS (SELECT row_number() OVER () AS rid, t.* FROM t JOIN v_nodes n ON n.node_id = t.node
+       WHERE t.depth >= 1 AND n.name IN ({', '.join(q(s) for s in _REGION_SINKS)})),
+u AS (SELECT rid, unnest(ids) AS nid, generate_subscripts(ids, 1) AS i FROM tt),
+c AS (SELECT rid, string_agg(v.name, ' -> ' ORDER BY i) AS call_chain FROM u JOIN v_nodes v ON v.node_id = u.nid
+      GROUP BY rid)
+SELECT tt.start, n.name AS sink, CAST(tt.depth AS INTEGER) AS depth, c.call_chain
+FROM tt JOIN c ON c.rid = tt.rid JOIN v_nodes n ON n.node_id = tt.node
 """)
 def q_paths_with_chain(spark, sf):
     """Call chains from controller files to template / eval / unserialize sinks."""
