@@ -21,13 +21,24 @@ def str_array(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def literal_alternation(needles: Iterable[str]) -> str:
+    """Java regex matching any of the literal needles."""
+    return "|".join("\\Q" + n + "\\E" for n in needles)
+
+
 def contains_any(text: Column, needles: Iterable[str]) -> Column:
-    """True when any literal needle is a substring of ``text`` (null-safe)."""
+    """True when any literal needle is a substring of ``text`` (null-safe).
+
+    Many needles become ONE regex of quoted literals: a single expression
+    node keeps plans small and codegen fast."""
+    needles = list(needles)
     t = F.coalesce(text, F.lit(""))
-    out = F.lit(False)
-    for n in needles:
-        out = out | t.contains(n)
-    return out
+    if len(needles) <= 2:
+        out = F.lit(False)
+        for n in needles:
+            out = out | t.contains(n)
+        return out
+    return t.rlike(literal_alternation(needles))
 
 
 def first_contained(text: Column, needles: Iterable[str]) -> Column:

@@ -163,9 +163,12 @@ SELECT o_orderkey AS ord,
 FROM orders
 """
 
-from sparkaudit.plans.views_src import V_EDGES, V_NODES, V_SRC_FILES, V_URL_PATHS  # noqa: E402
+from sparkaudit.plans.views_src import (V_EDGES, V_FN_PARAMS, V_NODES, V_REGISTRY_INPUT,  # noqa: E402
+                                        V_SRC_FILES, V_URL_PATHS)
 
 VIEWS: dict[str, str] = {
+    "v_registry_input": V_REGISTRY_INPUT,
+    "v_fn_params": V_FN_PARAMS,
     "v_edges": V_EDGES,
     "v_nodes": V_NODES,
     "v_url_paths": V_URL_PATHS,
@@ -180,6 +183,8 @@ VIEWS: dict[str, str] = {
 
 # Which base tables each view reads (for registration).
 VIEW_DEPS: dict[str, tuple[str, ...]] = {
+    "v_registry_input": ("pages", "part"),
+    "v_fn_params": ("nation",),
     "v_edges": ("lineitem", "supplier", "nation"),
     "v_nodes": ("orders", "part", "supplier", "nation", "region"),
     "v_url_paths": ("pages",),

@@ -121,3 +121,26 @@ SELECT 'r' || CAST(r_regionkey AS STRING),
             WHEN 3 THEN 'render_template_string' ELSE 'dispatchJob' END,
        '/vendor/region/Region' || CAST(r_regionkey AS STRING) || '.java', r_regionkey + 1, 'Function' FROM region
 """
+
+# Name registrations (A1 input): page host labels and part words, each with
+# a catalog source, its score, a global order and an optional vuln type.
+V_REGISTRY_INPUT = """
+SELECT regexp_extract(url, '^https?://([^./]+)', 1) AS name,
+       CASE page_id % 3 WHEN 0 THEN 'context' WHEN 1 THEN 'semgrep' ELSE 'api_parse' END AS source,
+       CASE page_id % 3 WHEN 0 THEN CASE WHEN page_id % 2 = 0 THEN 3 ELSE 2 END WHEN 1 THEN 2 ELSE 1 END AS score,
+       page_id AS ord,
+       CASE page_id % 5 WHEN 0 THEN 'sqli' WHEN 1 THEN 'xss' WHEN 2 THEN '' ELSE 'ssrf' END AS vuln_type
+FROM pages
+UNION ALL
+SELECT split_part(p_name, ' ', 2), CASE p_partkey % 3 WHEN 0 THEN 'surface_scan' WHEN 1 THEN 'context' ELSE 'semgrep' END,
+       CASE p_partkey % 3 WHEN 0 THEN CASE WHEN p_size > 25 THEN 2 ELSE 1 END WHEN 1 THEN 3 ELSE 2 END,
+       1000000 + p_partkey, lower(p_type)
+FROM part
+"""
+
+# Context-declared tainted function parameters (J4 input).
+V_FN_PARAMS = """
+SELECT 'handler_' || CAST(n_nationkey * 9 AS STRING) AS function,
+       CASE n_nationkey % 2 WHEN 0 THEN 'item_id' ELSE 'user_id' END AS param
+FROM nation
+"""
