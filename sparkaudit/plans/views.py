@@ -163,10 +163,11 @@ SELECT o_orderkey AS ord,
 FROM orders
 """
 
-from sparkaudit.plans.views_src import (V_EDGES, V_FN_PARAMS, V_NODES, V_REGISTRY_INPUT,  # noqa: E402
+from sparkaudit.plans.views_src import (V_CALLS, V_EDGES, V_FN_PARAMS, V_NODES, V_REGISTRY_INPUT,  # noqa: E402
                                         V_SRC_FILES, V_URL_PATHS)
 
 VIEWS: dict[str, str] = {
+    "v_calls": V_CALLS,
     "v_registry_input": V_REGISTRY_INPUT,
     "v_fn_params": V_FN_PARAMS,
     "v_edges": V_EDGES,
@@ -183,6 +184,7 @@ VIEWS: dict[str, str] = {
 
 # Which base tables each view reads (for registration).
 VIEW_DEPS: dict[str, tuple[str, ...]] = {
+    "v_calls": ("events",),
     "v_registry_input": ("pages", "part"),
     "v_fn_params": ("nation",),
     "v_edges": ("lineitem", "supplier", "nation"),

@@ -144,3 +144,11 @@ SELECT 'handler_' || CAST(n_nationkey * 9 AS STRING) AS function,
        CASE n_nationkey % 2 WHEN 0 THEN 'item_id' ELSE 'user_id' END AS param
 FROM nation
 """
+
+# Tool-call log (one record per event).
+V_CALLS = """
+SELECT ts, 'run_' || CAST(user_id AS STRING) AS run_id, event_type AS tool,
+       CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,
+       CAST(floor(value * 100 + 0.5) AS BIGINT) AS duration_ms, props AS args, event_id
+FROM events
+"""
