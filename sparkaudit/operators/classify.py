@@ -85,7 +85,7 @@ def source_type(code: Column) -> Column:
     return first_group(F.lower(F.coalesce(code, F.lit(""))), K.SOURCE_TYPE_KEYWORDS, "http_param")
 
 
-def split_sources_sinks(results: DataFrame) -> DataFrame:
+def split_sources_sinks(results: DataFrame, keep=()) -> DataFrame:
     """C2+C3+C4 over flat scanner results (check_id, path, line, code, message,
     severity).  Adds kind (source|sink), type, severity, note, id."""
     rl = F.lower(F.coalesce(F.col("check_id"), F.lit("")))
@@ -102,7 +102,7 @@ def split_sources_sinks(results: DataFrame) -> DataFrame:
                                         F.coalesce("path", F.lit("")),
                                         F.coalesce(F.col("line").cast("string"), F.lit("0")))), 1, 12)
     return results.select(
-        uid.alias("id"), F.col("check_id").alias("pattern"), F.col("check_id").alias("raw_rule_id"),
+        *keep, uid.alias("id"), F.col("check_id").alias("pattern"), F.col("check_id").alias("raw_rule_id"),
         F.col("path").alias("file"), "line", F.trim(F.col("code")).alias("code"), "message",
         F.lit("semgrep").alias("tool"), kind.alias("kind"), typ.alias("type"),
         sev.alias("severity"), note.alias("note"))
