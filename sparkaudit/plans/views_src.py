@@ -152,3 +152,26 @@ SELECT ts, 'run_' || CAST(user_id AS STRING) AS run_id, event_type AS tool,
        CAST(floor(value * 100 + 0.5) AS BIGINT) AS duration_ms, props AS args, event_id
 FROM events
 """
+
+# One business-context Markdown document per conversation.
+V_CONTEXT_DOCS = """
+SELECT conv_id AS doc_id, concat('# Business Context ', CAST(conv_id AS STRING), chr(10), chr(10),
+  '## System Overview', chr(10), 'Platform ', CAST(conv_id AS STRING), ' with ', CAST(n AS STRING), ' turns.', chr(10), chr(10),
+  '## Custom Sinks (security-critical methods)', chr(10), chr(10),
+  '### OrderRepository', CAST(conv_id % 7 AS STRING), '::rawExec', chr(10),
+  '- Class: `App.Repositories.OrderRepository`', chr(10),
+  '- Method: `rawExec(string $sql)`', chr(10),
+  '- Risk: Executes raw SQL', chr(10),
+  CASE WHEN conv_id % 2 = 0 THEN '- Vuln type: sqli' ELSE '- Note: shell command built from input' END, chr(10), chr(10),
+  '### PaymentGateway::charge', chr(10), '- Risk: amount field is customer controlled', chr(10), chr(10),
+  '## Custom Sources (non-HTTP inputs)', chr(10), chr(10),
+  '### QueueConsumer::getPayload', chr(10), '- Class: `App.Queue.QueueConsumer`', chr(10),
+  '- Source type: queue', chr(10), chr(10),
+  '### handle', CAST(conv_id % 3 AS STRING), chr(10), '- Note: event data', chr(10), chr(10),
+  '## Sensitive Flows', chr(10), chr(10),
+  '### /webhook/payment', CAST(conv_id % 5 AS STRING), ' (POST)', chr(10), '- Risk: No authentication', chr(10), chr(10),
+  '### /checkout/guest (POST)', chr(10), '- Impact: order manipulation', chr(10), chr(10),
+  '## Business Notes', chr(10), '- Multi-tenant: company_id must be enforced', chr(10),
+  '- Admin panel uses AdminGuard', chr(10)) AS text
+FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) t
+"""
