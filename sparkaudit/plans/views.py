@@ -163,10 +163,11 @@ SELECT o_orderkey AS ord,
 FROM orders
 """
 
-from sparkaudit.plans.views_src import (V_CALLS, V_CONTEXT_DOCS, V_EDGES, V_FN_PARAMS, V_NODES, V_REGISTRY_INPUT,  # noqa: E402
+from sparkaudit.plans.views_src import (V_CALLS, V_CONTEXT_DOCS, V_MODEL_FIELDS, V_EDGES, V_FN_PARAMS, V_NODES, V_REGISTRY_INPUT,  # noqa: E402
                                         V_SRC_FILES, V_URL_PATHS)
 
 VIEWS: dict[str, str] = {
+    "v_model_fields": V_MODEL_FIELDS,
     "v_context_docs": V_CONTEXT_DOCS,
     "v_calls": V_CALLS,
     "v_registry_input": V_REGISTRY_INPUT,
@@ -185,6 +186,7 @@ VIEWS: dict[str, str] = {
 
 # Which base tables each view reads (for registration).
 VIEW_DEPS: dict[str, tuple[str, ...]] = {
+    "v_model_fields": ("nation",),
     "v_context_docs": ("conversations",),
     "v_calls": ("events",),
     "v_registry_input": ("pages", "part"),

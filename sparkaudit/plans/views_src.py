@@ -175,3 +175,25 @@ SELECT conv_id AS doc_id, concat('# Business Context ', CAST(conv_id AS STRING),
   '- Admin panel uses AdminGuard', chr(10)) AS text
 FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) t
 """
+
+# Raw field declarations of data models (one model per nation).
+V_MODEL_FIELDS = """
+SELECT 'Model' || CAST(n_nationkey AS STRING) AS model_name, '/src/models/M' || CAST(n_nationkey AS STRING) || '.cs' AS file,
+       0 AS pos, 'password' AS raw FROM nation
+UNION ALL SELECT 'Model' || CAST(n_nationkey AS STRING), '/src/models/M' || CAST(n_nationkey AS STRING) || '.cs', 1,
+       'private String password' FROM nation
+UNION ALL SELECT 'Model' || CAST(n_nationkey AS STRING), '/src/models/M' || CAST(n_nationkey AS STRING) || '.cs', 2,
+       'password_hash: str' FROM nation WHERE n_nationkey % 2 = 0
+UNION ALL SELECT 'Model' || CAST(n_nationkey AS STRING), '/src/models/M' || CAST(n_nationkey AS STRING) || '.cs', 3,
+       'readonly token: string' FROM nation
+UNION ALL SELECT 'Model' || CAST(n_nationkey AS STRING), '/src/models/M' || CAST(n_nationkey AS STRING) || '.cs', 4,
+       'protected $' || n_name FROM nation
+UNION ALL SELECT 'Model' || CAST(n_nationkey AS STRING), '/src/models/M' || CAST(n_nationkey AS STRING) || '.cs', 5,
+       'public bool IsAdmin { get; set; }' FROM nation WHERE n_nationkey % 3 = 0
+UNION ALL SELECT 'Model' || CAST(n_nationkey AS STRING), '/src/models/M' || CAST(n_nationkey AS STRING) || '.cs', 6,
+       'public decimal Balance { get; set; }' FROM nation
+UNION ALL SELECT 'Model' || CAST(n_nationkey AS STRING), '/src/models/M' || CAST(n_nationkey AS STRING) || '.cs', 7,
+       'public string Status { get; set; }' FROM nation WHERE n_nationkey % 2 = 1
+UNION ALL SELECT 'Model' || CAST(n_nationkey AS STRING), '/src/models/M' || CAST(n_nationkey AS STRING) || '.cs', 8,
+       'created_at' FROM nation
+"""

@@ -102,3 +102,13 @@ def test_classify_first_catalogue_match(spark):
     names = spark.createDataFrame([("rawExec",), ("foo",)], "sink_name string")
     got = {r.sink_name: (r.vuln_type, r.confidence) for r in C.classify_sink(names).collect()}
     assert got == {"rawExec": ("sqli", "MEDIUM"), "foo": ("unknown", "UNKNOWN")}
+
+
+def test_clean_field_name_examples(spark):
+    from sparkaudit.operators.models import clean_field_name
+    cases = [("password", "password"), ("private String password", "password"),
+             ("password_hash: str", "password_hash"), ("readonly token: string", "token"),
+             ("protected $password", "password"), ("public string Password { get; set; }", "Password"),
+             ("public bool IsAdmin { get; set; }", "IsAdmin"), ("public decimal Balance { get; set; }", "Balance")]
+    df = spark.createDataFrame([(a,) for a, _ in cases], "raw string")
+    assert [r[0] for r in df.select(clean_field_name(F.col("raw"))).collect()] == [b for _, b in cases]
