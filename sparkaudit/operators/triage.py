@@ -100,8 +100,27 @@ def fp_decision_cols(min_score: int = K.FP_MIN_SCORE, require_score: bool = True
 
 def fp_decision(paths: DataFrame, min_score: int = K.FP_MIN_SCORE,
                 require_score: bool = True) -> DataFrame:
-    d, r = fp_decision_cols(min_score, require_score)
-    return paths.withColumn("fp_decision", d).withColumn("fp_reason", r)
+    """F3.  Each path predicate is computed once into a column (a regex over
+    the path is not "cheap", so Catalyst keeps it un-duplicated), then the
+    ordered rules read the flags."""
+    entry = F.coalesce(F.col("entry_file"), F.col("source.file"), F.lit(""))
+    sink_file = F.coalesce(F.col("sink.file"), F.lit(""))
+    flagged = (paths.withColumn("_te", is_test_path(entry, "filter"))
+               .withColumn("_ts", (sink_file != "") & is_test_path(sink_file, "filter"))
+               .withColumn("_ut", is_utility_path(entry)))
+    score = F.coalesce(F.col("score"), F.col("triage_score"), F.lit(0 if require_score else None))
+    qt = F.col("query_type")
+    low = score.isNotNull() & (score < min_score)
+    te, ts, ut = F.col("_te"), F.col("_ts"), F.col("_ut")
+    decision = (F.when(low, "skip").when(te, "skip").when(ts, "skip")
+                .when(ut, "low_priority").otherwise("pass"))
+    reason = (F.when(low, F.concat(F.lit("score_too_low:"), score.cast("string")))
+              .when(te, "test_or_migration_file").when(ts, "sink_in_test_file")
+              .when(ut, "utility_class_entry")
+              .when(qt.isin("feedback", "object"), F.concat(qt, F.lit("_path")))
+              .otherwise("no_structural_fp_matched"))
+    return (flagged.withColumn("fp_decision", decision).withColumn("fp_reason", reason)
+            .drop("_te", "_ts", "_ut"))
 
 
 def fp_filter(paths: DataFrame, min_score: int = K.FP_MIN_SCORE,
@@ -220,7 +239,10 @@ def triage_score(paths: DataFrame, flows: DataFrame | None = None,
     else:
         boost = F.lit(0)
     obj = F.when(F.col("query_type") == "object", 1).otherwise(0)
-    marker = first_test_marker(entry_file)
+    paths = paths.withColumn("_marker", first_test_marker(entry_file)).withColumn(
+        "_api", entry_hint(entry_file))
+    marker = F.col("_marker")
+    api = F.when(F.col("_api"), 2).otherwise(0)
     total = sev + semgrep + struct_ + conf + custom + http + api + sens + boost + obj
     score = F.when(marker.isNotNull(), F.lit(-10)).otherwise(total).cast("int")
     parts = [("sink_severity", sev), ("semgrep_match", semgrep), ("gitnexus_structural", struct_),
@@ -236,7 +258,7 @@ def triage_score(paths: DataFrame, flows: DataFrame | None = None,
     out = (paths.withColumn("score", score)
            .withColumn("triage_score", score)
            .withColumn("triage_detail", detail))
-    return out.drop("_flows", "_cx")
+    return out.drop("_flows", "_cx", "_marker", "_api")
 
 
 def detail_string(detail: Column) -> Column:

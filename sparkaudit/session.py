@@ -21,6 +21,9 @@ _LOCAL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Generated methods above the JIT's 8000-byte limit run interpreted and
+    # are several times slower than the non-fused fallback: fall back early.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Broadcast only the bounded dimension sides we mark explicitly; never let
     # a large side slip into an automatic broadcast on a cluster.
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
