@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkaudit.llm import mixing, secrets_ledger, winnowing
 from sparkaudit.llm.common import new_table_path, table
+from sparkaudit.llm.registry import importable
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,6 +36,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed documents.  Each stage is written as Parquet in the shared folder and read again."""
+    importable(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_table_path(spark, f"pipeline-{name}")
