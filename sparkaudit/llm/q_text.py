@@ -1,8 +1,8 @@
-"""Queries: mixing, token counts."""
+"""Queries: mixing, quality, token counts."""
 
 from __future__ import annotations
 
-from sparkaudit.llm import mixing, token_counts
+from sparkaudit.llm import mixing, pairwise_quality, rules_forest, token_counts
 from sparkaudit.llm.common import table
 from sparkaudit.llm.registry import register
 
@@ -42,3 +42,15 @@ def op8_token_counts(spark, sf_dir):
     import public_tokenizers
 
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register("op6_quality_ranking")
+def op6_quality_ranking(spark, sf_dir):
+    """Quality score of every whole document."""
+    return pairwise_quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op7_quality_rules")
+def op7_quality_rules(spark, sf_dir):
+    """Rule statistics and verdict of every whole document."""
+    return rules_forest.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -59,14 +59,17 @@ def alphanumeric() -> np.ndarray:
 
 
 class Words(NamedTuple):
-    hash: np.ndarray   # uint64, of the lower-cased bytes
+    hash: np.ndarray   # uint64, of the bytes
     start: np.ndarray  # byte bounds in the buffer
     end: np.ndarray
     row: np.ndarray    # which text the word belongs to
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> Words:
-    """Maximal runs of ``keep`` bytes inside each text; runs never cross texts."""
+def find_words(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray, code: np.ndarray = LOWER_CODE) -> Words:
+    """Maximal runs of ``keep`` bytes inside each text; runs never cross texts.
+
+    ``code`` is BYTE_CODE where letter case counts.
+    """
     n = len(data)
     cuts = np.unique(offsets)
     parts, lo = [], 0
@@ -88,14 +91,14 @@ def find_words(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> Words
         ends = np.flatnonzero(inside & ~after) + 1
         up, down = powers(len(piece) + 1)
         total = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(LOWER_CODE[piece] * up[:-1], out=total[1:])
+        np.cumsum(code[piece] * up[:-1], out=total[1:])
         parts.append((mix((total[ends] - total[starts]) * down[starts]), starts + lo, ends + lo))
         lo = hi
     if not parts:
         none = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), none, none, none)
-    code, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return Words(code, start, end, np.searchsorted(offsets, start, "right") - 1)
+    found, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return Words(found, start, end, np.searchsorted(offsets, start, "right") - 1)
 
 
 def grams(code: np.ndarray, size: int) -> np.ndarray:
