@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Bytes of text handled at once inside a task; numpy temporaries are a small multiple of it.
 SLICE_BYTES = 2 << 20
+SLICE_ROWS = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,8 +42,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], text: str,
-                max_bytes: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets) of slices with at most ``max_bytes`` of text, or a single longer text.
+                max_bytes: int = SLICE_BYTES, max_rows: int = SLICE_ROWS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets) of slices with at most ``max_rows`` rows and ``max_bytes`` of text,
+    or a single longer text.
 
     ``bytes[offsets[i]:offsets[i + 1]]`` is row i's text as UTF-8; a null text has no bytes.
     """
@@ -56,7 +58,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str,
         first = 0
         while first < len(column):
             last = int(np.searchsorted(offsets, offsets[first] + max_bytes, "right")) - 1
-            last = min(max(last, first + 1), len(column))
+            last = min(max(last, first + 1), first + max_rows, len(column))
             part = offsets[first:last + 1]
             yield batch.slice(first, last - first), data[part[0]:part[-1]], part - part[0]
             first = last

@@ -1,8 +1,8 @@
-"""Queries: secret scan, decontamination."""
+"""Queries: scans of every document."""
 
 from __future__ import annotations
 
-from sparkaudit.llm import secrets_ledger, winnowing
+from sparkaudit.llm import secrets_ledger, toxicity, winnowing
 from sparkaudit.llm.common import table
 from sparkaudit.llm.registry import register
 
@@ -41,3 +41,9 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r)
 def op9_decontamination(spark, sf_dir):
     """Benchmark words found in every whole document."""
     return winnowing.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op5_toxicity")
+def op5_toxicity(spark, sf_dir):
+    """Probabilities of the toxicity categories for every whole document."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
