@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkaudit.llm import bottomk
+from sparkaudit.llm import bottomk, suffix_dedup
 from sparkaudit.llm.common import table
 from sparkaudit.llm.registry import register
 
@@ -28,3 +28,9 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.id = w.doc_id
 def op10_near_duplicates(spark, sf_dir):
     """Near-duplicate group of every whole document."""
     return bottomk.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op3_suffix_dedup")
+def op3_suffix_dedup(spark, sf_dir):
+    """What every whole document keeps when repeated 400-byte strings go."""
+    return suffix_dedup.measure_documents(table(spark, sf_dir, "documents"))
