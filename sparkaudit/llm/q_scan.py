@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkaudit.llm import secrets_ledger, toxicity, winnowing
+from sparkaudit.llm import license_scan, secrets_ledger, toxicity, winnowing
 from sparkaudit.llm.common import table
 from sparkaudit.llm.registry import register
 
@@ -47,3 +47,9 @@ def op9_decontamination(spark, sf_dir):
 def op5_toxicity(spark, sf_dir):
     """Probabilities of the toxicity categories for every whole document."""
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op1_license_scan")
+def op1_license_scan(spark, sf_dir):
+    """Licences that every whole document names."""
+    return license_scan.scan_documents(table(spark, sf_dir, "documents"))
