@@ -1,14 +1,30 @@
-"""Documents through the training-data operators, stage by stage."""
+"""Documents through the training-data operators, stage by stage.
+
+Each stage takes the documents that its predecessor kept, with the columns of
+``documents``, and returns them with its decisions applied; the last one adds
+``copy``.  Null and empty texts fail the base rules; empty tables pass through;
+further columns are kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkaudit.llm import mixing, secrets_ledger, winnowing
+from sparkaudit.llm import bottomk, mixing, rules_forest, secrets_ledger, winnowing
 from sparkaudit.llm.common import new_table_path, table
 from sparkaudit.llm.registry import importable
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or that the isolation forest finds anomalous go."""
+    return rules_forest.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return bottomk.one_of_each(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with any hit of a benchmark item go."""
     return winnowing.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -25,6 +41,8 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
     ("benchmark_decontamination", benchmark_decontamination),
     ("secret_scan", secret_scan),
     ("mixing", mixing_sources),
