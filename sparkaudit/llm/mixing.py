@@ -9,7 +9,7 @@ reruns agree.
 Defined cases: a null text has size 0; the null source is a source of its own;
 repeated rows get equal draws; a table without words gives targets of 0; an
 empty table gives an empty result; further columns are kept by ``mix`` and not
-read otherwise.
+read otherwise.  Names that begin with ``llm_`` are the package's own.
 """
 
 from __future__ import annotations
@@ -69,22 +69,23 @@ def source_rates(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: fl
                 F.least(F.col("cap"), F.col("at") * F.col("weight"))).alias("target")))
 
 
-def with_rates(docs: DataFrame, rates: DataFrame, source: str = "source") -> DataFrame:
-    """``docs`` with ``source_size`` and ``target``.  A hot source never meets in one task:
+def with_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
+    """``docs`` with ``llm_size`` and ``llm_target`` of its source.  A hot source never meets in one task:
     few sources are broadcast after their number is known, many are joined by (source, salt)."""
-    rates = rates.withColumnRenamed("source", "rate_source")
-    same = F.col(source).eqNullSafe(F.col("rate_source"))
+    rates = rates.select(F.col("source").alias("llm_source"), F.col("source_size").alias("llm_size"),
+                         F.col("target").alias("llm_target"))
+    same = F.col("source").eqNullSafe(F.col("llm_source"))
     if rates.count() <= BROADCAST_SOURCES:
-        return docs.join(F.broadcast(rates), same).drop("rate_source")
-    salted = rates.withColumn("rate_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return docs.join(F.broadcast(rates), same).drop("llm_source")
+    salted = rates.withColumn("llm_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
-    return (docs.withColumn("doc_salt", salt).join(salted, same & (F.col("doc_salt") == F.col("rate_salt")))
-            .drop("rate_source", "rate_salt", "doc_salt"))
+    return (docs.withColumn("llm_own_salt", salt).join(salted, same & (F.col("llm_own_salt") == F.col("llm_salt")))
+            .drop("llm_source", "llm_salt", "llm_own_salt"))
 
 
 def copies(u: Column) -> Column:
     """Times a document is taken: floor(rate) and one more where ``u`` lies below the fraction."""
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rate = F.when(F.col("llm_size") > 0, F.col("llm_target") / F.col("llm_size")).otherwise(F.lit(0.0))
     return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
@@ -94,14 +95,15 @@ def plan_documents(docs: DataFrame, **options) -> DataFrame:
         "doc_id", "source", n_words(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text")).alias("u")))
     rates = checkpointed(source_rates(sized, **options))
     return with_rates(sized, rates).select(
-        "doc_id", "size", "source_size", F.col("target").cast("double").alias("target"),
+        "doc_id", "size", F.col("llm_size").alias("source_size"), F.col("llm_target").cast("double").alias("target"),
         (copies(F.col("u")) * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents: each row as often as it is taken, all columns kept, plus ``copy`` (0, 1, ...)."""
-    columns = docs.columns
+    """The mixed documents: each row as often as it is taken, all columns kept, plus ``copy`` (0, 1, ...),
+    which replaces a column of that name."""
+    columns = [c for c in docs.columns if c != "copy"]
     rates = checkpointed(source_rates(docs.select("source", n_words(F.col("text")).alias("size")), **options))
     times = copies(draw(F.col("doc_id"), F.col("text")))
-    return (with_rates(docs.select(*columns), rates).withColumn("times", times).where(F.col("times") > 0)
-            .select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("copy")))
+    return (with_rates(docs.select(*columns), rates).withColumn("llm_times", times).where(F.col("llm_times") > 0)
+            .select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("llm_times") - 1)).alias("copy")))
