@@ -3,7 +3,7 @@
 Catalogue lookups are "first entry in catalogue order whose key is a
 substring".  With a fixed catalogue this is one CASE chain of ``contains``
 tests evaluated in codegen (no join at all).  Data-driven catalogues
-(business-context sinks) are bounded dimensions folded into a plan constant.
+(business-context sinks) are looked up by keyed containment.
 Big inputs are classified on their DISTINCT names first, then joined back on
 the name (an equi-join), so the per-row work does not grow with duplicates.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sparkaudit import catalogs as K
 from sparkaudit.functions.core import contains_any, map_lookup, nonempty
-from sparkaudit.operators.dims import dim_array
+from sparkaudit.operators.dims import first_hits
 
 
 def first_group(text: Column, groups, default=None) -> Column:
@@ -46,12 +46,13 @@ def classify_sink(names: DataFrame, name_col: str = "sink_name",
     low = F.lower(F.col(name_col))
     cat = catalogue_match(F.col(name_col))
     if ctx_sinks is not None:
-        d = d.withColumn("_ctx", dim_array(ctx_sinks, ["name", "vuln_type", "confidence"], "ord",
-                                           what="context sinks"))
-        hit = F.filter(F.col("_ctx"), lambda s: nonempty(s["name"]) & low.contains(F.lower(s["name"]))
-                       & (F.upper(F.coalesce(s["confidence"], F.lit(""))) == "HIGH")
-                       & nonempty(s["vuln_type"]))
-        ctx_vt = F.try_element_at(hit, F.lit(1))["vuln_type"]
+        sure = ctx_sinks.where(nonempty(F.col("vuln_type")) & (F.upper("confidence") == "HIGH")).select(
+            "ord", F.lower("name").alias("name"), "vuln_type")
+        first = (first_hits(d.select(low.alias("text")), sure, "name", 1)
+                 .select(F.col("text").alias("_low"), F.col("ords")[0].alias("ord"))
+                 .join(sure.select("ord", F.col("vuln_type").alias("_ctx")), "ord").drop("ord"))
+        d = d.join(first, low == F.col("_low"), "left")
+        ctx_vt = F.col("_ctx")
     else:
         ctx_vt = F.lit(None).cast("string")
     vt = F.coalesce(ctx_vt, cat, F.lit("unknown"))

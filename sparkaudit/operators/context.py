@@ -66,9 +66,9 @@ def items(secs: DataFrame) -> DataFrame:
 
 
 def kv_get(kv: Column, key: str) -> Column:
-    """Last value for ``key`` (empty values count as missing)."""
-    vals = F.filter(kv, lambda e: (e["k"] == key) & (e["v"] != ""))
-    return F.try_element_at(F.transform(vals, lambda e: e["v"]), F.lit(-1))
+    """The last value for ``key``; where that is empty there is none, and the default applies."""
+    vals = F.transform(F.filter(kv, lambda e: e["k"] == key), lambda e: e["v"])
+    return F.nullif(F.try_element_at(vals, F.lit(-1)), F.lit(""))
 
 
 def _split_heading(h: Column):

@@ -1,85 +1,49 @@
-"""Small dimension tables used by theta (contains / regex) lookups.
+"""Lookups "pattern contained in text", which have no equi-join key.
 
-Lookups such as "any sensitive-flow entry is a substring of the path" have no
-equi-join key.  For a *bounded* dimension (context lists, external findings,
-catalogues: tens to a few thousand rows) the cheapest exact plan is to fold
-the dimension into one array value (an uncorrelated scalar subquery, computed
-once and shipped with the plan) and evaluate the predicate with higher-order
-functions inside the scan's codegen stage: no join, no shuffle.
-
-The size is always checked first (``DimensionTooLarge``); callers that can
-meet larger dimensions use ``contains_join`` which switches to an exact
-n-gram equi-join beyond the bound.
+There is one plan at every size: a pattern is keyed by its first characters,
+a text by all its distinct character n-grams, the two sides meet in an
+equi-join and the predicate is verified.  Texts are reduced to distinct values
+first by the callers, and only candidate pairs are ever produced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest dimension folded into a plan constant.
-MAX_DIM_ROWS = 20_000
-
-
-class DimensionTooLarge(ValueError):
-    pass
+NGRAM = 4
 
 
-def check_bounded(dim: DataFrame, max_rows: int = MAX_DIM_ROWS, what: str = "dimension") -> int:
-    """Count the dimension (a cheap aggregate; no rows reach the driver)."""
-    n = dim.count()
-    if n > max_rows:
-        raise DimensionTooLarge(f"{what} has {n} rows > bound {max_rows}")
-    return n
+def _keys(text: Column, n: int) -> Column:
+    """Distinct substrings of 1..n characters, and the empty one."""
+    def of(k):
+        return F.when(F.length(text) >= k, F.transform(
+            F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substring(text, i, F.lit(k)))).otherwise(
+            F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[of(k) for k in range(1, n + 1)]))
 
 
-def dim_array(dim: DataFrame, cols: list[str], order_col: str | None = None,
-              max_rows: int = MAX_DIM_ROWS, what: str = "dimension",
-              checked: bool = False) -> Column:
-    """Fold a bounded dimension into an ``array<struct>`` plan constant.
+def contains_join(left: DataFrame, right: DataFrame, text_col: str, pat_col: str, ngram: int = NGRAM) -> DataFrame:
+    """Rows of ``left`` with each row of ``right`` whose pattern the text contains (exact, inner).
 
-    With ``order_col`` the array is sorted by it (first field of the struct),
-    so ordered "first match / early stop" folds see dimension order.
+    A pattern has one key and a text lists a key once, so a pair of rows meets
+    exactly once: equal rows keep their multiplicity.  Null texts and patterns
+    match nothing; an empty pattern is in every text.
     """
-    if not checked:
-        check_bounded(dim, max_rows, what)
-    fields = ([order_col] if order_col else []) + [c for c in cols if c != order_col]
-    agg = F.collect_list(F.struct(*[F.col(c) for c in fields]))
-    if order_col:
-        agg = F.array_sort(agg)
-    return dim.select(agg.alias("a")).scalar()
+    keyed = right.withColumn("_key", F.substring(F.col(pat_col), 1, ngram))
+    texts = left.where(F.col(text_col).isNotNull()).withColumn("_key", F.explode(_keys(F.col(text_col), ngram)))
+    return texts.join(keyed, "_key").where(F.col(text_col).contains(F.col(pat_col))).drop("_key")
 
 
-def contains_join(left: DataFrame, right: DataFrame, text_col: str, pat_col: str,
-                  how: str = "inner", ngram: int = 4,
-                  max_rows: int = MAX_DIM_ROWS) -> DataFrame:
-    """Exact join on ``contains(left[text_col], right[pat_col])``.
+def first_hits(texts: DataFrame, dim: DataFrame, pat_col: str, n: int) -> DataFrame:
+    """(text, ords): per distinct text the first ``n`` (by ``ord``) rows of ``dim`` whose pattern it contains.
 
-    Bounded right side: broadcast nested-loop join on the predicate.  Larger
-    right side: every pattern of length >= ``ngram`` is keyed by its first
-    n-gram; each text emits its n-grams (positions) and the two sides meet on
-    an equi-join, then the full predicate is verified.  Patterns shorter than
-    ``ngram`` form a set of at most ``sum(k^i)`` distinct strings and are
-    still broadcast.  Only matching candidate pairs are produced.
+    A pattern's own first ``n`` rows are enough for that, so nothing longer is gathered.
     """
-    n = right.count()
-    cond_text = F.col(text_col)
-    if n <= max_rows:
-        j = left.join(F.broadcast(right), cond_text.contains(F.col(pat_col)), how)
-        return j
-    short = right.where(F.length(pat_col) < ngram)
-    long_ = right.where(F.length(pat_col) >= ngram).withColumn(
-        "_g", F.substring(F.col(pat_col), 1, ngram))
-    grams = (left.withColumn("_pos", F.explode(F.sequence(
-        F.lit(1), F.greatest(F.lit(1), F.length(cond_text) - ngram + 1))))
-        .withColumn("_g", F.substring(cond_text, F.col("_pos"), ngram))
-        .drop("_pos"))
-    hit_long = (grams.join(long_, "_g").where(cond_text.contains(F.col(pat_col)))
-                .drop("_g").dropDuplicates())
-    hit_short = left.join(F.broadcast(short), cond_text.contains(F.col(pat_col)))
-    hits = hit_long.unionByName(hit_short)
-    if how == "inner":
-        return hits
-    if how in ("left_semi", "semi"):
-        return left.join(hits.select(*left.columns).dropDuplicates(), left.columns, "left_semi")
-    raise ValueError(f"unsupported join type {how} for large pattern side")
+    by_pattern = Window.partitionBy("_pat").orderBy("ord")
+    few = (dim.select(F.col(pat_col).alias("_pat"), "ord").where("_pat <> ''")
+           .withColumn("_rn", F.row_number().over(by_pattern)).where(F.col("_rn") <= n).drop("_rn"))
+    by_text = Window.partitionBy("text").orderBy("ord")
+    return (contains_join(texts.select("text").distinct(), few, "text", "_pat")
+            .withColumn("_rn", F.row_number().over(by_text)).where(F.col("_rn") <= n)
+            .groupBy("text").agg(F.collect_list("ord").alias("ords")))

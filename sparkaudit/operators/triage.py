@@ -4,9 +4,9 @@
           -> path_decision (F5/F6) -> triage_score (W1, with J1/J2)
           -> triage_rank (W2) -> classify / findings
 
-Everything is a narrow projection except the id de-duplication (one shuffle
-on ``id``, with a partial per-partition limit before it) and the global
-top-k (per-partition top-k then a merge).
+Rules and scores are narrow projections.  The de-duplication is one shuffle on
+(run, path) with a partial per-partition limit before it, context lists are
+keyed lookups on distinct texts, and ranks are counted in slices of a run.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from sparkaudit import catalogs as K
 from sparkaudit.functions.core import contains_any, map_lookup, nonempty
 from sparkaudit.functions.paths import (entry_hint, first_test_marker, is_test_path,
                                         is_utility_path, needs_manual, sanitizer_hint)
-from sparkaudit.operators.dims import dim_array
+from sparkaudit.operators.dims import first_hits
+from sparkaudit.operators.ranking import with_position
 
 EMPTY_ARR = "array<string>"
 
@@ -76,28 +77,6 @@ def normalize_paths(raw: DataFrame, col: str = "raw", ord_col: str = "ord") -> D
 # ---------------------------------------------------------------------------
 # F3 / F4 structural filter
 # ---------------------------------------------------------------------------
-def fp_decision_cols(min_score: int = K.FP_MIN_SCORE, require_score: bool = True):
-    """ordered rules -> (decision, reason) columns."""
-    entry = F.coalesce(F.col("entry_file"), F.col("source.file"), F.lit(""))
-    score = F.coalesce(F.col("score"), F.col("triage_score"),
-                       F.lit(0 if require_score else None))
-    sink_file = F.coalesce(F.col("sink.file"), F.lit(""))
-    qt = F.col("query_type")
-    low = score.isNotNull() & (score < min_score)
-    decision = (F.when(low, "skip")
-                .when(is_test_path(entry, "filter"), "skip")
-                .when((sink_file != "") & is_test_path(sink_file, "filter"), "skip")
-                .when(is_utility_path(entry), "low_priority")
-                .otherwise("pass"))
-    reason = (F.when(low, F.concat(F.lit("score_too_low:"), score.cast("string")))
-              .when(is_test_path(entry, "filter"), "test_or_migration_file")
-              .when((sink_file != "") & is_test_path(sink_file, "filter"), "sink_in_test_file")
-              .when(is_utility_path(entry), "utility_class_entry")
-              .when(qt.isin("feedback", "object"), F.concat(qt, F.lit("_path")))
-              .otherwise("no_structural_fp_matched"))
-    return decision, reason
-
-
 def fp_decision(paths: DataFrame, min_score: int = K.FP_MIN_SCORE,
                 require_score: bool = True) -> DataFrame:
     """F3.  Each path predicate is computed once into a column (a regex over
@@ -125,10 +104,11 @@ def fp_decision(paths: DataFrame, min_score: int = K.FP_MIN_SCORE,
 
 def fp_filter(paths: DataFrame, min_score: int = K.FP_MIN_SCORE,
               require_score: bool = True) -> DataFrame:
-    """keep ``pass`` then ``low_priority`` rows; ``fp_rank`` orders them."""
+    """``pass`` rows, then ``low_priority`` ones, each in input order."""
     d = fp_decision(paths, min_score, require_score)
     return (d.where(F.col("fp_decision") != "skip")
-            .withColumn("fp_rank", F.when(F.col("fp_decision") == "pass", 0).otherwise(1)))
+            .withColumn("fp_rank", F.when(F.col("fp_decision") == "pass", 0).otherwise(1))
+            .orderBy("fp_rank", "ord"))
 
 
 def fp_filter_summary(decided: DataFrame) -> DataFrame:
@@ -141,13 +121,12 @@ def fp_filter_summary(decided: DataFrame) -> DataFrame:
     )
 
 
-def skip_reason_top5(decided: DataFrame, n: int = 5) -> DataFrame:
-    """Most common skip reasons (first 30 chars); ties by first occurrence."""
-    return (decided.where(F.col("fp_decision") == "skip")
-            .groupBy(F.substring("fp_reason", 1, 30).alias("reason"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"))
-            .orderBy(F.desc("n"), F.asc("first_ord"))
-            .limit(n))
+def skip_reasons(decided: DataFrame, n: int | None = None) -> DataFrame:
+    """Whole skip reasons by frequency, ties by first occurrence; the first ``n`` if given."""
+    out = (decided.where(F.col("fp_decision") == "skip").groupBy(F.col("fp_reason").alias("reason"))
+           .agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"))
+           .orderBy(F.desc("n"), F.asc("first_ord")))
+    return out if n is None else out.limit(n)
 
 
 # ---------------------------------------------------------------------------
@@ -185,80 +164,100 @@ def path_decision(paths: DataFrame, hints=None, with_flow: bool = True) -> DataF
 # ---------------------------------------------------------------------------
 # W1 triage_score (with J1 sensitive flows, J2 external-finding boost)
 # ---------------------------------------------------------------------------
-def sensitive_flow_match(entry_file: Column, entry_fn: Column, flows: Column) -> Column:
-    """Some non-empty flow entry is contained in the entry file or fn."""
-    return F.exists(flows, lambda f: nonempty(f["entry"]) & (
-        entry_file.contains(f["entry"]) | entry_fn.contains(f["entry"])))
+#: Matches of each kind that decide a boost: two points each for file and sink, one for the type, stop at 5.
+_BOOST_HITS = {"file": 3, "sink": 3, "vuln_type": 5}
+
+
+def cx_boost(file_hits: Column, sink_hits: Column, type_hits: Column) -> Column:
+    """J2 from the first matching findings of each kind (arrays of their ``ord``, at least as many as
+    ``_BOOST_HITS``): points are added finding by finding and stop once they reach 5."""
+    empty = F.array().cast("array<bigint>")
+
+    def points(hits, n):
+        return F.transform(F.coalesce(hits, empty), lambda o: F.struct(o.alias("ord"), F.lit(n).alias("points")))
+    events = F.concat(points(file_hits, 2), points(sink_hits, 2), points(type_hits, 1))
+
+    def total(upto=None):
+        some = events if upto is None else F.filter(events, lambda e: e["ord"] <= upto)
+        return F.aggregate(some, F.lit(0), lambda acc, e: acc + e["points"])
+    reached = F.array_min(F.filter(F.transform(events, lambda e: total(e["ord"])), lambda t: t >= 5))
+    return F.coalesce(reached, total())
+
+
+def with_context(paths: DataFrame, flows: DataFrame | None, cx: DataFrame | None) -> DataFrame:
+    """``paths`` with ``_flow`` (J1: some flow entry is in the entry file or function) and ``_boost``.
+
+    Texts meet the context lists by keyed containment on their distinct values;
+    the results, one short row per distinct text, are joined back by equality.
+    """
+    entry_file = F.coalesce(F.col("entry_file"), F.col("file"), F.lit(""))
+    entry_fn = F.coalesce(F.col("entry_fn"), F.col("source.code"), F.lit(""))
+    keys = {"file": entry_file, "sink": F.coalesce(F.col("sink.name"), F.lit("")),
+            "vuln_type": F.coalesce(F.col("sink.type"), F.lit(""))}
 
+    def lookup(df, key, hits, name):
+        hits = hits.select(F.col("text").alias("_text"), F.col("ords").alias(name))
+        return df.join(hits, key == F.col("_text"), "left").drop("_text")
 
-def cx_boost(path_file: Column, sink_name: Column, sink_type: Column, cx: Column) -> Column:
-    """Ordered accumulation over findings with early stop at >= 5."""
-    def step(acc, c):
-        inc = (F.when(nonempty(c["file"]) & path_file.contains(c["file"]), 2).otherwise(0)
-               + F.when(nonempty(c["sink"]) & sink_name.contains(c["sink"]), 2).otherwise(0)
-               + F.when(nonempty(c["vuln_type"]) & (c["vuln_type"] == sink_type), 1).otherwise(0))
-        b = acc["b"] + inc
-        return F.when(acc["done"], acc).otherwise(F.struct(b.alias("b"), (b >= 5).alias("done")))
-    init = F.struct(F.lit(0).alias("b"), F.lit(False).alias("done"))
-    return F.aggregate(cx, init, step)["b"]
+    out = paths
+    if flows is not None:
+        for name, key in (("_f1", entry_file), ("_f2", entry_fn)):
+            out = lookup(out, key, first_hits(paths.select(key.alias("text")), flows, "entry", 1), name)
+        out = out.withColumn("_flow", F.col("_f1").isNotNull() | F.col("_f2").isNotNull()).drop("_f1", "_f2")
+    if cx is not None:
+        if "sink_name" in cx.columns:  # the other name of the same field
+            cx = cx.withColumn("sink", F.coalesce("sink", "sink_name"))
+        for kind in ("file", "sink"):
+            out = lookup(out, keys[kind], first_hits(paths.select(keys[kind].alias("text")), cx, kind,
+                                                     _BOOST_HITS[kind]), f"_{kind}")
+        by_type = Window.partitionBy("text").orderBy("ord")
+        same = (cx.where("vuln_type <> ''").select(F.col("vuln_type").alias("text"), "ord")
+                .withColumn("_rn", F.row_number().over(by_type)).where(F.col("_rn") <= _BOOST_HITS["vuln_type"])
+                .groupBy("text").agg(F.collect_list("ord").alias("ords")))
+        out = lookup(out, keys["vuln_type"], same, "_type")
+        out = out.withColumn("_boost", cx_boost(F.col("_file"), F.col("_sink"), F.col("_type"))).drop(
+            "_file", "_sink", "_type")
+    return out
 
 
 def triage_score(paths: DataFrame, flows: DataFrame | None = None,
                  cx: DataFrame | None = None) -> DataFrame:
-    """Additive score and a detail map, per path (narrow projection).
+    """Additive score and a detail map per path.
 
-    ``flows``: (ord, entry); ``cx``: (ord, file, sink, vuln_type).  Both are
-    bounded context lists folded into plan constants (size-checked).
+    ``flows``: (ord, entry); ``cx``: (ord, file, sink, vuln_type[, sink_name]); both of any size.
     """
     entry_file = F.coalesce(F.col("entry_file"), F.col("file"), F.lit(""))
-    entry_fn = F.coalesce(F.col("entry_fn"), F.col("source.code"), F.lit(""))
     sink_type = F.coalesce(F.col("sink.type"), F.lit(""))
-    sink_name = F.coalesce(F.col("sink.name"), F.lit(""))
+    det = F.coalesce(F.col("detected_by"), F.array().cast(EMPTY_ARR))
     cat = F.coalesce(F.when(nonempty(F.col("sink_cat")), F.col("sink_cat")),
                      map_lookup(sink_type, K.SINK_TYPE_TO_CAT), F.lit("CUSTOM"))
-    sev = map_lookup(cat, K.SINK_SEVERITY, 1)
-    det = F.coalesce(F.col("detected_by"), F.array().cast(EMPTY_ARR))
-    semgrep = F.when((F.col("tool") == "semgrep") | F.array_contains(det, "semgrep"), 3).otherwise(0)
-    struct_ = F.when((F.col("tool") == "gitnexus")
-                     | F.col("query_type").isin("structural", "object"), 2).otherwise(0)
-    conf = F.when(F.col("path_decision") == "confirmed", 2).otherwise(0)
-    custom = F.when(F.col("sink.type") == "custom_wrapper", 1).otherwise(0)
-    http = F.when(F.col("source.type").isin(*K.HTTP_SOURCE_TYPES), 1).otherwise(0)
-    api = F.when(entry_hint(entry_file), 2).otherwise(0)
-    # Bounded context lists become plan constants; they are projected into a
-    # column first because subqueries may not sit inside lambda functions.
-    if flows is not None:
-        paths = paths.withColumn("_flows", dim_array(flows, ["entry"], "ord", what="sensitive flows"))
-        sens = F.when(sensitive_flow_match(entry_file, entry_fn, F.col("_flows")), 2).otherwise(0)
-    else:
-        sens = F.lit(0)
-    if cx is not None:
-        paths = paths.withColumn("_cx", dim_array(cx, ["file", "sink", "vuln_type"], "ord",
-                                                  what="external findings"))
-        boost = F.coalesce(cx_boost(entry_file, sink_name, sink_type, F.col("_cx")), F.lit(0))
-    else:
-        boost = F.lit(0)
-    obj = F.when(F.col("query_type") == "object", 1).otherwise(0)
-    paths = paths.withColumn("_marker", first_test_marker(entry_file)).withColumn(
-        "_api", entry_hint(entry_file))
-    marker = F.col("_marker")
-    api = F.when(F.col("_api"), 2).otherwise(0)
-    total = sev + semgrep + struct_ + conf + custom + http + api + sens + boost + obj
-    score = F.when(marker.isNotNull(), F.lit(-10)).otherwise(total).cast("int")
-    parts = [("sink_severity", sev), ("semgrep_match", semgrep), ("gitnexus_structural", struct_),
-             ("joern_confirmed", conf), ("custom_sink", custom), ("direct_http_source", http),
-             ("entry_point_bonus", api), ("sensitive_flow_match", sens), ("cx_boost", boost),
-             ("object_bonus", obj)]
-    detail_kv = F.map_filter(
-        F.create_map(*[x for k, v in parts for x in (F.lit(k), v.cast("string"))]),
-        lambda k, v: v != "0")
-    detail = F.when(marker.isNotNull(),
-                    F.create_map(F.lit("fp"), F.concat(F.lit("test_file:"), marker))
-                    ).otherwise(detail_kv)
-    out = (paths.withColumn("score", score)
-           .withColumn("triage_score", score)
-           .withColumn("triage_detail", detail))
-    return out.drop("_flows", "_cx", "_marker", "_api")
+
+    def points(condition, n):
+        return F.when(condition, n).otherwise(0)
+    terms = {
+        "sink_severity": map_lookup(cat, K.SINK_SEVERITY, 1),
+        "semgrep_match": points((F.col("tool") == "semgrep") | F.array_contains(det, "semgrep"), 3),
+        "gitnexus_structural": points((F.col("tool") == "gitnexus")
+                                      | F.col("query_type").isin("structural", "object"), 2),
+        "joern_confirmed": points(F.col("path_decision") == "confirmed", 2),
+        "custom_sink": points(F.col("sink.type") == "custom_wrapper", 1),
+        "direct_http_source": points(F.col("source.type").isin(*K.HTTP_SOURCE_TYPES), 1),
+        "entry_point_bonus": points(entry_hint(entry_file), 2),
+        "sensitive_flow_match": points(F.col("_flow"), 2) if flows is not None else F.lit(0),
+        "cx_boost": F.col("_boost") if cx is not None else F.lit(0),
+        "object_bonus": points(F.col("query_type") == "object", 1),
+    }
+    # every term is computed once, in a projection of its own
+    out = with_context(paths, flows, cx).withColumns(
+        {"_marker": first_test_marker(entry_file), "_t": F.struct(*[t.cast("int").alias(k) for k, t in terms.items()])})
+    total = sum((F.col("_t")[k] for k in terms), F.lit(0))
+    score = F.when(F.col("_marker").isNotNull(), F.lit(-10)).otherwise(total).cast("int")
+    detail = F.when(F.col("_marker").isNotNull(),
+                    F.create_map(F.lit("fp"), F.concat(F.lit("test_file:"), F.col("_marker")))).otherwise(
+        F.map_filter(F.create_map(*[x for k in terms for x in (F.lit(k), F.col("_t")[k].cast("string"))]),
+                     lambda k, v: v != "0"))
+    return (out.withColumns({"score": score, "triage_score": score, "triage_detail": detail})
+            .drop("_flow", "_boost", "_marker", "_t"))
 
 
 def detail_string(detail: Column) -> Column:
@@ -270,44 +269,63 @@ def detail_string(detail: Column) -> Column:
 # ---------------------------------------------------------------------------
 # W2 triage_rank, A5 distribution, W3 top_paths
 # ---------------------------------------------------------------------------
-def dedupe_first(df: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
+def dedupe_first(df: DataFrame, keys: tuple[str, ...] = ("id",), order: str = "ord") -> DataFrame:
     """Keep the first row per key.  ``row_number()==1`` lets Spark insert a
     partial WindowGroupLimit before the shuffle, so a hot key ships at most
     one row per map partition."""
-    w = Window.partitionBy(key).orderBy(F.col(order).asc())
+    w = Window.partitionBy(*keys).orderBy(F.col(order).asc())
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+#: Columns that say where a record came from, not what it says.
+_PLACE = ("ord", "run_id")
+
+
+def unique_paths(paths: DataFrame) -> DataFrame:
+    """The first record of each path in its run.
+
+    A path is known by its id; one without an id by the digest of the record's
+    own fields, so equal records are one path and different ones stay apart.
+    Two runs may use the same id.
+    """
+    own = F.md5(F.to_json(F.struct(*[F.col(c) for c in paths.columns if c not in _PLACE]),
+                          {"ignoreNullFields": "false"}))
+    keyed = paths.withColumn("_path", F.coalesce(F.concat(F.lit("id:"), F.col("id")), own))
+    return dedupe_first(keyed, ("run_id", "_path")).drop("_path")
+
+
 def with_path_ids(paths: DataFrame) -> DataFrame:
-    """Missing ids fall back to md5 of the JSON record (first 12 hex)."""
-    fallback = F.substring(F.md5(F.to_json(F.struct(*[F.col(c) for c in paths.columns]))), 1, 12)
-    return paths.withColumn("id", F.coalesce(F.col("id"), fallback))
+    """Missing ids are filled for output with 12 hexadecimal digits of the record's digest."""
+    own = F.md5(F.to_json(F.struct(*[F.col(c) for c in paths.columns if c not in _PLACE])))
+    return paths.withColumn("id", F.coalesce(F.col("id"), F.substring(own, 1, 12)))
 
 
 def triage_scored(paths: DataFrame, flows=None, cx=None,
                   threshold: int = K.TRIAGE_THRESHOLD) -> DataFrame:
-    """Dedupe by id, score, keep rows at/above threshold (before the cap)."""
-    uniq = dedupe_first(with_path_ids(paths))
-    return triage_score(uniq, flows, cx).where(F.col("score") >= threshold)
+    """Dedupe per run, score, keep rows at/above threshold."""
+    return triage_score(unique_paths(paths), flows, cx).where(F.col("score") >= threshold)
 
 
 def triage_rank(paths: DataFrame, flows=None, cx=None,
-                threshold: int = K.TRIAGE_THRESHOLD, max_paths: int = K.MAX_PATHS) -> DataFrame:
-    """Top ``max_paths`` by score (desc), stable on input order."""
+                threshold: int = K.TRIAGE_THRESHOLD, max_paths: int | None = None) -> DataFrame:
+    """Every kept path with its ``rank`` in its run: score descending, then input order.
+
+    ``max_paths`` keeps the first ones of each run (the reviewer's list, off by default).
+    """
     kept = triage_scored(paths, flows, cx, threshold)
-    return kept.orderBy(F.desc("score"), F.asc("ord")).limit(max_paths)
+    out = with_position(kept, "rank", ["run_id"], "ord", lead=-F.col("score"), ties=("id",))
+    return out if max_paths is None else out.where(F.col("rank") <= max_paths)
 
 
-def triage_summary(paths: DataFrame, flows=None, cx=None,
-                   threshold: int = K.TRIAGE_THRESHOLD, max_paths: int = K.MAX_PATHS) -> DataFrame:
-    """before / after / skipped counts in one aggregate."""
-    scored = triage_score(dedupe_first(with_path_ids(paths)), flows, cx)
+def triage_summary(paths: DataFrame, flows=None, cx=None, threshold: int = K.TRIAGE_THRESHOLD,
+                   max_paths: int | None = None) -> DataFrame:
+    """Per run: before / after / skipped counts, in one aggregate."""
+    scored = triage_score(unique_paths(paths), flows, cx)
     keep = F.col("score") >= threshold
-    return scored.agg(
-        F.count(F.lit(1)).cast("long").alias("total_before"),
-        F.least(F.count_if(keep), F.lit(max_paths)).cast("long").alias("total_after"),
-        F.count_if(~keep).cast("long").alias("skipped_below_threshold"),
-    )
+    after = F.count_if(keep) if max_paths is None else F.least(F.count_if(keep), F.lit(max_paths))
+    return scored.groupBy("run_id").agg(
+        F.count(F.lit(1)).cast("long").alias("total_before"), after.cast("long").alias("total_after"),
+        F.count_if(~keep).cast("long").alias("skipped_below_threshold"))
 
 
 def score_distribution(scored_kept: DataFrame) -> DataFrame:
@@ -333,7 +351,4 @@ def verify_queue_order(paths: DataFrame) -> DataFrame:
     d, s = F.col("path_decision"), F.coalesce(F.col("score"), F.lit(0))
     rank = (F.when((d == "confirmed") & (s >= 10), 0).when(d == "confirmed", 1)
             .when((d == "full_verify") & (s >= 8), 2).otherwise(3))
-    return paths.withColumn("verify_rank", rank)
-
-
-__all__ = [n for n in dir() if not n.startswith("_")]
+    return paths.withColumn("verify_rank", rank).orderBy("verify_rank", F.desc("score"), "ord")

@@ -36,7 +36,7 @@ it2 AS (SELECT *, list_transform(list_filter(list_transform(regexp_split_to_arra
 
 
 def _kv(key: str) -> str:
-    return f"list_filter(kv, lambda e: e.k = {q(key)} AND e.v <> '')[-1].v"
+    return f"nullif(list_filter(kv, lambda e: e.k = {q(key)})[-1].v, '')"
 
 
 def _items(spark, sf):

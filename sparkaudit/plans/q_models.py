@@ -61,9 +61,8 @@ SELECT repo, path, CAST(n AS INTEGER) AS n FROM (
   SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY path) AS n FROM v_src_files
   WHERE lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.py', '.java', '.js', '.ts', '.go', '.php', '.rb', '.cs')
     AND NOT list_has_any(string_split(path, '/'), ['.git', 'node_modules', '__pycache__', 'vendor', 'dist', 'build', '.tox', 'venv'])) t
-WHERE n <= 200
 """)
 def q_file_inventory(spark, sf):
-    """X42 per-repo file tree (sorted, then the 200-file display cap)."""
+    """X42 per-repo file tree (sorted, with ordinals)."""
     from sparkaudit.sources.corpus import file_inventory
     return file_inventory(I.view(spark, sf, "v_src_files")).select("repo", "path", F.col("n").cast("int"))

@@ -17,7 +17,8 @@ f AS (SELECT 'run_' || CAST(s.ord % 4 AS STRING) AS run_id, s.ord, s.id,
         CASE WHEN s.type = 'semgrep_review' THEN NULL ELSE s.type END AS vuln_type,
         CASE WHEN s.ord % 5 = 0 THEN NULL ELSE s.file END AS file, s.file AS entry_file,
         CASE WHEN s.ord % 3 = 0 THEN NULL ELSE s.line END AS line_start, s.line,
-        CASE WHEN s.ord % 7 = 0 THEN 'FALSE_POSITIVE' ELSE NULL END AS status
+        CASE WHEN s.ord % 7 = 0 THEN 'FALSE_POSITIVE' ELSE NULL END AS status,
+        CASE WHEN s.ord % 4 = 1 THEN 'LOW' ELSE NULL END AS confidence
       FROM s WHERE s.kind = 'sink')
 """
 
@@ -33,7 +34,7 @@ def _findings(spark, sf):
         F.when(o % 5 != 0, F.col("file")).alias("file"), F.col("file").alias("entry_file"),
         F.when(o % 3 != 0, F.col("line")).alias("line_start"), "line",
         F.when(o % 7 == 0, F.lit("FALSE_POSITIVE")).alias("status"),
-        F.lit(None).cast("string").alias("confidence"), F.lit(None).cast("string").alias("cwe"),
+        F.when(o % 4 == 1, F.lit("LOW")).alias("confidence"), F.lit(None).cast("string").alias("cwe"),
         F.lit(None).cast("string").alias("owasp"))
 
 
@@ -42,7 +43,7 @@ SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY ord) AS INTE
   upper(coalesce(severity, 'MEDIUM')) AS severity, coalesce(vuln_type, 'unknown') AS type,
   coalesce(file, entry_file) AS file,
   coalesce(CAST(line_start AS STRING), CAST(line AS STRING), '?') AS line,
-  coalesce(status, 'CONFIRMED') AS status, 'HIGH' AS confidence, 'N/A' AS cwe, 'N/A' AS owasp
+  coalesce(status, 'CONFIRMED') AS status, coalesce(confidence, 'HIGH') AS confidence, 'N/A' AS cwe, 'N/A' AS owasp
 FROM f
 """)
 def q_findings_report_rows(spark, sf):
@@ -60,8 +61,8 @@ def q_list_runs(spark, sf):
 
 @register("finding_completeness", ("v_scan",), _FINDINGS_SQL + """
 SELECT id, array_to_string(list_filter(['title', CASE WHEN severity IS NULL THEN 'severity' END,
-   CASE WHEN vuln_type IS NULL THEN 'vuln_type' END, CASE WHEN file IS NULL THEN 'file' END,
-   CASE WHEN line_start IS NULL THEN 'line_start' END, 'taint_trace', 'poc', 'remediation'],
+   CASE WHEN vuln_type IS NULL THEN 'vuln_type' END, CASE WHEN confidence IS NULL THEN 'confidence' END,
+   CASE WHEN file IS NULL THEN 'file' END, 'taint_trace', 'poc', 'remediation'],
    lambda x: x IS NOT NULL), ',') AS missing_fields
 FROM f
 """)

@@ -16,22 +16,28 @@ TRIAGE_VIEWS = ("v_paths", "v_sensitive", "v_cx")
 _LOW_TEST = [p.lower() for p in K.TEST_PATTERNS_TRIAGE]
 _FILTER_TEST = [p.lower().replace("\\", "/") for p in K.TEST_PATTERNS_FILTER]
 
+# What a record without an id says: its own fields, nulls kept apart.
+_OWN_FIELDS = ("entry_fn entry_file file src_type src_code src_file sink_name sink_type sink_file sink_cat tool detected_by "
+               "query_type call_chain flow_nodes path_decision score triage_score has_flow").split()
+_OWN = "md5(" + " || '|' || ".join(f"coalesce('=' || CAST({c} AS STRING), '')" for c in _OWN_FIELDS) + ")"
+
 SCORED_SQL = f"""
 p AS (
   SELECT *, coalesce(entry_file, file, '') AS ef, coalesce(entry_fn, src_code, '') AS efn,
          coalesce(sink_type, '') AS st, coalesce(sink_name, '') AS sn
   FROM v_paths),
-d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS rn FROM p) t
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, CASE WHEN id IS NULL THEN {_OWN} ELSE 'id:' || id END
+                                                   ORDER BY ord) AS rn FROM p) t
       WHERE rn = 1),
 cxr AS (
-  SELECT d.id, sum(
+  SELECT d.ord, sum(
       CASE WHEN c.file <> '' AND contains(d.ef, c.file) THEN 2 ELSE 0 END
     + CASE WHEN c.sink <> '' AND contains(d.sn, c.sink) THEN 2 ELSE 0 END
     + CASE WHEN c.vuln_type <> '' AND c.vuln_type = d.st THEN 1 ELSE 0 END)
-    OVER (PARTITION BY d.id ORDER BY c.ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rs
+    OVER (PARTITION BY d.ord ORDER BY c.ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rs
   FROM d CROSS JOIN v_cx c),
-cxb AS (SELECT id, coalesce(min(CASE WHEN rs >= 5 THEN rs END), max(rs), 0) AS boost
-        FROM cxr GROUP BY id),
+cxb AS (SELECT ord, coalesce(min(CASE WHEN rs >= 5 THEN rs END), max(rs), 0) AS boost
+        FROM cxr GROUP BY ord),
 parts AS (
   SELECT d.*,
     {first_contained('lower(d.ef)', _LOW_TEST, K.TEST_PATTERNS_TRIAGE)} AS marker,
@@ -46,7 +52,7 @@ parts AS (
                       AND (contains(d.ef, f.entry) OR contains(d.efn, f.entry))) THEN 2 ELSE 0 END AS sf,
     coalesce(cxb.boost, 0) AS cb,
     CASE WHEN d.query_type = 'object' THEN 1 ELSE 0 END AS ob
-  FROM d LEFT JOIN cxb ON d.id = cxb.id),
+  FROM d LEFT JOIN cxb ON d.ord = cxb.ord),
 scored AS (
   SELECT *,
     CASE WHEN marker IS NOT NULL THEN -10 ELSE sev + sg + gx + jc + cs + hs + ep + sf + cb + ob END AS tscore,
@@ -72,40 +78,40 @@ def _scored(spark, sf):
     return paths, flows, cx
 
 
-def _out(df):
-    return df.select("id", "ord", "entry_file", F.col("sink.name").alias("sink_name"),
+def _out(df, *extra):
+    return df.select("run_id", *extra, "id", "ord", "entry_file", F.col("sink.name").alias("sink_name"),
                      F.col("sink.type").alias("sink_type"), F.col("score").cast("int").alias("score"),
                      T.detail_string(F.col("triage_detail")).alias("detail"))
 
 
 @register("triage_rank", TRIAGE_VIEWS, f"""
 , {SCORED_SQL.strip()}
-SELECT id, ord, entry_file, sink_name, sink_type, CAST(tscore AS INTEGER) AS score, detail
+SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY tscore DESC, ord ASC) AS rank,
+       id, ord, entry_file, sink_name, sink_type, CAST(tscore AS INTEGER) AS score, detail
 FROM scored WHERE tscore >= {K.TRIAGE_THRESHOLD}
-ORDER BY tscore DESC, ord ASC LIMIT {K.MAX_PATHS}
 """)
 def q_triage_rank(spark, sf):
-    """W2 — headline: the 200 paths to review first."""
+    """W2 — headline: every path worth a review, ranked within its run."""
     p, fl, cx = _scored(spark, sf)
-    return _out(T.triage_rank(p, fl, cx))
+    return _out(T.triage_rank(p, fl, cx), "rank")
 
 
 @register("triage_score", TRIAGE_VIEWS, f"""
 , {SCORED_SQL.strip()}
-SELECT id, ord, entry_file, sink_name, sink_type, CAST(tscore AS INTEGER) AS score, detail FROM scored
+SELECT run_id, id, ord, entry_file, sink_name, sink_type, CAST(tscore AS INTEGER) AS score, detail FROM scored
 """)
 def q_triage_score(spark, sf):
     """W1 with J1/J2 over every de-duplicated path."""
     p, fl, cx = _scored(spark, sf)
-    return _out(T.triage_score(T.dedupe_first(p), fl, cx))
+    return _out(T.triage_score(T.unique_paths(p), fl, cx))
 
 
 @register("triage_summary", TRIAGE_VIEWS, f"""
 , {SCORED_SQL.strip()}
-SELECT CAST(count(*) AS BIGINT) AS total_before,
-       CAST(least(count(*) FILTER (WHERE tscore >= {K.TRIAGE_THRESHOLD}), {K.MAX_PATHS}) AS BIGINT) AS total_after,
+SELECT run_id, CAST(count(*) AS BIGINT) AS total_before,
+       CAST(count(*) FILTER (WHERE tscore >= {K.TRIAGE_THRESHOLD}) AS BIGINT) AS total_after,
        CAST(count(*) FILTER (WHERE tscore < {K.TRIAGE_THRESHOLD}) AS BIGINT) AS skipped_below_threshold
-FROM scored
+FROM scored GROUP BY run_id
 """)
 def q_triage_summary(spark, sf):
     p, fl, cx = _scored(spark, sf)
@@ -116,7 +122,7 @@ def q_triage_summary(spark, sf):
 , {SCORED_SQL.strip()},
 k AS (SELECT * FROM scored WHERE tscore >= {K.TRIAGE_THRESHOLD}),
 b AS (SELECT '>=10' AS bucket UNION ALL SELECT '8-9' UNION ALL SELECT '6-7')
-SELECT b.bucket, CAST(count(k.id) AS BIGINT) AS n
+SELECT b.bucket, CAST(count(k.ord) AS BIGINT) AS n
 FROM b LEFT JOIN k ON (CASE WHEN k.tscore >= 10 THEN '>=10' WHEN k.tscore >= 8 THEN '8-9' ELSE '6-7' END) = b.bucket
 GROUP BY b.bucket
 """)
@@ -135,7 +141,7 @@ WHERE r <= 10
 def q_top_paths(spark, sf):
     """Top 10 scored paths per run (WindowGroupLimit before the shuffle)."""
     p, fl, cx = _scored(spark, sf)
-    s = T.triage_score(T.dedupe_first(p), fl, cx)
+    s = T.triage_score(T.unique_paths(p), fl, cx)
     return T.top_paths(s, 10, per="run_id").select(
         "run_id", "id", "ord", F.col("score").cast("int").alias("score"),
         T.detail_string(F.col("triage_detail")).alias("detail"))
@@ -196,16 +202,23 @@ def q_fp_filter_summary(spark, sf):
     return T.fp_filter_summary(T.fp_decision(I.paths(spark, sf)))
 
 
-@register("skip_reason_top5", ("v_paths",), f"""
+_REASONS = f"""
 , {_fp_sql().strip()}
-SELECT reason, n, first_ord FROM (
-  SELECT substring(fp_reason, 1, 30) AS reason, CAST(count(*) AS BIGINT) AS n, min(ord) AS first_ord
-  FROM fp WHERE fp_decision = 'skip' GROUP BY 1) t
-ORDER BY n DESC, first_ord ASC LIMIT 5
-""")
+SELECT fp_reason AS reason, CAST(count(*) AS BIGINT) AS n, min(ord) AS first_ord
+FROM fp WHERE fp_decision = 'skip' GROUP BY 1
+"""
+
+
+@register("skip_reasons", ("v_paths",), _REASONS)
+def q_skip_reasons(spark, sf):
+    """Every skip reason."""
+    return T.skip_reasons(T.fp_decision(I.paths(spark, sf)))
+
+
+@register("skip_reason_top5", ("v_paths",), _REASONS + "ORDER BY n DESC, first_ord ASC LIMIT 5")
 def q_skip_reason_top5(spark, sf):
-    """A6."""
-    return T.skip_reason_top5(T.fp_decision(I.paths(spark, sf)))
+    """The report's five most frequent reasons."""
+    return T.skip_reasons(T.fp_decision(I.paths(spark, sf)), 5)
 
 
 # --- path decision ------------------------------------------------------------
@@ -261,6 +274,6 @@ FROM scored
 def q_verify_queue_order(spark, sf):
     """F12 over scored paths."""
     p, fl, cx = _scored(spark, sf)
-    s = T.triage_score(T.dedupe_first(p), fl, cx)
+    s = T.triage_score(T.unique_paths(p), fl, cx)
     return T.verify_queue_order(s).select("id", "ord", F.col("score").cast("int").alias("score"),
                                           "path_decision", "verify_rank")

@@ -23,7 +23,8 @@ V_PATHS = """
 SELECT
   'run_' || CAST(l_orderkey % 4 AS STRING) AS run_id,
   (l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS ord,
-  CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS id,
+  CASE WHEN l_orderkey % 23 = 7 THEN NULL
+       ELSE CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) END AS id,
   CASE l_partkey % 4 WHEN 0 THEN 'Order' WHEN 1 THEN 'Payment' WHEN 2 THEN 'User' ELSE 'Report' END
     || 'Controller.'
     || CASE l_suppkey % 3 WHEN 0 THEN 'store' WHEN 1 THEN 'show' ELSE 'update' END AS entry_fn,

@@ -10,7 +10,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import SparkConf
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings applied only when the session does not define them already.
 _LOCAL_DEFAULTS = {
@@ -20,6 +21,7 @@ _LOCAL_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Generated methods above the JIT's 8000-byte limit run interpreted and
     # are several times slower than the non-fused fallback: fall back early.
@@ -32,36 +34,55 @@ _LOCAL_DEFAULTS = {
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "sparkaudit") -> SparkSession:
-    """Return the active session, or build a local one for tests/bench."""
+    """The active session, or one built from the submitted configuration.
+
+    Defaults fill in only what the submitted configuration leaves unset; the
+    number of shuffle partitions and the memory are the caller's or the
+    cluster's choice.  Only a local session gets a checkpoint folder of its own.
+    """
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
-    builder = SparkSession.builder.appName(app_name)
-    builder = builder.master(master or os.environ.get("SPARKAUDIT_MASTER", "local[*]"))
-    for k, v in _LOCAL_DEFAULTS.items():
-        builder = builder.config(k, v)
-    builder = builder.config("spark.sql.shuffle.partitions",
-                             str(shuffle_partitions or 8))
-    builder = builder.config("spark.driver.memory",
-                             os.environ.get("SPARKAUDIT_DRIVER_MEMORY", "8g"))
+    given = SparkConf()  # what spark-submit and the environment set
+    master = master or given.get("spark.master", None) or os.environ.get("SPARKAUDIT_MASTER", "local[*]")
+    builder = SparkSession.builder.appName(app_name).master(master)
+    wanted = dict(_LOCAL_DEFAULTS)
+    if master.startswith("local["):
+        wanted["spark.driver.memory"] = os.environ.get("SPARKAUDIT_DRIVER_MEMORY", "8g")
+        wanted["spark.checkpoint.dir"] = os.path.join(tempfile.gettempdir(), "sparkaudit-checkpoints")
+        wanted["spark.sql.shuffle.partitions"] = "8"
+    for k, v in wanted.items():
+        if not given.contains(k):
+            builder = builder.config(k, v)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins.  Only when it is unset (local tests) do
-    we create a private scratch folder.
+    Unset, a local session gets a folder of its own; any other one is refused,
+    as executors would each write to their own disks.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(
-            spark.sparkContext, "getCheckpointDir") else None
-    if not d:
-        d = tempfile.mkdtemp(prefix="sparkaudit-ckpt-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="sparkaudit-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder.
+
+    Spark removes a checkpoint that nothing refers to any more if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -7,9 +7,13 @@ each other, and reads prune to the wanted partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkaudit import catalogs as K
+from sparkaudit.operators.ranking import with_position
+
 
 def write_run_artifact(df: DataFrame, base: str, run_id: str, phase: str, name: str) -> None:
     """K1: save a dataset under run/phase/name (overwrite that partition only)."""
@@ -24,7 +28,9 @@ def read_run_artifact(spark: SparkSession, base: str, run_id: str, phase: str, n
     """One artifact of a run/phase; missing or malformed -> empty."""
     try:
         t = spark.read.parquet(base)
-    except Exception:  # noqa: BLE001 - absent table means "no artifact"
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # only an absent table means "no artifact"
+            raise
         return spark.createDataFrame([], schema)
     rec = t.where((F.col("run_id") == run_id) & (F.col("phase") == phase) & (F.col("artifact") == name))
     parsed = rec.select(F.from_json("record", schema).alias("r")).where(F.col("r").isNotNull())
@@ -45,12 +51,11 @@ def run_timestamp(run_id: Column) -> Column:
 def findings_report_rows(findings: DataFrame, order_col: str = "ord") -> DataFrame:
     """K3: report rows with the writer's defaults and a 1-based ordinal.
 
-    The ordinal is a global order over all findings of a run (window per
-    run), which is the report's feature."""
+    The ordinal follows ``order_col`` within a run; a run of any size is
+    numbered in slices."""
     line = F.coalesce(F.col("line_start").cast("string"), F.col("line").cast("string"), F.lit("?"))
-    w = Window.partitionBy("run_id").orderBy(order_col)
-    return findings.select(
-        "run_id", F.row_number().over(w).alias("n"),
+    return with_position(findings, "n", ["run_id"], order_col).select(
+        "run_id", F.col("n").cast("int").alias("n"),
         F.upper(F.coalesce("severity", F.lit("MEDIUM"))).alias("severity"),
         F.coalesce("vuln_type", F.lit("unknown")).alias("type"),
         F.coalesce("file", "entry_file").alias("file"), line.alias("line"),
@@ -59,15 +64,11 @@ def findings_report_rows(findings: DataFrame, order_col: str = "ord") -> DataFra
         F.coalesce("cwe", F.lit("N/A")).alias("cwe"), F.coalesce("owasp", F.lit("N/A")).alias("owasp"))
 
 
-REQUIRED_FINDING_FIELDS = ["title", "severity", "vuln_type", "file", "line_start", "taint_trace", "poc",
-                           "remediation"]
-
-
 def finding_completeness(findings: DataFrame) -> DataFrame:
     """list of missing required fields per finding."""
-    present = [c for c in REQUIRED_FINDING_FIELDS if c in findings.columns]
+    present = [c for c in K.REQUIRED_FINDING_FIELDS if c in findings.columns]
     missing = F.array_compact(F.array(*[
-        F.when(F.col(c).isNull(), F.lit(c)) if c in present else F.lit(c) for c in REQUIRED_FINDING_FIELDS]))
+        F.when(F.col(c).isNull(), F.lit(c)) if c in present else F.lit(c) for c in K.REQUIRED_FINDING_FIELDS]))
     return findings.withColumn("missing_fields", missing)
 
 

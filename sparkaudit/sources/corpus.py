@@ -23,12 +23,14 @@ def read_corpus(spark: SparkSession, root: str, glob: str | None = None) -> Data
                      F.decode("content", "UTF-8").alias("content"))
 
 
-def file_inventory(files: DataFrame, cap: int = 200) -> DataFrame:
-    """Sorted relative source paths per repo, then capped (order first,
-    then cap; the per-repo limit runs as a partial WindowGroupLimit)."""
+def file_inventory(files: DataFrame, cap: int | None = None) -> DataFrame:
+    """Sorted relative source paths per repo with their ordinal ``n``.
+
+    ``cap`` keeps the first paths of each repo (a display feature, off by
+    default; the per-repo limit runs as a partial WindowGroupLimit)."""
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     parts = F.split("path", "/")
     keep = files.where(ext.isin(*TREE_EXTS) & ~F.arrays_overlap(parts, F.array(*[F.lit(d) for d in TREE_SKIP_DIRS])))
     w = Window.partitionBy("repo").orderBy("path")
-    return (keep.select("repo", "path").withColumn("n", F.row_number().over(w))
-            .where(F.col("n") <= cap))
+    out = keep.select("repo", "path").withColumn("n", F.row_number().over(w))
+    return out if cap is None else out.where(F.col("n") <= cap)

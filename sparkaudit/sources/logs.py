@@ -24,28 +24,33 @@ def read_call_log(spark: SparkSession, path: str, run_id: str | None = None) ->
     return df.where(F.col("run_id") == run_id) if run_id else df
 
 
-def redact_args(args_json: Column) -> Column:
+def redact_args(args_json: Column, max_text: int = K.MAX_ARG_LEN, max_cypher: int = K.MAX_CYPHER_LEN) -> Column:
     """Parse an argument object and summarise each value: sensitive keys
-    redacted, ``cypher`` cut at 120, long strings cut at 200, lists and
-    objects replaced by their sizes."""
+    redacted, ``cypher`` and other long strings cut, lists and objects
+    replaced by their sizes.  The JSON type decides: a string that starts with
+    a bracket stays a string."""
     m = F.from_json(args_json, "map<string,string>")
+    typed = F.try_parse_json(args_json)
 
     def summarise(k, v):
         kl = F.lower(k)
         sens = F.lit(False)
         for s in K.SENSITIVE_ARG_KEYS:
             sens = sens | kl.contains(s)
-        is_list = v.startswith("[")
-        is_obj = v.startswith("{")
+        # a string value is quoted in the variant's own text; lists and objects are not
+        raw = F.try_variant_get(typed, "$", "map<string,variant>")[k]
+        kind = F.schema_of_variant(raw)
+        is_list = kind.startswith("ARRAY")
+        is_obj = kind.startswith("OBJECT")
         n_list = F.json_array_length(v)
         n_keys = F.size(F.json_object_keys(v))
         return (F.when(sens, F.lit(K.REDACTED))
-                .when(k == "cypher", F.when(F.length(v) > K.MAX_CYPHER_LEN,
-                                            F.concat(F.substring(v, 1, K.MAX_CYPHER_LEN), F.lit("...")))
+                .when(k == "cypher", F.when(F.length(v) > max_cypher,
+                                            F.concat(F.substring(v, 1, max_cypher), F.lit("...")))
                       .otherwise(v))
                 .when(is_list, F.concat(F.lit("["), n_list.cast("string"), F.lit(" items]")))
                 .when(is_obj, F.concat(F.lit("{dict, "), n_keys.cast("string"), F.lit(" keys}")))
-                .when(F.length(v) > K.MAX_ARG_LEN, F.concat(F.substring(v, 1, K.MAX_ARG_LEN), F.lit("...")))
+                .when(F.length(v) > max_text, F.concat(F.substring(v, 1, max_text), F.lit("...")))
                 .otherwise(v))
     return F.transform_values(m, summarise)
 

@@ -32,4 +32,4 @@ def test_query_matches_oracle(spark, duck, sf_small, name):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 0
-    assert df.columns == ["id", "ord", "entry_file", "sink_name", "sink_type", "score", "detail"]
+    assert df.columns == ["run_id", "rank", "id", "ord", "entry_file", "sink_name", "sink_type", "score", "detail"]
