@@ -1,13 +1,15 @@
 """Endpoint extraction from a source-file corpus.
 
-One corpus job over many repositories.  Every stage is a column expression
-on one file row (its ``lines`` array) or one route-line row, so extraction is
-a narrow transformation: no shuffle until the final de-duplication by id.
+One corpus job over many repositories.  Extraction is narrow: no shuffle until
+the final de-duplication by id.
 
     files (repo, path, content)
-      -> route lines: posexplode(lines) filtered by one combined regex
-      -> per-language endpoint structs (array functions over line windows)
+      -> files that hold a route (one combined regex), written once
+      -> per language: numbers of its route lines, then one row per route line
+      -> endpoint structs (array functions over line windows of that language)
       -> explode -> id, auth_required -> dedupe by id (first by file, line)
+
+Each language is a projection of its own, which keeps generated code small.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sparkaudit import catalogs as K
 from sparkaudit.functions.core import map_lookup, nonempty
+from sparkaudit.session import checkpointed
 
 LINE_SPLIT = r"\r\n|\n|\r"
 PARAM_T = "array<struct<name:string,type:string,location:string>>"
@@ -77,12 +80,20 @@ def local_auth_tags(lines: Column, n: Column, variant: str = "default") -> Colum
 
 
 # --- X18 class auth tags ------------------------------------------------------
+def class_lines(lines: Column) -> tuple[Column, Column]:
+    """Numbers of the controller lines and of all class lines of a file (computed once per file)."""
+    numbered = F.transform(lines, lambda l, i: F.struct((i + 1).alias("i"), l.alias("l")))
+
+    def where(test):
+        return F.transform(F.filter(numbered, lambda x: test(x["l"])), lambda x: x["i"])
+    return (where(lambda l: l.rlike(K.SPRING_CLASS_RE) | l.rlike(K.NESTJS_CONTROLLER_RE)),
+            where(lambda l: l.rlike(K.CLASS_KW_RE)))
+
+
 def class_auth_tags(lines: Column, n: Column) -> Column:
-    idx = F.array_max(F.filter(
-        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-        lambda i: (i <= n - 1) & (
-            _at(lines, i).rlike(K.SPRING_CLASS_RE) | _at(lines, i).rlike(K.NESTJS_CONTROLLER_RE)
-            | (_at(lines, i).rlike(K.CLASS_KW_RE) & (i < n - 1)))))
+    """Tags over the nearest class above line ``n`` (needs ``controllers`` and ``classes`` of the file)."""
+    idx = F.greatest(F.array_max(F.filter(F.col("controllers"), lambda i: i <= n - 1)),
+                     F.array_max(F.filter(F.col("classes"), lambda i: i < n - 1)))
     return F.when(idx.isNull(), F.array().cast(STR_ARR)).otherwise(
         F.array_distinct(F.flatten(F.transform(window(lines, idx - 10, idx),
                                                lambda l: F.regexp_extract_all(l, F.lit(K.AUTH_ANN_RE), 0)))))
@@ -286,36 +297,48 @@ ROUTE_ANY = "|".join(f"(?:{p})" for p in [
     K.PHP_ROUTE_RE, K.RAILS_ROUTE_RE, K.CS_ROUTE_RE, K.CS_WEBMETHOD_RE])
 
 
+def _route_lines(files: DataFrame, exts: list[str], regex: str, trimmed: bool = False) -> DataFrame:
+    """One row per line that matches: the numbers of such lines are kept first, then exploded."""
+    f = files.where(F.col("ext").isin(*exts))
+    hits = F.filter(F.transform("lines", lambda l, i: F.struct((i + 1).cast("int").alias("n"), l.alias("line"))),
+                    lambda x: (F.trim(x["line"]) if trimmed else x["line"]).rlike(regex))
+    return f.withColumn("_h", F.explode(hits)).select("*", "_h.n", "_h.line").drop("_h")
+
+
 def endpoints_raw(files: DataFrame, stack: str = "python") -> DataFrame:
-    """All endpoint rows before de-duplication (narrow)."""
-    f = api_source_files(files).where(F.col("content").rlike(ROUTE_ANY))
-    f = f.select("repo", "path", "ext", "content",
-                 F.split("content", LINE_SPLIT).alias("lines"))
+    """All endpoint rows before de-duplication.  The corpus is read once; files with a route are
+    written to the shared checkpoint folder and read by each language."""
+    f = api_source_files(files).where(F.col("content").rlike(ROUTE_ANY)).select(
+        "repo", "path", "ext", "content", F.split("content", LINE_SPLIT).alias("lines"))
     # A trailing newline yields one empty last element that splitlines() drops.
-    f = f.withColumn("lines", F.when(F.col("content").rlike(r"(\r\n|\n|\r)$"),
-                                     F.slice("lines", 1, F.size("lines") - 1)).otherwise(F.col("lines")))
-    f = (f.withColumn("is_wm", (F.col("ext") == ".cs") & F.col("content").rlike(K.CS_WEBMETHOD_RE))
-         .withColumn("cs_base", F.regexp_replace(F.coalesce(F.try_element_at(F.filter(
-             F.transform(F.slice("lines", 1, 50), lambda l: F.regexp_extract(l, K.CS_BASE_ROUTE_RE, 1)),
-             lambda x: x != ""), F.lit(1)), F.lit("")), "^/+", "")))
-    rows = f.select("repo", "path", "ext", "content", "lines", "is_wm", "cs_base",
-                    F.posexplode("lines").alias("pos", "line")).where(F.col("line").rlike(ROUTE_ANY))
-    lines, line, content, ext = F.col("lines"), F.col("line"), F.col("content"), F.col("ext")
-    n = (F.col("pos") + 1).cast("int")
-    empty = F.array().cast(EP_T)
-    eps = (F.when(ext == ".py", F.when(F.trim(line).rlike(K.PY_DECORATOR_RE), _python(lines, n, line, F.lit(stack))))
-           .when(ext == ".java", F.when(line.rlike(K.SPRING_MAPPING_RE), _java(lines, n, line, content)))
-           .when(ext.isin(".js", ".ts", ".cjs", ".mjs"), F.concat(
-               F.when(line.rlike(K.NESTJS_RE), _nest(lines, n, line)).otherwise(empty),
-               F.when(line.rlike(K.JS_ROUTE_RE), _express(lines, n, line)).otherwise(empty)))
-           .when(ext == ".go", F.when(line.rlike(K.GO_ROUTE_RE), _go(lines, n, line)))
-           .when(ext == ".php", F.when(line.rlike(K.PHP_ROUTE_RE), _php(lines, n, line)))
-           .when(ext == ".rb", F.when(line.rlike(K.RAILS_ROUTE_RE), _ruby(lines, n, line, content)))
-           .when((ext == ".cs") & F.col("is_wm"),
-                 F.when(line.rlike(K.CS_WEBMETHOD_RE), _webmethod(lines, n)))
-           .when(ext == ".cs", F.when(line.rlike(K.CS_ROUTE_RE), _csharp(lines, n, line, F.col("cs_base")))))
-    ex = rows.select("repo", F.col("path").alias("file"), F.explode(F.coalesce(eps, empty)).alias("e"))
-    return ex.select("repo", "file", "e.*")
+    f = checkpointed(f.withColumn("lines", F.when(
+        F.col("content").rlike(r"(\r\n|\n|\r)$"), F.slice("lines", 1, F.size("lines") - 1)).otherwise(F.col("lines"))))
+    lines, line, content, n = F.col("lines"), F.col("line"), F.col("content"), F.col("n")
+    controllers, classes = class_lines(lines)
+    typed = f.withColumns({"controllers": controllers, "classes": classes})
+    web = F.col("content").rlike(K.CS_WEBMETHOD_RE)
+    base = F.regexp_replace(F.coalesce(F.try_element_at(F.filter(
+        F.transform(F.slice("lines", 1, 50), lambda l: F.regexp_extract(l, K.CS_BASE_ROUTE_RE, 1)),
+        lambda x: x != ""), F.lit(1)), F.lit("")), "^/+", "")
+    js = K.LANG_EXTS["js"] + K.LANG_EXTS["ts"]
+    parts = [
+        (_route_lines(f, [".py"], K.PY_DECORATOR_RE, trimmed=True), _python(lines, n, line, F.lit(stack))),
+        (_route_lines(typed, [".java"], K.SPRING_MAPPING_RE), _java(lines, n, line, content)),
+        (_route_lines(typed, js, K.NESTJS_RE), _nest(lines, n, line)),
+        (_route_lines(f, js, K.JS_ROUTE_RE), _express(lines, n, line)),
+        (_route_lines(f, [".go"], K.GO_ROUTE_RE), _go(lines, n, line)),
+        (_route_lines(f, [".php"], K.PHP_ROUTE_RE), _php(lines, n, line)),
+        (_route_lines(f, [".rb"], K.RAILS_ROUTE_RE), _ruby(lines, n, line, content)),
+        (_route_lines(f.where(web), [".cs"], K.CS_WEBMETHOD_RE), _webmethod(lines, n)),
+        (_route_lines(f.where(~web).withColumn("cs_base", base), [".cs"], K.CS_ROUTE_RE),
+         _csharp(lines, n, line, F.col("cs_base"))),
+    ]
+    out = None
+    for rows, endpoints in parts:
+        found = rows.select("repo", F.col("path").alias("file"), F.explode(endpoints.cast(EP_T)).alias("e")).select(
+            "repo", "file", "e.*")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def auth_required(tags: Column) -> Column:
@@ -326,13 +349,12 @@ def auth_required(tags: Column) -> Column:
 
 
 def endpoint_inventory(files: DataFrame, stack: str = "python") -> DataFrame:
-    """Union of all frameworks, ids, tri-state auth, dedupe by id."""
+    """Union of all frameworks, ids, tri-state auth, dedupe by id; written once."""
     raw = endpoints_raw(files, stack)
     eid = F.substring(F.md5(F.concat_ws(":", "method", "path", "file", F.col("line").cast("string"))), 1, 12)
     out = (raw.withColumn("id", eid).withColumn("auth_required", auth_required(F.col("auth_tags"))))
     w = Window.partitionBy("repo", "id").orderBy("file", "line", "sub")
-    return (out.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-            .drop("_rn", "sub"))
+    return checkpointed(out.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "sub"))
 
 
 # --- F9, F10 ------------------------------------------------------------------------------
