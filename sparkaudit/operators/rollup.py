@@ -66,20 +66,25 @@ def name_registry(regs: DataFrame) -> DataFrame:
         F.sum("score").cast("long").alias("score"),
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "source"))), lambda s: s["source"]).alias("sources"),
         F.min("ord").alias("ord"))
-    ordered = lambda c: F.array_distinct(F.transform(
-        F.array_sort(F.collect_list(F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.struct("ord", c)))),
-        lambda s: s[c]))
-    extras = r.groupBy("name").agg(ordered("vuln_type").alias("vuln_types"),
-                                   ordered("tainted_param").alias("tainted_params"))
-    return by_src.join(extras, "name")
+    # distinct values first, so what is gathered per name is bounded by them and not by the registrations
+    for value, listed in (("vuln_type", "vuln_types"), ("tainted_param", "tainted_params")):
+        by_src = by_src.join(_ordered_values(r, "name", value, listed), "name", "left")
+    none = F.array().cast("array<string>")
+    return by_src.withColumns({c: F.coalesce(c, none) for c in ("vuln_types", "tainted_params")})
+
+
+def _ordered_values(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Per key the distinct non-empty values in order of their first ``ord``."""
+    first = rows.where(F.col(value) != "").groupBy(key, value).agg(F.min("ord").alias("ord"))
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", value))),
+                                              lambda s: s[value]).alias(name))
 
 
 def prioritize(reg: DataFrame) -> DataFrame:
-    """A2: HIGH >= 5, MEDIUM >= 3, else LOW; ``rank_key`` orders score desc,
-    first registration first."""
+    """A2: HIGH >= 5, MEDIUM >= 3, else LOW; by score, first registration first."""
     s = F.col("score")
     return reg.withColumn("priority", F.when(s >= K.PRIORITY_HIGH, "HIGH")
-                          .when(s >= K.PRIORITY_MEDIUM, "MEDIUM").otherwise("LOW"))
+                          .when(s >= K.PRIORITY_MEDIUM, "MEDIUM").otherwise("LOW")).orderBy(F.desc("score"), "ord")
 
 
 def ordered_distinct_union(items: DataFrame, cap: int | None = None) -> DataFrame:
@@ -92,62 +97,61 @@ def ordered_distinct_union(items: DataFrame, cap: int | None = None) -> DataFram
 
 
 # --- A3 flow domains (with J3 sink hints, J4 taint by handler) ------------------------
+def domain_endpoints(eps: DataFrame) -> DataFrame:
+    """The endpoints of each domain, one row each (a domain may have very many)."""
+    return eps.withColumn("domain", domain_from_path(F.col("path")))
+
+
 def flow_domains(eps: DataFrame, sinks: DataFrame | None = None,
                  fn_params: DataFrame | None = None) -> DataFrame:
     """A3.  eps: endpoint records (path, params, handler, auth_tags, file,
-    line); sinks: (file, name) scanner sinks; fn_params: (function, param)."""
-    e = eps.withColumn("domain", domain_from_path(F.col("path")))
-    ep_ord = F.struct("file", "line", "method")
-    pex = e.select("domain", ep_ord.alias("o"), F.posexplode("params").alias("pi", "p"))
-    pex = pex.where(F.col("p.name").isNotNull() & (F.col("p.name") != ""))
-    firsts = pex.groupBy("domain", F.col("p.name").alias("pname")).agg(
-        F.min(F.struct("o", "pi")).alias("first"),
-        F.max((F.col("p.location") == "path").cast("int")).alias("in_path"))
-    pagg = firsts.groupBy("domain").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("first", "pname"))), lambda s: s["pname"]).alias("param_names"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("in_path") == 1, F.struct("first", "pname")))),
-                    lambda s: s["pname"]).alias("path_params_all"))
+    line); sinks: (file, name) scanner sinks; fn_params: (function, param).
+
+    Distinct (domain, parameter) and (domain, handler) pairs are formed first,
+    so the lists of a domain are bounded by its names.  Result in review order;
+    ``domain_endpoints`` has the single endpoints.
+    """
+    none = F.array().cast("array<string>")
+    e = domain_endpoints(eps).withColumn("ord", F.struct("file", "line", "method"))
     base = e.groupBy("domain").agg(
         F.count(F.lit(1)).cast("long").alias("endpoint_count"),
-        F.max((F.size("auth_tags") == 0).cast("int")).cast("boolean").alias("has_unauth_ep"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("handler") != "", F.struct(ep_ord.alias("o"), "handler")))),
-                    lambda s: s["handler"]).alias("handlers_all"))
-    d = base.join(pagg, "domain", "left")
-    d = (d.withColumn("param_names", F.coalesce("param_names", F.array().cast("array<string>")))
-         .withColumn("id_params", F.filter("param_names", lambda p: p.rlike(K.ID_PARAM_RE)))
-         .withColumn("path_id_params", F.filter(F.coalesce("path_params_all", F.array().cast("array<string>")),
-                                                lambda p: p.rlike(K.ID_PARAM_RE)))
-         .withColumn("handler_names", F.array_distinct("handlers_all"))
-         .drop("path_params_all", "handlers_all"))
-    # Sink names whose file contains the domain (case-folded).
+        F.max((F.size("auth_tags") == 0).cast("int")).cast("boolean").alias("has_unauth_ep"))
+    named = e.select("domain", "ord", F.posexplode("params").alias("pi", "p")).select(
+        "domain", F.struct("ord", "pi").alias("ord"), F.col("p.name").alias("pname"), F.col("p.location").alias("location"))
+    lists = [_ordered_values(named, "domain", "pname", "param_names"),
+             _ordered_values(named.where("location = 'path'"), "domain", "pname", "path_names"),
+             _ordered_values(e, "domain", "handler", "handler_names")]
+    # Sink names whose file contains the domain (case-folded)
     if sinks is not None:
-        sf = sinks.select(F.lower("file").alias("lfile"), "name").distinct()
-        doms = d.select("domain")
-        hits = contains_join(sf, doms, "lfile", "domain").groupBy("domain").agg(
-            F.array_sort(F.collect_set("name")).alias("sink_hints"))
-        d = d.join(hits, "domain", "left")
-    else:
-        d = d.withColumn("sink_hints", F.lit(None).cast("array<string>"))
-    d = d.withColumn("sink_hints", F.coalesce("sink_hints", F.array().cast("array<string>")))
-    # Handlers with declared tainted params.
+        folded = sinks.select(F.lower("file").alias("lfile"), "name").distinct()
+        lists.append(contains_join(folded, base.select("domain"), "lfile", "domain").groupBy("domain").agg(
+            F.array_sort(F.collect_set("name")).alias("sink_hints")))
+    # Handlers with declared tainted params
     if fn_params is not None:
-        hx = d.select("domain", F.explode("handler_names").alias("function"))
-        ts = hx.join(fn_params.select("function", "param"), "function").groupBy("domain").agg(
-            F.count_distinct("function").alias("taint_handlers"))
-        d = d.join(ts, "domain", "left")
-    else:
-        d = d.withColumn("taint_handlers", F.lit(None).cast("long"))
-    d = d.withColumn("taint_handlers", F.coalesce("taint_handlers", F.lit(0)).cast("long"))
+        handlers = e.where("handler <> ''").select("domain", F.col("handler").alias("function")).distinct()
+        declared = fn_params.groupBy("function").agg(F.array_sort(F.collect_set("param")).alias("params"))
+        lists.append(handlers.join(declared, "function").groupBy("domain").agg(F.array_sort(F.collect_list(
+            F.struct(F.col("function").alias("handler"), F.col("params").alias("tainted_params")))).alias("taint_signals")))
+    d = base
+    for part in lists:
+        d = d.join(part, "domain", "left")
+    for name, kind in (("sink_hints", "array<string>"),
+                       ("taint_signals", "array<struct<handler:string,tainted_params:array<string>>>")):
+        d = d.withColumn(name, F.coalesce(F.col(name) if name in d.columns else F.lit(None).cast(kind),
+                                          F.array().cast(kind)))
+    d = d.withColumns({c: F.coalesce(c, none) for c in ("param_names", "path_names", "handler_names")})
+    d = (d.withColumn("id_params", F.filter("param_names", lambda p: p.rlike(K.ID_PARAM_RE)))
+         .withColumn("path_id_params", F.filter("path_names", lambda p: p.rlike(K.ID_PARAM_RE))).drop("path_names"))
     risk = F.array_compact(F.array(
         F.when(F.size("path_id_params") > 0, F.lit("path_id_params")),
         F.when((F.size("id_params") > 0) & (F.size("sink_hints") > 0), F.lit("id_param_with_sink")),
         F.when(F.col("has_unauth_ep"), F.lit("unauthenticated_endpoint")),
-        F.when(F.col("taint_handlers") > 0, F.lit("taint_param_declared"))))
+        F.when(F.size("taint_signals") > 0, F.lit("taint_param_declared"))))
     stems = F.filter(F.transform("id_params", param_stem),
                      lambda s: (s != "") & (s != F.col("domain")) & (F.length(s) > 2))
-    topics = F.array_distinct(F.concat(
-        F.when(F.col("domain") != "unknown", F.array("domain")).otherwise(F.array().cast("array<string>")), stems))
-    return d.withColumn("risk_signals", risk).withColumn("topic_keywords", topics)
+    topics = F.array_distinct(F.concat(F.when(F.col("domain") != "unknown", F.array("domain")).otherwise(none), stems))
+    return d.withColumn("risk_signals", risk).withColumn("topic_keywords", topics).orderBy(
+        F.desc(F.size("risk_signals")), F.desc(F.size("sink_hints")), F.desc("endpoint_count"), "domain")
 
 
 def strategy_stats(domains: DataFrame, entries: DataFrame, sinks: DataFrame,

