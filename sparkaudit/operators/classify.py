@@ -144,18 +144,20 @@ def merge_sink_discoveries(disc: DataFrame) -> DataFrame:
     """Key lower(name)+file; highest confidence wins, ties -> earliest
     (``ord`` = list order then position); detected_by = union.
 
-    One hash aggregation on the key (partial aggregation before the shuffle).
+    The winner is one hash aggregation on the key; the union gathers distinct
+    (key, detector) pairs only.
     """
     rank = map_lookup(F.coalesce(F.col("confidence"), F.lit("LOW")), K.CONFIDENCE_RANK, 1)
     key = F.concat(F.lower(F.coalesce(F.col("name"), F.lit(""))), F.lit("::"),
                    F.coalesce(F.col("file"), F.lit("")))
     payload = F.struct(*[F.col(c) for c in disc.columns if c not in ("detected_by",)])
-    g = (disc.withColumn("_key", key)
-         .groupBy("_key")
-         .agg(F.max_by(payload, F.struct(rank.alias("r"), (-F.col("ord")).alias("o"))).alias("w"),
-              F.array_distinct(F.flatten(F.collect_list(
-                  F.coalesce(F.col("detected_by"), F.array().cast("array<string>"))))).alias("detected_by")))
-    return g.select(F.col("_key").alias("key"), "w.*", "detected_by")
+    keyed = disc.withColumn("_key", key)
+    best = keyed.groupBy("_key").agg(
+        F.max_by(payload, F.struct(rank.alias("r"), (-F.col("ord")).alias("o"))).alias("w"))
+    by = (keyed.select("_key", F.explode("detected_by").alias("by")).distinct()
+          .groupBy("_key").agg(F.array_sort(F.collect_list("by")).alias("detected_by")))
+    return best.join(by, "_key", "left").select(
+        F.col("_key").alias("key"), "w.*", F.coalesce("detected_by", F.array().cast("array<string>")).alias("detected_by"))
 
 
 # --- findings (A7, W7, C12) -------------------------------------------------------

@@ -8,62 +8,64 @@ state is never an all-pairs closure: it is bounded by (#start keys x
 #reachable nodes).  Start keys are *names* (the lists are name lists), so
 thousands of start nodes sharing a name collapse into one key.
 
-Lineage is cut after every level with ``checkpoint()`` (reliable, in the
-cluster's ``spark.checkpoint.dir``), which also makes the per-level
-emptiness test cheap and lets a lost executor resume from the last level.
+Edges and levels are checkpointed (reliable, in the cluster's
+``spark.checkpoint.dir``): the edge table is built once, the per-level
+emptiness test is cheap and a lost executor resumes from the last level.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkaudit import catalogs as K
-from sparkaudit.functions.core import contains_any, str_array
-from sparkaudit.session import checkpoint_dir
+from sparkaudit.functions.core import contains_any
+from sparkaudit.operators.dims import contains_join
+from sparkaudit.session import checkpointed
 
 
 def _calls(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("kind") == "CALLS").select("src", "dst")
 
 
+def _edges(edges: DataFrame, backward: bool = False) -> DataFrame:
+    """(node, next), distinct, written once and dealt by the key that every level joins on."""
+    a, b = ("dst", "src") if backward else ("src", "dst")
+    e = _calls(edges).select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
+    return checkpointed(e.repartition("node"))
+
+
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int, backward: bool = False,
           min_depth: int = 1) -> DataFrame:
     """Nodes reachable from each start key within ``max_depth`` hops.
 
     ``starts``: (key, node).  Returns (key, node, depth) with the minimum
-    depth per (key, node), depth >= ``min_depth``.
+    depth per (key, node), depth >= ``min_depth``.  The edge table is read
+    once; a level reads it, the level before and what was seen.
     """
-    spark = edges.sparkSession
-    checkpoint_dir(spark)
-    e = _calls(edges)
-    a, b = ("dst", "src") if backward else ("src", "dst")
-    e = e.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
-    frontier = starts.select("key", "node").distinct()
-    seen = frontier.withColumn("depth", F.lit(0))
-    levels = []
+    e = _edges(edges, backward)
+    frontier = checkpointed(starts.select("key", "node").distinct())
+    levels = [frontier.withColumn("depth", F.lit(0))]
     for d in range(1, max_depth + 1):
+        seen = levels[0]
+        for level in levels[1:]:
+            seen = seen.unionByName(level)
         nxt = (frontier.join(e, "node").select("key", F.col("next").alias("node")).distinct()
                .join(seen.select("key", "node"), ["key", "node"], "left_anti"))
-        nxt = nxt.checkpoint()
-        if nxt.isEmpty():
+        frontier = checkpointed(nxt)
+        if frontier.isEmpty():
             break
-        lvl = nxt.withColumn("depth", F.lit(d))
-        levels.append(lvl)
-        seen = seen.unionByName(lvl)
-        frontier = nxt
-    if not levels:
-        return starts.select("key", "node", F.lit(0).alias("depth")).limit(0)
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
+        levels.append(frontier.withColumn("depth", F.lit(d)))
+    out = levels[0].where("false") if len(levels) == 1 else levels[1]
+    for level in levels[2:]:
+        out = out.unionByName(level)
     return out.where(F.col("depth") >= min_depth)
 
 
 def _named(nodes: DataFrame, names) -> DataFrame:
     """Nodes whose name is in ``names`` (list or DataFrame(name))."""
     if isinstance(names, DataFrame):
-        return nodes.join(F.broadcast(names.select("name").distinct()), "name", "left_semi")
+        return nodes.join(names.select("name").distinct(), "name", "left_semi")
     return nodes.where(F.col("name").isin(list(names)))
 
 
@@ -105,14 +107,17 @@ def paths_broad(nodes: DataFrame, edges: DataFrame, entries, sinks, max_depth: i
 def paths_domain(nodes: DataFrame, edges: DataFrame, domains: DataFrame, hints: DataFrame,
                  max_depth: int = 6) -> DataFrame:
     """Per domain, start nodes whose file contains the domain, sinks in
-    that domain's hint list.  ``domains``: (domain); ``hints``: (domain, name)."""
-    dom = domains.select("domain").distinct()
-    starts = (nodes.join(F.broadcast(dom), F.lower(F.col("file")).contains(F.col("domain")))
-              .select(F.col("domain").alias("key"), F.col("node_id").alias("node")))
-    r = reach(edges, starts, max_depth)
-    sink_nodes = nodes.join(F.broadcast(hints), "name").select(
-        F.col("node_id").alias("node"), F.col("domain").alias("key"), F.col("name").alias("sink"))
-    return (r.join(sink_nodes, ["key", "node"]).groupBy(F.col("key").alias("domain"), "sink")
+    that domain's hint list.  ``domains``: (domain); ``hints``: (domain, name).
+
+    Containment is decided on distinct files.
+    """
+    named = nodes.join(hints, "name").select(
+        F.col("node_id").alias("node"), F.col("domain").alias("key"), F.col("name").alias("sink")).distinct()
+    wanted = domains.select("domain").distinct().join(hints.select("domain").distinct(), "domain", "left_semi")
+    files = contains_join(nodes.select(F.lower("file").alias("lfile")).distinct(), wanted, "lfile", "domain")
+    starts = nodes.withColumn("lfile", F.lower("file")).join(files, "lfile").select(
+        F.col("domain").alias("key"), F.col("node_id").alias("node"))
+    return (reach(edges, starts, max_depth).join(named, ["key", "node"]).groupBy(F.col("key").alias("domain"), "sink")
             .agg(F.min("depth").alias("depth")))
 
 
@@ -120,39 +125,35 @@ def paths_with_chain(nodes: DataFrame, edges: DataFrame, file_token: str, sinks,
                      max_depth: int = 8) -> DataFrame:
     """Trails from nodes whose file contains ``file_token`` to named
     sinks, with the call chain (node names).  A node never repeats inside a
-    trail.  Trails are enumerated level by level (start-filtered)."""
-    spark = edges.sparkSession
-    checkpoint_dir(spark)
-    e = _calls(edges).distinct()
-    names = nodes.select("node_id", "name")
-    start = nodes.where(F.col("file").contains(file_token)).select(
+    trail.
+
+    The distance of every node to its nearest sink is found first, backwards;
+    a trail is only extended to nodes from which a sink is still in reach.
+    """
+    sink_ids = _named(nodes, sinks).select(F.lit(0).alias("key"), F.col("node_id").alias("node")).distinct()
+    near = reach(edges, sink_ids, max_depth - 1, backward=True).select("node", "depth").unionByName(
+        sink_ids.select("node", F.lit(0).alias("depth"))).groupBy("node").agg(F.min("depth").alias("rest"))
+    names = nodes.select(F.col("node_id").alias("next"), "name")
+    steps = checkpointed(_edges(edges).join(near.withColumnRenamed("node", "next"), "next").join(names, "next")
+                         .repartition("node"))
+    frontier = nodes.where(F.col("file").contains(file_token)).select(
         F.col("node_id").alias("start"), F.col("node_id").alias("node"),
-        F.array("node_id").alias("ids"))
-    sink_ids = _named(nodes, sinks).select(F.col("node_id").alias("node"))
-    found = []
-    frontier = start
+        F.array("node_id").alias("ids"), F.array("name").alias("chain"))
+    found = None
     for d in range(1, max_depth + 1):
-        nxt = (frontier.join(e, frontier.node == e.src)
-               .where(~F.array_contains("ids", F.col("dst")))
-               .select("start", F.col("dst").alias("node"), F.concat("ids", F.array("dst")).alias("ids")))
-        nxt = nxt.checkpoint()
-        if nxt.isEmpty():
+        frontier = checkpointed(
+            frontier.join(steps, "node")
+            .where((F.col("rest") <= max_depth - d) & ~F.array_contains("ids", F.col("next")))
+            .select("start", F.col("next").alias("node"), F.concat("ids", F.array("next")).alias("ids"),
+                    F.concat("chain", F.array("name")).alias("chain"), (F.col("rest") == 0).alias("at_sink")))
+        ended = frontier.where("at_sink").select(
+            "start", F.element_at("chain", -1).alias("sink"), F.lit(d).alias("depth"),
+            F.array_join("chain", " -> ").alias("call_chain"))
+        found = ended if found is None else found.unionByName(ended)
+        frontier = frontier.drop("at_sink")
+        if frontier.isEmpty():
             break
-        found.append(nxt.join(sink_ids, "node", "left_semi").withColumn("depth", F.lit(d)))
-        frontier = nxt
-    if not found:
-        return spark.createDataFrame([], "start string, sink string, depth int, call_chain string")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    # Resolve names of the chain with one exploded equi-join (no per-row lookups).
-    ex = out.select("start", "node", "depth", "ids", F.posexplode("ids").alias("i", "nid"))
-    chain = (ex.join(names, ex.nid == names.node_id)
-             .groupBy("start", "node", "depth", "ids")
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "name"))),
-                                           lambda s: s["name"]), " -> ").alias("call_chain")))
-    return chain.join(names, chain.node == names.node_id).select(
-        "start", F.col("name").alias("sink"), F.col("depth").cast("int").alias("depth"), "call_chain")
+    return found
 
 
 def fan_in(nodes: DataFrame, edges: DataFrame, min_callers: int = K.MIN_CALLERS,
@@ -192,16 +193,17 @@ def handler_path_tokens(files: DataFrame, file_col: str = "file") -> DataFrame:
     skip = K.FLOW_TOPIC_SKIP + K.SCAN_SKIP_DIRS
     toks = seg.where((F.length("token") > 2) & ~F.col("token").isin(skip)
                      & ~F.col("token").startswith(".")).distinct()
-    if toks.isEmpty():
-        return files.sparkSession.createDataFrame([(t,) for t in K.ENDPOINT_FALLBACK_TOKENS], "token string")
-    return toks
+    fallback = files.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(t) for t in K.ENDPOINT_FALLBACK_TOKENS])).alias("token"))
+    return toks.unionByName(fallback.where(toks.select(F.count(F.lit(1))).scalar() == 0))
 
 
 def endpoint_middleware(nodes: DataFrame, edges: DataFrame, tokens: DataFrame) -> DataFrame:
     """Handlers whose file contains a token; callers whose name contains
     auth/middleware/guard/jwt/permission (case-sensitive) collected."""
-    tok = tokens.select("token").distinct()
-    handlers = nodes.join(F.broadcast(tok), F.lower(F.col("file")).contains(F.col("token")), "left_semi")
+    files = contains_join(nodes.select(F.lower("file").alias("lfile")).distinct(), tokens.select("token").distinct(),
+                          "lfile", "token").select("lfile").distinct()
+    handlers = nodes.withColumn("lfile", F.lower("file")).join(files, "lfile", "left_semi").drop("lfile")
     mids = nodes.where(contains_any(F.col("name"), K.MIDDLEWARE_WORDS)).select(
         F.col("node_id").alias("src"), F.col("name").alias("mw"))
     calls = _calls(edges).join(mids, "src").select(F.col("dst").alias("node_id"), "mw")

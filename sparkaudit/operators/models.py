@@ -27,8 +27,9 @@ def tag_model_fields(decls: DataFrame) -> DataFrame:
     fields (declaration order), sensitive fields, mass-assignment risks."""
     c = decls.select("model_name", "file", "pos", clean_field_name(F.col("raw")).alias("f")).where(
         F.col("f").isNotNull())
-    g = c.groupBy("model_name", "file").agg(
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "f"))), lambda s: s["f"])).alias("fields"))
+    first = c.groupBy("model_name", "file", "f").agg(F.min("pos").alias("pos"))
+    g = first.groupBy("model_name", "file").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "f"))), lambda s: s["f"]).alias("fields"))
     return (g.withColumn("sensitive_fields", F.filter("fields", lambda f: f.rlike(K.SENSITIVE_FIELD_RE)))
             .withColumn("mass_assign_risk", F.filter("fields", lambda f: f.rlike(K.MASS_ASSIGN_RE))))
 

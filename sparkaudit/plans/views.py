@@ -187,7 +187,7 @@ VIEWS: dict[str, str] = {
 
 # Which base tables each view reads (for registration).
 VIEW_DEPS: dict[str, tuple[str, ...]] = {
-    "v_model_fields": ("nation",),
+    "v_model_fields": ("part",),
     "v_context_docs": ("conversations",),
     "v_calls": ("events",),
     "v_registry_input": ("pages", "part"),

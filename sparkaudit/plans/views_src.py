@@ -176,24 +176,18 @@ SELECT conv_id AS doc_id, concat('# Business Context ', CAST(conv_id AS STRING),
 FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) t
 """
 
-# Raw field declarations of data models (one model per nation).
+# Raw field declarations of data models (one model per part).
 V_MODEL_FIELDS = """
-SELECT 'Model' || CAST(n_nationkey AS STRING) AS model_name, '/src/models/M' || CAST(n_nationkey AS STRING) || '.cs' AS file,
-       0 AS pos, 'password' AS raw FROM nation
-UNION ALL SELECT 'Model' || CAST(n_nationkey AS STRING), '/src/models/M' || CAST(n_nationkey AS STRING) || '.cs', 1,
-       'private String password' FROM nation
-UNION ALL SELECT 'Model' || CAST(n_nationkey AS STRING), '/src/models/M' || CAST(n_nationkey AS STRING) || '.cs', 2,
-       'password_hash: str' FROM nation WHERE n_nationkey % 2 = 0
-UNION ALL SELECT 'Model' || CAST(n_nationkey AS STRING), '/src/models/M' || CAST(n_nationkey AS STRING) || '.cs', 3,
-       'readonly token: string' FROM nation
-UNION ALL SELECT 'Model' || CAST(n_nationkey AS STRING), '/src/models/M' || CAST(n_nationkey AS STRING) || '.cs', 4,
-       'protected $' || n_name FROM nation
-UNION ALL SELECT 'Model' || CAST(n_nationkey AS STRING), '/src/models/M' || CAST(n_nationkey AS STRING) || '.cs', 5,
-       'public bool IsAdmin { get; set; }' FROM nation WHERE n_nationkey % 3 = 0
-UNION ALL SELECT 'Model' || CAST(n_nationkey AS STRING), '/src/models/M' || CAST(n_nationkey AS STRING) || '.cs', 6,
-       'public decimal Balance { get; set; }' FROM nation
-UNION ALL SELECT 'Model' || CAST(n_nationkey AS STRING), '/src/models/M' || CAST(n_nationkey AS STRING) || '.cs', 7,
-       'public string Status { get; set; }' FROM nation WHERE n_nationkey % 2 = 1
-UNION ALL SELECT 'Model' || CAST(n_nationkey AS STRING), '/src/models/M' || CAST(n_nationkey AS STRING) || '.cs', 8,
-       'created_at' FROM nation
+SELECT 'Model' || CAST(p_partkey AS STRING) AS model_name, '/src/models/M' || CAST(p_partkey AS STRING) || '.cs' AS file, f.pos,
+  CASE f.pos WHEN 0 THEN 'password'
+    WHEN 1 THEN 'private String ' || lower(split_part(p_name, ' ', 1)) || '_key'
+    WHEN 2 THEN CASE WHEN p_partkey % 2 = 0 THEN 'pin_hash: str' ELSE 'role: str' END
+    WHEN 3 THEN 'readonly token: string'
+    WHEN 4 THEN 'protected $' || lower(replace(p_brand, '#', '_'))
+    WHEN 5 THEN CASE WHEN p_partkey % 3 = 0 THEN 'public bool IsAdmin { get; set; }' ELSE 'private String password' END
+    WHEN 6 THEN 'public decimal Balance { get; set; }'
+    WHEN 7 THEN CASE WHEN p_size > 25 THEN 'public string Status { get; set; }' ELSE 'created_at' END
+    ELSE lower(replace(p_type, ' ', '_')) || ': int' END AS raw
+FROM part CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4
+  UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8) f
 """
