@@ -23,11 +23,12 @@ strings.  Repeats inside a text are also found where it is read.
 
 Groups are only counted and joined, never gathered: a passage that very many
 documents share is a skewed key of a join that Spark splits.  Lists are
-gathered per document, at most as long as its text.
+gathered per document, at most as long as its text.  Texts without company in
+the first pass are not moved.
 
 Defined cases: texts under 400 bytes, null and empty ones keep everything;
 repeated rows count as each other's repeats; an empty table gives an empty
-result; further columns are not read, so their names can't clash.  ``doc_id``
+result; further columns are kept by ``remove_repeats`` and not read.  ``doc_id``
 identifies a text; a row without one goes by its text.
 """
 
@@ -52,6 +53,9 @@ CHUNK = 1 << 19
 #: Lists with up to this number of rows in all (24 bytes each) are broadcast to the texts; more are joined by key.
 BROADCAST_ROWS = 400_000
 
+#: Ids up to this number (8 bytes each) are broadcast to pick out texts; more are joined by key.
+BROADCAST_IDS = 2_000_000
+
 ROWS = "doc_id long, start long, n long, core long, hull long"
 
 
@@ -96,53 +100,60 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def run_rows(docs: DataFrame) -> DataFrame:
-    """Rows of pass 1; those with a null core are settled already."""
+    """One pass over the texts, three kinds of rows: runs of pass 1; with a null core, suffixes that are
+    settled already; with a digest, the text itself (``n`` bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_slices(batches, "text"):
-            out, owner, settled = [np.zeros((4, 0), np.int64)], [], []
-            for i in range(rows.num_rows):
-                found, inside = first_digits(data[offsets[i]:offsets[i + 1]])
+            count = rows.num_rows
+            out, owner, settled, whole = [np.zeros((4, 0), np.int64)], [], [], []
+            for i in range(count):
+                text = data[offsets[i]:offsets[i + 1]]
+                found, inside = first_digits(text)
                 out += found
                 owner += [np.full(x.shape[1], i) for x in found]
                 settled += [(i, a, n) for a, n in inside]
+                whole.append(hashlib.sha256(text.tobytes()).hexdigest())
             start, n, core, hull = np.concatenate(out, axis=1)
-            at = np.concatenate([*owner, [s[0] for s in settled]]).astype(np.int64)
-            none = len(settled)
+            runs, rest = len(start), len(settled) + count
+            at = np.concatenate([*owner, [s[0] for s in settled], np.arange(count)]).astype(np.int64)
+
+            def column(values, extra):
+                return pa.array(np.concatenate([values, extra, np.diff(offsets) if values is n else np.zeros(count)])
+                                .astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0).take(pa.array(at)),
-                 pa.array(np.append(start, [s[1] for s in settled]).astype(np.int64)),
-                 pa.array(np.append(n, [s[2] for s in settled]).astype(np.int64)),
-                 pa.concat_arrays([pa.array(core), pa.nulls(none, pa.int64())]),
-                 pa.concat_arrays([pa.array(hull), pa.nulls(none, pa.int64())])],
-                ["doc_id", "start", "n", "core", "hull"])
+                 column(start, [s[1] for s in settled]), column(n, [s[2] for s in settled]),
+                 pa.concat_arrays([pa.array(core), pa.nulls(rest, pa.int64())]),
+                 pa.concat_arrays([pa.array(hull), pa.nulls(rest, pa.int64())]),
+                 pa.concat_arrays([pa.nulls(runs + len(settled), pa.string()), pa.array(whole, pa.string())]),
+                 rows.column(2).take(pa.array(at))],
+                ["doc_id", "start", "n", "core", "hull", "sha256", "given_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, ROWS)
+    return docs.select("doc_id", "text", "given_id").mapInArrow(run, ROWS + ", sha256 string, given_id long")
 
 
-def settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One pass: (doc_id, start, n) settled as repeated, and (doc_id, start, n) that go on."""
-    shared = rows.groupBy("core").agg(F.count(F.lit(1)).alias("rows"), F.min("hull").alias("a"),
-                                      F.max("hull").alias("b")).where("rows > 1")
-    left = checkpointed(rows.join(shared.select("core", (F.col("a") != F.col("b")).alias("mixed")), "core"))
-    hulls = left.groupBy("core", "hull").agg(
+def settle(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One pass: (doc_id, start, n) settled as repeated, those that go on, and all rows that had company.
+
+    Counts are written before they are joined, so both sides of a join are plain exchanges and Spark can
+    split a core that very many rows have.
+    """
+    shared = checkpointed(rows.groupBy("core").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("hull").alias("a"), F.max("hull").alias("b")).where("rows > 1")
+        .select("core", (F.col("a") != F.col("b")).alias("mixed")))
+    left = checkpointed(rows.join(shared, "core"))
+    hulls = checkpointed(left.groupBy("core", "hull").agg(
         F.count(F.lit(1)).alias("rows"), F.first("mixed").alias("mixed"),
-        F.min(F.struct("doc_id", "start", "n")).alias("one"))
-    hulls = checkpointed(hulls)
+        F.min(F.struct("doc_id", "start", "n")).alias("one")))
     whole = left.join(hulls.where("rows > 1").select("core", "hull"), ["core", "hull"]).select("doc_id", "start", "n")
-    return whole, hulls.where("mixed").select("one.*")
+    return whole, hulls.where("mixed").select("one.*"), left
 
 
-def with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """``docs`` with ``spans``: the (start, n) rows of ``lists`` for their doc_id.
-
-    Few rows are counted and broadcast; many are joined by doc_id, which moves the texts once.
-    """
-    lists = checkpointed(lists)
+def with_lists(texts: DataFrame, lists: DataFrame) -> DataFrame:
+    """``texts`` that have rows (start, n) in ``lists`` for their doc_id, with these as ``spans``."""
     spans = lists.groupBy(F.col("doc_id").alias("list_id")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    if lists.count() <= BROADCAST_ROWS:
-        spans = F.broadcast(spans)
-    return docs.join(spans, F.col("doc_id") == F.col("list_id"), how).drop("list_id")
+    return texts.join(spans, F.col("doc_id") == F.col("list_id")).drop("list_id")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -151,18 +162,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
                        F.col("doc_id").alias("given_id"))
 
 
-def _each_span(batches: Iterator[pa.RecordBatch], key: str = "doc_id"):
+def _each_span(batches: Iterator[pa.RecordBatch]):
     """(document, bytes, starts, sizes) of a batch from ``with_lists``, one at a time."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("text"))
         offsets, data = string_buffers(column.fill_null("") if column.null_count else column)
         spans = batch.column(batch.schema.get_field_index("spans"))
-        ids = batch.column(batch.schema.get_field_index(key))
+        ids = batch.column(batch.schema.get_field_index("doc_id"))
         starts, sizes = (x.to_numpy() for x in spans.flatten().flatten())
         at = spans.offsets.to_numpy() - spans.offsets[0].as_py()
-        valid = spans.is_valid().to_pylist()
         for i, doc in enumerate(ids.to_pylist()):
-            mine = slice(at[i], at[i + 1]) if valid[i] else slice(0, 0)
+            mine = slice(at[i], at[i + 1])
             text, a, n = data[offsets[i]:offsets[i + 1]], starts[mine], sizes[mine]
             fits = a + n - 1 + DEPTH <= len(text)  # all do where an id has one text
             yield doc, text, a[fits], n[fits]
@@ -223,19 +233,31 @@ def _batch(out: list[list]) -> pa.RecordBatch:
         ["doc_id", "start", "n", "core", "hull", "whole"])
 
 
-def repeated_suffixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, n): runs of positions whose suffixes are repeated; runs may overlap."""
-    spark, path = docs.sparkSession, new_table_path(docs.sparkSession, "suffix-runs")
-    docs = docs.select("doc_id", "text")
-    run_rows(docs).write.parquet(path)
-    rows = spark.read.parquet(path)
-    inside = rows.where("core is null").select("doc_id", "start", "n")
-    whole_1, open_1 = settle(rows.where("core is not null"))
-    whole_2, open_2 = settle(cut_rows(with_lists(docs, open_1, "inner"), BUCKET))
-    single = checkpointed(cut_rows(with_lists(docs, open_2, "inner"), 1))
-    equal = single.groupBy("core", "hull").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    whole_3 = single.join(equal.select("core", "hull"), ["core", "hull"]).select("doc_id", "start", "n")
-    return inside.union(whole_1).union(whole_2).union(whole_3).distinct()
+def written(df: DataFrame, name: str) -> DataFrame:
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def repeated_suffixes(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, start, n): runs of positions whose suffixes are repeated, which may overlap; and
+    (doc_id, text): the texts that share a first digit with another, which are all that have any.
+
+    ``docs`` is keyed, ``rows`` are its ``run_rows``.  Later passes read these texts only.
+    """
+    inside = rows.where("core is null and sha256 is null").select("doc_id", "start", "n")
+    whole_1, open_1, company = settle(rows.where("core is not null").select("doc_id", "start", "n", "core", "hull"))
+    ids = checkpointed(company.select("doc_id").union(inside.select("doc_id")).distinct())
+    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    # one row for each id; a row with an id and text that another has is its copy
+    texts = written(docs.select("doc_id", "text").join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]),
+                    "suffix-texts")
+    whole_2, open_2, _ = settle(written(cut_rows(with_lists(texts, open_1), BUCKET), "suffix-buckets"))
+    single = written(cut_rows(with_lists(texts, open_2), 1), "suffix-places")
+    equal = checkpointed(single.groupBy("core", "hull").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+                         .select("core", "hull"))
+    whole_3 = single.join(equal, ["core", "hull"]).select("doc_id", "start", "n")
+    return inside.union(whole_1).union(whole_2).union(whole_3), texts
 
 
 def removed_spans(starts: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
@@ -263,14 +285,37 @@ def measure_documents(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, data, starts, sizes in _each_span(iter([batch]), "given_id"):
+            for doc, data, starts, sizes in _each_span(iter([batch])):
                 spans = removed_spans(starts, sizes)
-                out.append((doc, len(data), sum(b - a for a, b in spans), len(spans),
+                out.append((doc, sum(b - a for a, b in spans), len(spans),
                             hashlib.sha256(without(data, spans)).hexdigest()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.string() if i == 4 else pa.int64()) for i, x in enumerate(zip(*out, strict=True))],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                [pa.array(x, pa.string() if i == 3 else pa.int64()) for i, x in enumerate(zip(*out, strict=True))],
+                ["cut_id", "n_removed", "n_spans", "kept"])
 
     docs = _keyed(docs)
-    return with_lists(docs, repeated_suffixes(docs), "left").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = written(run_rows(docs), "suffix-runs")
+    spans, texts = repeated_suffixes(docs, rows)
+    cut = with_lists(texts, spans).mapInArrow(run, "cut_id long, n_removed long, n_spans long, kept string")
+    return rows.where("sha256 is not null").join(cut, F.col("doc_id") == F.col("cut_id"), "left").select(
+        F.col("given_id").alias("doc_id"), F.col("n").alias("n_bytes"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", "sha256").alias("kept_sha256"))
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with texts that lack every repeated string, all columns kept.
+
+    A cut may fall inside a character; such a character goes as a whole.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(doc, without(data, removed_spans(starts, sizes)).decode(errors="ignore"))
+                   for doc, data, starts, sizes in _each_span(iter([batch]))]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()),
+                                              pa.array([t for _, t in out], pa.string())], ["llm_id", "llm_text"])
+
+    keyed = _keyed(docs)
+    spans, texts = repeated_suffixes(keyed, written(run_rows(keyed), "suffix-runs"))
+    cut = with_lists(texts, spans).mapInArrow(run, "llm_id long, llm_text string")
+    same = F.coalesce("doc_id", F.xxhash64("text")) == F.col("llm_id")
+    return docs.join(cut, same, "left").withColumn("text", F.coalesce("llm_text", "text")).select(*docs.columns)

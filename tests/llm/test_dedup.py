@@ -7,7 +7,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from conftest_llm import prose, table_of
-from pyspark.sql import functions as F
 
 from sparkaudit.llm import bottomk, suffix_dedup
 
@@ -99,18 +98,20 @@ def test_null_ids_and_empty(spark, empty):
     assert [r[2] for r in got if r[1]] == [5, 5, 5]
 
 
-def brute_repeats(rows, depth):
+def brute_kept(rows, depth):
+    """(id, bytes, removed, spans, what is left) by looking at every position."""
     texts = [(i, (t or "").encode()) for i, t, _ in rows]
     seen = Counter(b[p:p + depth] for _, b in texts for p in range(len(b) - depth + 1))
-    out = []
     for i, b in texts:
         hit = np.zeros(len(b), bool)
         for p in range(len(b) - depth + 1):
             if seen[b[p:p + depth]] > 1:
                 hit[p:p + depth] = True
-        kept = bytes(np.frombuffer(b, np.uint8)[~hit])
-        out.append((i, len(b), int(hit.sum()), len(suffix_dedup._runs(hit)), hashlib.sha256(kept).hexdigest()))
-    return sorted(out, key=repr)
+        yield i, len(b), int(hit.sum()), len(suffix_dedup._runs(hit)), bytes(np.frombuffer(b, np.uint8)[~hit])
+
+
+def brute_repeats(rows, depth):
+    return sorted(((*x[:4], hashlib.sha256(x[4]).hexdigest()) for x in brute_kept(rows, depth)), key=repr)
 
 
 def test_repeats(docs, corpus):
@@ -119,8 +120,8 @@ def test_repeats(docs, corpus):
 
 
 def test_repeats_by_key_and_in_chunks(spark, corpus, monkeypatch):
-    """Lists beyond the broadcast bound, and texts longer than a chunk."""
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", 0)
+    """Ids beyond the broadcast bound, and texts longer than a chunk."""
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_IDS", 0)
     monkeypatch.setattr(suffix_dedup, "CHUNK", 900)
     rows = corpus[:30] + corpus[-14:] + [(None, corpus[3][1], "s"), (None, corpus[4][1] * 3, "s"), (None, None, None)]
     got = sorted((tuple(r) for r in suffix_dedup.measure_documents(table_of(spark, rows)).collect()), key=repr)
@@ -148,4 +149,11 @@ def test_buckets_agree(width):
 
 def test_repeats_empty(empty):
     assert suffix_dedup.measure_documents(empty).count() == 0
-    assert suffix_dedup.measure_documents(empty).where(F.col("n_bytes") > 0).count() == 0
+    assert suffix_dedup.remove_repeats(empty).columns == empty.columns
+
+
+def test_remove_repeats(docs, corpus):
+    out = suffix_dedup.remove_repeats(docs)
+    assert out.schema == docs.schema
+    got = Counter((r.doc_id, r.text or "") for r in out.collect())
+    assert got == Counter((x[0], x[4].decode(errors="ignore")) for x in brute_kept(corpus, 400))
