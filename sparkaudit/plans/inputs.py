@@ -17,7 +17,7 @@ def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A shared-SQL view over freshly registered base tables."""
     deps = VIEW_DEPS.get(name, ())
-    register_tables(spark, sf_dir, deps)
+    register_tables(spark, sf_dir, [d for d in deps if d not in VIEWS])
     for d in deps:
         if d in VIEWS:  # views built on views
             spark.sql(VIEWS[d]).createOrReplaceTempView(d)

@@ -167,7 +167,10 @@ FROM orders
 from sparkaudit.plans.views_src import (V_CALLS, V_CONTEXT_DOCS, V_MODEL_FIELDS, V_EDGES, V_FN_PARAMS, V_NODES, V_REGISTRY_INPUT,  # noqa: E402
                                         V_SRC_FILES, V_URL_PATHS)
 
+from sparkaudit.plans.views_intel import V_REPO_FILES  # noqa: E402
+
 VIEWS: dict[str, str] = {
+    "v_repo_files": V_REPO_FILES,
     "v_model_fields": V_MODEL_FIELDS,
     "v_context_docs": V_CONTEXT_DOCS,
     "v_calls": V_CALLS,
@@ -187,6 +190,7 @@ VIEWS: dict[str, str] = {
 
 # Which base tables each view reads (for registration).
 VIEW_DEPS: dict[str, tuple[str, ...]] = {
+    "v_repo_files": ("pages", "v_src_files"),
     "v_model_fields": ("part",),
     "v_context_docs": ("conversations",),
     "v_calls": ("events",),
