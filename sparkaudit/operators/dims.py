@@ -1,9 +1,11 @@
 """Lookups "pattern contained in text", which have no equi-join key.
 
-There is one plan at every size: a pattern is keyed by its first characters,
-a text by all its distinct character n-grams, the two sides meet in an
-equi-join and the predicate is verified.  Texts are reduced to distinct values
-first by the callers, and only candidate pairs are ever produced.
+There is one plan at every size.  A pattern of four characters or more is keyed
+by its first four, a text by all its distinct 4-grams; the two sides meet in an
+equi-join and the predicate is verified.  Shorter patterns are few distinct
+strings, whatever the number of rows: a text lists those that it contains and
+meets them by equality.  Callers reduce texts to distinct values first, and only
+candidate pairs are ever produced.
 """
 
 from __future__ import annotations
@@ -14,13 +16,10 @@ from pyspark.sql import functions as F
 NGRAM = 4
 
 
-def _keys(text: Column, n: int) -> Column:
-    """Distinct substrings of 1..n characters, and the empty one."""
-    def of(k):
-        return F.when(F.length(text) >= k, F.transform(
-            F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substring(text, i, F.lit(k)))).otherwise(
-            F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(F.lit("")), *[of(k) for k in range(1, n + 1)]))
+def _grams(text: Column, n: int) -> Column:
+    """Distinct substrings of ``n`` characters."""
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))))
 
 
 def contains_join(left: DataFrame, right: DataFrame, text_col: str, pat_col: str, ngram: int = NGRAM) -> DataFrame:
@@ -30,9 +29,15 @@ def contains_join(left: DataFrame, right: DataFrame, text_col: str, pat_col: str
     exactly once: equal rows keep their multiplicity.  Null texts and patterns
     match nothing; an empty pattern is in every text.
     """
-    keyed = right.withColumn("_key", F.substring(F.col(pat_col), 1, ngram))
-    texts = left.where(F.col(text_col).isNotNull()).withColumn("_key", F.explode(_keys(F.col(text_col), ngram)))
-    return texts.join(keyed, "_key").where(F.col(text_col).contains(F.col(pat_col))).drop("_key")
+    texts, size = left.where(F.col(text_col).isNotNull()), F.length(F.col(pat_col))
+    long = right.where(size >= ngram).withColumn("_key", F.substring(F.col(pat_col), 1, ngram))
+    by_gram = (texts.withColumn("_key", F.explode(_grams(F.col(text_col), ngram))).join(long, "_key")
+               .where(F.col(text_col).contains(F.col(pat_col))))
+    short = right.where(size < ngram).withColumn("_key", F.col(pat_col))
+    few = short.select(F.collect_set("_key")).scalar()  # distinct strings of under ``ngram`` characters
+    in_text = F.filter(F.col("_few"), lambda p: F.col(text_col).contains(p))
+    by_name = texts.withColumn("_few", few).withColumn("_key", F.explode(in_text)).drop("_few").join(short, "_key")
+    return by_gram.unionByName(by_name).drop("_key")
 
 
 def first_hits(texts: DataFrame, dim: DataFrame, pat_col: str, n: int) -> DataFrame:

@@ -168,9 +168,13 @@ from sparkaudit.plans.views_src import (V_CALLS, V_CONTEXT_DOCS, V_MODEL_FIELDS,
                                         V_SRC_FILES, V_URL_PATHS)
 
 from sparkaudit.plans.views_intel import V_REPO_FILES  # noqa: E402
+from sparkaudit.plans.views_rules import V_GRAPH_DOCS, V_RULE_FILES, V_SCAN_DOCS  # noqa: E402
 
 VIEWS: dict[str, str] = {
     "v_repo_files": V_REPO_FILES,
+    "v_scan_docs": V_SCAN_DOCS,
+    "v_graph_docs": V_GRAPH_DOCS,
+    "v_rule_files": V_RULE_FILES,
     "v_model_fields": V_MODEL_FIELDS,
     "v_context_docs": V_CONTEXT_DOCS,
     "v_calls": V_CALLS,
@@ -191,6 +195,9 @@ VIEWS: dict[str, str] = {
 # Which base tables each view reads (for registration).
 VIEW_DEPS: dict[str, tuple[str, ...]] = {
     "v_repo_files": ("pages", "v_src_files"),
+    "v_scan_docs": ("orders", "v_scan"),
+    "v_graph_docs": ("part",),
+    "v_rule_files": ("pages", "v_src_files"),
     "v_model_fields": ("part",),
     "v_context_docs": ("conversations",),
     "v_calls": ("events",),
