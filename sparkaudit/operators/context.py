@@ -10,19 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkaudit.catalogs import CONTEXT_KEYS, KV_RE, SECTION_KINDS
 from sparkaudit.operators.classify import vuln_from_text
 
-KV_RE = r"(?i)^[-*]\s*\*{0,2}([\w][\w\s]*?)\*{0,2}:\s*(.+)"
-SECTION_KINDS = [
-    ("custom_sinks", ["custom sink"]),
-    ("custom_sources", ["custom source"]),
-    ("sensitive_flows", ["sensitive flow"]),
-    ("api_names", ["api name", "api endpoint", "webmethod", "web method"]),
-    ("function_params", ["function param", "taint param", "dangerous param"]),
-    ("notes", ["business note", "system overview"]),
-]
-
-
 def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
@@ -105,7 +95,8 @@ def context_sources(it: DataFrame) -> DataFrame:
     nm = F.trim(F.regexp_replace(F.coalesce(kv_get(F.col("kv"), "method"), name), r"\(.*\)", ""))
     c = F.coalesce(kv_get(F.col("kv"), "class"), cls)
     out = s.select("doc_id", "sec_pos", "item_pos", nm.alias("name"), c.alias("class"),
-                   F.coalesce(kv_get(F.col("kv"), "source_type"), F.lit("unknown")).alias("source_type"))
+                   F.coalesce(kv_get(F.col("kv"), "source_type"), F.lit("unknown")).alias("source_type"),
+                   F.coalesce(kv_get(F.col("kv"), "note"), F.lit("")).alias("note"))
     return out.where(F.col("name") != "").withColumn("qualified", qualify_source(F.col("class"), F.col("name")))
 
 
@@ -119,18 +110,131 @@ def context_flows(it: DataFrame) -> DataFrame:
     return out.where(F.col("entry") != "")
 
 
+BULLET_RE = r"^[-*•]+"
+CALL_RE = r"^(\w+)\s*(?:\(([^)]*)\))?"
+
+
+def _first_value(kv: Column, *keys: str) -> Column:
+    return F.coalesce(*[kv_get(kv, k) for k in keys])
+
+
+def _params(text: Column) -> Column:
+    """Comma-separated names, empty ones left out."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), _strip), lambda p: p != "")
+
+
+def _bullets(secs: DataFrame, kind: str) -> DataFrame:
+    """Lines of sections without sub-headings, list marks removed."""
+    lines = secs.where((F.col("kind") == kind) & ~F.col("body").rlike(r"(?m)^###\s+")).select(
+        "doc_id", "sec_pos", F.posexplode(F.split("body", r"\r\n|\n|\r")).alias("item_pos", "line"))
+    clean = lines.withColumn("line", _strip(F.regexp_replace(_strip(F.col("line")), BULLET_RE, "")))
+    return clean.where((F.col("line") != "") & ~F.col("line").startswith("#"))
+
+
+def context_api_names(secs: DataFrame, it: DataFrame) -> DataFrame:
+    """(doc_id, name, params, note) of API names, from sub-headings or bullets ``Name(p1, p2): note``."""
+    kv, h = F.col("kv"), F.col("heading")
+    named = it.where(F.col("kind") == "api_names").select(
+        "doc_id", "sec_pos", "item_pos",
+        F.trim(F.regexp_replace(F.coalesce(_first_value(kv, "name", "method_name"), F.nullif(F.regexp_extract(h, CALL_RE, 1), F.lit("")),
+                                           F.trim(h)), r"\(.*\)", "")).alias("name"),
+        _params(F.coalesce(_first_value(kv, "params", "param", "parameters"), F.regexp_extract(h, CALL_RE, 2))).alias("params"),
+        F.coalesce(_first_value(kv, "note", "risk", "description"), F.lit("")).alias("note"))
+    line = F.col("line")
+    before = F.substring_index(line, ":", 1)
+    note = F.when(line.contains(":") & ~before.contains("("), _strip(F.regexp_replace(line, r"^[^:]*:", ""))).otherwise("")
+    short = _bullets(secs, "api_names").select(
+        "doc_id", "sec_pos", "item_pos",
+        _strip(F.substring_index(F.substring_index(line, "(", 1), ":", 1)).alias("name"),
+        _params(F.regexp_extract(line, r"\(([^)]+)\)", 1)).alias("params"), note.alias("note"))
+    return named.where("name <> ''").unionByName(short.where("name <> ''"))
+
+
+def context_function_params(secs: DataFrame, it: DataFrame) -> DataFrame:
+    """(doc_id, function, param, taint_reason), one row per parameter."""
+    kv, h = F.col("kv"), F.col("heading")
+    why = F.coalesce(_first_value(kv, "taint_reason", "taint", "note", "risk"), F.lit(""))
+    headed = it.where(F.col("kind") == "function_params").select(
+        "doc_id", "sec_pos", "item_pos",
+        F.coalesce(F.nullif(F.regexp_extract(h, CALL_RE, 1), F.lit("")), F.trim(h)).alias("function"),
+        _strip(F.coalesce(_first_value(kv, "param", "params"), F.regexp_extract(h, CALL_RE, 2))).alias("param"),
+        why.alias("taint_reason"))
+    line, full = F.col("line"), r"^(\w+)\s*\(([^)]+)\)\s*:?\s*(.*)"
+    called = line.rlike(full)
+    rest = F.when(line.contains(":"), _strip(F.regexp_replace(line, r"^[^:]*:", ""))).otherwise("")
+    listed = _bullets(secs, "function_params").select(
+        "doc_id", "sec_pos", "item_pos",
+        F.when(called, F.regexp_extract(line, full, 1)).otherwise(_strip(F.substring_index(line, ":", 1))).alias("function"),
+        F.explode(F.when(called, _params(F.regexp_extract(line, full, 2))).otherwise(F.array(F.lit("")))).alias("param"),
+        F.when(called, _strip(F.regexp_extract(line, full, 3))).otherwise(rest).alias("taint_reason"))
+    return headed.unionByName(listed).where("function <> ''")
+
+
+def looks_structured(text: Column) -> Column:
+    """The text is a JSON object with a known key."""
+    keys = F.when(F.trim(text).startswith("{") & F.try_parse_json(text).isNotNull(), F.json_object_keys(text))
+    return F.coalesce(F.arrays_overlap(keys, F.array(*[F.lit(k) for k in CONTEXT_KEYS])), F.lit(False))
+
+
+def normalize_context(docs: DataFrame) -> DataFrame:
+    """(doc_id, kind, pos, name, detail) of structured documents, defaults applied.
+
+    Entries that aren't objects are left out, except API names and sources,
+    which may be plain strings.  ``detail`` is a sink's confidence, a source's
+    note, a flow's description, a parameter's name.
+    """
+    text = F.col("text")
+    good = docs.where(looks_structured(text))
+
+    def entries(key, kind):
+        listed = F.try_variant_get(F.try_parse_json(text), f"$.{key}", "array<variant>")
+        rows = good.select("doc_id", F.lit(kind).alias("kind"), F.posexplode(listed).alias("pos", "v"))
+        form = F.schema_of_variant("v")
+        return rows.select("doc_id", "kind", "pos", form.startswith("OBJECT").alias("is_object"), (form == "STRING").alias("is_text"),
+                           F.when(form == "STRING", F.try_variant_get("v", "$", "string")).otherwise(F.to_json("v")).alias("e"))
+
+    def get(key, default=""):
+        return F.coalesce(F.get_json_object("e", f"$.{key}"), F.lit(default) if isinstance(default, str) else default)
+    is_object = F.col("is_object")
+    parts = []
+    for key, name, detail, test in (
+            ("custom_sinks", get("name"), get("confidence", "HIGH"), is_object),
+            ("custom_sources", qualify_source(get("class"), get("name")), get("note"), is_object),
+            ("sensitive_flows", get("entry"), get("description", get("entry")), is_object),
+            ("non_http_sources", F.col("e"), F.lit(""), F.col("is_text")),
+            ("api_names", F.when(is_object, get("name")).otherwise(F.col("e")), F.lit(""), is_object | F.col("is_text")),
+            ("function_params", get("function"), get("param"), is_object)):
+        rows = entries(key, key).where(test).select("doc_id", "kind", "pos", name.alias("name"), detail.alias("detail"))
+        if key in ("api_names", "function_params"):
+            rows = rows.where("name <> ''")
+        parts.append(rows)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+LISTS = ("custom_sinks", "custom_sources", "sensitive_flows", "non_http_sources", "api_names", "function_params")
+
+
 def context_summary(docs: DataFrame) -> DataFrame:
-    """Per document counts of each context list and a notes flag."""
+    """Per document the size of each context list and a notes flag: one aggregate over all entries."""
     secs = sections(docs)
     it = items(secs)
-    sk = context_sinks(it).groupBy("doc_id").agg(F.count(F.lit(1)).alias("custom_sinks"))
-    so = context_sources(it).groupBy("doc_id").agg(F.count(F.lit(1)).alias("custom_sources"))
-    fl = context_flows(it).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sensitive_flows"))
-    nt = secs.where(F.col("kind") == "notes").groupBy("doc_id").agg(
-        F.max(F.trim("body") != "").alias("has_notes"))
-    out = docs.select("doc_id")
-    for t in (sk, so, fl, nt):
-        out = out.join(t, "doc_id", "left")
-    return out.select("doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c)
-                                  for c in ("custom_sinks", "custom_sources", "sensitive_flows")],
-                      F.coalesce("has_notes", F.lit(False)).alias("has_notes"))
+    sources = context_sources(it)
+
+    def tagged(df, kind, name=None):
+        return df.select("doc_id", F.lit(kind).alias("kind"), (F.col(name) if name else F.lit(None).cast("string")).alias("name"))
+    rows = (tagged(context_sinks(it), "custom_sinks").unionByName(tagged(sources, "custom_sources"))
+            .unionByName(tagged(sources, "non_http_sources", "qualified"))
+            .unionByName(tagged(context_flows(it), "sensitive_flows"))
+            .unionByName(tagged(context_api_names(secs, it), "api_names"))
+            .unionByName(tagged(context_function_params(secs, it), "function_params"))
+            .unionByName(tagged(secs.where((F.col("kind") == "notes") & (F.trim("body") != "")), "notes"))
+            .unionByName(docs.select("doc_id", F.lit("doc").alias("kind"), F.lit(None).cast("string").alias("name")))
+            .unionByName(normalize_context(docs).select("doc_id", "kind", F.when(F.col("kind") == "non_http_sources", F.col("name")).alias("name")))
+            .unionByName(normalize_context(docs).where("kind = 'custom_sources' and name <> ''").select(
+                "doc_id", F.lit("non_http_sources").alias("kind"), "name")))
+    counts = [F.count_distinct(F.when(F.col("kind") == k, F.col("name"))).alias(k) if k == "non_http_sources"
+              else F.count_if(F.col("kind") == k).alias(k) for k in LISTS]
+    return rows.groupBy("doc_id").agg(*counts, F.max(F.col("kind") == "notes").alias("has_notes"))

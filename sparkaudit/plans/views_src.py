@@ -153,27 +153,41 @@ SELECT ts, 'run_' || CAST(user_id AS STRING) AS run_id, event_type AS tool,
 FROM events
 """
 
-# One business-context Markdown document per conversation.
+# One business-context document per conversation: Markdown with the conversation's own text as notes,
+# or (every seventh) structured JSON.
 V_CONTEXT_DOCS = """
-SELECT conv_id AS doc_id, concat('# Business Context ', CAST(conv_id AS STRING), chr(10), chr(10),
+SELECT conv_id AS doc_id, CASE WHEN conv_id % 7 = 3 THEN concat(
+  '{"custom_sinks": [{"name": "exec', CAST(conv_id % 9 AS STRING), '", "vuln_type": "rce"}, "bare", {"name": "log", "confidence": "LOW"}], ',
+  '"custom_sources": [{"class": "App.Queue.Reader', CAST(conv_id % 4 AS STRING), '", "name": "take"}, {"name": "poll", "note": "timer"}], ',
+  '"sensitive_flows": [{"entry": "/pay', CAST(conv_id % 3 AS STRING), '"}], "non_http_sources": ["cron::run", 5], ',
+  '"api_names": ["GetAll", {"name": "PutOne"}, {"path": "/x"}, ""], "function_params": [{"function": "save", "param": "sql"}, {"param": "y"}, ',
+  '{"function": "load"}], "business_notes": "n"}')
+ WHEN conv_id % 7 = 4 THEN '{"title": "none of these keys"}'
+ ELSE concat('# Business Context ', CAST(conv_id AS STRING), chr(10), chr(10),
   '## System Overview', chr(10), 'Platform ', CAST(conv_id AS STRING), ' with ', CAST(n AS STRING), ' turns.', chr(10), chr(10),
   '## Custom Sinks (security-critical methods)', chr(10), chr(10),
   '### OrderRepository', CAST(conv_id % 7 AS STRING), '::rawExec', chr(10),
   '- Class: `App.Repositories.OrderRepository`', chr(10),
   '- Method: `rawExec(string $sql)`', chr(10),
-  '- Risk: Executes raw SQL', chr(10),
+  '- Risk: Executes raw SQL', chr(10), CASE WHEN conv_id % 5 = 0 THEN '- Risk: ""' ELSE '' END, chr(10),
   CASE WHEN conv_id % 2 = 0 THEN '- Vuln type: sqli' ELSE '- Note: shell command built from input' END, chr(10), chr(10),
   '### PaymentGateway::charge', chr(10), '- Risk: amount field is customer controlled', chr(10), chr(10),
   '## Custom Sources (non-HTTP inputs)', chr(10), chr(10),
   '### QueueConsumer::getPayload', chr(10), '- Class: `App.Queue.QueueConsumer`', chr(10),
   '- Source type: queue', chr(10), chr(10),
   '### handle', CAST(conv_id % 3 AS STRING), chr(10), '- Note: event data', chr(10), chr(10),
+  CASE WHEN conv_id % 4 = 1 THEN concat('### QueueConsumer::getPayload', chr(10), '- Class: App.Queue.QueueConsumer', chr(10)) ELSE '' END,
   '## Sensitive Flows', chr(10), chr(10),
   '### /webhook/payment', CAST(conv_id % 5 AS STRING), ' (POST)', chr(10), '- Risk: No authentication', chr(10), chr(10),
   '### /checkout/guest (POST)', chr(10), '- Impact: order manipulation', chr(10), chr(10),
+  '## API Names', chr(10), CASE WHEN conv_id % 2 = 0 THEN concat('- GetDataSet(sql, connStr): raw SQL', chr(10), '* Ping', CAST(conv_id % 6 AS STRING),
+     ': health', chr(10), '- # hidden', chr(10), '(nameless)')
+   ELSE concat('### GetRows(sql)', chr(10), '- Params: sql, top', chr(10), '- Note: raw', chr(10), '### POST /api/data', chr(10), '- Path: /api/data') END, chr(10),
+  '## Function Params', chr(10), CASE WHEN conv_id % 3 = 0 THEN concat('- RunSql(sql, , conn) : goes to the driver', chr(10), 'Plain: reason', chr(10), 'Alone')
+   ELSE concat('### Fill(q)', chr(10), '- Taint reason: raw', chr(10), '### Other', chr(10), '- Param: a ') END, chr(10),
   '## Business Notes', chr(10), '- Multi-tenant: company_id must be enforced', chr(10),
-  '- Admin panel uses AdminGuard', chr(10)) AS text
-FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) t
+  '- Admin panel uses AdminGuard', chr(10), said, chr(10)) END AS text
+FROM (SELECT conv_id, count(*) AS n, replace(max(text), '#', '') AS said FROM conversations GROUP BY conv_id) t
 """
 
 # Raw field declarations of data models (one model per part).
