@@ -205,3 +205,19 @@ SELECT 'Model' || CAST(p_partkey AS STRING) AS model_name, '/src/models/M' || CA
 FROM part CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4
   UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8) f
 """
+
+# Class nodes and their parts: one class per part, fields from its words.
+V_MODEL_NODES = """
+SELECT 'c' || CAST(p_partkey AS STRING) AS node_id,
+  CASE p_partkey % 3 WHEN 0 THEN 'OrderModel' || CAST(p_partkey AS STRING) WHEN 1 THEN 'Plain' || CAST(p_partkey AS STRING) ELSE 'UserEntity' END AS name,
+  CASE p_partkey % 5 WHEN 0 THEN '/src/Domain/a.cs' ELSE '/src/x' || CAST(p_partkey % 7 AS STRING) || '.cs' END AS file,
+  CASE p_partkey % 4 WHEN 0 THEN 'Struct' WHEN 1 THEN 'Interface' ELSE 'Class' END AS type FROM part
+UNION ALL
+SELECT 'f' || CAST(p_partkey AS STRING) || '_' || CAST(k AS STRING), CASE k WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN p_brand ELSE 'id' END,
+  '/src/f.cs', CASE (p_partkey + k) % 3 WHEN 0 THEN 'Property' WHEN 1 THEN 'Field' ELSE 'Method' END
+FROM part CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) t
+"""
+V_MODEL_PARTS = """
+SELECT 'c' || CAST(p_partkey AS STRING) AS parent, 'f' || CAST(p_partkey AS STRING) || '_' || CAST(k AS STRING) AS child
+FROM part CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) t
+"""
