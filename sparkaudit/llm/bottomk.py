@@ -49,7 +49,7 @@ K = 64
 SHARED = K // 2
 PERCENT = 85
 #: Shingles that a bucket of a group holds; a block has two buckets.
-BUCKET_SHINGLES = 1_000_000
+BUCKET_SHINGLES = 250_000
 #: Candidate ids up to this number (8 bytes each) are broadcast to fetch texts; more are joined by key.
 BROADCAST_IDS = 1_000_000
 
