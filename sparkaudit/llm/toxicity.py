@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain | None:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, a probability for each category, predicted): predicted says that the document is toxic."""
+    """(doc_id, a probability for each category, predicted, is_toxic): the last two say that the document is toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,11 +185,12 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             values = score(model, data, offsets) if model else np.zeros((rows.num_rows, len(CHAIN)))
             cut = model.threshold if model else 2.0
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), *[pa.array(v) for v in values.T], pa.array((values[:, -1] >= cut).astype(np.int32))],
-                ["doc_id", *[f"p_{c}" for c in CHAIN], "predicted"])
+                [rows.column(0), *[pa.array(v) for v in values.T], pa.array((values[:, -1] >= cut).astype(np.int32)),
+                 pa.array(values[:, -1] >= cut)],
+                ["doc_id", *[f"p_{c}" for c in CHAIN], "predicted", "is_toxic"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, " + ", ".join(f"p_{c} double" for c in CHAIN) + ", predicted int")
+        run, "doc_id long, " + ", ".join(f"p_{c} double" for c in CHAIN) + ", predicted int, is_toxic boolean")
 
 
 def score(model: Chain, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
