@@ -86,27 +86,27 @@ def _first(*keys: str) -> str:
 
 _CALL = q(X.CALL_RE)
 _LIST = "list_filter(list_transform(string_split(coalesce({0}, ''), ','), lambda p: " + _STRIP.format("p") + "), lambda p: p <> '')"
-BULLETS_SQL = f"""
-, bl0 AS (SELECT doc_id, kind, {_STRIP.format("regexp_replace(" + _STRIP.format("unnest(regexp_split_to_array(body, '\r\n|\n|\r'))") + ", '^[-*•]+', '')")} AS line
+BULLETS_SQL = rf"""
+, bl0 AS (SELECT doc_id, kind, {_STRIP.format(r"regexp_replace(" + _STRIP.format(r"unnest(regexp_split_to_array(body, '\r\n|\n|\r'))") + ", '^[-*•]+', '')")} AS line
          FROM s3 WHERE NOT regexp_matches(body, '(?m)^###\s+')),
 bl AS (SELECT * FROM bl0 WHERE line <> '' AND NOT starts_with(line, '#')),
 api AS (SELECT * FROM (
   SELECT doc_id, trim(regexp_replace({_first('name', 'method_name').format(f"nullif(regexp_extract(heading, {_CALL}, 1), ''), trim(heading)")}, '\(.*\)', '')) AS name,
     {_LIST.format(_first('params', 'param', 'parameters').format(f"regexp_extract(heading, {_CALL}, 2)"))} AS params,
-    {_first('note', 'risk', 'description').format("''")} AS note FROM it2 WHERE kind = 'api_names'
-  UNION ALL SELECT doc_id, {_STRIP.format("split_part(split_part(line, '(', 1), ':', 1)")},
-    {_LIST.format("regexp_extract(line, '\(([^)]+)\)', 1)")},
-    CASE WHEN contains(line, ':') AND NOT contains(split_part(line, ':', 1), '(') THEN {_STRIP.format("regexp_replace(line, '^[^:]*:', '')")} ELSE '' END
+    {_first('note', 'risk', 'description').format(r"''")} AS note FROM it2 WHERE kind = 'api_names'
+  UNION ALL SELECT doc_id, {_STRIP.format(r"split_part(split_part(line, '(', 1), ':', 1)")},
+    {_LIST.format(r"regexp_extract(line, '\(([^)]+)\)', 1)")},
+    CASE WHEN contains(line, ':') AND NOT contains(split_part(line, ':', 1), '(') THEN {_STRIP.format(r"regexp_replace(line, '^[^:]*:', '')")} ELSE '' END
   FROM bl WHERE kind = 'api_names') t WHERE name <> ''),
 fpb AS (SELECT *, regexp_matches(line, '^(\w+)\s*\(([^)]+)\)\s*:?\s*(.*)') AS called FROM bl WHERE kind = 'function_params'),
 fp AS (SELECT * FROM (
   SELECT doc_id, coalesce(nullif(regexp_extract(heading, {_CALL}, 1), ''), trim(heading)) AS function,
     {_STRIP.format(_first('param', 'params').format(f"regexp_extract(heading, {_CALL}, 2)"))} AS param,
-    {_first('taint_reason', 'taint', 'note', 'risk').format("''")} AS taint_reason FROM it2 WHERE kind = 'function_params'
-  UNION ALL SELECT doc_id, CASE WHEN called THEN regexp_extract(line, '^(\w+)', 1) ELSE {_STRIP.format("split_part(line, ':', 1)")} END,
-    unnest(CASE WHEN called THEN {_LIST.format("regexp_extract(line, '\(([^)]+)\)', 1)")} ELSE [''] END),
-    CASE WHEN called THEN {_STRIP.format("regexp_extract(line, '^(\w+)\s*\(([^)]+)\)\s*:?\s*(.*)', 3)")}
-         WHEN contains(line, ':') THEN {_STRIP.format("regexp_replace(line, '^[^:]*:', '')")} ELSE '' END FROM fpb) t WHERE function <> '')
+    {_first('taint_reason', 'taint', 'note', 'risk').format(r"''")} AS taint_reason FROM it2 WHERE kind = 'function_params'
+  UNION ALL SELECT doc_id, CASE WHEN called THEN regexp_extract(line, '^(\w+)', 1) ELSE {_STRIP.format(r"split_part(line, ':', 1)")} END,
+    unnest(CASE WHEN called THEN {_LIST.format(r"regexp_extract(line, '\(([^)]+)\)', 1)")} ELSE [''] END),
+    CASE WHEN called THEN {_STRIP.format(r"regexp_extract(line, '^(\w+)\s*\(([^)]+)\)\s*:?\s*(.*)', 3)")}
+         WHEN contains(line, ':') THEN {_STRIP.format(r"regexp_replace(line, '^[^:]*:', '')")} ELSE '' END FROM fpb) t WHERE function <> '')
 """
 
 
@@ -157,13 +157,13 @@ def q_normalize_context(spark, sf):
     return X.normalize_context(I.view(spark, sf, "v_context_docs"))
 
 
-_SINKS = f"""SELECT doc_id FROM (SELECT doc_id, trim(regexp_replace(coalesce({_kv('method')}, nm), '\(.*\)', '')) AS name
+_SINKS = rf"""SELECT doc_id FROM (SELECT doc_id, trim(regexp_replace(coalesce({_kv('method')}, nm), '\(.*\)', '')) AS name
   FROM it2 WHERE kind = 'custom_sinks') t WHERE name <> ''"""
-_SOURCES = f"""SELECT doc_id, CASE WHEN simple <> '' THEN simple || '::' || name ELSE name END AS qualified FROM (
+_SOURCES = rf"""SELECT doc_id, CASE WHEN simple <> '' THEN simple || '::' || name ELSE name END AS qualified FROM (
   SELECT doc_id, trim(regexp_replace(coalesce({_kv('method')}, nm), '\(.*\)', '')) AS name,
     list_reverse(string_split(list_reverse(string_split(coalesce({_kv('class')}, cls), chr(92)))[1], '.'))[1] AS simple
   FROM it2 WHERE kind = 'custom_sources') t WHERE name <> ''"""
-_FLOWS = f"""SELECT doc_id FROM (SELECT doc_id, coalesce({_kv('entry')}, trim(regexp_replace(heading, '\s*\(.*?\)', '', 'g'))) AS entry
+_FLOWS = rf"""SELECT doc_id FROM (SELECT doc_id, coalesce({_kv('entry')}, trim(regexp_replace(heading, '\s*\(.*?\)', '', 'g'))) AS entry
   FROM it2 WHERE kind = 'sensitive_flows') t WHERE entry <> ''"""
 
 

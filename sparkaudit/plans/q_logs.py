@@ -58,11 +58,55 @@ def q_run_usage(spark, sf):
     return L.tool_usage(I.view(spark, sf, "v_calls"), by=("run_id",))
 
 
-@register("tool_latency_quantiles", ("v_calls",))
+@register("tool_latency_quantiles", ("v_calls",), """
+SELECT tool, CAST(quantile_disc(duration_ms, 0.5) AS DOUBLE) AS p50_ms, CAST(quantile_disc(duration_ms, 0.9) AS DOUBLE) AS p90_ms,
+  CAST(quantile_disc(duration_ms, 0.99) AS DOUBLE) AS p99_ms FROM v_calls GROUP BY tool
+""")
 def q_tool_latency_quantiles(spark, sf):
-    """A12 approximate latency quantiles (bounded-memory sketch)."""
-    return L.tool_latency_quantiles(I.view(spark, sf, "v_calls")).select(
-        "tool", F.col("q")[0].alias("p50_ms"), F.col("q")[1].alias("p90_ms"), F.col("q")[2].alias("p99_ms"))
+    """A12 latency quantiles, exact (a count per distinct duration first)."""
+    return L.tool_latency_quantiles(I.view(spark, sf, "v_calls"), exact=True).select(
+        "tool", F.col("q")[0].cast("double").alias("p50_ms"), F.col("q")[1].cast("double").alias("p90_ms"),
+        F.col("q")[2].cast("double").alias("p99_ms"))
+
+
+_SUMMARY_SQL = """
+, r AS (SELECT event_id, tool, json_valid(result) AS ok, CASE WHEN json_valid(result) THEN result ELSE '{}' END AS j FROM v_results)
+SELECT event_id, tool, CASE WHEN json_exists(j, '$.error') THEN substring(json_extract_string(j, '$.error'), 1, 300) END AS error,
+  CASE WHEN json_exists(j, '$.error') THEN NULL ELSE json_extract_string(j, '$.saved_to') END AS saved_to,
+  CASE WHEN json_exists(j, '$.error') THEN NULL ELSE CAST(json_extract(j, '$.count') AS BIGINT) END AS count,
+  CASE WHEN json_exists(j, '$.error') OR NOT ok THEN NULL WHEN tool = 'semgrep_scan' THEN 'sinks=' || coalesce(json_array_length(j, '$.sinks'), 0) || ',sources='
+       || coalesce(json_array_length(j, '$.sources'), 0)
+    WHEN tool = 'triage_score' THEN 'high_score=' || coalesce(list_max(list_transform(json_extract(j, '$.scored[*].score'), lambda x: CAST(x AS BIGINT))), 0)
+       || ',total_paths=' || coalesce(json_array_length(j, '$.scored'), 0)
+    WHEN tool = 'secrets_scan' THEN 'secrets_found=' || coalesce(json_array_length(j, '$.findings'), 0) || ',types='
+       || array_to_string(list_sort(list_distinct(list_transform(json_extract(j, '$.findings[*]'), lambda x: coalesce(json_extract_string(x, '$.type'), '?')))), '+')
+    WHEN tool = 'joern_filter' THEN 'confirmed=' || coalesce(CAST(json_extract(j, '$.confirmed_count') AS BIGINT), 0) || ',full_verify='
+       || coalesce(CAST(json_extract(j, '$.full_verify_count') AS BIGINT), 0) || ',skipped=' || coalesce(CAST(json_extract(j, '$.skipped_count') AS BIGINT), 0)
+    ELSE '' END AS parts FROM r
+"""
+
+
+@register("result_summary", ("v_results",), _SUMMARY_SQL)
+def q_result_summary(spark, sf):
+    """Summaries by tool."""
+    s = L.result_summary(I.view(spark, sf, "v_results"))
+    parts = F.array_join(F.transform(F.array_sort(F.map_entries("parts")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return s.select("event_id", "tool", "error", "saved_to", "count", parts.alias("parts"))
+
+
+@register("call_log_round_trip", ("v_calls",), """
+SELECT run_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at, arg_min(tool, (ts, event_id)) AS first_tool, CAST(count(*) AS BIGINT) AS calls
+FROM v_calls GROUP BY run_id
+""")
+def q_call_log_round_trip(spark, sf):
+    """K4 + S7: the log is written by run, read back, and gives the session index."""
+    calls = I.view(spark, sf, "v_calls").select(
+        F.col("ts").cast("timestamp").alias("ts"), "run_id", "tool", L.redact_args(F.col("args")).alias("args_summary"), "status",
+        "duration_ms", F.lit(None).cast("map<string,string>").alias("result_summary"), "event_id")
+    folder = ST.new_folder(spark, "call-log")
+    L.append_call_log(calls, folder, "all")
+    f = L.session_index(L.read_call_log(spark, folder, extra="event_id long"))
+    return f.select("run_id", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"), "first_tool", "calls")
 
 
 @register("first_call_per_run", ("v_calls",), """
@@ -102,6 +146,12 @@ def _calls_stream(spark, sf):
 _DAY = "strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S')"
 
 
+def _usage_rows(spark, sf, name, **window):
+    res = ST.run_to_table(ST.stream_tool_usage(_calls_stream(spark, sf), **window), ST.new_folder(spark, name), keys=("w", "tool"))
+    return res.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "tool",
+                      "calls", "errors", "total_ms")
+
+
 @register("stream_tool_usage", ("v_calls",), f"""
 SELECT {_DAY} AS window_start, tool, CAST(count(*) AS BIGINT) AS calls,
        CAST(count(*) FILTER (WHERE status = 'error') AS BIGINT) AS errors,
@@ -110,9 +160,24 @@ FROM v_calls GROUP BY 1, tool
 """)
 def q_stream_tool_usage(spark, sf):
     """ST1 + ST2: file stream, watermark, daily tumbling windows (availableNow)."""
-    res = ST.run_to_table(ST.stream_tool_usage(_calls_stream(spark, sf)), "tool_usage")
-    return res.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "tool",
-                      "calls", "errors", "total_ms")
+    return _usage_rows(spark, sf, "tool_usage")
+
+
+@register("stream_tool_usage_sliding", ("v_calls",), """
+, w AS (SELECT *, unnest([0, 6, 12, 18]) AS back FROM v_calls),
+s AS (SELECT *, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') - to_hours(back) AS start FROM w)
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS window_start, tool, CAST(count(*) AS BIGINT) AS calls,
+       CAST(count(*) FILTER (WHERE status = 'error') AS BIGINT) AS errors, CAST(sum(duration_ms) AS BIGINT) AS total_ms
+FROM s GROUP BY 1, tool
+""")
+def q_stream_tool_usage_sliding(spark, sf):
+    """ST2: windows of a day, every six hours."""
+    return _usage_rows(spark, sf, "tool_usage_sliding", slide="6 hours")
+
+
+def _progress(spark, sf):
+    return ST.latest_progress(ST.run_to_table(ST.stream_query_progress(_calls_stream(spark, sf)), ST.new_folder(spark, "progress"),
+                                              keys=("w", "run_id", "label")))
 
 
 @register("stream_query_progress", ("v_calls",), """
@@ -122,18 +187,39 @@ FROM v_calls GROUP BY run_id, tool
 """)
 def q_stream_query_progress(spark, sf):
     """ST3: latest state per (run, label) maintained by a streaming aggregate."""
-    res = ST.run_to_table(ST.stream_query_progress(_calls_stream(spark, sf)), "progress")
-    return res.select("run_id", "label", F.col("s.status").alias("status"), F.col("s.duration_ms").alias("duration_ms"))
+    return _progress(spark, sf)
 
 
-@register("stream_sessions", ("v_calls",))
+@register("stream_pending_counts", ("v_calls",), """
+, l AS (SELECT run_id, tool, arg_max(status, (ts, event_id)) AS status FROM v_calls GROUP BY run_id, tool)
+SELECT run_id, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE status <> 'ok') AS BIGINT) AS pending FROM l GROUP BY run_id
+""")
+def q_stream_pending_counts(spark, sf):
+    """ST3: pending labels per run."""
+    return ST.pending_counts(_progress(spark, sf))
+
+
+@register("stream_sessions", ("v_calls",), """
+, o AS (SELECT run_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY run_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM v_calls),
+n AS (SELECT run_id, ts, sum(new) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o),
+s AS (SELECT run_id, min(ts) AS a, max(ts) + INTERVAL 30 MINUTES AS b, count(*) AS calls FROM n GROUP BY run_id, k)
+SELECT run_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS session_start, strftime(b, '%Y-%m-%d %H:%M:%S') AS session_end,
+  CAST(calls AS BIGINT) AS calls FROM s WHERE b <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM v_calls)
+""")
 def q_stream_sessions(spark, sf):
-    """ST4: activity sessions per run (30-minute inactivity gap)."""
-    res = ST.run_to_table(ST.stream_sessions(_calls_stream(spark, sf)), "sessions")
+    """ST4: sessions that the watermark has closed (30-minute inactivity gap, 1 hour of lateness)."""
+    res = ST.run_to_table(ST.stream_sessions(_calls_stream(spark, sf)), ST.new_folder(spark, "sessions"), "append")
     return res.select("run_id", F.date_format("s.start", "yyyy-MM-dd HH:mm:ss").alias("session_start"),
                       F.date_format("s.end", "yyyy-MM-dd HH:mm:ss").alias("session_end"), "calls")
 
 
+@register("stream_first_calls", ("v_calls",), "SELECT DISTINCT run_id FROM v_calls")
+def q_stream_first_calls(spark, sf):
+    """ST4: the runs of the session index."""
+    calls = ST.call_stream(spark, f"{sf.rstrip('/')}/events.parquet*", watermark="60 days")
+    return ST.run_to_table(ST.stream_first_calls(calls), ST.new_folder(spark, "first"), "append").select("run_id")
+
+
 @register("stream_secrets_scan", (), SECRETS_SQL)
 def q_stream_secrets_scan(spark, sf):
     """ST5: the secrets scan as a stateless stream over arriving documents."""
@@ -141,4 +227,4 @@ def q_stream_secrets_scan(spark, sf):
     schema = spark.read.parquet(path).schema
     docs = spark.readStream.schema(schema).parquet(path).select(
         F.concat(F.lit("doc/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("file"), "text")
-    return ST.run_to_table(S.secrets_scan(docs), "secrets", mode="append")
+    return ST.run_to_table(S.secrets_scan(docs), ST.new_folder(spark, "secrets"), "append")

@@ -164,7 +164,7 @@ SELECT o_orderkey AS ord,
 FROM orders
 """
 
-from sparkaudit.plans.views_src import (V_CALLS, V_CONTEXT_DOCS, V_MODEL_FIELDS, V_MODEL_NODES, V_MODEL_PARTS, V_EDGES, V_FN_PARAMS, V_NODES, V_REGISTRY_INPUT,  # noqa: E402
+from sparkaudit.plans.views_src import (V_CALLS, V_CONTEXT_DOCS, V_MODEL_FIELDS, V_MODEL_NODES, V_MODEL_PARTS, V_RESULTS, V_EDGES, V_FN_PARAMS, V_NODES, V_REGISTRY_INPUT,  # noqa: E402
                                         V_SRC_FILES, V_URL_PATHS)
 
 from sparkaudit.plans.views_intel import V_REPO_FILES  # noqa: E402
@@ -172,6 +172,7 @@ from sparkaudit.plans.views_rules import V_GRAPH_DOCS, V_RULE_FILES, V_SCAN_DOCS
 
 VIEWS: dict[str, str] = {
     "v_repo_files": V_REPO_FILES,
+    "v_results": V_RESULTS,
     "v_model_nodes": V_MODEL_NODES,
     "v_model_parts": V_MODEL_PARTS,
     "v_scan_docs": V_SCAN_DOCS,
@@ -197,6 +198,7 @@ VIEWS: dict[str, str] = {
 # Which base tables each view reads (for registration).
 VIEW_DEPS: dict[str, tuple[str, ...]] = {
     "v_repo_files": ("pages", "v_src_files"),
+    "v_results": ("events",),
     "v_model_nodes": ("part",),
     "v_model_parts": ("part",),
     "v_scan_docs": ("orders", "v_scan"),

@@ -221,3 +221,18 @@ V_MODEL_PARTS = """
 SELECT 'c' || CAST(p_partkey AS STRING) AS parent, 'f' || CAST(p_partkey AS STRING) || '_' || CAST(k AS STRING) AS child
 FROM part CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) t
 """
+
+# Results of tool calls as JSON text, one per event.
+V_RESULTS = """
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'semgrep_scan' WHEN 1 THEN 'triage_score' WHEN 2 THEN 'secrets_scan' WHEN 3 THEN 'joern_filter'
+    ELSE 'other_tool' END AS tool,
+  CASE WHEN event_id % 17 = 3 THEN '{"error": "timeout of ' || CAST(event_id AS STRING) || '", "count": 1}'
+    WHEN event_id % 19 = 4 THEN 'plain text'
+    ELSE CASE event_id % 5
+      WHEN 0 THEN concat('{"sources": [1, 2', CASE WHEN event_id % 2 = 0 THEN ', 3' ELSE '' END, '], "sinks": [], "saved_to": "a/', CAST(event_id AS STRING), '.json"}')
+      WHEN 1 THEN concat('{"scored": [{"score": ', CAST(event_id % 13 AS STRING), '}, {"score": 4}], "count": 2}')
+      WHEN 2 THEN CASE WHEN event_id % 3 = 0 THEN '{"findings": []}' ELSE '{"findings": [{"type": "token"}, {"type": "password"}, {"type": "token"}, {}]}' END
+      WHEN 3 THEN concat('{"confirmed_count": ', CAST(event_id % 7 AS STRING), ', "skipped_count": 2}')
+      ELSE '{"total": 5}' END END AS result
+FROM events
+"""

@@ -12,7 +12,8 @@ TREE_EXTS = [".py", ".java", ".js", ".ts", ".go", ".php", ".rb", ".cs"]
 
 def read_corpus(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """Recursive binary-file read -> (repo, path, content).  ``repo`` is
-    the first directory under ``root``; content is decoded as UTF-8."""
+    the first directory under ``root``; content is decoded as UTF-8.  Spark's
+    reader lists no files without bytes."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)

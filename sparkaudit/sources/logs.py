@@ -8,7 +8,7 @@ percentiles use the bounded-memory approximate sketch.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkaudit import catalogs as K
@@ -17,13 +17,29 @@ CALL_LOG_SCHEMA = ("ts timestamp, run_id string, tool string, args_summary map<s
                    "status string, duration_ms long, result_summary map<string,string>")
 
 
-def read_call_log(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
-    """JSON-lines call log with an explicit schema; malformed lines are
-    dropped; optional run filter (pushed to the scan)."""
-    df = (spark.read.schema(CALL_LOG_SCHEMA).option("mode", "DROPMALFORMED").json(path))
+def read_call_log(spark: SparkSession, path: str, run_id: str | None = None, extra: str = "") -> DataFrame:
+    """JSON-lines call log with an explicit schema (and ``extra`` fields);
+    malformed lines are dropped; optional run filter (a partition of the log)."""
+    schema = CALL_LOG_SCHEMA + (f", {extra}" if extra else "")
+    df = spark.read.schema(schema + ", batch string").option("mode", "DROPMALFORMED").json(path).drop("batch")
     return df.where(F.col("run_id") == run_id) if run_id else df
 
 
+def append_call_log(calls: DataFrame, path: str, batch: str) -> None:
+    """K4: append call records to the log, one folder per run.
+
+    ``batch`` names the writer's turn: writing the same turn again replaces its
+    own files, so a retry adds nothing twice.
+    """
+    (calls.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch", "run_id").json(path))
+
+
+def session_index(calls: DataFrame) -> DataFrame:
+    """The session record of each run (started_at, first tool, calls)."""
+    return first_call_per_run(calls)
+
+
 def redact_args(args_json: Column, max_text: int = K.MAX_ARG_LEN, max_cypher: int = K.MAX_CYPHER_LEN) -> Column:
     """Parse an argument object and summarise each value: sensitive keys
     redacted, ``cypher`` and other long strings cut, lists and objects
@@ -68,10 +84,16 @@ def tool_usage(calls: DataFrame, by=("tool",)) -> DataFrame:
         F.max("duration_ms").alias("max_ms"))
 
 
-def tool_latency_quantiles(calls: DataFrame, by=("tool",)) -> DataFrame:
-    """A12 latency quantiles with the bounded-memory approximate sketch."""
-    return calls.groupBy(*by).agg(
-        F.percentile_approx("duration_ms", [0.5, 0.9, 0.99], 10000).alias("q"))
+def tool_latency_quantiles(calls: DataFrame, by=("tool",), exact: bool = False) -> DataFrame:
+    """A12 latency quantiles: a bounded-memory sketch, or ``exact`` from a count per distinct duration."""
+    points = [0.5, 0.9, 0.99]
+    if not exact:
+        return calls.groupBy(*by).agg(F.percentile_approx("duration_ms", points, 10000).alias("q"))
+    counted = calls.groupBy(*by, "duration_ms").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy(*by).orderBy("duration_ms")
+    ranked = counted.withColumn("c", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
+    firsts = [F.min(F.when(F.col("c") >= F.ceil(F.lit(p) * F.col("total")), F.col("duration_ms"))) for p in points]
+    return ranked.groupBy(*by).agg(F.array(*firsts).alias("q"))
 
 
 def first_call_per_run(calls: DataFrame) -> DataFrame:
@@ -95,12 +117,49 @@ def progress_rollup(events: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(~called, F.col("label")))).alias("pending_labels"))
 
 
-def result_summary(results: DataFrame) -> DataFrame:
-    """Per call, compact counts of a JSON result (list sizes, max score,
-    up to 20 distinct types)."""
+def result_summary(results: DataFrame, max_error: int = 300, max_types: int = 20) -> DataFrame:
+    """Per call the error, or the common fields and the counts that its tool's result has.
+
+    ``results``: (tool, result JSON).  ``parts`` maps a count's name to its value;
+    an error replaces everything else, and a result that isn't an object has no parts.
+    """
     r = F.col("result")
-    return results.select(
-        "*",
-        F.coalesce(F.json_array_length(F.get_json_object(r, "$.findings")), F.lit(0)).alias("findings"),
-        F.coalesce(F.json_array_length(F.get_json_object(r, "$.endpoints")), F.lit(0)).alias("endpoints"),
-        F.get_json_object(r, "$.max_score").cast("int").alias("max_score"))
+    ok = F.trim(r).startswith("{") & F.try_parse_json(r).isNotNull()
+    error = F.when(ok, F.substring(F.get_json_object(r, "$.error"), 1, max_error))
+    fine = ok & error.isNull()
+
+    def number(path):
+        return F.coalesce(F.get_json_object(r, path).cast("long"), F.lit(0)).cast("string")
+
+    def length(path):
+        return F.coalesce(F.json_array_length(F.get_json_object(r, path)), F.lit(0)).cast("string")
+    scores = F.transform(F.from_json(F.get_json_object(r, "$.scored"), "array<struct<score:long>>"), lambda x: F.coalesce(x["score"], F.lit(0)))
+    types = F.array_sort(F.array_distinct(F.transform(F.slice(F.from_json(
+        F.get_json_object(r, "$.findings"), "array<struct<type:string>>"), 1, max_types), lambda x: F.coalesce(x["type"], F.lit("?")))))
+    tools = {
+        "semgrep_scan": {"sources": length("$.sources"), "sinks": length("$.sinks")},
+        "api_parse": {"endpoints": length("$.endpoints")},
+        "secrets_scan": {"secrets_found": length("$.findings"), "types": F.coalesce(F.array_join(types, "+"), F.lit(""))},
+        "gitnexus_context": {"entry_points": length("$.entry_points"), "custom_sinks": length("$.custom_sinks"),
+                             "file_tree_len": F.coalesce(F.length(F.get_json_object(r, "$.file_tree")), F.lit(0)).cast("string")},
+        "gitnexus_query": {"paths": length("$.paths"), "nodes": length("$.nodes")},
+        "fp_filter": {"kept": length("$.kept"), "removed": length("$.removed")},
+        "joern_filter": {"confirmed": number("$.confirmed_count"), "full_verify": number("$.full_verify_count"),
+                         "skipped": number("$.skipped_count")},
+        "triage_score": {"total_paths": length("$.scored"),
+                         "high_score": F.coalesce(F.array_max(scores), F.lit(0)).cast("string")},
+        "repo_intel": {"frameworks": length("$.framework_detection.frameworks"), "mechanisms": length("$.auth_detection.mechanisms"),
+                       "annotations": length("$.auth_detection.annotations"), "security_notes": length("$.security_notes")},
+        "write_findings": {"findings_written": length("$.findings")},
+        "burp_send": {"status_code": F.coalesce(F.get_json_object(r, "$.status_code"), F.lit("")),
+                      "evidence": F.coalesce(F.get_json_object(r, "$.saved_to"), F.lit(""))},
+    }
+    parts = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    for tool, fields in tools.items():
+        parts = F.when(F.col("tool") == tool, F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)])).otherwise(parts)
+    out = results.withColumn("error", error)
+    for key in ("saved_to", "saved_json", "saved_md"):
+        out = out.withColumn(key, F.when(fine, F.get_json_object(r, f"$.{key}")))
+    for key in ("count", "total"):
+        out = out.withColumn(key, F.when(fine, F.get_json_object(r, f"$.{key}").cast("long")))
+    return out.withColumn("parts", F.when(fine, parts))

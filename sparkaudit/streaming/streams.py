@@ -1,15 +1,15 @@
 """Structured Streaming forms of the log and document operators (ST1-ST5).
 
-Sources are file streams (parquet / JSON) with a glob path; sinks are
-``foreachBatch`` writers into a table folder under the cluster's
-``spark.checkpoint.dir`` (shared storage), with the stream checkpoint next to
-it, so a restarted driver or lost executor resumes exactly once.  Stateful
-parts use event-time watermarks so state stays bounded.
+A stream's state and results live in one folder that the caller names, on
+shared storage: a query started again with the same folder goes on where the
+last one stopped.  Every micro-batch writes a partition of its own, named by
+the batch's number, so a batch that runs twice replaces its own rows.  Queries
+run in update or append mode under a watermark, so old state is dropped; a
+table of updates is read as the last row of each key.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,48 +32,66 @@ def call_stream(spark: SparkSession, events_glob: str, watermark: str = "1 hour"
     return calls.withWatermark("ts", watermark)
 
 
-def _out_dir(spark: SparkSession, name: str) -> str:
-    base = checkpoint_dir(spark)
-    return os.path.join(base, "streams", f"{name}-{uuid.uuid4().hex[:8]}")
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder for a single run (tests, registered queries); a service names its own and keeps it."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drive a streaming DataFrame to completion (``availableNow``) into a
-    parquet table on shared storage and return the table as a batch
-    DataFrame.  ``complete``: each batch rewrites the table with the full
-    result; ``append``: each batch appends its new rows."""
-    spark = df.sparkSession
-    out = _out_dir(spark, name)
-    table, ckpt = out + "/table", out + "/checkpoint"
+def run_to_table(df: DataFrame, folder: str, mode: str = "update", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Process what has arrived (``availableNow``) and return the table as a batch DataFrame.
+
+    ``folder`` holds the table and the stream's checkpoint.  With ``keys`` the
+    table is read as the newest row of each key, for update mode.
+    """
+    spark, table = df.sparkSession, f"{folder}/table"
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{table}/batch=-1")  # the table exists from the start
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        w = batch.write.mode("overwrite" if mode == "complete" else "append")
-        w.parquet(table)
+        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
-    q = (df.writeStream.outputMode(mode).foreachBatch(write)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(table)
+    query = (df.writeStream.outputMode(mode).foreachBatch(write)
+             .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    rows = spark.read.parquet(table)
+    if not keys:
+        return rows.drop("batch")
+    values = [c for c in df.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
 
 
-def stream_tool_usage(calls: DataFrame, window: str = "1 day") -> DataFrame:
-    """ST2: per tool and tumbling window: calls, errors, mean duration."""
+def stream_tool_usage(calls: DataFrame, window: str = "1 day", slide: str | None = None) -> DataFrame:
+    """ST2: per tool and tumbling (or sliding) window: calls, errors, total duration."""
     err = F.col("status") == "error"
-    return calls.groupBy(F.window("ts", window).alias("w"), "tool").agg(
+    return calls.groupBy(F.window("ts", window, slide).alias("w"), "tool").agg(
         F.count(F.lit(1)).cast("long").alias("calls"),
         F.count_if(err).cast("long").alias("errors"),
         F.sum("duration_ms").cast("long").alias("total_ms"))
 
 
-def stream_query_progress(calls: DataFrame) -> DataFrame:
-    """ST3: latest state per (run_id, label) — here label = tool and the
-    state is (status, duration) of the latest call."""
-    return calls.groupBy("run_id", F.col("tool").alias("label")).agg(
+def stream_query_progress(calls: DataFrame, horizon: str = "7 days") -> DataFrame:
+    """ST3: latest state per (run_id, label) — here label = tool and the state is (status, duration) of the
+    latest call — within spans of ``horizon``, after which a label's state is dropped."""
+    return calls.groupBy(F.window("ts", horizon).alias("w"), "run_id", F.col("tool").alias("label")).agg(
         F.max_by(F.struct("status", "duration_ms"), F.struct("ts", "event_id")).alias("s"),
-        F.max("ts").alias("last_ts"))
+        F.max(F.struct("ts", "event_id")).alias("last"))
+
+
+def latest_progress(table: DataFrame) -> DataFrame:
+    """(run_id, label, status, duration_ms) over all spans of ``stream_query_progress``."""
+    return table.groupBy("run_id", "label").agg(F.max_by("s", "last").alias("s")).select("run_id", "label", "s.*")
+
+
+def pending_counts(progress: DataFrame) -> DataFrame:
+    """ST3: per run the labels seen, and those whose latest call did not end well."""
+    return progress.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") != "ok").alias("pending"))
 
 
 def stream_sessions(calls: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """ST4: activity sessions per run by inactivity gap."""
+    """ST4: activity sessions per run by inactivity gap; append mode gives those that the watermark has closed."""
     return calls.groupBy("run_id", F.session_window("ts", gap).alias("s")).agg(
         F.count(F.lit(1)).cast("long").alias("calls"))
+
+
+def stream_first_calls(calls: DataFrame) -> DataFrame:
+    """ST4: the first call of each run to arrive; a run is remembered as long as the watermark allows."""
+    return calls.dropDuplicatesWithinWatermark(["run_id"]).select("run_id", "ts", "tool")

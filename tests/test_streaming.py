@@ -1,4 +1,6 @@
-"""Stream result equals the batch result after availableNow."""
+"""Streams: equal to batch, restart, late rows, replayed batches."""
+import datetime
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -12,3 +14,44 @@ def test_stream_equals_batch(spark, sf_small):
     b = ST.stream_tool_usage(c).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                                        "tool", "calls", "errors", "total_ms")
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.collect()))
+
+
+def _arrive(spark, folder, rows):
+    start = datetime.datetime(2024, 1, 1)
+    spark.createDataFrame([(i, start + datetime.timedelta(hours=h), u, t, 1.0, "{}") for i, h, u, t in rows],
+                          "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+                          ).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_restart_goes_on_and_late_rows_are_dropped(spark, tmp_path):
+    events, folder = str(tmp_path / "events"), str(tmp_path / "stream")
+
+    def run():
+        usage = ST.stream_tool_usage(ST.call_stream(spark, events, "2 hours"))
+        return ST.run_to_table(usage, folder, keys=("w", "tool"))
+
+    _arrive(spark, events, [(1, 1, 1, "view"), (2, 2, 1, "view"), (3, 30, 2, "error")])
+    first = {(r.w.start.day, r.tool): r.calls for r in run().collect()}
+    assert first == {(1, "view"): 2, (2, "error"): 1}
+    # after a stop: a row of the open window counts, one of the closed window is late
+    _arrive(spark, events, [(4, 31, 2, "error"), (5, 3, 1, "view"), (6, 50, 3, "buy")])
+    again = {(r.w.start.day, r.tool): r.calls for r in run().collect()}
+    assert again == {(1, "view"): 2, (2, "error"): 2, (3, "buy"): 1}
+    assert {(r.w.start.day, r.tool): r.calls for r in run().collect()} == again  # nothing new
+
+
+def test_a_replayed_batch_replaces_its_rows(spark, tmp_path):
+    """A batch whose commit got lost runs again with the same number."""
+    events, folder = str(tmp_path / "events"), tmp_path / "stream"
+    _arrive(spark, events, [(1, 1, 1, "view"), (2, 5, 2, "buy")])
+
+    def run():
+        calls = ST.call_stream(spark, events, "60 days")
+        return sorted(r.run_id for r in ST.run_to_table(ST.stream_first_calls(calls), str(folder), "append").collect())
+
+    assert run() == ["run_1", "run_2"]
+    commits = sorted((folder / "checkpoint" / "commits").iterdir())
+    for f in commits:
+        if "0" in f.name:
+            f.unlink()
+    assert run() == ["run_1", "run_2"]
