@@ -71,9 +71,19 @@ def classify_paths(paths: DataFrame, ctx_sinks: DataFrame | None = None) -> Data
 
 
 # --- scanner output (C2, C3, C4) ---------------------------------------------
-def rule_sink_type(rule_lower: Column) -> Column:
-    """First sink type (dict order) with a prefix contained in the rule."""
-    return first_group(rule_lower, K.SINK_RULE_PREFIXES)
+def rule_sink_type(rule_lower: Column, mode: str = "token") -> Column:
+    """First sink type (dict order) with a prefix in the rule.
+
+    ``token``: the prefix begins a word of the rule id, so ``resource`` has no
+    ``rce``.  ``substring``: it may stand anywhere.
+    """
+    if mode == "substring":
+        return first_group(rule_lower, K.SINK_RULE_PREFIXES)
+    out = F.lit(None).cast("string")
+    for label, prefixes in reversed(K.SINK_RULE_PREFIXES):
+        words = "|".join(p.replace(".", "[.]") for p in prefixes)
+        out = F.when(rule_lower.rlike(f"(?:^|[^a-z0-9])(?:{words})"), F.lit(label)).otherwise(out)
+    return out
 
 
 def is_source_rule(rule_lower: Column) -> Column:
@@ -119,8 +129,9 @@ def scan_counts(classified: DataFrame) -> DataFrame:
 
 # --- free-text and known-sink vuln inference (C5, C6) ---------------------------
 def vuln_from_known_sink(name: Column) -> Column:
-    """C5 (order keeps quirk Q11: ``curl_exec`` -> rce)."""
-    return first_group(F.lower(F.coalesce(name, F.lit(""))), K.KNOWN_SINK_VULN_GROUPS, "unknown")
+    """C5; keywords are compared in lower case, in order (so ``curl_exec`` is rce)."""
+    groups = [(label, [k.lower() for k in kws]) for label, kws in K.KNOWN_SINK_VULN_GROUPS]
+    return first_group(F.lower(F.coalesce(name, F.lit(""))), groups, "unknown")
 
 
 def vuln_from_text(text: Column) -> Column:
@@ -173,8 +184,8 @@ def severity_counts(findings: DataFrame) -> DataFrame:
 
 
 def findings_by_severity(findings: DataFrame) -> DataFrame:
-    """CRITICAL, HIGH, MEDIUM, LOW, INFO order."""
-    return findings.withColumn("severity_rank", severity_rank(F.col("severity")))
+    """CRITICAL, HIGH, MEDIUM, LOW, INFO order, then by id."""
+    return findings.withColumn("severity_rank", severity_rank(F.col("severity"))).orderBy("severity_rank", "id")
 
 
 def business_severity(sev: Column, impact: Column) -> Column:

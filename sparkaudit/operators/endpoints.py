@@ -153,11 +153,13 @@ def _ep(method, path, handler, params, framework, tags, line, sub=None) -> Colum
 
 
 # --- per-language generators (each returns array<endpoint struct>) -----------------
-def _python(lines, n, line, stack):
+def _python(lines, n, line, stack, route_as_get=False):
     s = F.trim(line)
     path = F.regexp_extract(s, K.PY_DECORATOR_RE, 1)
     multi = F.regexp_extract(s, K.PY_MULTI_METHOD_RE, 1)
     verb = F.regexp_extract(s, K.PY_VERB_RE, 1)
+    if route_as_get:
+        verb = F.when(F.lower(verb) != "route", verb).otherwise("")
     methods = F.when(s.rlike(K.PY_MULTI_METHOD_RE),
                      F.transform(F.split(multi, ","), lambda x: F.regexp_replace(_strip(x), "^[\"']+|[\"']+$", ""))
                      ).otherwise(F.array(F.when(verb != "", F.upper(verb)).otherwise(F.lit("GET"))))
@@ -209,10 +211,10 @@ def _nest(lines, n, line):
     return F.transform(ms, one)
 
 
-def _express(lines, n, line):
-    meth = F.upper(F.regexp_extract(line, K.JS_ROUTE_RE, 1))
+def _express(lines, n, line, route=K.JS_ROUTE_RE):
+    meth = F.upper(F.regexp_extract(line, route, 1))
     meth = F.when(meth == "USE", "ALL").otherwise(meth)
-    path = F.regexp_extract(line, K.JS_ROUTE_RE, 2)
+    path = F.regexp_extract(line, route, 2)
     acc = F.flatten(F.transform(window(lines, n + 1, n + 40),
                                 lambda l: F.regexp_extract_all(l, F.lit(K.JS_PARAM_RE), 0)))
     pairs = F.array_distinct(F.transform(acc, lambda m: F.struct(
@@ -305,10 +307,17 @@ def _route_lines(files: DataFrame, exts: list[str], regex: str, trimmed: bool =
     return f.withColumn("_h", F.explode(hits)).select("*", "_h.n", "_h.line").drop("_h")
 
 
-def endpoints_raw(files: DataFrame, stack: str = "python") -> DataFrame:
+def endpoints_raw(files: DataFrame, stack: str = "python", route_as_get: bool = False,
+                  allow_single_quote: bool = False) -> DataFrame:
     """All endpoint rows before de-duplication.  The corpus is read once; files with a route are
-    written to the shared checkpoint folder and read by each language."""
-    f = api_source_files(files).where(F.col("content").rlike(ROUTE_ANY)).select(
+    written to the shared checkpoint folder and read by each language.
+
+    ``route_as_get`` gives a Flask ``route`` without methods GET instead of ROUTE;
+    ``allow_single_quote`` also takes Express paths in single quotes.
+    """
+    js_route = K.JS_ROUTE_RE.replace('["`]', """["'`]""").replace('[^"`]', """[^"'`]""") if allow_single_quote else K.JS_ROUTE_RE
+    anything = ROUTE_ANY + (f"|(?:{js_route})" if allow_single_quote else "")
+    f = api_source_files(files).where(F.col("content").rlike(anything)).select(
         "repo", "path", "ext", "content", F.split("content", LINE_SPLIT).alias("lines"))
     # A trailing newline yields one empty last element that splitlines() drops.
     f = checkpointed(f.withColumn("lines", F.when(
@@ -322,10 +331,10 @@ def endpoints_raw(files: DataFrame, stack: str = "python") -> DataFrame:
         lambda x: x != ""), F.lit(1)), F.lit("")), "^/+", "")
     js = K.LANG_EXTS["js"] + K.LANG_EXTS["ts"]
     parts = [
-        (_route_lines(f, [".py"], K.PY_DECORATOR_RE, trimmed=True), _python(lines, n, line, F.lit(stack))),
+        (_route_lines(f, [".py"], K.PY_DECORATOR_RE, trimmed=True), _python(lines, n, line, F.lit(stack), route_as_get)),
         (_route_lines(typed, [".java"], K.SPRING_MAPPING_RE), _java(lines, n, line, content)),
         (_route_lines(typed, js, K.NESTJS_RE), _nest(lines, n, line)),
-        (_route_lines(f, js, K.JS_ROUTE_RE), _express(lines, n, line)),
+        (_route_lines(f, js, js_route), _express(lines, n, line, js_route)),
         (_route_lines(f, [".go"], K.GO_ROUTE_RE), _go(lines, n, line)),
         (_route_lines(f, [".php"], K.PHP_ROUTE_RE), _php(lines, n, line)),
         (_route_lines(f, [".rb"], K.RAILS_ROUTE_RE), _ruby(lines, n, line, content)),
@@ -348,9 +357,9 @@ def auth_required(tags: Column) -> Column:
             .otherwise(F.lit(True)))
 
 
-def endpoint_inventory(files: DataFrame, stack: str = "python") -> DataFrame:
+def endpoint_inventory(files: DataFrame, stack: str = "python", **options) -> DataFrame:
     """Union of all frameworks, ids, tri-state auth, dedupe by id; written once."""
-    raw = endpoints_raw(files, stack)
+    raw = endpoints_raw(files, stack, **options)
     eid = F.substring(F.md5(F.concat_ws(":", "method", "path", "file", F.col("line").cast("string"))), 1, 12)
     out = (raw.withColumn("id", eid).withColumn("auth_required", auth_required(F.col("auth_tags"))))
     w = Window.partitionBy("repo", "id").orderBy("file", "line", "sub")

@@ -1,9 +1,9 @@
 """Hard-coded secret and weak-crypto scans over a text corpus.
 
 Input: any DataFrame with a file-like column and a text column (source files,
-documents, pages).  One narrow pass: a file-level prefilter on the combined
-pattern, ``posexplode`` of the lines of matching files only, then every
-pattern is extracted in a single projection and exploded once.  No shuffle.
+documents, pages).  One narrow pass: texts and lines are tested for plain words
+first, then every pattern is extracted in a single projection and exploded
+once.  No shuffle.
 """
 
 from __future__ import annotations
@@ -17,13 +17,25 @@ from sparkaudit.functions.core import contains_any, map_lookup
 LINE_SPLIT = r"\r\n|\n|\r"
 
 
-def numbered_lines(df: DataFrame, file_col: str, text_col: str, prefilter: str | None = None,
-                   keep=()) -> DataFrame:
-    """(file, line_no, line) for files (optionally) matching ``prefilter``."""
-    src = df if prefilter is None else df.where(F.col(text_col).rlike(prefilter))
-    return src.select(F.col(file_col).alias("file"), *keep,
-                      F.posexplode(F.split(F.col(text_col), LINE_SPLIT)).alias("pos", "line")
-                      ).withColumn("line_no", (F.col("pos") + 1).cast("int")).drop("pos")
+#: What a text must contain (lower case) for one of the patterns to match; cheap tests before any expression.
+ASSIGN_WORDS = ["password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "private_key"]
+FORMAT_WORDS = {"aws_access_key": "akia", "aws_secret_key": "aws_secret_access_key", "github_token": "ghp_",
+                "stripe_live_key": "sk_live_", "google_api_key": "aiza", "private_key": "private key-----", "connection_string": "://"}
+
+
+def _has(text: Column, words) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | text.contains(w)
+    return out
+
+
+def gated_lines(df: DataFrame, file_col: str, text_col: str, words) -> DataFrame:
+    """(file, line_no, line) of lines that contain one of ``words``; only their numbers are kept before the explode."""
+    lines = F.transform(F.split(F.col(text_col), LINE_SPLIT), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
+    src = df.where(_has(F.lower(F.col(text_col)), words))
+    return src.select(F.col(file_col).alias("file"), F.explode(F.filter(
+        lines, lambda x: _has(F.lower(x["line"]), words))).alias("x")).select("file", "x.line_no", "x.line")
 
 
 def mask(v: Column) -> Column:
@@ -41,23 +53,23 @@ def assign_type(name: Column) -> Column:
 
 
 def secrets_scan(df: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
-    """X43 + C8: file, line, type, value_masked, confidence, severity."""
-    allp = "|".join([f"(?:{K.SECRET_ASSIGN_RE})"] + [f"(?:{p})" for _, p, _ in K.SECRET_FORMATS])
-    lines = numbered_lines(df.where(~contains_any(F.col(file_col), K.SECRET_SKIP_DIRS)),
-                           file_col, text_col, prefilter=allp)
-    lines = lines.where(F.col("line").rlike(allp))
-    line = F.col("line")
-    safe = line.rlike(K.SECRET_SAFE_RE)
-    assign = F.transform(
+    """X43 + C8: file, line, type, value_masked, confidence, severity.
+
+    Lines pass a test for plain words first; a pattern runs only on lines with its own word.
+    """
+    words = [*ASSIGN_WORDS, *FORMAT_WORDS.values()]
+    lines = gated_lines(df.where(~contains_any(F.col(file_col), K.SECRET_SKIP_DIRS)), file_col, text_col, words)
+    line, low = F.col("line"), F.lower("line")
+    empty = F.array().cast("array<struct<type:string,value:string,confidence:string>>")
+    assign = F.when(_has(low, ASSIGN_WORDS) & ~line.rlike(K.SECRET_SAFE_RE), F.transform(
         F.regexp_extract_all(line, F.lit(K.SECRET_ASSIGN_RE), 0),
         lambda m: F.struct(assign_type(F.regexp_extract(m, K.SECRET_ASSIGN_RE, 1)).alias("type"),
                            F.regexp_extract(m, K.SECRET_ASSIGN_RE, 2).alias("value"),
-                           F.lit("MEDIUM").alias("confidence")))
-    empty = F.array().cast("array<struct<type:string,value:string,confidence:string>>")
-    assign = F.when(safe, empty).otherwise(assign)
+                           F.lit("MEDIUM").alias("confidence")))).otherwise(empty)
+
     def tagger(t, c):
         return lambda m: F.struct(F.lit(t).alias("type"), m.alias("value"), F.lit(c).alias("confidence"))
-    fmts = [F.transform(F.regexp_extract_all(line, F.lit(p), 0), tagger(t, c))
+    fmts = [F.when(low.contains(FORMAT_WORDS[t]), F.transform(F.regexp_extract_all(line, F.lit(p), 0), tagger(t, c))).otherwise(empty)
             for t, p, c in K.SECRET_FORMATS]
     hits = lines.select("file", "line_no", F.explode(F.concat(assign, *fmts)).alias("h"))
     return hits.select(

@@ -209,3 +209,26 @@ def q_extra_topics(spark, sf):
     api = urls.select(R.api_path_tail(F.col("path")).alias("name")).where(F.col("name").isNotNull())
     kw = urls.select(R.domain_from_path(F.col("path")).alias("keyword")).where(F.col("keyword") != "unknown")
     return R.extra_topics(flow_entries=flows, notes=notes, api_names=api, domain_keywords=kw)
+
+
+@register("split_camel", ("v_url_paths",), """
+, n AS (SELECT p_partkey, list_reduce(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), lambda a, b: a || b) || 'Service' AS name FROM part)
+SELECT p_partkey, name, array_to_string(regexp_extract_all(name, '[A-Z][a-z0-9]+'), ' ') AS words FROM n
+""")
+def q_split_camel(spark, sf):
+    """U5 over names made of part words."""
+    I.register_tables(spark, sf, ["part"])
+    names = spark.table("part").select("p_partkey", F.concat(F.array_join(F.transform(F.split("p_name", " "), F.initcap), ""), F.lit("Service")).alias("name"))
+    return names.select("p_partkey", "name", F.array_join(R.split_camel(F.col("name")), " ").alias("words"))
+
+
+@register("param_stem", ("v_url_paths",), f"""
+, p AS (SELECT p_partkey, lower(split_part(p_name, ' ', 1)) || CASE p_partkey % 5 WHEN 0 THEN '_id' WHEN 1 THEN '-UUID' WHEN 2 THEN '_number' WHEN 3 THEN 'id' ELSE '_Key' END AS p FROM part)
+SELECT p_partkey, p, {_STEM} AS stem FROM p
+""")
+def q_param_stem(spark, sf):
+    """U4."""
+    I.register_tables(spark, sf, ["part"])
+    p = spark.sql("""SELECT p_partkey, concat(lower(split_part(p_name, ' ', 1)), CASE p_partkey % 5 WHEN 0 THEN '_id' WHEN 1 THEN '-UUID'
+        WHEN 2 THEN '_number' WHEN 3 THEN 'id' ELSE '_Key' END) AS p FROM part""")
+    return p.select("p_partkey", "p", R.param_stem(F.col("p")).alias("stem"))

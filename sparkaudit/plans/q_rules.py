@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkaudit import catalogs as K0
 from sparkaudit import catalogs_rules as K
 from sparkaudit.operators import rules as U
+from sparkaudit.operators import secrets as S0
 from sparkaudit.plans import inputs as I
 from sparkaudit.plans.q_intel import _values
 from sparkaudit.plans.registry import register
@@ -48,6 +50,23 @@ def q_ingest_graph_rows(spark, sf):
     return U.ingest_graph_rows(I.view(spark, sf, "v_graph_docs"), "name string, file string, line int", keep=("doc_id",))
 
 
+_WEAK = K0.WEAK_CRYPTO
+_NEAR = f"regexp_matches(ctx, {q(K0.WEAK_CONTEXT_RE)})"
+
+
+@register("weak_crypto_scan", _RULE_FILES, f"""
+, f AS (SELECT path AS file, regexp_split_to_array(content, '\\r\\n|\\n|\\r') AS ls FROM v_rule_files),
+l AS (SELECT file, i AS line, ls[i] AS l, array_to_string(ls[greatest(i - 2, 1):i + 2], chr(10)) AS ctx
+      FROM (SELECT file, ls, unnest(generate_series(1, len(ls))) AS i FROM f))
+SELECT file, CAST(line AS INTEGER) AS line, t AS type, trim(l) AS code FROM l
+JOIN (VALUES {_values(_WEAK)}) w(t, p) ON regexp_matches(l, p) AND (t NOT IN ('weak_hash', 'insecure_random') OR {_NEAR})
+""")
+def q_weak_crypto_scan(spark, sf):
+    """X44 over whole files."""
+    files = I.view(spark, sf, "v_rule_files").select(F.col("path").alias("file"), F.col("content").alias("text"))
+    return S0.weak_crypto_scan(files)
+
+
 _R = [(r[0], r[2], r[4], r[5], next(iter(K.RULE_EXTS[r[3]])), U.either(r[6]) if r[6] else "", U.either(r[7])) for r in K.RULES]
 
 

@@ -277,3 +277,22 @@ def q_verify_queue_order(spark, sf):
     s = T.triage_score(T.unique_paths(p), fl, cx)
     return T.verify_queue_order(s).select("id", "ord", F.col("score").cast("int").alias("score"),
                                           "path_decision", "verify_rank")
+
+
+_RAW = """CASE l_orderkey % 3 WHEN 0 THEN concat('/app/raw', CAST(l_orderkey AS STRING), '.php')
+  WHEN 1 THEN concat('{"id": "', CAST(l_orderkey AS STRING), '", "entry_file": "/a.php", "score": ', CAST(l_linenumber AS STRING), ', "sink_fn": "exec", "sink_file": "/s.php"}')
+  ELSE concat('{"entry_fn": "f", "sink": {"name": "query", "type": "sqli"}, "tool": "semgrep"}') END"""
+
+
+@register("normalize_paths", ("v_paths",), f"""
+, r AS (SELECT l_orderkey, l_linenumber, {_RAW} AS raw, l_orderkey % 3 AS k FROM lineitem)
+SELECT CASE WHEN k = 1 THEN CAST(l_orderkey AS STRING) END AS id, CASE k WHEN 0 THEN raw WHEN 1 THEN '/a.php' END AS entry_file,
+  CASE k WHEN 0 THEN '' WHEN 1 THEN 'exec' ELSE 'query' END AS sink_name, CASE k WHEN 0 THEN 'custom' WHEN 2 THEN 'sqli' END AS sink_type,
+  CASE k WHEN 0 THEN 'manual' WHEN 2 THEN 'semgrep' END AS tool, CAST(CASE k WHEN 0 THEN 0 WHEN 1 THEN l_linenumber END AS INTEGER) AS score FROM r
+""")
+def q_normalize_paths(spark, sf):
+    """JSON records, flat graph rows and bare strings."""
+    I.register_tables(spark, sf, ["lineitem"])
+    raw = spark.sql(f"SELECT l_orderkey AS ord, {_RAW} AS raw FROM lineitem")
+    return T.normalize_paths(raw).select("id", "entry_file", F.col("sink.name").alias("sink_name"), F.col("sink.type").alias("sink_type"),
+                                         "tool", "score")

@@ -34,7 +34,7 @@ SELECT 'svc' || CAST(page_id AS STRING), CASE page_id % 2 WHEN 0 THEN 'web/view'
     WHEN 2 THEN concat('data = request.data', chr(10), 'obj = pickle.loads(data)', chr(10), 'cfg = yaml.load(f, Loader=yaml.Loader)')
     WHEN 4 THEN concat('cursor.execute(f"select {x}")', chr(10), 'Order.objects.raw("select " + key)', chr(10), 'HOME = os.environ.get("HOME")',
       chr(10), 'Queue and take', CAST(page_id % 50 AS STRING))
-    WHEN 6 THEN concat('pickle.loads(blob)', chr(10), 'subprocess.run(args)', chr(10), 'read one item', CAST(page_id % 20 AS STRING))
+    WHEN 6 THEN concat('pickle.loads(blob)', chr(10), 'h = md5 (name)', chr(10), 'x = 1', chr(10), 'y = 2', chr(10), 'z = 3', chr(10), 'password = sha1(pw)', chr(10), 'secret_key = "changeme"', chr(10), 'n = random.randint(1, 9)', chr(10), 'debug=True', chr(10), 'subprocess.run(args)', chr(10), 'read one item', CAST(page_id % 20 AS STRING))
     WHEN 1 THEN concat('public class A : ControllerBase {', chr(10), '  cmd.CommandText = sql;', chr(10), '  var c = new SqlCommand(sql, con);', chr(10),
       '  File.Delete(name);', chr(10), '}')
     WHEN 3 THEN concat('var q = Request.Query["q"];', chr(10), 'Response.Write(q);', chr(10), 'Process.Start(q, "");', chr(10), 'db.Set<Item>().FromSqlRaw(q, 1)')

@@ -44,7 +44,7 @@ def test_secret_fixture(spark):
     s = S.secrets_scan(_files(spark, [("mail.php", MAIL_PHP), ("shop.py", SHOP_PY)])
                        .withColumnRenamed("path", "file").withColumnRenamed("content", "text")).collect()
     assert [(r.file, r.line, r.type) for r in s] == [("mail.php", 5, "password")]
-    assert s[0].value_masked == "tr0u********"
+    assert s[0].value_masked == "tr0u" + "*" * 7
 
 
 def test_env_read_is_safe(spark):
@@ -61,6 +61,10 @@ def test_express_middleware_and_quotes(spark):
     assert len(eps) == 1  # single quotes are not matched (quirk kept)
     assert eps[0].auth_tags == ["express_mw:authenticate", "express_mw:isAdmin"]
     assert [(p.name, p.location) for p in eps[0].params] == [("id", "path"), ("q", "query")]
+    both = E.endpoint_inventory(_files(spark, [("r.js", js)]), allow_single_quote=True).collect()
+    assert sorted(e.path for e in both) == ["/a/:id", "/single"]
+    flask = E.endpoint_inventory(_files(spark, [("shop.py", SHOP_PY)]), route_as_get=True).collect()
+    assert [e.method for e in flask] == ["GET"]
 
 
 def test_rails_resources_expand(spark):
