@@ -11,6 +11,7 @@ from sparkaudit.plans import inputs as I
 from sparkaudit.plans.q_endpoints import _MADE
 from sparkaudit.plans.registry import register
 from sparkaudit.plans.sqlfrag import contains_any, in_list, q
+from sparkaudit.sources.corpus import PROFILES, scan_source_files
 
 VIEWS = ("v_src_files", "v_repo_files")
 
@@ -258,3 +259,14 @@ def q_manifest_info(spark, sf):
 def q_readme(spark, sf):
     """Whole texts."""
     return N.readme(_files(spark, sf))
+
+
+@register("scan_profiles", VIEWS, " UNION ALL ".join(
+    f"SELECT {q(p)} AS profile, repo, path FROM v_repo_files WHERE {_source(exts, skip)}" for p, (exts, skip) in PROFILES.items()))
+def q_scan_profiles(spark, sf):
+    """The files that each scan reads."""
+    files, out = _files(spark, sf).select("repo", "path"), None
+    for p in PROFILES:
+        part = scan_source_files(files, p).select(F.lit(p).alias("profile"), "repo", "path")
+        out = part if out is None else out.unionByName(part)
+    return out

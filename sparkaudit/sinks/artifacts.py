@@ -73,10 +73,20 @@ def finding_completeness(findings: DataFrame) -> DataFrame:
 
 
 def write_findings(findings: DataFrame, base: str, run_id: str) -> DataFrame:
-    """K2: save findings as JSON under the run and return the counts row."""
-    findings.write.mode("overwrite").json(f"{base.rstrip('/')}/{run_id}/findings")
-    s = F.upper(F.coalesce(F.col("severity"), F.lit("MEDIUM")))
-    return findings.agg(F.count(F.lit(1)).cast("long").alias("total"),
-                        F.count_if(s == "CRITICAL").cast("long").alias("critical"),
-                        F.count_if(s == "HIGH").cast("long").alias("high"),
-                        F.count_if(s == "MEDIUM").cast("long").alias("medium"))
+    """K2: save a run's findings as JSON and their report rows, and return the counts row of what was written.
+
+    Missing report columns are null; without an ``ord`` column rows are numbered as they come.
+    """
+    spark, folder = findings.sparkSession, f"{base.rstrip('/')}/{run_id}"
+    findings.write.mode("overwrite").json(f"{folder}/findings")
+    kinds = {"ord": "long", "line_start": "int", "line": "int", **{c: "string" for c in (
+        "severity", "vuln_type", "file", "entry_file", "status", "confidence", "cwe", "owasp")}}
+    rows = findings.withColumn("run_id", F.lit(run_id))
+    for c, kind in kinds.items():
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.monotonically_increasing_id() if c == "ord" else F.lit(None).cast(kind))
+    findings_report_rows(rows).write.mode("overwrite").parquet(f"{folder}/report")
+    s = F.col("severity")
+    return spark.read.parquet(f"{folder}/report").agg(
+        F.count(F.lit(1)).cast("long").alias("total"), F.count_if(s == "CRITICAL").cast("long").alias("critical"),
+        F.count_if(s == "HIGH").cast("long").alias("high"), F.count_if(s == "MEDIUM").cast("long").alias("medium"))

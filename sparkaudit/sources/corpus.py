@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkaudit import catalogs as K
+from sparkaudit import catalogs_intel as KI
+from sparkaudit import catalogs_surface as KS
+
 # FIXED VALUES — file-tree profile.
 TREE_SKIP_DIRS = [".git", "node_modules", "__pycache__", "vendor", "dist", "build", ".tox", "venv"]
 TREE_EXTS = [".py", ".java", ".js", ".ts", ".go", ".php", ".rb", ".cs"]
@@ -24,6 +28,24 @@ def read_corpus(spark: SparkSession, root: str, glob: str | None = None) -> Data
                      F.decode("content", "UTF-8").alias("content"))
 
 
+#: Extensions that a scan reads and folders that it leaves out.
+PROFILES = {
+    "api": ([e for v in K.LANG_EXTS.values() for e in v], K.API_SKIP_DIRS),
+    "tree": (TREE_EXTS, TREE_SKIP_DIRS),
+    "annotations": (KI.SOURCE_EXTS, KI.SKIP_DIRS),
+    "roles": (KI.ROLE_EXTS, KI.SKIP_DIRS),
+    "queue": (KI.SOURCE_EXTS, KI.QUEUE_SKIP_DIRS),
+    "surface": (KS.SURFACE_EXTS, K.SCAN_SKIP_DIRS),
+}
+
+
+def scan_source_files(files: DataFrame, profile: str) -> DataFrame:
+    """The files of a scan profile, by extension and folders of the relative path."""
+    exts, skip = PROFILES[profile]
+    ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    return files.where(ext.isin(*exts) & ~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(d) for d in skip])))
+
+
 def file_inventory(files: DataFrame, cap: int | None = None) -> DataFrame:
     """Sorted relative source paths per repo with their ordinal ``n``.
 

@@ -36,6 +36,8 @@ def test_write_findings(spark, tmp_path):
     counts = A.write_findings(rows, str(tmp_path), "run").first()
     assert (counts.total, counts.critical, counts.high, counts.medium) == (3, 1, 1, 1)
     assert spark.read.json(str(tmp_path / "run" / "findings")).count() == 3
+    report = spark.read.parquet(str(tmp_path / "run" / "report")).collect()
+    assert sorted(r.n for r in report) == [1, 2, 3] and {r.severity for r in report} == {"CRITICAL", "HIGH", "MEDIUM"}
 
 
 def test_run_timestamp(spark):
