@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 _CUT = re.compile(" +[^ ]*|[^ ]+")
-#: Pre-tokens remembered by a Python worker before it starts anew.
-CACHE = 400_000
+#: Pre-tokens remembered by a Python worker, over all of its tasks, before it starts anew.
+CACHE = 600_000
 LIMIT = 4096
 
 
@@ -158,6 +158,12 @@ class Counter:
         return [sum(map(self.known.__getitem__, words)) for words in cut]
 
 
+@lru_cache(maxsize=2)
+def counter(model: str) -> Counter:
+    """The worker's counter: what one task has counted helps the next."""
+    return Counter(load(model))
+
+
 def _alike(words: list[str], most: int = 1 << 18) -> Iterator[list[str]]:
     """Groups of like length with at most ``most`` characters, or a single longer word."""
     group, size = [], 0
@@ -175,12 +181,12 @@ def count_tokens(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(load(model))
+        count = counter(model)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                n = counter(texts)
+                n = count(texts)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()),
                      pa.array(n, pa.int64()), pa.array([x > limit for x in n])],
