@@ -12,7 +12,6 @@ the input are not read, so their names can't clash.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -211,6 +210,3 @@ def cut(text: str, spans: list[tuple[int, int]], replacement: str) -> str:
         at = max(at, end)
     return "".join([*out, text[at:]])
 
-
-def blob_id(text: str | None) -> str:
-    return hashlib.sha256((text or "").encode()).hexdigest()

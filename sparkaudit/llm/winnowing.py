@@ -20,7 +20,6 @@ of ``docs`` are kept as they are.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -236,6 +235,3 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, all columns kept."""
     return mark(docs, benchmark).where(F.size("llm_hits") == 0).select(*docs.columns)
 
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
