@@ -16,11 +16,6 @@ def col_or_lit(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
-def str_array(values: Iterable[str]) -> Column:
-    """Literal ``array<string>``."""
-    return F.array(*[F.lit(v) for v in values])
-
-
 def literal_alternation(needles: Iterable[str]) -> str:
     """Java regex matching any of the literal needles."""
     return "|".join("\\Q" + n + "\\E" for n in needles)
@@ -68,10 +63,6 @@ def nonempty(c: Column) -> Column:
     return c.isNotNull() & (c != F.lit(""))
 
 
-def empty_to_null(c: Column) -> Column:
-    return F.when(nonempty(c), c)
-
-
 def join_sorted(arr: Column, sep: str = ",") -> Column:
     """Array -> sorted delimited string (order-insensitive compare form)."""
     return F.array_join(F.sort_array(arr), sep)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkaudit import catalogs as K
-from sparkaudit.functions.core import contains_any
+from sparkaudit.functions.core import contains_any, stable_id
 from sparkaudit.operators.dims import contains_join
 from sparkaudit.session import checkpointed
 
@@ -164,7 +164,7 @@ def fan_in(nodes: DataFrame, edges: DataFrame, min_callers: int = K.MIN_CALLERS,
     fn = nodes.where(~contains_any(F.lower(F.col("file")), K.FAN_IN_SKIP) & ~F.col("name").isin(list(known)))
     out = cnt.where(F.col("caller_count") >= min_callers).join(fn, cnt.dst == fn.node_id)
     return out.select(
-        F.substring(F.md5(F.concat_ws(":", "file", "name")), 1, 10).alias("id"),
+        stable_id(10, "file", "name").alias("id"),
         F.col("name").alias("sink_name"), "file", "line", F.col("caller_count").cast("long").alias("caller_count"),
         F.when(F.col("caller_count") >= 5, "MEDIUM").otherwise("LOW").alias("confidence"))
 
@@ -179,7 +179,7 @@ def wrapper_discovery(nodes: DataFrame, edges: DataFrame, known=K.KNOWN_SINKS_GR
         F.col("node_id").alias("src"), F.col("name").alias("name"), "file", "line")
     j = _calls(edges).join(known_n, "dst").join(wrappers, "src")
     g = j.groupBy("name", "file", "line", "wraps").agg(F.count(F.lit(1)).alias("call_count"))
-    return g.select(F.substring(F.md5(F.concat_ws(":", "file", "name")), 1, 10).alias("id"),
+    return g.select(stable_id(10, "file", "name").alias("id"),
                     "name", "wraps", "file", "line", F.col("call_count").cast("long").alias("call_count"),
                     vuln_from_known_sink(F.col("wraps")).alias("vuln_type"))
 
@@ -210,7 +210,7 @@ def endpoint_middleware(nodes: DataFrame, edges: DataFrame, tokens: DataFrame) -
     j = handlers.join(calls, "node_id", "left")
     g = j.groupBy("node_id", "name", "file", "line").agg(
         F.array_sort(F.collect_set("mw")).alias("auth_middleware"))
-    return g.select(F.substring(F.md5(F.concat_ws(":", "file", "name")), 1, 10).alias("id"),
+    return g.select(stable_id(10, "file", "name").alias("id"),
                     F.col("name").alias("handler_fn"), "file", "line", "auth_middleware",
                     (F.size("auth_middleware") > 0).alias("auth_required"))
 

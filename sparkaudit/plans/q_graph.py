@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkaudit import catalogs as K
-from sparkaudit.functions.core import contains_any as col_contains_any
 from sparkaudit.operators import graph as G
 from sparkaudit.plans import inputs as I
 from sparkaudit.plans.registry import ORACLES, register
