@@ -14,13 +14,13 @@ K smallest values (the whole set if it has no more).  Equal sets are one class.
 2. Stars.  In each list the member whose sketch the others share most is the
    hub.  All members of a list are compared with its hub, so the work is one
    row per (member, hub), never all pairs of a list.
-3. Exact verification, by hub: the group's full sets meet in blocks of bounded
-   size.  Members linked with the hub are one component; only members that are
-   not are compared with the others, after a bound from the shingles that
-   nothing else in the block holds.  A block gives links that span its
-   components, at most one per member.  Large groups are dealt into buckets
-   and each pair of buckets is a block, so no task holds a whole hot group and
-   no link is lost.
+3. Exact verification on full sets.  Each member meets its hub in a join; the
+   members linked with it are one component, which is all of a group of alike
+   copies, however large.  Only members that are not linked are compared with
+   the others of their group, in blocks: both sides are dealt into buckets of
+   bounded size and each pair of buckets is a block, so no task holds a whole
+   hot group and no link is lost.  In a block, shingles that nothing else holds
+   rule most members out; it gives links that span its components.
 4. Components by label propagation with pointer jumping, checkpointed.
 
 Defined cases: texts without words (null, empty, white space) have no shingles,
@@ -118,55 +118,69 @@ def star_pairs(classes: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b): verified links that span the same components as all links among the groups' members."""
+    spark = docs.sparkSession
     ids = checkpointed(pairs.select(F.col("member").alias("id")).union(pairs.select("hub")).distinct())
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = full_sets(docs.select("doc_id", "text").join(some, F.col("doc_id") == F.col("id"), "left_semi"))
-    sets = sets.dropDuplicates(["doc_id"])
-    path = new_table_path(docs.sparkSession, "shingle-sets")
-    sets.write.parquet(path)
-    sets = docs.sparkSession.read.parquet(path)
-    # the hub's own row leads every block of its group
-    buckets = pairs.groupBy("hub").agg(F.ceil(F.sum("n") / BUCKET_SHINGLES).cast("int").alias("buckets"))
-    members = (pairs.join(buckets, "hub")
-               .withColumn("bucket", F.pmod(F.xxhash64("member"), F.col("buckets")).cast("int"))
-               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
-               .select("hub", F.col("member").alias("id"), F.least("bucket", "other").alias("lo"),
-                       F.greatest("bucket", "other").alias("hi")))
-    lead = (buckets.withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
-            .withColumn("hi", F.explode(F.sequence(F.col("lo"), F.col("buckets") - 1)))
-            .select("hub", F.col("hub").alias("id"), "lo", "hi"))
-    rows = members.unionByName(lead).join(sets, F.col("id") == F.col("doc_id")).drop("doc_id")
+    path = new_table_path(spark, "shingle-sets")
+    sets.dropDuplicates(["doc_id"]).write.parquet(path)
+    sets = spark.read.parquet(path)
+    stars = checkpointed(with_hubs(pairs, sets))
+    return stars.where("linked").select(F.col("member").alias("a"), F.col("hub").alias("b")).unionByName(
+        others(stars, sets))
+
+
+def with_hubs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` with ``linked``: whether member and hub are similar.  A hub of very many is a skewed key of a
+    join of two written tables, which Spark splits."""
+    mine = sets.select(F.col("doc_id").alias("member"), F.col("shingles").alias("mine"))
+    its = sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("its"))
+    common = F.size(F.array_intersect("mine", "its"))
+    return pairs.join(mine, "member").join(its, "hub").select(
+        "member", "hub", "n", (100 * common >= PERCENT * (F.size("mine") + F.size("its") - common)).alias("linked"))
+
+
+def others(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links of members that are not linked with their hub, within their groups."""
+    def dealt(rows, name):
+        return rows.withColumn(name, F.pmod(F.xxhash64("member"), F.col(f"{name}s")).cast("int"))
+
+    def buckets(rows, name):
+        return rows.groupBy("hub").agg(F.ceil(F.sum("n") / BUCKET_SHINGLES).cast("int").alias(f"{name}s"))
+
+    loose = stars.where("not linked")
+    sizes = checkpointed(buckets(loose, "row").join(buckets(stars, "col"), "hub"))
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(f"{name}s") - 1)).alias(name)
+    rows = dealt(loose.join(sizes, "hub"), "row").select("hub", "row", every("col"), "member", F.lit(True).alias("asks"))
+    cols = dealt(stars.join(sizes, "hub"), "col").select("hub", every("row"), "col", "member", F.lit(False).alias("asks"))
+    block = rows.unionByName(cols).groupBy("hub", "row", "col", "member").agg(F.max("asks").alias("asks"))
 
     def verify(block: pa.Table) -> pa.Table:
-        ids, hub = block.column("id").to_numpy(), block.column("hub")[0].as_py()
         shingles = block.column("shingles").combine_chunks()
-        a, b = spanning_links(ids, shingles.flatten().to_numpy(), np.diff(shingles.offsets.to_numpy()),
-                              int(np.flatnonzero(ids == hub)[0]))
+        a, b = spanning_links(block.column("member").to_numpy(), shingles.flatten().to_numpy(),
+                              np.diff(shingles.offsets.to_numpy()), block.column("asks").to_numpy())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("hub", "lo", "hi").applyInArrow(verify, "a long, b long")
+    return (block.join(sets, F.col("member") == F.col("doc_id")).drop("doc_id")
+            .groupBy("hub", "row", "col").applyInArrow(verify, "a long, b long"))
 
 
-def spanning_links(ids: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, hub: int,
+def spanning_links(ids: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, asks: np.ndarray,
                    cells: int = 4_000_000) -> tuple[list[int], list[int]]:
-    """Links that connect whatever the exact links among ``ids`` connect; each gives (member, root).
+    """Links that connect whatever the exact links of members that ``asks`` marks with any of ``ids`` connect;
+    each gives (member, root).
 
-    ``shingles`` holds the members' sets one after the other, ``hub`` is the hub's place.
-    ``cells`` bounds the counts (rows times members) held at once.
+    ``shingles`` holds the members' sets one after the other.  ``cells`` bounds the counts (rows times
+    members) held at once.
     """
     m = len(ids)
     owner = np.repeat(np.arange(m), sizes)
     _, code, held = np.unique(shingles, return_inverse=True, return_counts=True)
-    with_hub = np.zeros(len(held), bool)
-    with_hub[code[owner == hub]] = True
-    root = np.arange(m)
-    linked = _similar(np.bincount(owner, with_hub[code], m), sizes, sizes[hub])
-    root[linked] = hub
     # a link needs PERCENT of the larger set in common with another member
-    open_rows = np.flatnonzero(~linked & (100 * np.bincount(owner, held[code] > 1, m) >= PERCENT * sizes))
+    able = 100 * np.bincount(owner, held[code] > 1, m) >= PERCENT * sizes
+    open_rows, root = np.flatnonzero(able & asks), np.arange(m)
     if len(open_rows):
-        some = np.flatnonzero(100 * np.bincount(owner, held[code] > 1, m) >= PERCENT * sizes)
-        keep = np.isin(owner, some) & (held[code] > 1)
+        keep = able[owner] & (held[code] > 1)
         owner, code = owner[keep], np.unique(code[keep], return_inverse=True)[1]
         order = np.argsort(code, kind="stable")
         by_code, first = owner[order], np.searchsorted(code[order], np.arange(code.max() + 2))

@@ -63,14 +63,14 @@ def test_spanning_links(seed):
     center = np.arange(100)
     sets = [np.unique(np.where(rng.random(100) < rng.choice([0.0, 0.05, 0.1, 0.2]), rng.integers(100, 160, 100), center))
             for _ in range(40)]
-    ids = rng.permutation(1000)[:40]
-    a, b = bottomk.spanning_links(ids, np.concatenate(sets), np.array([len(s) for s in sets]), 7, cells=200)
+    ids, asks = rng.permutation(1000)[:40], rng.random(40) < 0.5
+    a, b = bottomk.spanning_links(ids, np.concatenate(sets), np.array([len(s) for s in sets]), asks, cells=200)
     want = {i: {i} for i in ids.tolist()}
     have = {i: {i} for i in ids.tolist()}
     for x in range(40):
         for y in range(x):
             n = len(np.intersect1d(sets[x], sets[y]))
-            if 100 * n >= 85 * (len(sets[x]) + len(sets[y]) - n):
+            if (asks[x] or asks[y]) and 100 * n >= 85 * (len(sets[x]) + len(sets[y]) - n):
                 _union(want, int(ids[x]), int(ids[y]))
     for x, y in zip(a, b, strict=True):
         _union(have, x, y)
