@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # Bytes of text handled at once inside a task; numpy temporaries are a small multiple of it.
-SLICE_BYTES = 2 << 20
-SLICE_ROWS = 4096
+SLICE_BYTES = 1 << 19
+SLICE_ROWS = 2048
 
 
 def shared_dir(spark: SparkSession) -> str:
