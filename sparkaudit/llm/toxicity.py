@@ -159,9 +159,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain | None:
     if not 0 < toxic < n:
         return None
     odds = (F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("a") + 0.5) / (n - toxic + 1)))
-    best = (terms.select("toxic", F.explode("terms").alias("term")).groupBy("term")
-            .agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n"))
-            .where(F.col("a") >= LEAST_TOXIC).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
+    # terms of toxic documents first, which are few; the others only count these
+    often = checkpointed(terms.where("toxic = 1").select(F.explode("terms").alias("term")).groupBy("term")
+                         .agg(F.count(F.lit(1)).alias("a")).where(F.col("a") >= LEAST_TOXIC))
+    best = (terms.select(F.explode("terms").alias("term")).join(F.broadcast(often.select("term")), "term").groupBy("term")
+            .agg(F.count(F.lit(1)).alias("n")).join(often, "term").withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
             .orderBy((F.col("a") * F.col("odds")).desc(), "term").limit(TERMS).select("term").toArrow())
     chosen = np.sort(best.column(0).to_numpy().view(np.uint64))
     wanted = F.array(*[F.lit(int(t)) for t in chosen.view(np.int64)]) if len(chosen) else F.array().cast("array<bigint>")
