@@ -218,10 +218,11 @@ def buckets(part: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
         first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (bucket[1:] != bucket[:-1])))
         n = np.diff(np.append(first, len(at)))
         inner = anchor[first] - width * bucket[first]   # the last suffix that a whole bucket has
-    else:
-        first, n, inner = at, np.ones(len(at), np.int64), at
-    core = digest(inner, inner - (width - 1) + DEPTH)
-    hull = digest(first, first + n - 1 + DEPTH)
+        core = digest(inner, inner - (width - 1) + DEPTH)
+        hull = digest(first, first + n - 1 + DEPTH)
+    else:  # single suffixes: the digests of their halves, which are equal exactly where the suffixes are
+        first, n, half = at, np.ones(len(at), np.int64), DEPTH // 2
+        core, hull = digest(at, at + half), digest(at + half, at + DEPTH)
     return first, np.where(n == width, n, -n), core.view(np.int64), hull.view(np.int64)
 
 
