@@ -12,6 +12,8 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from sparkaudit.session import get_spark
     s = get_spark("local[4]", shuffle_partitions=4)
+    # compiling a plan takes longer than running it on these few rows
+    s.conf.set("spark.sql.codegen.wholeStage", "false")
     yield s
 
 

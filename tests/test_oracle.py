@@ -7,7 +7,7 @@ from sparkaudit.plans.views import BASE_TABLES
 
 from scripts_check import rows_key  # noqa: F401  (helper lives next to the tests)
 
-SLOW = {"paths_with_chain"}
+SLOW: set[str] = set()
 
 
 @pytest.fixture(scope="module")
