@@ -14,6 +14,9 @@ from sparkaudit.llm import bottomk, mixing, rules_forest, secrets_ledger, winnow
 from sparkaudit.llm.common import new_table_path, table
 from sparkaudit.llm.registry import importable
 
+#: Similarity, in percent, at which documents are near duplicates here; op10 has its own.
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or that the isolation forest finds anomalous go."""
@@ -21,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return bottomk.one_of_each(docs)
+    """Of each group of near duplicates (similarity 0.8 or more) the document with the smallest id stays."""
+    return bottomk.one_of_each(docs, percent=NEAR_PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

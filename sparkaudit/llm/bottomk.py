@@ -6,7 +6,8 @@ K smallest values (the whole set if it has no more).  Equal sets are one class.
 1. Inverted lists.  Two sets with similarity 0.85 share at least half of their
    sketches: the values a pair has in the sketch of its union are K draws of
    which 85 % lie in both, and fewer than K / 2 do in less than one pair in
-   10**9; whole sets share ceil(0.85 n) for certain.  So the values that only
+   10**9 (``least_shared`` has the number for other similarities); whole sets
+   share ceil(0.85 n) for certain.  So the values that only
    few documents hold are enough: of each sketch the rarest k - need + 1 values
    are listed, and a pair that could be linked meets in one of these lists.
    Values that nothing else holds use up that budget, which leaves most
@@ -33,6 +34,7 @@ empty table gives an empty result; further columns are not read, and kept by
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,9 +47,10 @@ from sparkaudit.llm.words import find_words, grams, not_space
 
 SHINGLE = 5
 K = 64
-#: Of two sketches with K values each, so many at least are shared by a pair to be linked.
-SHARED = K // 2
+#: Similarity of a link, unless the caller asks for another one.
 PERCENT = 85
+#: A pair to be linked shares fewer values of its sketches than it should with less than this probability.
+MISSED = 1e-9
 #: Shingles that a bucket of a group holds; a block has two buckets.
 BUCKET_SHINGLES = 250_000
 #: Candidate ids up to this number (8 bytes each) are broadcast to fetch texts; more are joined by key.
@@ -95,12 +98,22 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def star_pairs(classes: DataFrame) -> DataFrame:
+def least_shared(percent: int) -> int:
+    """Of two sketches with K values each, so many at least are shared by a pair to be linked; at most half."""
+    p, below = percent / 100, 0.0
+    for shared in range(K // 2):
+        below += math.comb(K, shared) * p**shared * (1 - p)**(K - shared)
+        if below >= MISSED:
+            return shared
+    return K // 2
+
+
+def star_pairs(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(member, hub, n) from (rep, n, sketch): every member of an inverted list with the list's hub."""
     entries = classes.select("rep", "n", F.explode("sketch").alias("value"))
     common = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     held = F.least("n", F.lit(K))
-    need = F.when(F.col("n") <= K, F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.lit(SHARED))
+    need = F.when(F.col("n") <= K, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(least_shared(percent)))
     listed = (entries.join(common, "value").groupBy("rep").agg(
         F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"),
         F.sum("df").alias("fame"))
@@ -116,7 +129,7 @@ def star_pairs(classes: DataFrame) -> DataFrame:
             .groupBy(F.col("rep").alias("member"), "hub").agg(F.first("n").alias("n")))
 
 
-def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def links(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): verified links that span the same components as all links among the groups' members."""
     spark = docs.sparkSession
     ids = checkpointed(pairs.select(F.col("member").alias("id")).union(pairs.select("hub")).distinct())
@@ -125,22 +138,22 @@ def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     path = new_table_path(spark, "shingle-sets")
     sets.dropDuplicates(["doc_id"]).write.parquet(path)
     sets = spark.read.parquet(path)
-    stars = checkpointed(with_hubs(pairs, sets))
+    stars = checkpointed(with_hubs(pairs, sets, percent))
     return stars.where("linked").select(F.col("member").alias("a"), F.col("hub").alias("b")).unionByName(
-        others(stars, sets))
+        others(stars, sets, percent))
 
 
-def with_hubs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def with_hubs(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``pairs`` with ``linked``: whether member and hub are similar.  A hub of very many is a skewed key of a
     join of two written tables, which Spark splits."""
     mine = sets.select(F.col("doc_id").alias("member"), F.col("shingles").alias("mine"))
     its = sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("its"))
     common = F.size(F.array_intersect("mine", "its"))
     return pairs.join(mine, "member").join(its, "hub").select(
-        "member", "hub", "n", (100 * common >= PERCENT * (F.size("mine") + F.size("its") - common)).alias("linked"))
+        "member", "hub", "n", (100 * common >= percent * (F.size("mine") + F.size("its") - common)).alias("linked"))
 
 
-def others(stars: DataFrame, sets: DataFrame) -> DataFrame:
+def others(stars: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): links of members that are not linked with their hub, within their groups."""
     def dealt(rows, name):
         return rows.withColumn(name, F.pmod(F.xxhash64("member"), F.col(f"{name}s")).cast("int"))
@@ -158,7 +171,7 @@ def others(stars: DataFrame, sets: DataFrame) -> DataFrame:
     def verify(block: pa.Table) -> pa.Table:
         shingles = block.column("shingles").combine_chunks()
         a, b = spanning_links(block.column("member").to_numpy(), shingles.flatten().to_numpy(),
-                              np.diff(shingles.offsets.to_numpy()), block.column("asks").to_numpy())
+                              np.diff(shingles.offsets.to_numpy()), block.column("asks").to_numpy(), percent=percent)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return (block.join(sets, F.col("member") == F.col("doc_id")).drop("doc_id")
@@ -166,7 +179,7 @@ def others(stars: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def spanning_links(ids: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, asks: np.ndarray,
-                   cells: int = 4_000_000) -> tuple[list[int], list[int]]:
+                   cells: int = 4_000_000, percent: int = PERCENT) -> tuple[list[int], list[int]]:
     """Links that connect whatever the exact links of members that ``asks`` marks with any of ``ids`` connect;
     each gives (member, root).
 
@@ -176,8 +189,8 @@ def spanning_links(ids: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, ask
     m = len(ids)
     owner = np.repeat(np.arange(m), sizes)
     _, code, held = np.unique(shingles, return_inverse=True, return_counts=True)
-    # a link needs PERCENT of the larger set in common with another member
-    able = 100 * np.bincount(owner, held[code] > 1, m) >= PERCENT * sizes
+    # a link needs so many percent of the larger set in common with another member
+    able = 100 * np.bincount(owner, held[code] > 1, m) >= percent * sizes
     open_rows, root = np.flatnonzero(able & asks), np.arange(m)
     if len(open_rows):
         keep = able[owner] & (held[code] > 1)
@@ -193,7 +206,7 @@ def spanning_links(ids: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, ask
                 at = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
                 common[i] = np.bincount(by_code[at], minlength=m)
             for i, r in enumerate(part.tolist()):
-                for other in np.flatnonzero(_similar(common[i], sizes, sizes[r])).tolist():
+                for other in np.flatnonzero(_similar(common[i], sizes, sizes[r], percent)).tolist():
                     if other != r and (x := _find(root, other)) != (y := _find(root, r)):
                         root[max(x, y)] = min(x, y)
     tops = [_find(root, i) for i in range(m)]
@@ -201,8 +214,8 @@ def spanning_links(ids: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, ask
     return ids[moved].tolist(), [int(ids[tops[i]]) for i in moved]
 
 
-def _similar(common: np.ndarray, sizes: np.ndarray, size: int) -> np.ndarray:
-    return 100 * common >= PERCENT * (sizes + size - common)
+def _similar(common: np.ndarray, sizes: np.ndarray, size: int, percent: int) -> np.ndarray:
+    return 100 * common >= percent * (sizes + size - common)
 
 
 def _find(root: np.ndarray, i: int) -> int:
@@ -229,8 +242,8 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("id", F.col("low").alias("label"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row; a link is a similarity of ``percent`` or more."""
     spark, path = docs.sparkSession, new_table_path(docs.sparkSession, "sketches")
     sketches(docs).write.parquet(path)
     every = spark.read.parquet(path)
@@ -239,8 +252,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
      .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
      .write.parquet(path))
     classes = spark.read.parquet(path)
-    pairs = checkpointed(star_pairs(classes.where("rep is not null").select("rep", "n", "sketch")))
-    groups = components(checkpointed(links(docs, pairs)))
+    pairs = checkpointed(star_pairs(classes.where("rep is not null").select("rep", "n", "sketch"), percent))
+    groups = components(checkpointed(links(docs, pairs, percent)))
     of_class = (classes.select("digest", "rep").join(groups, F.col("rep") == F.col("id"), "left")
                 .select("digest", F.coalesce("component", "rep").alias("component")))
     component = F.coalesce("component", "doc_id")
@@ -250,9 +263,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                     F.col("doc_id").eqNullSafe(component).alias("kept")))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that are kept, all columns as they are; of repeated rows one stays."""
-    found = checkpointed(near_duplicates(docs))
+    found = checkpointed(near_duplicates(docs, percent))
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("llm_id")).distinct()
     again = (found.where("kept and n_shingles > 0").groupBy(F.col("doc_id").alias("llm_id"))
              .agg(F.count(F.lit(1)).alias("llm_n")).where("llm_n > 1").select("llm_id"))

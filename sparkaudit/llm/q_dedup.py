@@ -27,7 +27,7 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.id = w.doc_id
 @register("op10_near_duplicates", OP10_SQL)
 def op10_near_duplicates(spark, sf_dir):
     """Near-duplicate group of every whole document."""
-    return bottomk.near_duplicates(table(spark, sf_dir, "documents"))
+    return bottomk.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 @register("op3_suffix_dedup")
