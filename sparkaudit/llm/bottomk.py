@@ -6,8 +6,9 @@ K smallest values (the whole set if it has no more).  Equal sets are one class.
 1. Inverted lists.  Two sets with similarity 0.85 share at least half of their
    sketches: the values a pair has in the sketch of its union are K draws of
    which 85 % lie in both, and fewer than K / 2 do in less than one pair in
-   10**9 (``least_shared`` has the number for other similarities); whole sets
-   share ceil(0.85 n) for certain.  So the values that only
+   10**9 (``least_shared`` has the number for other similarities).  A whole set
+   shares ceil(0.85 n) with another whole one, and less what the sketch lacks
+   with a larger one, for certain (``whole_shared``).  So the values that only
    few documents hold are enough: of each sketch the rarest k - need + 1 values
    are listed, and a pair that could be linked meets in one of these lists.
    Values that nothing else holds use up that budget, which leaves most
@@ -108,12 +109,22 @@ def least_shared(percent: int) -> int:
     return K // 2
 
 
+def whole_shared(n: int, percent: int) -> int:
+    """The sketch of a set of n <= K values shares so many at least with that of a set it could be linked with.
+
+    A set of m values has percent * (n + m) / (100 + percent) in common with it, of which the sketch lacks m - K at most.
+    """
+    sizes = range(-(-percent * n // 100), 100 * n // percent + 1)
+    return min(-(-percent * (n + m) // (100 + percent)) - max(0, m - K) for m in sizes)
+
+
 def star_pairs(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(member, hub, n) from (rep, n, sketch): every member of an inverted list with the list's hub."""
     entries = classes.select("rep", "n", F.explode("sketch").alias("value"))
     common = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     held = F.least("n", F.lit(K))
-    need = F.when(F.col("n") <= K, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(least_shared(percent)))
+    whole = F.array(*[F.lit(whole_shared(n, percent)) for n in range(1, K + 1)])
+    need = F.when(F.col("n") <= K, F.get(whole, F.col("n").cast("int") - 1)).otherwise(F.lit(least_shared(percent)))
     listed = (entries.join(common, "value").groupBy("rep").agg(
         F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"),
         F.sum("df").alias("fame"))

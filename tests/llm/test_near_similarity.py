@@ -54,6 +54,27 @@ def test_required_overlap():
     assert [bottomk.least_shared(p) for p in (80, 85, 90)] == [30, 32, 32]
 
 
+@pytest.mark.parametrize("n, more", [(64, 11), (64, 9), (63, 11), (60, 10), (56, 9)])
+def test_small_set_inside_larger(spark, n, more):
+    """Sets of up to 64 shingles in sets of more than 64 that have all of theirs."""
+    rng, rows = random.Random(n + more), []
+    for k in range(40):
+        words = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(9)) for _ in range(n + more + 4)]
+        rows += [(2 * k, " ".join(words[:n + 4]), "s"), (2 * k + 1, " ".join(words), "s")]
+    got = {r.doc_id for r in bottomk.near_duplicates(table_of(spark, rows)).where("kept").collect()}
+    assert got == {i for i, _, _, k in components(rows, 85) if k} == set(range(0, 80, 2))
+
+
+def test_whole_shared_is_a_bound():
+    """Against every size of a partner and every overlap that makes a link."""
+    for percent in (80, 85):
+        for n in range(1, bottomk.K + 1):
+            least = min(c - max(0, m - bottomk.K) for m in range(1, 2 * n) for c in range(1, min(m, n) + 1)
+                        if 100 * c >= percent * (n + m - c))
+            assert bottomk.whole_shared(n, percent) <= least
+            assert least > 0
+
+
 def test_pipeline_stage(spark, between, sf_small):
     """The stage links at 0.8: near copies of similarity 0.80 to 0.85 go."""
     kept = corpus_pipeline.near_duplicates(spark, table_of(spark, between), sf_small)
