@@ -29,7 +29,10 @@ Defined cases: texts without words (null, empty, white space) have no shingles,
 link with nothing and stay; fewer than 5 words are one shingle; repeated rows
 share their component and are kept alike; ties go to the smallest doc_id; an
 empty table gives an empty result; further columns are not read, and kept by
-``one_of_each``.  ``doc_id`` identifies a text.
+``one_of_each``.  ``doc_id`` identifies a text; a row without one goes by a key
+hashed from its text, so such rows are compared like all others and each text
+is decided by itself.  Given ids come before keys: a component is called by its
+smallest given id, or by its smallest key where no member has an id.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkaudit.llm.common import checkpointed, new_table_path, text_slices
@@ -70,8 +73,18 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
             yield grams(words.hash[lo:hi], hi - lo) if hi > lo else every[:0]
 
 
+def _key() -> Column:
+    """``doc_id``, or for rows without one a key from the text."""
+    return F.coalesce("doc_id", F.xxhash64(F.lit("text"), F.coalesce("text", F.lit(""))))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, given): ``doc_id`` is never null here."""
+    return docs.select(_key().alias("doc_id"), "text", F.col("doc_id").isNotNull().alias("given"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, digest, sketch): size and content hash of the set, and its smallest values."""
+    """(doc_id, given, n, digest, sketch) of keyed rows: size and content hash of the set, and its smallest values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_slices(batches, "text"):
@@ -81,10 +94,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
                 sketch.append(s[:K].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(n, pa.int64()), pa.array(digest), pa.array(sketch, pa.list_(pa.int64()))],
-                ["doc_id", "n", "digest", "sketch"])
+                [rows.column(0), rows.column(2), pa.array(n, pa.int64()), pa.array(digest),
+                 pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "given", "n", "digest", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest string, sketch array<long>")
+    return docs.select("doc_id", "text", "given").mapInArrow(
+        run, "doc_id long, given boolean, n long, digest string, sketch array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -253,35 +267,57 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("id", F.col("low").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row; a link is a similarity of ``percent`` or more."""
-    spark, path = docs.sparkSession, new_table_path(docs.sparkSession, "sketches")
+def _called(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """``groups`` with components called by their smallest given id, where they have one."""
+    if classes.where("not given").isEmpty():
+        return groups
+    known = groups.join(classes.select(F.col("rep").alias("id"), "given"), "id")
+    names = known.groupBy("component").agg(
+        F.coalesce(F.min(F.when(F.col("given"), F.col("id"))), F.min("id")).alias("name"))
+    return groups.join(names, "component").select("id", F.col("name").alias("component"))
+
+
+def _decided(docs: DataFrame, percent: int) -> DataFrame:
+    """(key, doc_id, n_shingles, component_id, kept) of every row."""
+    spark, docs = docs.sparkSession, _keyed(docs)
+    path = new_table_path(spark, "sketches")
     sketches(docs).write.parquet(path)
     every = spark.read.parquet(path)
     path = new_table_path(spark, "classes")
+    rep = F.coalesce(F.min(F.when(F.col("given"), F.col("doc_id"))), F.min("doc_id"))
     (every.where("n > 0").groupBy("digest")
-     .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+     .agg(rep.alias("rep"), F.max("given").alias("given"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
      .write.parquet(path))
     classes = spark.read.parquet(path)
-    pairs = checkpointed(star_pairs(classes.where("rep is not null").select("rep", "n", "sketch"), percent))
-    groups = components(checkpointed(links(docs, pairs, percent)))
+    pairs = checkpointed(star_pairs(classes.select("rep", "n", "sketch"), percent))
+    groups = _called(components(checkpointed(links(docs, pairs, percent))), classes)
     of_class = (classes.select("digest", "rep").join(groups, F.col("rep") == F.col("id"), "left")
                 .select("digest", F.coalesce("component", "rep").alias("component")))
-    component = F.coalesce("component", "doc_id")
-    return (every.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
+    given = F.when(F.col("given"), F.col("doc_id"))
+    return (every.select("doc_id", "given", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
             .join(of_class, "digest", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                    F.col("doc_id").eqNullSafe(component).alias("kept")))
+            .select(F.col("doc_id").alias("key"), given.alias("doc_id"), F.col("n").alias("n_shingles"),
+                    F.coalesce("component", given).alias("component_id"),
+                    F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row; a link is a similarity of ``percent`` or more."""
+    return _decided(docs, percent).drop("key")
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents that are kept, all columns as they are; of repeated rows one stays."""
-    found = checkpointed(near_duplicates(docs, percent))
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("llm_id")).distinct()
-    again = (found.where("kept and n_shingles > 0").groupBy(F.col("doc_id").alias("llm_id"))
+    """The documents that are kept, all columns as they are; of repeated rows one stays.
+
+    Rows without an id go by their text: of each text that is kept one row stays.
+    """
+    found = checkpointed(_decided(docs, percent))
+    gone = found.where(~F.col("kept")).select(F.col("key").alias("llm_id")).distinct()
+    again = (found.where("kept and n_shingles > 0").groupBy(F.col("key").alias("llm_id"))
              .agg(F.count(F.lit(1)).alias("llm_n")).where("llm_n > 1").select("llm_id"))
-    once = docs.join(gone.union(again), F.col("doc_id").eqNullSafe(F.col("llm_id")), "left_anti")
+    once = docs.join(gone.union(again), _key() == F.col("llm_id"), "left_anti")
     if again.isEmpty():
         return once
-    twice = docs.join(again, F.col("doc_id").eqNullSafe(F.col("llm_id")), "left_semi").dropDuplicates(["doc_id"])
+    twice = (docs.withColumn("llm_key", _key()).join(again, F.col("llm_key") == F.col("llm_id"), "left_semi")
+             .dropDuplicates(["llm_key"]).drop("llm_key"))
     return once.unionByName(twice)

@@ -75,6 +75,25 @@ def test_whole_shared_is_a_bound():
             assert least > 0
 
 
+def test_rows_without_id(spark):
+    """Each text is decided by itself, near copies among them too; a given id comes before none."""
+    rng = random.Random(4)
+    texts = [prose(rng, 120) for _ in range(8)]
+    near = [t + " and more" for t in texts]
+    rows = [(None, t, str(i)) for i, t in enumerate(texts)]                       # 0, 1: near copies; 2: copies
+    rows += [(None, near[0], "n0"), (None, near[1], "n1"), (None, texts[2], "r2"), (None, texts[2], "r2")]
+    rows += [(7, texts[3], "i3"), (2**62, near[4], "i4"), (-2**62, near[5], "i5"), (8, prose(rng, 60), "i6")]
+    rows += [(None, None, "e"), (None, None, "e"), (None, "", "e"), (None, " ", "e"), (42, prose(rng, 70), "i42")]
+    kept = [(r.doc_id, r.text, r.source) for r in bottomk.one_of_each(table_of(spark, rows)).collect()]
+    got = [k[1] for k in kept]
+    assert [sum(t in got for t in (texts[i], near[i])) for i in range(2)] == [1, 1]
+    assert [got.count(texts[i]) for i in (2, 3, 4, 5, 6, 7)] == [1, 1, 0, 0, 1, 1]
+    assert sorted(k[0] for k in kept if k[0] is not None) == [-2**62, 7, 8, 42, 2**62]
+    assert sum(k[2] == "e" for k in kept) == 4 and len(kept) == 2 + 1 + 2 + 5 + 4
+    decided = bottomk.near_duplicates(table_of(spark, rows)).where("n_shingles > 0 and doc_id is null").collect()
+    assert len({r.component_id for r in decided}) == 8 and None not in {r.component_id for r in decided}
+
+
 def test_pipeline_stage(spark, between, sf_small):
     """The stage links at 0.8: near copies of similarity 0.80 to 0.85 go."""
     kept = corpus_pipeline.near_duplicates(spark, table_of(spark, between), sf_small)
