@@ -46,8 +46,10 @@ BASE_RULES = (
     Rule("hex", 1, r"[0-9a-f]{24,}", (), 0, 24),  # runs are maximal, so the length may stand in the pattern
 )
 MORE_RULES = (
-    Rule("private_key", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[^-]*(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?",
-         ("private key",)),
+    # up to its own END line; without one, header lines and what follows up to a hyphen
+    Rule("private_key", 2, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----"
+         r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----"
+         r"|(?:\s*[A-Za-z-]+: [^\n]*\n)*[^-]*)", ("private key",)),
     Rule("code_host", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("chat", 1, r"xox[abeprs]-[A-Za-z0-9-]{10,}", ("xox",)),
     Rule("maps", 1, r"AIza[A-Za-z0-9_-]{35}", ("aiza",)),
