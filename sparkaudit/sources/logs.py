@@ -117,11 +117,12 @@ def progress_rollup(events: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(~called, F.col("label")))).alias("pending_labels"))
 
 
-def result_summary(results: DataFrame, max_error: int = 300, max_types: int = 20) -> DataFrame:
+def result_summary(results: DataFrame, max_error: int = 300, max_types: int | None = None) -> DataFrame:
     """Per call the error, or the common fields and the counts that its tool's result has.
 
     ``results``: (tool, result JSON).  ``parts`` maps a count's name to its value;
     an error replaces everything else, and a result that isn't an object has no parts.
+    ``max_types``: types of so many first findings only, as in the reference; of all by default.
     """
     r = F.col("result")
     ok = F.trim(r).startswith("{") & F.try_parse_json(r).isNotNull()
@@ -134,8 +135,10 @@ def result_summary(results: DataFrame, max_error: int = 300, max_types: int = 20
     def length(path):
         return F.coalesce(F.json_array_length(F.get_json_object(r, path)), F.lit(0)).cast("string")
     scores = F.transform(F.from_json(F.get_json_object(r, "$.scored"), "array<struct<score:long>>"), lambda x: F.coalesce(x["score"], F.lit(0)))
-    types = F.array_sort(F.array_distinct(F.transform(F.slice(F.from_json(
-        F.get_json_object(r, "$.findings"), "array<struct<type:string>>"), 1, max_types), lambda x: F.coalesce(x["type"], F.lit("?")))))
+    found = F.from_json(F.get_json_object(r, "$.findings"), "array<struct<type:string>>")
+    if max_types is not None:
+        found = F.slice(found, 1, max_types)
+    types = F.array_sort(F.array_distinct(F.transform(found, lambda x: F.coalesce(x["type"], F.lit("?")))))
     tools = {
         "semgrep_scan": {"sources": length("$.sources"), "sinks": length("$.sinks")},
         "api_parse": {"endpoints": length("$.endpoints")},
