@@ -15,7 +15,8 @@ node's subtree.  They are had from a tour of the trie:
    enter (or the parent's exit).
 4. The list is ranked in two levels.  Blocks of nodes, neighbours in (smallest
    member, depth), contract the stretches of the list that stay inside by pointer
-   jumping on arrays; the stretches that are left are ranked by pointer jumping
+   jumping on arrays.  The stretches that are left, a few a block, are ranked the
+   same way: as one more block if their count allows it, else by pointer jumping
    as joins, a round for each doubling.
 5. Leaves and savings of a subtree are the difference of the prefix sums at its
    exit and enter arcs.
@@ -41,8 +42,8 @@ from sparkaudit.llm.common import checkpointed
 
 #: Nodes in a block, which one task holds as arrays.
 BLOCK_NODES = 400_000
-#: Stretches of the tour that may be broadcast; more are joined by key.
-BROADCAST_ROWS = 200_000
+#: Stretches of the tour (seven numbers each) that one task ranks and that are broadcast; more are joined by key.
+BLOCK_STRETCHES = 200_000
 #: Ids that one row of an ends list holds as text.
 CHUNK_IDS = 20_000
 #: Longest prefix that a conversation takes from the head of its hundred.
@@ -248,8 +249,7 @@ def with_next_sibling(nodes: DataFrame) -> DataFrame:
             sibling = pa.array(b.column(4).to_numpy(), pa.int64(), mask=~same)
         return pa.RecordBatch.from_arrays([*a.columns[1:], sibling], names=[*a.schema.names[1:], "sibling"])
 
-    schema = ", ".join(f"{c} long" for c in [*rows.columns[1:], "sibling"])
-    return rows.mapInArrow(link, schema)
+    return rows.mapInArrow(link, _longs([*rows.columns[1:], "sibling"]))
 
 
 def linked(nodes: DataFrame) -> DataFrame:
@@ -344,8 +344,28 @@ def _arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({c: x[k:k + 20_000] for c, x in out.items()})
 
 
-def ranked(stretches: DataFrame) -> DataFrame:
-    """Sums from each stretch to the end of the tour, by pointer jumping: a round doubles what a row covers."""
+def _to_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums from each of a block's stretches to the end of the tour."""
+    if got := [b for b in batches if b.num_rows]:
+        t = pa.Table.from_batches(got)
+        names = np.rec.fromarrays([t.column(c).to_numpy() for c in ("conv", "code")])
+        to = np.rec.fromarrays([t.column(c).fill_null(_NONE).to_numpy() for c in ("to_conv", "to_code")], dtype=names.dtype)
+        order = np.argsort(names, order=("f0", "f1"))
+        after = np.where(to.f1 == _NONE, _NONE, order[np.minimum(np.searchsorted(names[order], to), len(order) - 1)])
+        sums = np.array([t.column(c).to_numpy() for c in _ARCS])
+        while (i := np.flatnonzero(after >= 0)).size:
+            p = after[i]
+            more, further = sums[:, p], after[p]
+            sums[:, i] += more
+            after[i] = further
+        yield pa.RecordBatch.from_pydict({"conv": t.column("conv").combine_chunks(), "code": t.column("code").combine_chunks(),
+                                          **dict(zip(_ARCS, sums, strict=True))})
+
+
+def ranked(stretches: DataFrame, one_block: bool) -> DataFrame:
+    """Sums from each stretch to the end of the tour: in one task, or by joins, of which each doubles what a row covers."""
+    if one_block:
+        return stretches.coalesce(1).mapInArrow(_to_end, _longs(["conv", "code", *_ARCS]))
     cur = stretches
     while not (active := cur.where("to_conv is not null")).isEmpty():
         nxt = cur.select(F.col("conv").alias("to_conv"), F.col("code").alias("to_code"), F.col("to_conv").alias("then_conv"),
@@ -353,20 +373,23 @@ def ranked(stretches: DataFrame) -> DataFrame:
         cur = checkpointed(active.join(nxt, ["to_conv", "to_code"]).select(
             "conv", "code", F.col("then_conv").alias("to_conv"), F.col("then_code").alias("to_code"),
             *[(F.col(c) + F.col(f"{c}2")).alias(c) for c in _ARCS]).unionByName(cur.where("to_conv is null")))
-    return cur
+    return cur.select("conv", "code", *_ARCS)
+
+
+def _longs(cols: list[str]) -> str:
+    return ", ".join(f"{c} long" for c in cols)
 
 
-def toured(nodes: DataFrame, block_nodes: int = BLOCK_NODES) -> DataFrame:
+def toured(nodes: DataFrame, block_nodes: int = BLOCK_NODES, block_stretches: int = BLOCK_STRETCHES) -> DataFrame:
     """Nodes with the leaves and savings of their subtrees and the places of their arcs on the tour."""
     spark = nodes.sparkSession
     total = nodes.count()
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block_nodes))
     rows = in_order(linked(nodes), ["conv_id", "depth"], min(blocks, max(1, total)))
-    longs = lambda cols: ", ".join(f"{c} long" for c in cols)
-    stretches = checkpointed(rows.mapInArrow(_stretches, longs(["conv", "code", "to_conv", "to_code", *_ARCS])))
-    small = stretches.count() <= BROADCAST_ROWS
-    ends = ranked(stretches).select("conv", "code", *_ARCS)
-    schema = longs(["conv_id", "depth", "s1", "s2", "n_convs", "n_children", "parent",
+    stretches = checkpointed(rows.mapInArrow(_stretches, _longs(["conv", "code", "to_conv", "to_code", *_ARCS])))
+    small = stretches.count() <= block_stretches
+    ends = ranked(stretches, small)
+    schema = _longs(["conv_id", "depth", "s1", "s2", "n_convs", "n_children", "parent",
                     *[f"{s}_{c}" for s in ("enter", "exit") for c in ("conv", "code", *_ARCS)]])
     arcs = rows.mapInArrow(_arcs, schema)
     for side in ("enter", "exit"):
@@ -439,14 +462,14 @@ def ends_of(members: DataFrame, convs: DataFrame) -> DataFrame:
         _digests, "depth long, s1 long, s2 long, ends_sha256 string")
 
 
-def prefix_trie(conversations: DataFrame, block_nodes: int = BLOCK_NODES) -> DataFrame:
+def prefix_trie(conversations: DataFrame, block_nodes: int = BLOCK_NODES, block_stretches: int = BLOCK_STRETCHES) -> DataFrame:
     """One row a node of the trie of rebuilt conversations (see the module): figures of the node and its subtree."""
     turns = turns_of(conversations)
     convs = turns.select("conv_id").distinct()
     members = prefixes(turns)
     nodes = nodes_of(members, convs)
     empty = hashlib.sha256(b"").hexdigest()
-    return (toured(nodes, block_nodes).join(ends_of(members, convs), ["depth", "s1", "s2"], "left")
+    return (toured(nodes, block_nodes, block_stretches).join(ends_of(members, convs), ["depth", "s1", "s2"], "left")
             .select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
                     F.coalesce("ends_sha256", F.lit(empty)).alias("ends_sha256"), "enter_place", "exit_place"))
 

@@ -60,11 +60,11 @@ def rows_of(seed=5):
     return rows + rows[:9]
 
 
-@pytest.mark.parametrize("block", [3, prefix_trie.BLOCK_NODES])
-def test_against_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "stretches"), [(3, 10), (3, 10**6), (prefix_trie.BLOCK_NODES, prefix_trie.BLOCK_STRETCHES)])
+def test_against_brute_force(spark, block, stretches):
     rows = rows_of()
     random.Random(block).shuffle(rows)
-    got = prefix_trie.prefix_trie(frame(spark, rows).repartition(5), block_nodes=block)
+    got = prefix_trie.prefix_trie(frame(spark, rows).repartition(5), block_nodes=block, block_stretches=stretches)
     cols = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
     found = got.collect()
     assert sorted((tuple(r[c] for c in cols) for r in found), key=repr) == brute(rows)
