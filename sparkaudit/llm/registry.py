@@ -10,7 +10,7 @@ from pathlib import Path
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("q_scan", "q_text", "q_dedup", "q_trie")
+_MODULES = ("q_scan", "q_text", "q_dedup", "q_trie", "q_search")
 
 
 def importable(spark) -> None:
