@@ -1,12 +1,13 @@
 """Call-graph operators over an edge table.
 
 The graph is two DataFrames: ``nodes(node_id, name, file, line, type)`` and
-``edges(src, dst, kind)``.  Bounded reachability is a frontier expansion:
-each level is one ``frontier JOIN edges`` on the node key, de-duplicated per
-(start key, node) and anti-joined with what was already reached, so the
-state is never an all-pairs closure: it is bounded by (#start keys x
-#reachable nodes).  Start keys are *names* (the lists are name lists), so
-thousands of start nodes sharing a name collapse into one key.
+``edges(src, dst, kind)``.  Bounded reachability is a frontier expansion.
+Start keys are *names* (the lists are name lists), and what has been reached is
+kept as words: a row (node, word, bits) stands for up to 64 start keys, so the
+state is bounded by nodes x words, never by (start, node) pairs.  A level joins
+the fresh bits with the edges, ORs what arrives at a node with what was there,
+and goes on with the bits that are new.  A frontier whose counted size allows it
+is broadcast, and the edge table is then read where it lies.
 
 Edges and levels are checkpointed (reliable, in the cluster's
 ``spark.checkpoint.dir``): the edge table is built once, the per-level
@@ -29,37 +30,63 @@ def _calls(edges: DataFrame) -> DataFrame:
 
 
 def _edges(edges: DataFrame, backward: bool = False) -> DataFrame:
-    """(node, next), distinct, written once and dealt by the key that every level joins on."""
+    """(node, next), distinct, written once."""
     a, b = ("dst", "src") if backward else ("src", "dst")
-    e = _calls(edges).select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
-    return checkpointed(e.repartition("node"))
+    return checkpointed(_calls(edges).select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
+
+
+#: Start keys in a word, and frontier rows (a node, two longs) that may be broadcast.
+WORD = 64
+BROADCAST_FRONTIER = 500_000
+
+
+def start_words(starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, id) and the starts as (node, word, bits).  Ids are consecutive within a partition, so words are filled."""
+    keys = checkpointed(starts.select("key").distinct().withColumn("id", F.monotonically_increasing_id()))
+    bit = F.expr(f"shiftleft(1L, cast(id % {WORD} as int))")
+    words = starts.join(keys, "key").groupBy("node", F.expr(f"id div {WORD}").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return keys, words
+
+
+def reach_words(e: DataFrame, words: DataFrame, max_depth: int, broadcast_rows: int = BROADCAST_FRONTIER) -> DataFrame:
+    """(node, word, fresh, depth): the start keys that reach a node at ``depth`` for the first time, depth 0 the starts."""
+    state = checkpointed(words.select("node", "word", "bits", F.col("bits").alias("fresh")))
+    none = F.lit(0).cast("long")
+    out = state.select("node", "word", "fresh", F.lit(0).alias("depth"))
+    for d in range(1, max_depth + 1):
+        frontier = state.where("fresh <> 0").select("node", "word", "fresh")
+        n = frontier.count()
+        if not n:
+            break
+        moved = e.join(F.broadcast(frontier) if n <= broadcast_rows else frontier, "node").select(
+            F.col("next").alias("node"), "word", none.alias("old"), F.col("fresh").alias("new"))
+        state = checkpointed(
+            state.select("node", "word", F.col("bits").alias("old"), none.alias("new")).unionByName(moved)
+            .groupBy("node", "word").agg(F.bit_or("old").alias("old"), F.bit_or("new").alias("new"))
+            .select("node", "word", F.expr("old | new").alias("bits"), F.expr("new & ~old").alias("fresh")))
+        out = out.unionByName(state.where("fresh <> 0").select("node", "word", "fresh", F.lit(d).alias("depth")))
+    return out
+
+
+def keys_of(reached: DataFrame, keys: DataFrame) -> DataFrame:
+    """Words opened: one row for each start key, ``key`` in place of (word, fresh)."""
+    bits = F.expr(f"filter(sequence(0, {WORD - 1}), i -> shiftright(fresh, i) & 1 = 1)")
+    rest = [c for c in reached.columns if c not in ("word", "fresh")]
+    return (reached.withColumn("bit", F.explode(bits)).withColumn("id", F.col("word") * WORD + F.col("bit"))
+            .join(keys, "id").select("key", *rest))
 
 
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int, backward: bool = False,
-          min_depth: int = 1) -> DataFrame:
+          min_depth: int = 1, targets: DataFrame | None = None) -> DataFrame:
     """Nodes reachable from each start key within ``max_depth`` hops.
 
     ``starts``: (key, node).  Returns (key, node, depth) with the minimum
-    depth per (key, node), depth >= ``min_depth``.  The edge table is read
-    once; a level reads it, the level before and what was seen.
+    depth per (key, node), depth >= ``min_depth``.  ``targets`` (node, ...):
+    only these nodes, with their columns; words are opened for them alone.
     """
-    e = _edges(edges, backward)
-    frontier = checkpointed(starts.select("key", "node").distinct())
-    levels = [frontier.withColumn("depth", F.lit(0))]
-    for d in range(1, max_depth + 1):
-        seen = levels[0]
-        for level in levels[1:]:
-            seen = seen.unionByName(level)
-        nxt = (frontier.join(e, "node").select("key", F.col("next").alias("node")).distinct()
-               .join(seen.select("key", "node"), ["key", "node"], "left_anti"))
-        frontier = checkpointed(nxt)
-        if frontier.isEmpty():
-            break
-        levels.append(frontier.withColumn("depth", F.lit(d)))
-    out = levels[0].where("false") if len(levels) == 1 else levels[1]
-    for level in levels[2:]:
-        out = out.unionByName(level)
-    return out.where(F.col("depth") >= min_depth)
+    keys, words = start_words(starts.select("key", "node").distinct())
+    reached = reach_words(_edges(edges, backward), words, max_depth).where(F.col("depth") >= min_depth)
+    return keys_of(reached if targets is None else reached.join(targets, "node"), keys)
 
 
 def _named(nodes: DataFrame, names) -> DataFrame:
@@ -73,9 +100,8 @@ def paths_entry_and_sink(nodes: DataFrame, edges: DataFrame, entries, sinks,
                          max_depth: int = 6, limit: int | None = None) -> DataFrame:
     """G1: distinct (entry name, sink name) with the minimum depth."""
     starts = _named(nodes, entries).select(F.col("name").alias("key"), F.col("node_id").alias("node"))
-    r = reach(edges, starts, max_depth)
     sink_nodes = _named(nodes, sinks).select(F.col("node_id").alias("node"), F.col("name").alias("sink"))
-    out = (r.join(sink_nodes, "node").groupBy(F.col("key").alias("entry"), "sink")
+    out = (reach(edges, starts, max_depth, targets=sink_nodes).groupBy(F.col("key").alias("entry"), "sink")
            .agg(F.min("depth").alias("depth")))
     return out.orderBy("depth", "entry", "sink").limit(limit) if limit else out
 
@@ -117,34 +143,38 @@ def paths_domain(nodes: DataFrame, edges: DataFrame, domains: DataFrame, hints:
     files = contains_join(nodes.select(F.lower("file").alias("lfile")).distinct(), wanted, "lfile", "domain")
     starts = nodes.withColumn("lfile", F.lower("file")).join(files, "lfile").select(
         F.col("domain").alias("key"), F.col("node_id").alias("node"))
-    return (reach(edges, starts, max_depth).join(named, ["key", "node"]).groupBy(F.col("key").alias("domain"), "sink")
-            .agg(F.min("depth").alias("depth")))
+    return (reach(edges, starts, max_depth, targets=named.select("node").distinct()).join(named, ["key", "node"])
+            .groupBy(F.col("key").alias("domain"), "sink").agg(F.min("depth").alias("depth")))
 
 
 def paths_with_chain(nodes: DataFrame, edges: DataFrame, file_token: str, sinks,
                      max_depth: int = 8) -> DataFrame:
     """Trails from nodes whose file contains ``file_token`` to named
-    sinks, with the call chain (node names).  A node never repeats inside a
-    trail.
+    sinks, with the call chain (node names).
+
+    A trail repeats no edge, but may pass a node again; two rows of ``edges``
+    between the same nodes are two edges and give two trails, and a trail may go
+    on beyond a sink to a further one.  Edges are numbered once, and a trail
+    carries the numbers of its edges.
 
     The distance of every node to its nearest sink is found first, backwards;
     a trail is only extended to nodes from which a sink is still in reach.
     """
     sink_ids = _named(nodes, sinks).select(F.lit(0).alias("key"), F.col("node_id").alias("node")).distinct()
-    near = reach(edges, sink_ids, max_depth - 1, backward=True).select("node", "depth").unionByName(
-        sink_ids.select("node", F.lit(0).alias("depth"))).groupBy("node").agg(F.min("depth").alias("rest"))
+    near = reach(edges, sink_ids, max_depth - 1, backward=True, min_depth=0).select("node", F.col("depth").alias("rest"))
     names = nodes.select(F.col("node_id").alias("next"), "name")
-    steps = checkpointed(_edges(edges).join(near.withColumnRenamed("node", "next"), "next").join(names, "next")
-                         .repartition("node"))
+    steps = checkpointed(
+        _calls(edges).select(F.col("src").alias("node"), F.col("dst").alias("next")).withColumn("edge", F.monotonically_increasing_id())
+        .join(near.withColumnRenamed("node", "next"), "next").join(names, "next"))
     frontier = nodes.where(F.col("file").contains(file_token)).select(
         F.col("node_id").alias("start"), F.col("node_id").alias("node"),
-        F.array("node_id").alias("ids"), F.array("name").alias("chain"))
+        F.array().cast("array<bigint>").alias("trail"), F.array("name").alias("chain"))
     found = None
     for d in range(1, max_depth + 1):
         frontier = checkpointed(
             frontier.join(steps, "node")
-            .where((F.col("rest") <= max_depth - d) & ~F.array_contains("ids", F.col("next")))
-            .select("start", F.col("next").alias("node"), F.concat("ids", F.array("next")).alias("ids"),
+            .where((F.col("rest") <= max_depth - d) & ~F.array_contains("trail", F.col("edge")))
+            .select("start", F.col("next").alias("node"), F.concat("trail", F.array("edge")).alias("trail"),
                     F.concat("chain", F.array("name")).alias("chain"), (F.col("rest") == 0).alias("at_sink")))
         ended = frontier.where("at_sink").select(
             "start", F.element_at("chain", -1).alias("sink"), F.lit(d).alias("depth"),

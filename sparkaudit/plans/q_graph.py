@@ -128,21 +128,29 @@ _recursive("paths_domain")
 _REGION_SINKS = ["eval", "unserialize", "render_template_string"]
 
 
-@register("paths_with_chain", GV, f"""
-, t AS (
-  SELECT node_id AS start, node_id AS node, [node_id] AS ids, 0 AS depth FROM v_nodes WHERE contains(file, 'controller')
+
+def _trails_sql(nodes: str, edges: str, sinks: list[str], depth: int) -> str:
+    """Trails (no edge twice) by numbered edges."""
+    return f"""
+, e AS MATERIALIZED (SELECT src, dst, row_number() OVER () AS eid FROM {edges} WHERE kind = 'CALLS'),
+t AS (
+  SELECT node_id AS start, node_id AS node, [node_id] AS ids, []::BIGINT[] AS trail, 0 AS depth FROM {nodes}
+  WHERE contains(file, 'controller')
   UNION ALL
-  SELECT t.start, e.dst, list_append(t.ids, e.dst), t.depth + 1
-  FROM t JOIN v_edges e ON e.src = t.node
-  WHERE t.depth < 8 AND e.kind = 'CALLS' AND NOT list_contains(t.ids, e.dst)),
-tt AS (SELECT row_number() OVER () AS rid, t.* FROM t JOIN v_nodes n ON n.node_id = t.node
-       WHERE t.depth >= 1 AND n.name IN ({', '.join(q(s) for s in _REGION_SINKS)})),
+  SELECT t.start, e.dst, list_append(t.ids, e.dst), list_append(t.trail, e.eid), t.depth + 1
+  FROM t JOIN e ON e.src = t.node
+  WHERE t.depth < {depth} AND NOT list_contains(t.trail, e.eid)),
+tt AS (SELECT row_number() OVER () AS rid, t.* FROM t JOIN {nodes} n ON n.node_id = t.node
+       WHERE t.depth >= 1 AND n.name IN ({', '.join(q(s) for s in sinks)})),
 u AS (SELECT rid, unnest(ids) AS nid, generate_subscripts(ids, 1) AS i FROM tt),
-c AS (SELECT rid, string_agg(v.name, ' -> ' ORDER BY i) AS call_chain FROM u JOIN v_nodes v ON v.node_id = u.nid
+c AS (SELECT rid, string_agg(v.name, ' -> ' ORDER BY i) AS call_chain FROM u JOIN {nodes} v ON v.node_id = u.nid
       GROUP BY rid)
 SELECT tt.start, n.name AS sink, CAST(tt.depth AS INTEGER) AS depth, c.call_chain
-FROM tt JOIN c ON c.rid = tt.rid JOIN v_nodes n ON n.node_id = tt.node
-""")
+FROM tt JOIN c ON c.rid = tt.rid JOIN {nodes} n ON n.node_id = tt.node
+"""
+
+
+@register("paths_with_chain", GV, _trails_sql("v_nodes", "v_edges", _REGION_SINKS, 8))
 def q_paths_with_chain(spark, sf):
     """Call chains from controller files to template / eval / unserialize sinks."""
     nodes, edges = _g(spark, sf)
@@ -151,6 +159,17 @@ def q_paths_with_chain(spark, sf):
 
 _recursive("paths_with_chain")
 
+_RING_SINKS = ["eval", "unserialize", "exec"]
+
+
+@register("paths_with_chain_cycles", ("v_ring_nodes", "v_ring_edges"), _trails_sql("v_ring_nodes", "v_ring_edges", _RING_SINKS, 7))
+def q_paths_with_chain_cycles(spark, sf):
+    """G5 on a graph with cycles, self-loops and parallel edges."""
+    return G.paths_with_chain(I.view(spark, sf, "v_ring_nodes"), I.view(spark, sf, "v_ring_edges"), "controller", _RING_SINKS, 7)
+
+
+_recursive("paths_with_chain_cycles")
+
 
 @register("fan_in", GV, f"""
 SELECT substring(md5(n.file || ':' || n.name), 1, 10) AS id, n.name AS sink_name, n.file, n.line,

@@ -164,7 +164,7 @@ SELECT o_orderkey AS ord,
 FROM orders
 """
 
-from sparkaudit.plans.views_src import (V_CALLS, V_CONTEXT_DOCS, V_MODEL_FIELDS, V_MODEL_NODES, V_MODEL_PARTS, V_RESULTS, V_EDGES, V_FN_PARAMS, V_NODES, V_REGISTRY_INPUT,  # noqa: E402
+from sparkaudit.plans.views_src import (V_CALLS, V_CONTEXT_DOCS, V_MODEL_FIELDS, V_MODEL_NODES, V_MODEL_PARTS, V_RESULTS, V_EDGES, V_FN_PARAMS, V_NODES, V_REGISTRY_INPUT, V_RING_EDGES, V_RING_NODES,  # noqa: E402
                                         V_SRC_FILES, V_URL_PATHS)
 
 from sparkaudit.plans.views_intel import V_REPO_FILES  # noqa: E402
@@ -185,6 +185,8 @@ VIEWS: dict[str, str] = {
     "v_fn_params": V_FN_PARAMS,
     "v_edges": V_EDGES,
     "v_nodes": V_NODES,
+    "v_ring_edges": V_RING_EDGES,
+    "v_ring_nodes": V_RING_NODES,
     "v_url_paths": V_URL_PATHS,
     "v_src_files": V_SRC_FILES,
     "v_sinks": V_SINKS,
@@ -210,6 +212,8 @@ VIEW_DEPS: dict[str, tuple[str, ...]] = {
     "v_registry_input": ("pages", "part"),
     "v_fn_params": ("nation",),
     "v_edges": ("lineitem", "supplier", "nation"),
+    "v_ring_edges": ("customer", "supplier", "nation"),
+    "v_ring_nodes": ("customer", "supplier", "nation", "region"),
     "v_nodes": ("orders", "part", "supplier", "nation", "region"),
     "v_url_paths": ("pages",),
     "v_src_files": ("pages",),

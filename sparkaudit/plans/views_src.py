@@ -122,6 +122,38 @@ SELECT 'r' || CAST(r_regionkey AS STRING),
        '/vendor/region/Region' || CAST(r_regionkey AS STRING) || '.java', r_regionkey + 1, 'Function' FROM region
 """
 
+# A call graph with cycles, self-loops and parallel edges: customers and suppliers
+# call nations, nations their region, regions call nations back.
+V_RING_EDGES = """
+SELECT 'c' || CAST(c_custkey AS STRING) AS src, 'n' || CAST(c_nationkey AS STRING) AS dst, 'CALLS' AS kind FROM customer
+UNION ALL
+SELECT 'c' || CAST(c_custkey AS STRING), 'n' || CAST(c_nationkey AS STRING), 'CALLS' FROM customer WHERE c_custkey % 10 = 0
+UNION ALL
+SELECT 's' || CAST(s_suppkey AS STRING), 'n' || CAST(s_nationkey AS STRING), 'CALLS' FROM supplier
+UNION ALL
+SELECT 's' || CAST(s_suppkey AS STRING), 's' || CAST(s_suppkey AS STRING), 'CALLS' FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL
+SELECT 'n' || CAST(n_nationkey AS STRING), 'r' || CAST(n_regionkey AS STRING), 'CALLS' FROM nation
+UNION ALL
+SELECT 'r' || CAST(n_nationkey % 5 AS STRING), 'n' || CAST(n_nationkey AS STRING), 'CALLS' FROM nation WHERE n_nationkey < 10
+"""
+
+V_RING_NODES = """
+SELECT 'c' || CAST(c_custkey AS STRING) AS node_id, 'buy' || CAST(c_custkey % 9 AS STRING) AS name,
+       '/app/controller/buy' || CAST(c_custkey % 20 AS STRING) || '.php' AS file,
+       CAST(c_custkey % 300 AS INTEGER) + 1 AS line, 'Method' AS type FROM customer
+UNION ALL
+SELECT 's' || CAST(s_suppkey AS STRING), 'supply' || CAST(s_suppkey % 7 AS STRING),
+       CASE WHEN s_suppkey % 2 = 0 THEN '/app/controller/supply.php' ELSE '/src/supply.php' END,
+       CAST(s_suppkey % 100 AS INTEGER) + 1, 'Method' FROM supplier
+UNION ALL
+SELECT 'n' || CAST(n_nationkey AS STRING), CASE WHEN n_nationkey % 5 = 1 THEN 'exec' ELSE 'route' || CAST(n_nationkey AS STRING) END,
+       '/src/nation.java', n_nationkey + 1, 'Function' FROM nation
+UNION ALL
+SELECT 'r' || CAST(r_regionkey AS STRING), CASE r_regionkey WHEN 0 THEN 'eval' WHEN 1 THEN 'unserialize' ELSE 'dispatchJob' END,
+       '/vendor/region.java', r_regionkey + 1, 'Function' FROM region
+"""
+
 # Name registrations (A1 input): page host labels and part words, each with
 # a catalog source, its score, a global order and an optional vuln type.
 V_REGISTRY_INPUT = """

@@ -31,3 +31,52 @@ def test_reach_matches_bfs(spark):
             if d >= 1:
                 want[(key, v)] = d
     assert got == want
+
+
+def trails(edges, starts, sinks, depth):
+    """Every path that repeats no edge, by walking the numbered edges."""
+    out, work = [], [(s, s, (), (s,)) for s in starts]
+    while work:
+        start, at, used, chain = work.pop()
+        for k, (a, b) in enumerate(edges):
+            if a == at and k not in used and len(used) < depth:
+                if b in sinks:
+                    out.append((start, b, len(used) + 1, " -> ".join((*chain, b))))
+                work.append((start, b, (*used, k), (*chain, b)))
+    return sorted(out)
+
+
+def graph_of(spark, pairs, files):
+    e = spark.createDataFrame([(a, b, "CALLS") for a, b in pairs] + [(pairs[0][0], "eval", "IMPORTS")], "src string, dst string, kind string")
+    ids = sorted({v for p in pairs for v in p} | {"eval"})
+    n = spark.createDataFrame([(v, v, files.get(v, "/src/x.py"), 1, "Method") for v in ids], "node_id string, name string, file string, line int, type string")
+    return n, e
+
+
+def test_trails_may_pass_a_node_again(spark):
+    """x -> y -> x -> eval repeats no edge; parallel edges and a self-loop give further trails."""
+    pairs = [("x", "y"), ("y", "x"), ("x", "eval"), ("x", "eval"), ("y", "y"), ("eval", "x")]
+    nodes, edges = graph_of(spark, pairs, {"x": "/app/controller/x.py"})
+    got = sorted(map(tuple, G.paths_with_chain(nodes, edges, "controller", ["eval"], 6).collect()))
+    assert got == trails(pairs, ["x"], {"eval"}, 6)
+    assert sum(c == "x -> y -> x -> eval" for *_, c in got) == 2
+
+
+def test_trails_match_a_walk_on_random_graphs(spark):
+    rnd = random.Random(11)
+    pairs = [(f"v{rnd.randrange(6)}", f"v{rnd.randrange(6)}") for _ in range(11)] + [("v1", "eval"), ("v2", "eval"), ("eval", "v0")]
+    nodes, edges = graph_of(spark, pairs, {"v0": "/controller/a", "v3": "/controller/b"})
+    want = trails(pairs, [v for v in ("v0", "v3") if any(v in p for p in pairs)], {"eval"}, 6)
+    assert sorted(map(tuple, G.paths_with_chain(nodes, edges, "controller", ["eval"], 6).collect())) == want and want
+
+
+def test_many_starts_in_words(spark):
+    """Over three words of start keys; broadcast and joined frontiers give the same words, and a row covers many starts."""
+    chain = [(f"a{i}", "hub") for i in range(200)] + [("hub", "t1"), ("t1", "t2"), ("t2", "hub")]
+    e = spark.createDataFrame(chain, "node string, next string")
+    starts = spark.createDataFrame([(f"k{i}", f"a{i}") for i in range(200)], "key string, node string").coalesce(1)
+    keys, words = G.start_words(starts)
+    near, far = (G.reach_words(e, words, 4, bound) for bound in (10**6, 0))
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, far.collect()))
+    assert near.where("node = 't2'").count() <= 200 // G.WORD + 1 + keys.rdd.getNumPartitions()
+    assert {(r.key, r.depth) for r in G.keys_of(near.where("node = 't2'"), keys).collect()} == {(f"k{i}", 3) for i in range(200)}
