@@ -176,8 +176,8 @@ def q_stream_tool_usage_sliding(spark, sf):
 
 
 def _progress(spark, sf):
-    return ST.latest_progress(ST.run_to_table(ST.stream_query_progress(_calls_stream(spark, sf)), ST.new_folder(spark, "progress"),
-                                              keys=("w", "run_id", "label")))
+    # the horizon outlasts the table's thirty days, so no label is dropped and the counts are A15's
+    return ST.progress_tables(ST.stream_query_progress(_calls_stream(spark, sf), "60 days"), ST.new_folder(spark, "progress"))
 
 
 @register("stream_query_progress", ("v_calls",), """
@@ -186,8 +186,8 @@ SELECT run_id, tool AS label, arg_max(status, (ts, event_id)) AS status,
 FROM v_calls GROUP BY run_id, tool
 """)
 def q_stream_query_progress(spark, sf):
-    """ST3: latest state per (run, label) maintained by a streaming aggregate."""
-    return _progress(spark, sf)
+    """ST3: latest state per (run, label), one value a key."""
+    return _progress(spark, sf)[0]
 
 
 @register("stream_pending_counts", ("v_calls",), """
@@ -196,7 +196,7 @@ SELECT run_id, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE st
 """)
 def q_stream_pending_counts(spark, sf):
     """ST3: pending labels per run."""
-    return ST.pending_counts(_progress(spark, sf))
+    return ST.pending_counts(_progress(spark, sf)[1])
 
 
 @register("stream_sessions", ("v_calls",), """
@@ -213,11 +213,36 @@ def q_stream_sessions(spark, sf):
                       F.date_format("s.end", "yyyy-MM-dd HH:mm:ss").alias("session_end"), "calls")
 
 
-@register("stream_first_calls", ("v_calls",), "SELECT DISTINCT run_id FROM v_calls")
+@register("stream_first_calls", ("v_calls",), """
+, f AS (SELECT run_id, min(ts) AS first, arg_min(tool, (ts, event_id)) AS tool FROM v_calls GROUP BY run_id)
+SELECT run_id, strftime(first, '%Y-%m-%d %H:%M:%S.%f') AS started_at, tool AS first_tool FROM f
+WHERE date_trunc('millisecond', first) < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM v_calls)
+""")
 def q_stream_first_calls(spark, sf):
-    """ST4: the runs of the session index."""
-    calls = ST.call_stream(spark, f"{sf.rstrip('/')}/events.parquet*", watermark="60 days")
-    return ST.run_to_table(ST.stream_first_calls(calls), ST.new_folder(spark, "first"), "append").select("run_id")
+    """ST4: the first call of every run that the watermark has passed (1 hour of lateness)."""
+    f = ST.run_to_table(ST.stream_first_calls(_calls_stream(spark, sf)), ST.new_folder(spark, "first"), "append", timers=True)
+    return f.select("run_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("started_at"), F.col("tool").alias("first_tool"))
+
+
+@register("stream_call_log", ("v_calls",), """
+SELECT run_id, CAST(count(*) AS BIGINT) AS calls, CAST(coalesce(sum(duration_ms), 0) AS BIGINT) AS total_ms,
+       CAST(count(*) FILTER (WHERE event_id % 10 = 3) AS BIGINT) AS malformed
+FROM v_calls GROUP BY run_id
+""")
+def q_stream_call_log(spark, sf):
+    """K4 + ST1: the log is written as JSON, every tenth call once more as a line that breaks off, and read as a stream."""
+    calls = I.view(spark, sf, "v_calls").select(
+        F.col("ts").cast("timestamp").alias("ts"), "run_id", "tool", L.redact_args(F.col("args")).alias("args_summary"), "status",
+        "duration_ms", F.lit(None).cast("map<string,string>").alias("result_summary"), "event_id")
+    folder = ST.new_folder(spark, "call-log")
+    L.append_call_log(calls, f"{folder}/log", "all")
+    broken = calls.where("event_id % 10 = 3").select("run_id", F.lit("broken").alias("batch"), F.concat(
+        F.lit('{"ts":"2024-01-01T00:00:00","tool":'), F.to_json(F.struct("tool", "duration_ms"))).alias("value"))
+    broken.write.mode("append").partitionBy("batch", "run_id").text(f"{folder}/log")
+    good, bad = ST.split_log(ST.call_log_stream(spark, f"{folder}/log", "event_id long"), f"{folder}/tables")
+    bad = bad.groupBy("run_id").agg(F.count(F.lit(1)).alias("malformed"))
+    return (good.groupBy("run_id").agg(F.count(F.lit(1)).alias("calls"), F.sum("duration_ms").cast("long").alias("total_ms"))
+            .join(bad, "run_id", "left").select("run_id", "calls", "total_ms", F.coalesce("malformed", F.lit(0)).cast("long").alias("malformed")))
 
 
 @register("stream_secrets_scan", (), SECRETS_SQL)

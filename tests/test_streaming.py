@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from sparkaudit.plans import inputs as I
+from sparkaudit.sources import logs as L
 from sparkaudit.streaming import streams as ST
 
 
@@ -46,12 +47,110 @@ def test_a_replayed_batch_replaces_its_rows(spark, tmp_path):
     _arrive(spark, events, [(1, 1, 1, "view"), (2, 5, 2, "buy")])
 
     def run():
-        calls = ST.call_stream(spark, events, "60 days")
-        return sorted(r.run_id for r in ST.run_to_table(ST.stream_first_calls(calls), str(folder), "append").collect())
+        usage = ST.stream_tool_usage(ST.call_stream(spark, events, "60 days"))
+        return sorted((r.tool, r.calls) for r in ST.run_to_table(usage, str(folder), keys=("w", "tool")).collect())
 
-    assert run() == ["run_1", "run_2"]
+    assert run() == [("buy", 1), ("view", 1)]
     commits = sorted((folder / "checkpoint" / "commits").iterdir())
     for f in commits:
         if "0" in f.name:
             f.unlink()
-    assert run() == ["run_1", "run_2"]
+    assert run() == [("buy", 1), ("view", 1)]
+
+
+def test_first_calls_whatever_order_they_arrive_in(spark, tmp_path):
+    """The earliest by event time counts, is told once, and only when the watermark has passed it."""
+    events, folder = str(tmp_path / "events"), str(tmp_path / "stream")
+
+    def run():
+        rows = ST.run_to_table(ST.stream_first_calls(ST.call_stream(spark, events, "10 hours")), folder, "append", timers=True)
+        return sorted((r.run_id, r.ts.hour, r.tool) for r in rows.collect())
+
+    _arrive(spark, events, [(1, 9, 1, "late"), (2, 8, 2, "buy"), (3, 9, 1, "view")])
+    assert run() == []  # the watermark is before them
+    _arrive(spark, events, [(4, 3, 1, "view"), (5, 12, 2, "view"), (6, 3, 1, "buy")])  # earlier ones, out of order
+    assert run() == []
+    _arrive(spark, events, [(7, 23, 3, "view")])  # 13 o'clock is passed
+    assert run() == [("run_1", 3, "view"), ("run_2", 8, "buy")]  # ties by event
+    _arrive(spark, events, [(8, 14, 1, "buy"), (9, 1, 2, "late"), (10, 23, 4, "view")])  # later ones change nothing; 9 is too late
+    assert run() == [("run_1", 3, "view"), ("run_2", 8, "buy")]
+    _arrive(spark, events, [(11, 40, 5, "end")])
+    assert run() == [("run_1", 3, "view"), ("run_2", 8, "buy"), ("run_3", 23, "view"), ("run_4", 23, "view")]
+
+
+def _a15(spark, events):
+    rows = spark.read.parquet(events).select(
+        F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run_id"), F.col("event_type").alias("label"),
+        (F.col("event_type") != "error").alias("called"), "ts", F.col("event_id").alias("seq"), F.lit(1).alias("row_count"))
+    return {r.run_id: (r.total, r.pending) for r in L.progress_rollup(rows).collect()}
+
+
+def test_progress_after_restarts_equals_the_rollup(spark, tmp_path):
+    events, folder = str(tmp_path / "events"), str(tmp_path / "stream")
+
+    def run():
+        latest, steps = ST.progress_tables(ST.stream_query_progress(ST.call_stream(spark, events, "9 days"), "90 days"), folder)
+        history = {(r.run_id, r.batch): (r.total, r.pending) for r in ST.pending_history(steps).collect()}
+        return latest, {r.run_id: (r.total, r.pending) for r in ST.pending_counts(steps).collect()}, history
+
+    _arrive(spark, events, [(1, 5, 1, "view"), (2, 6, 1, "error"), (3, 7, 2, "error")])
+    _, counts, first = run()
+    assert counts == _a15(spark, events) == {"run_1": (2, 1), "run_2": (1, 1)}
+    _arrive(spark, events, [(4, 2, 2, "view"), (5, 9, 1, "buy"), (6, 1, 1, "view")])
+    latest, counts, second = run()
+    assert counts == _a15(spark, events) == {"run_1": (3, 1), "run_2": (2, 1)}
+    assert len(second) == len(first) + 2 and all(second[k] == v for k, v in first.items())  # emitted on change only
+    assert {(r.run_id, r.label): r.status for r in latest.collect()}["run_1", "view"] == "ok"
+    assert run()[1:] == (counts, second)  # nothing new
+
+
+def test_an_idle_label_is_dropped_by_its_timer(spark, tmp_path):
+    events, folder = str(tmp_path / "events"), str(tmp_path / "stream")
+
+    def run():
+        latest, steps = ST.progress_tables(ST.stream_query_progress(ST.call_stream(spark, events, "1 hour"), "10 hours"), folder)
+        return (sorted((r.run_id, r.label) for r in latest.collect()),
+                {r.run_id: (r.total, r.pending) for r in ST.pending_counts(steps).collect()})
+
+    _arrive(spark, events, [(1, 1, 1, "error"), (2, 8, 1, "view")])
+    assert run() == ([("run_1", "error"), ("run_1", "view")], {"run_1": (2, 1)})
+    _arrive(spark, events, [(3, 13, 2, "view")])  # the watermark passes 11 o'clock, not 18
+    assert run() == ([("run_1", "view"), ("run_2", "view")], {"run_1": (1, 0), "run_2": (1, 0)})
+    _arrive(spark, events, [(4, 14, 1, "error")])  # seen again
+    assert run()[1] == {"run_1": (2, 1), "run_2": (1, 0)}
+
+
+def test_json_log_stream_keeps_malformed_lines_apart(spark, tmp_path):
+    log, folder = str(tmp_path / "log"), str(tmp_path / "tables")
+    calls = spark.createDataFrame([("run_1", "scan", "ok", 5), ("run_2", "read", "error", 7)], "run_id string, tool string, status string, duration_ms long"
+                                  ).withColumn("ts", F.to_timestamp(F.lit("2024-01-01 10:00:00")))
+
+    def write(name, lines):
+        d = tmp_path / "log" / f"batch={name}" / "run_id=run_1"
+        d.mkdir(parents=True)
+        (d / "part.json").write_text(lines)
+
+    def run():
+        good, bad = ST.split_log(ST.call_log_stream(spark, log), folder)
+        return (sorted((r.run_id, r.tool, r.duration_ms) for r in good.collect()),
+                sorted((r.run_id, r.writer, r.malformed) for r in bad.collect()))
+
+    L.append_call_log(calls, log, "a")
+    first = run()
+    assert first == ([("run_1", "scan", 5), ("run_2", "read", 7)], [])
+    write("b", '{"ts":"2024-01-01T10:00:00Z","tool":"late","duration_ms":1}\n{"tool": "cut off\nno json\n')
+    second = run()
+    assert second[0] == sorted([*first[0], ("run_1", "late", 1)])
+    assert second[1] == [("run_1", "b", "no json"), ("run_1", "b", '{"tool": "cut off')]
+    assert run() == second  # a restart adds nothing twice
+    commits = tmp_path / "tables" / "checkpoint" / "commits"
+    last = max(int(f.name) for f in commits.iterdir() if f.name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (commits / name).unlink()
+    assert run() == second  # nor does a batch that runs again
+
+
+def test_an_empty_stream_has_empty_tables(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    good, bad = ST.split_log(ST.call_log_stream(spark, str(tmp_path / "log")), str(tmp_path / "tables"))
+    assert good.count() == bad.count() == 0
