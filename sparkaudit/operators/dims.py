@@ -1,8 +1,9 @@
 """Lookups "pattern contained in text", which have no equi-join key.
 
 There is one plan at every size.  A pattern of four characters or more is keyed
-by its first four, a text by all its distinct 4-grams; the two sides meet in an
-equi-join and the predicate is verified.  Shorter patterns are few distinct
+by the one of its 4-grams that the fewest patterns have (so patterns under one
+folder don't share the folder's key), a text by all its distinct 4-grams; the two
+sides meet in an equi-join and the predicate is verified.  Shorter patterns are few distinct
 strings, whatever the number of rows: a text lists those that it contains and
 meets them by equality.  Callers reduce texts to distinct values first, and only
 candidate pairs are ever produced.
@@ -22,6 +23,13 @@ def _grams(text: Column, n: int) -> Column:
         F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))))
 
 
+def rarest_grams(patterns: DataFrame, pat_col: str, ngram: int = NGRAM) -> DataFrame:
+    """(pattern, _key): each distinct pattern's gram that the fewest patterns have, ties by the gram."""
+    grams = patterns.select(pat_col).distinct().withColumn("_key", F.explode(_grams(F.col(pat_col), ngram)))
+    shared = grams.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    return grams.join(shared, "_key").groupBy(pat_col).agg(F.min_by("_key", F.struct("_n", "_key")).alias("_key"))
+
+
 def contains_join(left: DataFrame, right: DataFrame, text_col: str, pat_col: str, ngram: int = NGRAM) -> DataFrame:
     """Rows of ``left`` with each row of ``right`` whose pattern the text contains (exact, inner).
 
@@ -30,7 +38,8 @@ def contains_join(left: DataFrame, right: DataFrame, text_col: str, pat_col: str
     match nothing; an empty pattern is in every text.
     """
     texts, size = left.where(F.col(text_col).isNotNull()), F.length(F.col(pat_col))
-    long = right.where(size >= ngram).withColumn("_key", F.substring(F.col(pat_col), 1, ngram))
+    long = right.where(size >= ngram)
+    long = long.join(rarest_grams(long, pat_col, ngram), pat_col)
     by_gram = (texts.withColumn("_key", F.explode(_grams(F.col(text_col), ngram))).join(long, "_key")
                .where(F.col(text_col).contains(F.col(pat_col))))
     short = right.where(size < ngram).withColumn("_key", F.col(pat_col))

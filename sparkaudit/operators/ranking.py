@@ -1,8 +1,9 @@
 """Positions in an order within large groups.
 
-``row_number`` over a group puts the group into one task.  Here rows are first
-counted by (group, leading order value, slice of the position column); offsets
-come from these counts, and only the rows of one slice are sorted together.
+``row_number`` over a group puts the group into one task.  Here rows are dealt
+into ranges of the whole order (Spark samples the bounds, so ranges hold equally
+many rows whatever the values are) and numbered within each range; what stands
+before a range is a prefix sum over one count per range and group.
 """
 
 from __future__ import annotations
@@ -12,23 +13,30 @@ from pyspark.sql import functions as F
 
 from sparkaudit.session import checkpointed
 
-SLICES = 256
+
+def in_ranges(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+    """``df`` sorted over range partitions, written once: ``_range`` numbers the partition, ``_at`` rises within it.
+
+    A row's number is the last sorting column, so rows that agree in ``order`` don't stick to one range.
+    """
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*order, "_row"]
+    return checkpointed(
+        df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order)
+        .withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).drop("_row"))
 
 
 def with_position(df: DataFrame, name: str, group: list[str], fine: str, lead: Column | None = None,
-                  ties: tuple[str, ...] = (), slices: int = SLICES) -> DataFrame:
+                  ties: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
     """``df`` with the 1-based position ``name`` within ``group``, ordered by ``lead`` (ascending, if
-    given), the numeric column ``fine`` and ``ties``.  ``df`` is computed once (checkpointed)."""
-    df = checkpointed(df.withColumn("_lead", lead if lead is not None else F.lit(0)))
-    low, high = df.agg(F.min(fine), F.max(fine)).first()
-    width = max(1, (0 if low is None else int(high) - int(low)) // slices + 1)
-    df = df.withColumn("_slice", F.coalesce(F.floor((F.col(fine) - F.lit(low or 0)) / width), F.lit(-1)).cast("long"))
-    key = [*group, "_lead", "_slice"]
-    before = Window.partitionBy(*group).orderBy("_lead", "_slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+    given), ``fine`` and ``ties``, nulls first.  Rows that agree in all of them get positions in some
+    order and may lie in several ranges.  ``df`` is computed once (checkpointed)."""
+    ordered = in_ranges(df.withColumn("_lead", lead if lead is not None else F.lit(0)), [*group, "_lead", fine, *ties], ranges)
+    key = [*group, "_range"]
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = ordered.groupBy(*key).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).withColumn(
         "_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]
-    joined = df.alias("l").join(counts.alias("r"), same).select("l.*", "_before")
-    inner = Window.partitionBy(*key).orderBy(fine, *ties)
-    return joined.withColumn(name, (F.row_number().over(inner) + F.col("_before")).cast("long")).drop(
-        "_lead", "_slice", "_before")
+    joined = ordered.alias("l").join(firsts.alias("r"), same).select("l.*", "_first", "_before")
+    return joined.withColumn(name, (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("long")).drop(
+        "_lead", "_range", "_at", "_first", "_before")

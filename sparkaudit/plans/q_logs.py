@@ -69,6 +69,40 @@ def q_tool_latency_quantiles(spark, sf):
         F.col("q")[2].cast("double").alias("p99_ms"))
 
 
+_SKETCH_SQL = """
+, p AS (SELECT unnest([0.5, 0.9, 0.99]) AS point)
+SELECT tool, CAST(point AS DOUBLE) AS point, CAST(count(*) AS BIGINT) AS n, true AS within_bound FROM v_calls, p GROUP BY tool, point
+"""
+
+
+def _within_bound(sketched, calls):
+    """The share of calls below and up to a sketched quantile must enclose its point, but for the sketch's error."""
+    asked = sketched.select("tool", "n", F.explode(F.arrays_zip(F.array(*map(F.lit, (0.5, 0.9, 0.99))).alias("point"), F.col("q").alias("ms"))).alias("x"))
+    asked = asked.select("tool", "n", "x.point", "x.ms")
+    counted = calls.groupBy("tool", "duration_ms").agg(F.count(F.lit(1)).alias("c"))
+    share = counted.join(asked, "tool").groupBy("tool", "point", "n").agg(
+        F.sum(F.when(F.col("duration_ms") < F.col("ms"), F.col("c")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("duration_ms") <= F.col("ms"), F.col("c")).otherwise(0)).alias("upto"))
+    e = L.SKETCH_RANK_ERROR
+    return share.select("tool", "point", "n", ((F.col("below") <= (F.col("point") + e) * F.col("n"))
+                                               & (F.col("upto") >= (F.col("point") - e) * F.col("n"))).alias("within_bound"))
+
+
+@register("latency_sketches", ("v_calls",), _SKETCH_SQL)
+def q_latency_sketches(spark, sf):
+    """Sketches per run, tool and day, merged per tool; their quantiles' ranks against exact counts."""
+    calls = I.view(spark, sf, "v_calls")
+    return _within_bound(L.sketched_quantiles(L.latency_sketches(calls)), calls)
+
+
+@register("stream_latency_sketches", ("v_calls",), _SKETCH_SQL)
+def q_stream_latency_sketches(spark, sf):
+    """A12 + ST2: the same sketches kept by the stream."""
+    sketches = ST.run_to_table(ST.stream_latency_sketches(_calls_stream(spark, sf)), ST.new_folder(spark, "latency"),
+                               keys=("run_id", "tool", "span_start"))
+    return _within_bound(L.sketched_quantiles(sketches), I.view(spark, sf, "v_calls"))
+
+
 _SUMMARY_SQL = """
 , r AS (SELECT event_id, tool, json_valid(result) AS ok, CASE WHEN json_valid(result) THEN result ELSE '{}' END AS j FROM v_results)
 SELECT event_id, tool, CASE WHEN json_exists(j, '$.error') THEN substring(json_extract_string(j, '$.error'), 1, 300) END AS error,

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from sparkaudit.session import checkpoint_dir
-from sparkaudit.sources.logs import CALL_LOG_SCHEMA
+from sparkaudit.sources.logs import CALL_LOG_SCHEMA, SKETCH_K
 
 
 def call_stream(spark: SparkSession, events_glob: str, watermark: str = "1 hour") -> DataFrame:
@@ -127,6 +127,13 @@ def stream_tool_usage(calls: DataFrame, window: str = "1 day", slide: str | None
         F.sum("duration_ms").cast("long").alias("total_ms"))
 
 
+def stream_latency_sketches(calls: DataFrame, span: str = "1 day") -> DataFrame:
+    """ST2 / A12: the latency sketch of each run, tool and tumbling window, to be merged like ``logs.latency_sketches``."""
+    return calls.where("duration_ms is not null").groupBy(F.window("ts", span).alias("w"), "run_id", "tool").agg(
+        F.kll_sketch_agg_bigint("duration_ms", SKETCH_K).alias("sketch")).select(
+        "run_id", "tool", F.col("w.start").alias("span_start"), "sketch")
+
+
 def _one_a_key(calls: DataFrame, keys: list[str], newest: bool) -> DataFrame:
     """Of each Arrow batch the newest (or first) call of each key: what leaves a task for the shuffle."""
     def reduce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

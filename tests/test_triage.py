@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkaudit.operators import triage as T
-from sparkaudit.operators.dims import contains_join
-from sparkaudit.operators.ranking import with_position
+from sparkaudit.operators.dims import _grams, contains_join, rarest_grams
+from sparkaudit.operators.ranking import in_ranges, with_position
 
 
 def _raw(spark, recs):
@@ -97,3 +97,33 @@ def test_positions_in_a_hot_group(spark):
         rows = sorted((r for r in out if r.g == g), key=lambda r: (-r.s, r.ord))
         assert [r.n for r in rows] == list(range(1, len(rows) + 1))
     assert with_position(df.limit(0), "n", ["g"], "ord").count() == 0
+
+
+def test_positions_with_an_outlier_and_equal_rows(spark):
+    """One value lies far out and a third of the rows agree in everything; ranges still hold equally many rows."""
+    df = spark.range(9000).select(
+        F.when(F.col("id") % 5 == 0, "a").otherwise("b").alias("g"),
+        F.when(F.col("id") == 17, F.lit(10**15)).when(F.col("id") % 3 == 0, F.lit(50)).otherwise(F.col("id")).alias("ord")).repartition(3)
+    out = with_position(df, "n", ["g"], "ord", ranges=8)
+    assert out.columns == ["g", "ord", "n"]
+    rows = out.collect()
+    for g in "ab":
+        mine = sorted((r.n, r.ord) for r in rows if r.g == g)
+        assert [n for n, _ in mine] == list(range(1, len(mine) + 1))
+        assert [o for _, o in mine] == sorted(o for _, o in mine)
+    sizes = sorted(r["count"] for r in in_ranges(df, ["g", "ord"], 8).groupBy("_range").count().collect())
+    assert len(sizes) >= 6 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_patterns_under_one_folder_have_keys_of_their_own(spark):
+    """10^5 patterns share their beginning; a key leads to few of them."""
+    n = 100_000
+    pats = spark.range(n).select(F.concat(F.lit("/srv/app/controllers/"), F.lpad(F.conv(F.col("id") * 7919 % n, 10, 36), 5, "q"), F.lit("/x.php")).alias("pat"), "id")
+    keys = rarest_grams(pats, "pat")
+    assert keys.count() == n
+    texts = pats.where("id % 10000 = 3").select(F.concat(F.lit("/home"), "pat", F.lit(":12")).alias("text"), F.col("id").alias("want"))
+    grams = texts.select(F.explode(_grams(F.col("text"), 4)).alias("_key"))
+    candidates = grams.join(keys, "_key").count()
+    assert candidates < 200 * texts.count()  # by their first characters all 10^5 would meet each text
+    got = contains_join(texts, pats, "text", "pat").select("want", "id").collect()
+    assert sorted(map(tuple, got)) == [(k, k) for k in range(3, n, 10000)]
