@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkaudit.session import checkpointed
+from sparkaudit.session import written
 
 
 def in_ranges(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
@@ -21,7 +21,7 @@ def in_ranges(df: DataFrame, order: list[str], ranges: int | None = None) -> Dat
     """
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [*order, "_row"]
-    return checkpointed(
+    return written(
         df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order)
         .withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).drop("_row"))
 
@@ -30,8 +30,9 @@ def with_position(df: DataFrame, name: str, group: list[str], fine: str, lead: C
                   ties: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
     """``df`` with the 1-based position ``name`` within ``group``, ordered by ``lead`` (ascending, if
     given), ``fine`` and ``ties``, nulls first.  Rows that agree in all of them get positions in some
-    order and may lie in several ranges.  ``df`` is computed once (checkpointed)."""
-    ordered = in_ranges(df.withColumn("_lead", lead if lead is not None else F.lit(0)), [*group, "_lead", fine, *ties], ranges)
+    order and may lie in several ranges.  ``df`` is computed once: it is written before the bounds are sampled."""
+    once = written(df.withColumn("_lead", lead if lead is not None else F.lit(0)))
+    ordered = in_ranges(once, [*group, "_lead", fine, *ties], ranges)
     key = [*group, "_range"]
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     firsts = ordered.groupBy(*key).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).withColumn(

@@ -20,6 +20,7 @@ from sparkaudit.functions.paths import (entry_hint, first_test_marker, is_test_p
                                         is_utility_path, needs_manual, sanitizer_hint)
 from sparkaudit.operators.dims import first_hits
 from sparkaudit.operators.ranking import with_position
+from sparkaudit.session import checkpointed
 
 EMPTY_ARR = "array<string>"
 
@@ -184,11 +185,13 @@ def cx_boost(file_hits: Column, sink_hits: Column, type_hits: Column) -> Column:
     return F.coalesce(reached, total())
 
 
-def with_context(paths: DataFrame, flows: DataFrame | None, cx: DataFrame | None) -> DataFrame:
+def with_context(paths: DataFrame, flows: DataFrame | None, cx: DataFrame | None, given: DataFrame | None = None) -> DataFrame:
     """``paths`` with ``_flow`` (J1: some flow entry is in the entry file or function) and ``_boost``.
 
-    Texts meet the context lists by keyed containment on their distinct values;
-    the results, one short row per distinct text, are joined back by equality.
+    Texts meet the context lists by keyed containment on their distinct values,
+    gathered for all lookups in one pass over ``given`` (records that hold at least
+    those of ``paths``, by default ``paths``); the results, one short row per
+    distinct text, are joined back by equality.
     """
     entry_file = F.coalesce(F.col("entry_file"), F.col("file"), F.lit(""))
     entry_fn = F.coalesce(F.col("entry_fn"), F.col("source.code"), F.lit(""))
@@ -199,17 +202,25 @@ def with_context(paths: DataFrame, flows: DataFrame | None, cx: DataFrame | None
         hits = hits.select(F.col("text").alias("_text"), F.col("ords").alias(name))
         return df.join(hits, key == F.col("_text"), "left").drop("_text")
 
+    wanted = {"entry_file": entry_file, "entry_fn": entry_fn} if flows is not None else {}
+    wanted |= {k: keys[k] for k in ("file", "sink")} if cx is not None else {}
+    if wanted:
+        every = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("text")) for k, c in wanted.items()]))
+        texts = checkpointed((paths if given is None else given).select(every.alias("t")).select("t.*").distinct())
+
+    def of(kind):
+        return texts.where(F.col("kind") == kind)
+
     out = paths
     if flows is not None:
-        for name, key in (("_f1", entry_file), ("_f2", entry_fn)):
-            out = lookup(out, key, first_hits(paths.select(key.alias("text")), flows, "entry", 1), name)
+        for name, kind in (("_f1", "entry_file"), ("_f2", "entry_fn")):
+            out = lookup(out, wanted[kind], first_hits(of(kind), flows, "entry", 1), name)
         out = out.withColumn("_flow", F.col("_f1").isNotNull() | F.col("_f2").isNotNull()).drop("_f1", "_f2")
     if cx is not None:
         if "sink_name" in cx.columns:  # the other name of the same field
             cx = cx.withColumn("sink", F.coalesce("sink", "sink_name"))
         for kind in ("file", "sink"):
-            out = lookup(out, keys[kind], first_hits(paths.select(keys[kind].alias("text")), cx, kind,
-                                                     _BOOST_HITS[kind]), f"_{kind}")
+            out = lookup(out, keys[kind], first_hits(of(kind), cx, kind, _BOOST_HITS[kind]), f"_{kind}")
         by_type = Window.partitionBy("text").orderBy("ord")
         same = (cx.where("vuln_type <> ''").select(F.col("vuln_type").alias("text"), "ord")
                 .withColumn("_rn", F.row_number().over(by_type)).where(F.col("_rn") <= _BOOST_HITS["vuln_type"])
@@ -221,10 +232,11 @@ def with_context(paths: DataFrame, flows: DataFrame | None, cx: DataFrame | None
 
 
 def triage_score(paths: DataFrame, flows: DataFrame | None = None,
-                 cx: DataFrame | None = None) -> DataFrame:
+                 cx: DataFrame | None = None, given: DataFrame | None = None) -> DataFrame:
     """Additive score and a detail map per path.
 
     ``flows``: (ord, entry); ``cx``: (ord, file, sink, vuln_type[, sink_name]); both of any size.
+    ``given``: see ``with_context``.
     """
     entry_file = F.coalesce(F.col("entry_file"), F.col("file"), F.lit(""))
     sink_type = F.coalesce(F.col("sink.type"), F.lit(""))
@@ -248,7 +260,7 @@ def triage_score(paths: DataFrame, flows: DataFrame | None = None,
         "object_bonus": points(F.col("query_type") == "object", 1),
     }
     # every term is computed once, in a projection of its own
-    out = with_context(paths, flows, cx).withColumns(
+    out = with_context(paths, flows, cx, given).withColumns(
         {"_marker": first_test_marker(entry_file), "_t": F.struct(*[t.cast("int").alias(k) for k, t in terms.items()])})
     total = sum((F.col("_t")[k] for k in terms), F.lit(0))
     score = F.when(F.col("_marker").isNotNull(), F.lit(-10)).otherwise(total).cast("int")
@@ -303,7 +315,7 @@ def with_path_ids(paths: DataFrame) -> DataFrame:
 def triage_scored(paths: DataFrame, flows=None, cx=None,
                   threshold: int = K.TRIAGE_THRESHOLD) -> DataFrame:
     """Dedupe per run, score, keep rows at/above threshold."""
-    return triage_score(unique_paths(paths), flows, cx).where(F.col("score") >= threshold)
+    return triage_score(unique_paths(paths), flows, cx, paths).where(F.col("score") >= threshold)
 
 
 def triage_rank(paths: DataFrame, flows=None, cx=None,
@@ -320,7 +332,7 @@ def triage_rank(paths: DataFrame, flows=None, cx=None,
 def triage_summary(paths: DataFrame, flows=None, cx=None, threshold: int = K.TRIAGE_THRESHOLD,
                    max_paths: int | None = None) -> DataFrame:
     """Per run: before / after / skipped counts, in one aggregate."""
-    scored = triage_score(unique_paths(paths), flows, cx)
+    scored = triage_score(unique_paths(paths), flows, cx, paths)
     keep = F.col("score") >= threshold
     after = F.count_if(keep) if max_paths is None else F.least(F.count_if(keep), F.lit(max_paths))
     return scored.groupBy("run_id").agg(
