@@ -1,12 +1,19 @@
 """Run artifacts and findings.
 
-Artifacts live in one table partitioned by (run_id, phase); a run/phase
-rewrite uses dynamic partition overwrite, so concurrent runs never clobber
-each other, and reads prune to the wanted partitions.
+An artifact is written to a folder of its own first; only then a row of the
+manifest names it as the newest version of (run, phase, artifact).  The row is one
+small file that Spark's writer moves into place as a whole, so a writer that fails
+leaves nothing that a reader sees, and a reader never sees half a version.  Writers
+of different runs never touch each other's files; of two writers of the same
+artifact the later manifest row wins.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,25 +22,59 @@ from sparkaudit import catalogs as K
 from sparkaudit.operators.ranking import with_position
 
 
-def write_run_artifact(df: DataFrame, base: str, run_id: str, phase: str, name: str) -> None:
-    """K1: save a dataset under run/phase/name (overwrite that partition only)."""
-    out = df.select(F.to_json(F.struct(*df.columns)).alias("record")).withColumns(
-        {"run_id": F.lit(run_id), "phase": F.lit(phase), "artifact": F.lit(name)})
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run_id", "phase", "artifact").parquet(base))
+_MANIFEST = "run_id string, phase string, artifact string, version long, folder string, n_rows long"
 
 
-def read_run_artifact(spark: SparkSession, base: str, run_id: str, phase: str, name: str,
-                      schema: str) -> DataFrame:
-    """One artifact of a run/phase; missing or malformed -> empty."""
+def _manifest(spark: SparkSession, base: str) -> DataFrame:
     try:
-        t = spark.read.parquet(base)
+        return spark.read.schema(_MANIFEST).json(f"{base.rstrip('/')}/_manifest")
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":  # only an absent table means "no artifact"
+        if e.getCondition() != "PATH_NOT_FOUND":  # only an absent manifest means "no artifact"
             raise
+        return spark.createDataFrame([], _MANIFEST)
+
+
+def publish(spark: SparkSession, base: str, run_id: str, phase: str, name: str, write: Callable[[str], int]) -> str:
+    """``write`` fills a new folder and returns its number of rows; then the manifest is switched to the folder."""
+    base = base.rstrip("/")
+    folder = f"{base}/versions/{uuid.uuid4().hex}"
+    n_rows = write(folder)
+    row = [(run_id, phase, name, time.time_ns(), folder, n_rows)]
+    spark.createDataFrame(row, _MANIFEST).coalesce(1).write.mode("append").json(f"{base}/_manifest")
+    return folder
+
+
+def published(spark: SparkSession, base: str, run_id: str, phase: str, name: str) -> str | None:
+    """The folder of the newest version, if there is one."""
+    mine = (F.col("run_id") == run_id) & (F.col("phase") == phase) & (F.col("artifact") == name)
+    newest = _manifest(spark, base).where(mine).agg(F.max_by("folder", "version")).first()
+    return newest[0]
+
+
+def list_artifacts(spark: SparkSession, base: str) -> DataFrame:
+    """(run_id, phase, artifact, n_rows, versions): the newest version's rows, and how many there were."""
+    return _manifest(spark, base).groupBy("run_id", "phase", "artifact").agg(
+        F.max_by("n_rows", "version").alias("n_rows"), F.count(F.lit(1)).cast("long").alias("versions"))
+
+
+def write_run_artifact(df: DataFrame, base: str, run_id: str, phase: str, name: str) -> None:
+    """K1: save a dataset as the newest version of run/phase/name."""
+    spark = df.sparkSession
+
+    def write(folder: str) -> int:
+        df.select(F.to_json(F.struct(*df.columns)).alias("record")).write.parquet(folder)
+        return spark.read.parquet(folder).count()
+
+    publish(spark, base, run_id, phase, name, write)
+
+
+def read_run_artifact(spark: SparkSession, base: str, run_id: str, phase: str, name: str,
+                      schema: str) -> DataFrame:
+    """The newest version of a run's artifact; missing or malformed -> empty."""
+    folder = published(spark, base, run_id, phase, name)
+    if folder is None:
         return spark.createDataFrame([], schema)
-    rec = t.where((F.col("run_id") == run_id) & (F.col("phase") == phase) & (F.col("artifact") == name))
-    parsed = rec.select(F.from_json("record", schema).alias("r")).where(F.col("r").isNotNull())
+    parsed = spark.read.parquet(folder).select(F.from_json("record", schema).alias("r")).where(F.col("r").isNotNull())
     return parsed.select("r.*")
 
 
@@ -73,20 +114,37 @@ def finding_completeness(findings: DataFrame) -> DataFrame:
 
 
 def write_findings(findings: DataFrame, base: str, run_id: str) -> DataFrame:
-    """K2: save a run's findings as JSON and their report rows, and return the counts row of what was written.
+    """K2: save a run's findings as JSON and their report rows, both as one version, and return the counts row of what was written.
 
     Missing report columns are null; without an ``ord`` column rows are numbered as they come.
     """
-    spark, folder = findings.sparkSession, f"{base.rstrip('/')}/{run_id}"
-    findings.write.mode("overwrite").json(f"{folder}/findings")
+    spark = findings.sparkSession
     kinds = {"ord": "long", "line_start": "int", "line": "int", **{c: "string" for c in (
         "severity", "vuln_type", "file", "entry_file", "status", "confidence", "cwe", "owasp")}}
     rows = findings.withColumn("run_id", F.lit(run_id))
     for c, kind in kinds.items():
         if c not in rows.columns:
             rows = rows.withColumn(c, F.monotonically_increasing_id() if c == "ord" else F.lit(None).cast(kind))
-    findings_report_rows(rows).write.mode("overwrite").parquet(f"{folder}/report")
+
+    def write(folder: str) -> int:
+        findings.write.json(f"{folder}/findings")
+        findings_report_rows(rows).write.parquet(f"{folder}/report")
+        return spark.read.parquet(f"{folder}/report").count()
+
+    folder = publish(spark, base, run_id, "report", "findings", write)
     s = F.col("severity")
     return spark.read.parquet(f"{folder}/report").agg(
         F.count(F.lit(1)).cast("long").alias("total"), F.count_if(s == "CRITICAL").cast("long").alias("critical"),
         F.count_if(s == "HIGH").cast("long").alias("high"), F.count_if(s == "MEDIUM").cast("long").alias("medium"))
+
+
+def read_findings(spark: SparkSession, base: str, run_id: str) -> DataFrame:
+    """The report rows of a run's newest findings; none if no writer has finished."""
+    folder = published(spark, base, run_id, "report", "findings")
+    if folder is None:
+        return spark.createDataFrame([], _REPORT)
+    return spark.read.parquet(f"{folder}/report")
+
+
+_REPORT = ("run_id string, n int, severity string, type string, file string, line string, status string, "
+           "confidence string, cwe string, owasp string")

@@ -1,5 +1,6 @@
 """Readers, writers and property tests of the operators that carry keys."""
 import json
+import pathlib
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -21,22 +22,48 @@ def test_run_artifacts(spark, tmp_path):
     assert A.read_run_artifact(spark, base, "r1", "p", "x", schema).count() == 0  # no artifact yet
     A.write_run_artifact(spark.createDataFrame([(1, "x"), (2, None)], schema), base, "r1", "p", "x")
     A.write_run_artifact(spark.createDataFrame([(9, "y")], schema), base, "r2", "p", "x")
-    A.write_run_artifact(spark.createDataFrame([(3, "z")], schema), base, "r2", "p", "x")  # replaces its own partition
+    A.write_run_artifact(spark.createDataFrame([(3, "z")], schema), base, "r2", "p", "x")  # the newer version
     assert sorted(map(tuple, A.read_run_artifact(spark, base, "r1", "p", "x", schema).collect()), key=repr) == [(1, "x"), (2, None)]
     assert [tuple(r) for r in A.read_run_artifact(spark, base, "r2", "p", "x", schema).collect()] == [(3, "z")]
-    (tmp_path / "broken").mkdir()
-    (tmp_path / "broken" / "part-0.parquet").write_text("no parquet")
+
+    def spoil(folder):
+        pathlib.Path(folder).mkdir(parents=True)
+        (pathlib.Path(folder) / "part-0.parquet").write_text("no parquet")
+        return 1
+
+    A.publish(spark, base, "r3", "p", "x", spoil)
     with pytest.raises(Exception) as e:
-        A.read_run_artifact(spark, str(tmp_path / "broken"), "r1", "p", "x", schema).count()
+        A.read_run_artifact(spark, base, "r3", "p", "x", schema).count()
     assert not isinstance(e.value, AnalysisException) or "PATH_NOT_FOUND" not in str(e.value)
 
 
+def test_a_failed_writer_is_invisible(spark, tmp_path):
+    """A write that breaks off leaves the version before it, or none, and no half of a report."""
+    base, schema = str(tmp_path / "base"), "a int, b string"
+    good = spark.createDataFrame([(1, "x")], schema)
+    broken = spark.range(4).select(F.when(F.col("id") == 3, F.raise_error(F.lit("lost"))).otherwise(1).cast("int").alias("a"), F.lit("y").alias("b"))
+    with pytest.raises(Exception, match="lost"):
+        A.write_run_artifact(broken, base, "r", "p", "x")
+    assert A.read_run_artifact(spark, base, "r", "p", "x", schema).count() == 0
+    A.write_run_artifact(good, base, "r", "p", "x")
+    with pytest.raises(Exception, match="lost"):
+        A.write_run_artifact(broken, base, "r", "p", "x")
+    assert [tuple(r) for r in A.read_run_artifact(spark, base, "r", "p", "x", schema).collect()] == [(1, "x")]
+    findings = spark.createDataFrame([("HIGH", 1)], "severity string, ord long")
+    assert A.read_findings(spark, base, "r").count() == 0
+    assert A.write_findings(findings, base, "r").first().high == 1
+    with pytest.raises(Exception, match="lost"):
+        A.write_findings(findings.withColumn("severity", F.raise_error(F.lit("lost")).cast("string")), base, "r")
+    assert [r.severity for r in A.read_findings(spark, base, "r").collect()] == ["HIGH"]
+    assert sorted((r.artifact, r.n_rows, r.versions) for r in A.list_artifacts(spark, base).collect()) == [("findings", 1, 1), ("x", 1, 1)]
+
+
 def test_write_findings(spark, tmp_path):
     rows = spark.createDataFrame([("CRITICAL",), ("high",), (None,)], "severity string")
     counts = A.write_findings(rows, str(tmp_path), "run").first()
     assert (counts.total, counts.critical, counts.high, counts.medium) == (3, 1, 1, 1)
-    assert spark.read.json(str(tmp_path / "run" / "findings")).count() == 3
-    report = spark.read.parquet(str(tmp_path / "run" / "report")).collect()
+    assert spark.read.json(f"{A.published(spark, str(tmp_path), 'run', 'report', 'findings')}/findings").count() == 3
+    report = A.read_findings(spark, str(tmp_path), "run").collect()
     assert sorted(r.n for r in report) == [1, 2, 3] and {r.severity for r in report} == {"CRITICAL", "HIGH", "MEDIUM"}
 
 
