@@ -50,9 +50,6 @@ GRAM = DEPTH // 4
 BUCKET = 16
 #: Suffixes of a text that are held at once.
 CHUNK = 1 << 19
-#: Lists with up to this number of rows in all (24 bytes each) are broadcast to the texts; more are joined by key.
-BROADCAST_ROWS = 400_000
-
 #: Ids up to this number (8 bytes each) are broadcast to pick out texts; more are joined by key.
 BROADCAST_IDS = 2_000_000
 
@@ -281,7 +278,7 @@ def without(data: np.ndarray, spans: list[tuple[int, int]]) -> bytes:
 
 
 def measure_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats) of every row; ``repeats``: something is removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,7 +297,8 @@ def measure_documents(docs: DataFrame) -> DataFrame:
     cut = with_lists(texts, spans).mapInArrow(run, "cut_id long, n_removed long, n_spans long, kept string")
     return rows.where("sha256 is not null").join(cut, F.col("doc_id") == F.col("cut_id"), "left").select(
         F.col("given_id").alias("doc_id"), F.col("n").alias("n_bytes"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", "sha256").alias("kept_sha256"))
+        F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", "sha256").alias("kept_sha256"),
+        (F.coalesce("n_removed", F.lit(0)) > 0).alias("repeats"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

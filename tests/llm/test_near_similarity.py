@@ -4,7 +4,6 @@ from collections import defaultdict
 
 import corpus_pipeline
 import pytest
-import test_pipeline
 from conftest_llm import prose, table_of
 from test_dedup import shingles
 
@@ -107,9 +106,3 @@ def test_pipeline_stage_on_documents(spark, sf_small):
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
     kept = corpus_pipeline.near_duplicates(spark, docs, sf_small)
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, _, _, k in components(rows, 80) if k}
-
-
-def test_run_against_brute_force_at_80(spark, sf_small, monkeypatch):
-    """The whole run made again as in test_pipeline, with the stage's own similarity."""
-    monkeypatch.setattr(test_pipeline, "groups", lambda rows: components(rows, 80))
-    test_pipeline.test_run_against_brute_force(spark, sf_small)

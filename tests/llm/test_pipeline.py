@@ -40,7 +40,8 @@ def test_run_against_brute_force(spark, sf_small):
     """Every decision made again without the stages: from the forest's verdicts on."""
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
     good = {r.doc_id for r in E.queries()["op7_quality_rules"](spark, sf_small).collect() if r.kept}
-    one = {i for i, _, _, kept in groups([(i, docs[i].text, docs[i].source) for i in sorted(good)]) if kept}
+    one = {i for i, _, _, kept in groups(
+        [(i, docs[i].text, docs[i].source) for i in sorted(good)], corpus_pipeline.NEAR_PERCENT) if kept}
     con = duckdb.connect()
     con.register("documents", pa.table({"doc_id": sorted(one), "text": [docs[i].text for i in sorted(one)]}))
     con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{sf_small}/benchmark.parquet'")
