@@ -53,7 +53,8 @@ MORE_RULES = (
     Rule("code_host", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("chat", 1, r"xox[abeprs]-[A-Za-z0-9-]{10,}", ("xox",)),
     Rule("maps", 1, r"AIza[A-Za-z0-9_-]{35}", ("aiza",)),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", ("eyj",)),
+    # starts only where a run of token characters does, so a long run is read once
+    Rule("jwt", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]+", ("eyj",)),
     Rule("url_login", 1, r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{3,128}@", ("://",)),
 )
 RULES = BASE_RULES + MORE_RULES
