@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkaudit.llm.common import checkpointed, new_table_path, text_slices
+from sparkaudit.llm.common import checkpointed, looked_up, new_table_path, text_slices
 from sparkaudit.llm.words import find_words, grams, not_space
 
 SHINGLE = 5
@@ -179,18 +179,23 @@ def with_hubs(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
 
 def others(stars: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links of members that are not linked with their hub, within their groups."""
-    def dealt(rows, name):
-        return rows.withColumn(name, F.pmod(F.xxhash64("member"), F.col(f"{name}s")).cast("int"))
+    """(a, b): links of members that are not linked with their hub, within their groups.
 
-    def buckets(rows, name):
-        return rows.groupBy("hub").agg(F.ceil(F.sum("n") / BUCKET_SHINGLES).cast("int").alias(f"{name}s"))
+    How many blocks a hub's group fills is looked up without dealing rows by hub: a hub of very many is in no one task.
+    """
+    sizes = checkpointed(
+        stars.groupBy("hub").agg(F.sum(F.when(~F.col("linked"), F.col("n"))).alias("rows"), F.sum("n").alias("cols"))
+        .where("rows is not null")
+        .select("hub", *[F.ceil(F.col(x) / BUCKET_SHINGLES).cast("int").alias(x) for x in ("rows", "cols")]))
+    shared = looked_up(stars.select("hub", "member", (~F.col("linked")).alias("asks")), sizes, ["hub"],
+                       F.xxhash64("member"))
+
+    def dealt(name):
+        return F.pmod(F.xxhash64("member"), F.col(f"{name}s")).cast("int").alias(name)
 
-    loose = stars.where("not linked")
-    sizes = checkpointed(buckets(loose, "row").join(buckets(stars, "col"), "hub"))
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col(f"{name}s") - 1)).alias(name)
-    rows = dealt(loose.join(sizes, "hub"), "row").select("hub", "row", every("col"), "member", F.lit(True).alias("asks"))
-    cols = dealt(stars.join(sizes, "hub"), "col").select("hub", every("row"), "col", "member", F.lit(False).alias("asks"))
+    rows = shared.where("asks").select("hub", dealt("row"), every("col"), "member", "asks")
+    cols = shared.select("hub", every("row"), dealt("col"), "member", F.lit(False).alias("asks"))
     block = rows.unionByName(cols).groupBy("hub", "row", "col", "member").agg(F.max("asks").alias("asks"))
 
     def verify(block: pa.Table) -> pa.Table:

@@ -8,11 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Bytes of text handled at once inside a task; numpy temporaries are a small multiple of it.
 SLICE_BYTES = 1 << 19
 SLICE_ROWS = 2048
+#: Rows of a narrow table (tens of bytes each) up to this number are broadcast; more are joined by salted key.
+BROADCAST_ROWS = 500_000
+SALTS = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +41,19 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def looked_up(rows: DataFrame, narrow: DataFrame, on: list[str], salt: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the written table ``narrow``; a key that very many of ``rows`` have is never one task's.
+
+    ``narrow`` is broadcast if it counts BROADCAST_ROWS at most.  Else each of its rows is there once a salt, and
+    ``salt`` (a hash of what tells the rows of a key apart) deals a key's rows to ``SALTS`` parts.
+    """
+    if narrow.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(narrow), on, how)
+    every = narrow.withColumn("llm_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    part = F.pmod(salt, F.lit(SALTS)).cast("int")
+    return rows.withColumn("llm_salt", part).join(every, [*on, "llm_salt"], how).drop("llm_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

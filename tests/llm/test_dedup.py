@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from conftest_llm import prose, table_of
 
-from sparkaudit.llm import bottomk, suffix_dedup
+from sparkaudit.llm import bottomk, common, suffix_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -43,9 +43,11 @@ def test_near_duplicates(docs, corpus):
     assert got == groups(corpus)
 
 
-def test_large_groups_in_buckets(spark, monkeypatch):
-    """A hot family whose members are dealt into many blocks; a chain keeps its links."""
+@pytest.mark.parametrize("broadcast", [common.BROADCAST_ROWS, 0])
+def test_large_groups_in_buckets(spark, monkeypatch, broadcast):
+    """A hot family whose members are dealt into many blocks; a chain keeps its links, hubs broadcast or salted."""
     monkeypatch.setattr(bottomk, "BUCKET_SHINGLES", 700)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     rng = random.Random(1)
     words = prose(rng, 90).split(" ")
     rows = []
