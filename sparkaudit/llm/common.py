@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 # Bytes of text handled at once inside a task; numpy temporaries are a small multiple of it.
 SLICE_BYTES = 1 << 19
 SLICE_ROWS = 2048
-#: Rows of a narrow table (tens of bytes each) up to this number are broadcast; more are joined by salted key.
-BROADCAST_ROWS = 500_000
+#: Rows of a narrow table (150 bytes each at most) up to this number are broadcast; more are joined by salted key.
+BROADCAST_ROWS = 200_000
 SALTS = 32
 
 

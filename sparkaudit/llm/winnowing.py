@@ -3,14 +3,21 @@
 Both sides are words; of every ``WIDTH`` consecutive 5-gram hashes the smallest
 is kept (the rightmost among equals).  A span of 10 words holds 6 such hashes
 and selects the same one wherever it stands, so documents and items that share
-10 consecutive words share a fingerprint.  Fingerprints of a document that the
-items have are extended: the 6 windows of 10 words around each are compared
-with the items' windows.  Items of fewer than 10 words are one window of their
-own length, looked up at every position of a document.
-
-The items go to the tasks in blocks of at most ``BLOCK_WORDS`` words, one pass
-over the documents a block, so any number of items is handled with bounded
-memory; nothing of the documents is shuffled or collected.
+10 consecutive words share a fingerprint.  Items of fewer than 10 words are one
+window of their own length, which is its own fingerprint at every position of a
+document.
+
+1. The items' fingerprints and windows are written as narrow tables.
+2. One pass over the documents keeps, of each text's fingerprints, those that a
+   bitmap of the items' has, each with the up to 6 windows of 10 words around
+   it.  The bitmap has 2^26 bits at any number of items: it only thins what the
+   joins read, and with very many items it thins less.
+3. The fingerprints are joined with the items', those found are extended: their
+   windows are joined with the items' windows.  What is found gives the hit
+   words (runs of positions) and the items of each text.
+
+Equal texts are extended once, under their digest.  Nothing of the documents or
+the items is collected, and no task's memory grows with either.
 
 Defined cases: null and empty texts have no words and no hits; null item ids
 hit words but are not counted as items; repeated documents get equal results,
@@ -21,33 +28,21 @@ of ``docs`` are kept as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkaudit.llm.common import text_slices
+from sparkaudit.llm.common import looked_up, new_table_path, text_slices
 from sparkaudit.llm.words import alphanumeric, find_words, grams, sliding_min
 
 WINDOW = 10
 GRAM = 5
 WIDTH = WINDOW - GRAM + 1
-#: Words of items that are sent to tasks at once (about 40 bytes of index a word).
-BLOCK_WORDS = 1_000_000
-
-
-class Index(NamedTuple):
-    """Fingerprints and windows of a block of items; windows are sorted, with the items of each."""
-
-    prints: np.ndarray
-    sizes: list[int]                 # window lengths
-    windows: dict[int, np.ndarray]   # length -> sorted distinct hashes
-    first: dict[int, np.ndarray]     # length -> bounds into owners
-    owners: dict[int, np.ndarray]    # length -> numbers of items, by window
-    items: list[str | None]
+#: Bits of the bitmap of fingerprints (8 MB), and of one row of it.
+BITS, ROW_BITS = 1 << 26, 1 << 15
 
 
 def winnow(gram: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -63,58 +58,74 @@ def winnow(gram: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return at[np.append(True, at[1:] != at[:-1])]
 
 
-def build_index(items: list[tuple[str | None, str]]) -> Index:
-    pairs: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    prints, keep = [np.zeros(0, np.uint64)], alphanumeric()
-    for number, (_, text) in enumerate(items):
-        data = np.frombuffer(text.encode(), np.uint8)
-        code = find_words(data, np.array([0, len(data)]), keep).hash
-        if not len(code):
-            continue
-        size = min(WINDOW, len(code))
-        window = np.unique(grams(code, size))
-        pairs.setdefault(size, []).append((window, np.full(len(window), number)))
-        if size == WINDOW:
-            gram = grams(code, GRAM)
-            prints.append(gram[winnow(gram)])
-    windows, first, owners = {}, {}, {}
-    for size, found in pairs.items():
-        code, owner = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((owner, code))
-        windows[size], at = np.unique(code[order], return_index=True)
-        first[size], owners[size] = np.append(at, len(order)), owner[order]
-    return Index(np.unique(np.concatenate(prints)), sorted(windows), windows, first, owners, [i for i, _ in items])
-
-
-def _members(values: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where ``values`` occur in the sorted ``among``: indices into both."""
-    if not len(among) or not len(values):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(among, values), len(among) - 1)
-    hit = np.flatnonzero(among[at] == values)
-    return hit, at[hit]
-
-
-def occurrences(code: np.ndarray, row: np.ndarray, index: Index) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, word positions, window numbers) of the items' windows in the texts' words."""
-    for size in index.sizes:
-        if size < WINDOW:
-            gram = grams(code, size)
-            at, window = _members(gram, index.windows[size])
-        else:
-            gram = grams(code, GRAM)
-            seed = winnow(gram)
-            hit, _ = _members(gram[seed], index.prints)
-            at = np.unique((seed[hit][:, None] - np.arange(WIDTH)).ravel())
-            at = at[(at >= 0) & (at + size <= len(code))]
-            if len(at):
-                span = code[at[:, None] + np.arange(size)]
-                hit, window = _members(_fold(span), index.windows[size])
-                at = at[hit]
-            else:
-                window = at
-        inside = row[at] == row[at + size - 1] if len(at) else np.zeros(0, bool)
-        yield size, at[inside], window[inside]
+def _slots(size: np.ndarray | int, code: np.ndarray) -> np.ndarray:
+    """Places of fingerprints in the bitmap."""
+    with np.errstate(over="ignore"):
+        return ((code + np.uint64(size) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(38)).astype(np.int64) & (BITS - 1)
+
+
+def item_codes(benchmark: DataFrame) -> DataFrame:
+    """(print, size, code, slot, item) of every item's fingerprints and windows, each once."""
+    keep = alphanumeric()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in text_slices(batches, "text"):
+            words = find_words(data, offsets, keep)
+            bounds = np.searchsorted(words.row, np.arange(rows.num_rows + 1))
+            for i, item in enumerate(rows.column(rows.schema.get_field_index("item")).to_pylist()):
+                code = words.hash[bounds[i]:bounds[i + 1]]
+                size = min(WINDOW, len(code))
+                if not size:
+                    continue
+                window = np.unique(grams(code, size))
+                gram = grams(code, GRAM)
+                seed = np.unique(gram[winnow(gram)]) if size == WINDOW else window
+                both, n = np.concatenate([seed, window]), len(seed) + len(window)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(n) < len(seed)), pa.array(np.full(n, size, np.int32)), pa.array(both.view(np.int64)),
+                     pa.array(_slots(size, both)), pa.array([item] * n, pa.string())],
+                    ["print", "size", "code", "slot", "item"])
+
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(
+        run, "print boolean, size int, code long, slot long, item string").distinct()
+
+
+def bitmap(prints: DataFrame) -> np.ndarray:
+    """The bitmap of the fingerprints' slots, gathered in rows of ROW_BITS; its size is fixed."""
+    place = F.col("slot") + 1
+    rows = prints.groupBy(F.bitmap_bucket_number(place).alias("row")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in rows:
+        at = (r.row - 1) * ROW_BITS // 8
+        out[at:at + ROW_BITS // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _has(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+
+def seeds(code: np.ndarray, row: np.ndarray, size: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word position, hash) of the texts' fingerprints of ``size`` that the bitmap has."""
+    gram = grams(code, GRAM if size == WINDOW else size)
+    at = winnow(gram) if size == WINDOW else np.arange(len(gram))
+    at = at[_has(bits, _slots(size, gram[at]))]
+    at = at[row[at] == row[at + (GRAM if size == WINDOW else size) - 1]] if len(at) else at
+    return at, gram[at]
+
+
+def windows_around(at: np.ndarray, code: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the fingerprint, word position, hash) of the windows that hold each fingerprint, inside its text."""
+    if size < WINDOW:
+        return np.arange(len(at)), at, grams(code, size)[at]
+    start = (at[:, None] - np.arange(WIDTH)).ravel()
+    number = np.repeat(np.arange(len(at)), WIDTH)
+    inside = (start >= 0) & (start + size <= len(code))
+    start, number = start[inside], number[inside]
+    inside = row[start] == row[start + size - 1]
+    start, number = start[inside], number[inside]
+    return number, start, _fold(code[start[:, None] + np.arange(size)])
 
 
 def _fold(span: np.ndarray) -> np.ndarray:
@@ -123,115 +134,117 @@ def _fold(span: np.ndarray) -> np.ndarray:
         [grams(part.ravel(), span.shape[1])[::span.shape[1]] for part in np.array_split(span, len(span) // 65536 + 1)])
 
 
-MARKS = T.StructType([
-    T.StructField("llm_words", T.LongType()),
-    T.StructField("llm_hits", T.ArrayType(T.LongType())),    # first and end word of each hit run, in turn
-    T.StructField("llm_items", T.ArrayType(T.StringType())),  # item ids, distinct and sorted
-])
+SEEDS = T.ArrayType(T.StructType([
+    T.StructField("size", T.IntegerType()), T.StructField("code", T.LongType()),
+    T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("windows", T.ArrayType(T.LongType()))]))
+ARROW_SEEDS = pa.list_(pa.struct([("size", pa.int32()), ("code", pa.int64()), ("starts", pa.list_(pa.int32())),
+                                  ("windows", pa.list_(pa.int64()))]))
 
 
-def _mark(shared, columns: list[str], started: bool):
-    """Arrow function that adds one block's hits to the marks of the blocks before."""
+def _texts(shared, sizes: list[int]):
+    """Arrow function: number of words and seeds of each text; ``starts`` are word positions in the text."""
     keep = alphanumeric()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for rows, data, offsets in text_slices(batches, "text"):
+        bits = shared.value
+        for rows, data, offsets in text_slices(batches, "llm_text"):
             words = find_words(data, offsets, keep)
             n = len(offsets) - 1
             total = np.bincount(words.row, minlength=n)
             begin = np.concatenate([[0], np.cumsum(total)])
-            edge = np.zeros(len(words.row) + 1, np.int64)
-            hit_rows, hit_items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for size, at, window in occurrences(words.hash, words.row, index):
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + size, -1)
-                pair = np.unique(np.stack([words.row[at], window]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
-                lo, hi = index.first[size][pair[1]], index.first[size][pair[1] + 1]
-                spread = np.repeat(np.arange(len(lo)), hi - lo)
-                inner = np.arange(len(spread)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-                hit_rows.append(pair[0][spread])
-                hit_items.append(index.owners[size][lo[spread] + inner])
-            old_hits = rows.column(rows.schema.get_field_index("llm_hits")).to_pylist() if started else None
-            old_items = rows.column(rows.schema.get_field_index("llm_items")).to_pylist() if started else None
-            hits: list[list[int]] = [[] for _ in range(n)]
-            items: list[set] = [set(x) for x in old_items] if started else [set() for _ in range(n)]
-            touched = np.unique(np.concatenate(hit_rows))
-            depth = np.cumsum(edge[:-1]) > 0
-            for r in touched.tolist():
-                hits[r] = runs(depth[begin[r]:begin[r + 1]])
-            for r, item in zip(np.concatenate(hit_rows).tolist(), np.concatenate(hit_items).tolist(), strict=True):
-                if index.items[item] is not None:
-                    items[r].add(index.items[item])
-            if started:
-                hits = [joined(a, b) for a, b in zip(old_hits, hits, strict=True)]
-            out = [rows.column(rows.schema.get_field_index(c)) for c in columns]
+            found: list[list[dict]] = [[] for _ in range(n)]
+            for size in sizes:
+                at, code = seeds(words.hash, words.row, size, bits)
+                if not len(at):
+                    continue
+                number, start, window = windows_around(at, words.hash, words.row, size)
+                bound = np.searchsorted(number, np.arange(len(at) + 1))
+                for i, r in enumerate(words.row[at].tolist()):
+                    lo, hi = bound[i], bound[i + 1]
+                    if lo < hi:
+                        found[r].append({"size": size, "code": int(code[i].view(np.int64)),
+                                         "starts": (start[lo:hi] - begin[r]).tolist(),
+                                         "windows": window[lo:hi].view(np.int64).tolist()})
             yield pa.RecordBatch.from_arrays(
-                [*out, pa.array(total, pa.int64()), pa.array(hits, pa.list_(pa.int64())),
-                 pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                [*columns, "llm_words", "llm_hits", "llm_items"])
+                [*[rows.column(i) for i in range(rows.num_columns - 1)], pa.array(total, pa.int64()),
+                 pa.array(found, ARROW_SEEDS)], [*rows.schema.names[:-1], "llm_words", "llm_seeds"])
 
     return run
 
 
-def runs(covered: np.ndarray) -> list[int]:
-    """First and end of each run of true values, in turn."""
-    edges = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
-    return np.flatnonzero(edges).tolist()
-
-
-def joined(a: list[int], b: list[int]) -> list[int]:
-    """The union of two lists of runs."""
-    out: list[int] = []
-    for start, end in sorted([*zip(a[::2], a[1::2], strict=True), *zip(b[::2], b[1::2], strict=True)]):
-        if out and start <= out[-1]:
-            out[-1] = max(out[-1], end)
-        else:
-            out += [start, end]
-    return out
-
-
-def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[Index]:
-    """Indexes of the items, at most ``most`` words each; only one block is in memory."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"),
-                             F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    group, size = [], 0
-    for item, text in items.toLocalIterator(prefetchPartitions=False):
-        n = len(text) // 2 + 1  # no text has more words
-        if group and size + n > most:
-            yield build_index(group)
-            group, size = [], 0
-        group.append((item, text))
-        size += n
-    yield build_index(group)
-
-
-def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None,
-         block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with llm_words (number of words), llm_hits (runs of
-    hit words) and llm_items (items found)."""
-    spark, fields = docs.sparkSession, {f.name: f for f in docs.schema.fields}
-    out, started, waiting = docs, False, blocks(benchmark, block_words)
-    index = next(waiting)
-    while index is not None:
-        following = next(waiting, None)
-        columns = list(fields) if following or keep is None else keep
-        schema = T.StructType([*[fields[c] for c in columns], *MARKS.fields])
-        out = out.mapInArrow(_mark(spark.sparkContext.broadcast(index), columns, started), schema)
-        index, started = following, True
-    return out
+def text_key(text: str | Column = "text") -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def found_in(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: every row of ``docs`` with ``keep``, llm_key and llm_words, and of each text with a hit
+    (llm_key, llm_at: its hit words' positions, ascending, llm_items: ids of its items, sorted)."""
+    spark = docs.sparkSession
+    codes = _written(item_codes(benchmark), "benchmark-codes")
+    prints = _written(codes.where("print").select("size", "code", "slot").distinct(), "benchmark-prints")
+    owners = codes.where("not print").select("size", "code", "item")
+    windows = _written(owners.select("size", "code").distinct(), "benchmark-windows")
+    sizes = sorted(r.size for r in prints.select("size").distinct().collect())  # at most WINDOW of them
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("llm_key", T.BinaryType()),
+                           T.StructField("llm_words", T.LongType()), T.StructField("llm_seeds", SEEDS)])
+    texts = _written(
+        docs.select(*keep, text_key().alias("llm_key"), F.col("text").alias("llm_text")).mapInArrow(
+            _texts(spark.sparkContext.broadcast(bitmap(prints)), sizes), schema), "document-seeds")
+    on, salt = ["size", "code"], F.xxhash64("llm_key")
+    once = texts.where(F.size("llm_seeds") > 0).groupBy("llm_key").agg(F.first("llm_seeds").alias("s"))
+    seed = once.select("llm_key", F.explode("s").alias("s")).select("llm_key", "s.*")
+    near = (looked_up(seed, prints.select(*on), on, salt, "left_semi")
+            .select("llm_key", "size", F.explode(F.arrays_zip("starts", "windows")).alias("w"))
+            .select("llm_key", "size", F.col("w.starts").alias("start"), F.col("w.windows").alias("code")).distinct())
+    hit = _written(looked_up(near, windows, on, salt, "left_semi"), "document-hits")
+    at = F.array_sort(F.collect_set("at")).alias("llm_at")
+    spans = (hit.select("llm_key", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("at"))
+             .groupBy("llm_key").agg(at))
+    items = (looked_up(hit.select("llm_key", *on).distinct(), owners.where("item is not null"), on, salt)
+             .groupBy("llm_key").agg(F.array_sort(F.collect_set("item")).alias("llm_items")))
+    none = F.array().cast("array<string>")
+    found = spans.join(items, "llm_key", "left").withColumn("llm_items", F.coalesce("llm_items", none))
+    return texts.drop("llm_seeds"), _written(found, "document-items")
+
+
+def _runs(at: str) -> Column:
+    """First and end of each run of ascending positions, in turn."""
+    each = F.expr(f"""flatten(zip_with(
+        filter({at}, (x, i) -> i = 0 or get({at}, i - 1) < x - 1),
+        filter({at}, (x, i) -> i = size({at}) - 1 or get({at}, i + 1) > x + 1),
+        (a, b) -> array(cast(a as bigint), cast(b + 1 as bigint))))""")
+    return F.coalesce(each, F.array().cast("array<bigint>"))
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with llm_words (number of words), llm_hits (first and end word of each run of
+    hit words, in turn) and llm_items (ids of the items found, sorted)."""
+    every, found = found_in(docs, benchmark, keep)
+    return every.join(found, "llm_key", "left").select(
+        *keep, "llm_words", _runs("llm_at").alias("llm_hits"),
+        F.coalesce("llm_items", F.array().cast("array<string>")).alias("llm_items"))
 
 
 def score_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Digest per document."""
-    ends = F.expr("aggregate(llm_hits, 0L, (s, x) -> x - s)")  # ends less starts, as they take turns
-    n_items = F.size("llm_items").cast("long")
-    return mark(docs.select("doc_id", "text"), benchmark, ["doc_id"]).select(
-        "doc_id", F.col("llm_words").alias("n_words"), ends.alias("n_hit"), n_items.alias("n_items"),
-        F.sha2(F.array_join("llm_items", ","), 256).alias("items_sha256"), (ends > 0).alias("contaminated"))
+    every, found = found_in(docs.select("doc_id", "text"), benchmark, ["doc_id"])
+    digest = found.select("llm_key", F.size("llm_at").cast("long").alias("hits"), F.size("llm_items").cast("long").alias("items"),
+                          F.sha2(F.array_join("llm_items", ","), 256).alias("digest"))
+    zero = F.lit(0).cast("long")
+    return looked_up(every, digest, ["llm_key"], F.xxhash64("doc_id"), "left").select(
+        "doc_id", F.col("llm_words").alias("n_words"), F.coalesce("hits", zero).alias("n_hit"),
+        F.coalesce("items", zero).alias("n_items"),
+        F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.coalesce(F.col("hits") > 0, F.lit(False)).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, all columns kept."""
-    return mark(docs, benchmark).where(F.size("llm_hits") == 0).select(*docs.columns)
-
+    gone = found_in(docs, benchmark, [])[1].select("llm_key")
+    return looked_up(docs.withColumn("llm_key", text_key()), gone, ["llm_key"], F.xxhash64("doc_id"), "left_anti").select(
+        *docs.columns)

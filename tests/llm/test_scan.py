@@ -4,11 +4,12 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from conftest_llm import prose, table_of
 from pyspark.sql import functions as F
 
-from sparkaudit.llm import license_scan, secrets_ledger, toxicity, winnowing
+from sparkaudit.llm import common, license_scan, secrets_ledger, toxicity, winnowing
 from sparkaudit.llm.common import new_table_path
 from sparkaudit.llm.q_scan import OP9_SQL
 
@@ -77,18 +78,18 @@ def items(spark, corpus):
     return spark.createDataFrame(rows, "item_id long, text string")
 
 
-@pytest.mark.parametrize("block", [winnowing.BLOCK_WORDS, 60])
-def test_decontamination(spark, docs, corpus, items, block, monkeypatch):
-    monkeypatch.setattr(winnowing, "BLOCK_WORDS", block)
-    marked = winnowing.mark(docs.select("doc_id", "text"), items, ["doc_id"], block)
+@pytest.mark.parametrize("broadcast", [common.BROADCAST_ROWS, 0])
+def test_decontamination(spark, docs, corpus, items, broadcast, monkeypatch):
+    """Items broadcast, and joined by salted key."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    marked = winnowing.mark(docs.select("doc_id", "text"), items, ["doc_id"])
     assert marked.count() == len(corpus)
-    got = winnowing.score_documents(docs, items) if block > 100 else None
+    got = winnowing.score_documents(docs, items)
     con = duckdb.connect()
     con.register("documents", docs.select("doc_id", "text").toArrow())
     con.register("benchmark", items.toArrow())
     want = sorted(con.execute(OP9_SQL).fetchall(), key=repr)
-    if got is not None:
-        assert sorted((tuple(r) for r in got.collect()), key=repr) == want
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == want
     hits = sorted((r.doc_id, r.llm_words, sum(r.llm_hits[1::2]) - sum(r.llm_hits[::2]), len(r.llm_items)) for r in marked.collect())
     assert hits == sorted(w[:4] for w in want)
     kept = winnowing.drop_contaminated(docs, items)
@@ -96,6 +97,17 @@ def test_decontamination(spark, docs, corpus, items, block, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(w[0] for w in want if not w[5])
 
 
+def test_full_bitmap(spark, docs, items, monkeypatch):
+    """A bitmap that has every fingerprint changes no result; runs of hit words are whole."""
+    key = lambda rows: sorted((tuple(r) for r in rows.collect()), key=repr)
+    want = key(winnowing.score_documents(docs, items))
+    monkeypatch.setattr(winnowing, "bitmap", lambda prints: np.full(winnowing.BITS // 8, 255, np.uint8))
+    assert key(winnowing.score_documents(docs, items)) == want
+    text = spark.createDataFrame([(1, "a b one two c One-Two one two. two one")], "doc_id long, text string")
+    got = winnowing.mark(text, items, ["doc_id"]).first()
+    assert got.llm_hits == [2, 4, 5, 9] and got.llm_items == ["3"] and got.llm_words == 11
+
+
 def test_decontamination_empty(spark, docs, corpus, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert winnowing.score_documents(docs, none).where("contaminated").count() == 0
