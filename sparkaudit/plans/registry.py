@@ -42,4 +42,4 @@ def load_all() -> None:
         importlib.import_module(f"sparkaudit.plans.{m}")
 
 
-_MODULES = ["q_triage", "q_classify", "q_secrets", "q_endpoints", "q_graph", "q_rollup", "q_logs", "q_sinks", "q_context", "q_models", "q_intel", "q_rules", "q_surface"]
+_MODULES = ["q_triage", "q_classify", "q_secrets", "q_endpoints", "q_graph", "q_rollup", "q_logs", "q_sinks", "q_context", "q_models", "q_intel", "q_rules", "q_surface", "q_ledger"]

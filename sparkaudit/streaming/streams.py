@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from sparkaudit.session import checkpoint_dir
+from sparkaudit.sources.ledger import Scan, incremental_scan
 from sparkaudit.sources.logs import CALL_LOG_SCHEMA, SKETCH_K
 
 
@@ -289,3 +290,17 @@ def stream_first_calls(calls: DataFrame, horizon: str = "30 days") -> DataFrame:
     first = _one_a_key(_narrow(calls, "tool"), ["run_id"], newest=False).groupBy("run_id").transformWithStateInPandas(
         _FirstCall(_milliseconds(horizon)), "run_id string, us long, tool string", "Append", "eventTime")
     return first.select("run_id", F.timestamp_micros("us").alias("ts"), "tool")
+
+
+def incremental_scan_to_table(files: DataFrame, folder: str, ledger: str, scan: Scan, keys: tuple[str, ...] = ("repo", "path"),
+                              text: str = "content") -> DataFrame:
+    """ST5: scan arriving files, each content once for all batches, runs and batch scans that share the ``ledger``.
+
+    A batch that runs twice finds its contents in the ledger and replaces its own rows.
+    """
+    found = scan.run(files.select(F.col(keys[-1]).alias("file"), F.col(text).alias("text"))).drop("file")
+    schema = files.select(*keys).schema
+    for field in found.schema:
+        schema = schema.add(field)
+    _drain(files, folder, {"table": lambda batch: incremental_scan(batch, ledger, scan, keys, text).findings})
+    return _table(files.sparkSession, folder, "table", schema).drop("batch")
