@@ -133,7 +133,7 @@ SELECT run_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at, arg_min(too
 FROM v_calls GROUP BY run_id
 """)
 def q_call_log_round_trip(spark, sf):
-    """K4 + S7: the log is written by run, read back, and gives the session index."""
+    """K4 + S7: the log is written, runs in a bounded number of folders, read back, and gives the session index."""
     calls = I.view(spark, sf, "v_calls").select(
         F.col("ts").cast("timestamp").alias("ts"), "run_id", "tool", L.redact_args(F.col("args")).alias("args_summary"), "status",
         "duration_ms", F.lit(None).cast("map<string,string>").alias("result_summary"), "event_id")
@@ -270,9 +270,10 @@ def q_stream_call_log(spark, sf):
         "duration_ms", F.lit(None).cast("map<string,string>").alias("result_summary"), "event_id")
     folder = ST.new_folder(spark, "call-log")
     L.append_call_log(calls, f"{folder}/log", "all")
-    broken = calls.where("event_id % 10 = 3").select("run_id", F.lit("broken").alias("batch"), F.concat(
-        F.lit('{"ts":"2024-01-01T00:00:00","tool":'), F.to_json(F.struct("tool", "duration_ms"))).alias("value"))
-    broken.write.mode("append").partitionBy("batch", "run_id").text(f"{folder}/log")
+    broken = calls.where("event_id % 10 = 3").select("run_id", F.concat(
+        F.regexp_replace(F.to_json(F.struct(F.col("run_id").alias("run"))), r"\}$", ""), F.lit(',"ts":"2024-01-01T00:00:00","tool":'),
+        F.to_json(F.struct("tool", "duration_ms"))).alias("value"))
+    L.write_log_lines(broken, f"{folder}/log", "broken", "append")
     good, bad = ST.split_log(ST.call_log_stream(spark, f"{folder}/log", "event_id long"), f"{folder}/tables")
     bad = bad.groupBy("run_id").agg(F.count(F.lit(1)).alias("malformed"))
     return (good.groupBy("run_id").agg(F.count(F.lit(1)).alias("calls"), F.sum("duration_ms").cast("long").alias("total_ms"))

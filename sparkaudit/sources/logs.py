@@ -17,22 +17,52 @@ CALL_LOG_SCHEMA = ("ts timestamp, run_id string, tool string, args_summary map<s
                    "status string, duration_ms long, result_summary map<string,string>")
 
 
+#: Folders of a batch of the log, and tasks that share the rows of one.
+LOG_BUCKETS, LOG_SALTS = 32, 8
+_BUCKET = "~bucket-"
+
+
+def run_folder(run_id: Column) -> Column:
+    """The ``run_id`` folder of a run in the log: many runs share one."""
+    return F.concat(F.lit(_BUCKET), F.pmod(F.xxhash64(run_id), F.lit(LOG_BUCKETS)).cast("string"))
+
+
+def run_of(run: Column, folder: Column) -> Column:
+    """A record's run: its own field, or its folder where a log has a folder for each run."""
+    return F.coalesce(run, F.when(~folder.startswith(_BUCKET), folder))
+
+
 def read_call_log(spark: SparkSession, path: str, run_id: str | None = None, extra: str = "") -> DataFrame:
     """JSON-lines call log with an explicit schema (and ``extra`` fields);
-    malformed lines are dropped; optional run filter (a partition of the log)."""
+    malformed lines are dropped; with the optional run filter only the run's folder is read."""
     schema = CALL_LOG_SCHEMA + (f", {extra}" if extra else "")
-    df = spark.read.schema(schema + ", batch string").option("mode", "DROPMALFORMED").json(path).drop("batch")
+    df = spark.read.schema(schema + ", run string, batch string").option("mode", "DROPMALFORMED").json(path)
+    if run_id:
+        df = df.where((F.col("run_id") == run_id) | (F.col("run_id") == run_folder(F.lit(run_id))))
+    df = df.withColumn("run_id", run_of(F.col("run"), F.col("run_id"))).drop("run", "batch")
     return df.where(F.col("run_id") == run_id) if run_id else df
 
 
+def write_log_lines(lines: DataFrame, path: str, batch: str, mode: str = "overwrite") -> None:
+    """``lines`` (run_id, value) into the log's folders.
+
+    A batch has at most ``LOG_BUCKETS`` x ``LOG_SALTS`` files, whatever the number of runs and tasks;
+    a run of most rows fills several.
+    """
+    salt = F.pmod(F.xxhash64("value"), F.lit(LOG_SALTS))
+    (lines.select(F.lit(batch).alias("batch"), run_folder(F.col("run_id")).alias("run_id"), salt.alias("_salt"), "value")
+     .repartition("run_id", "_salt").drop("_salt")
+     .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("batch", "run_id").text(path))
+
+
 def append_call_log(calls: DataFrame, path: str, batch: str) -> None:
-    """K4: append call records to the log, one folder per run.
+    """K4: append call records to the log, runs dealt into a bounded number of folders.
 
-    ``batch`` names the writer's turn: writing the same turn again replaces its
-    own files, so a retry adds nothing twice.
+    A line begins with its run, so that one that breaks off still tells it.  ``batch`` names the writer's turn:
+    writing the same turn again replaces its own files, so a retry adds nothing twice.
     """
-    (calls.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch", "run_id").json(path))
+    record = F.struct(F.col("run_id").alias("run"), *[c for c in calls.columns if c != "run_id"])
+    write_log_lines(calls.select("run_id", F.to_json(record).alias("value")), path, batch)
 
 
 def session_index(calls: DataFrame) -> DataFrame:

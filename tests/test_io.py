@@ -85,6 +85,18 @@ def test_call_log(spark, tmp_path):
     assert {r.run_id: r.calls for r in logs.session_index(logs.read_call_log(spark, str(tmp_path / "log"))).collect()} == {"r0": 6, "r1": 6}
 
 
+def test_call_log_files_do_not_grow_with_runs(spark, tmp_path):
+    """Many runs share a bounded number of files; one run is read from its own folder."""
+    calls = spark.range(4000).repartition(8).select(
+        F.timestamp_seconds(F.col("id")).alias("ts"), F.concat(F.lit("r"), (F.col("id") % 1000).cast("string")).alias("run_id"), F.lit("t").alias("tool"),
+        F.lit("ok").alias("status"), F.col("id").alias("duration_ms"))
+    logs.append_call_log(calls, str(tmp_path / "log"), "one")
+    assert len(list((tmp_path / "log").rglob("*.txt"))) <= logs.LOG_BUCKETS * logs.LOG_SALTS
+    one = logs.read_call_log(spark, str(tmp_path / "log"), "r7")
+    assert sorted(r.duration_ms for r in one.collect()) == [7, 1007, 2007, 3007] and len(one.inputFiles()) > 0
+    assert logs.read_call_log(spark, str(tmp_path / "log")).count() == 4000
+
+
 def test_read_corpus(spark, tmp_path):
     for name, text in (("a/x.py", "print(1)"), ("a/sub/y.js", "é"), ("b/z.py", "")):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
