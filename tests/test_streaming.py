@@ -150,6 +150,16 @@ def test_json_log_stream_keeps_malformed_lines_apart(spark, tmp_path):
     assert run() == second  # nor does a batch that runs again
 
 
+def test_a_line_that_breaks_off_tells_its_run(spark, tmp_path):
+    d = tmp_path / "log" / "batch=w" / "run_id=~bucket-3"
+    d.mkdir(parents=True)
+    (d / "part.txt").write_text('{"run":"a \\"b","ts":"2024-01-01T10:00:00Z","tool":"t"}\n{"run":"a \\"b","tool":{"x":1\n{"tool":"y\n')
+    good, bad = ST.split_log(ST.call_log_stream(spark, str(tmp_path / "log")), str(tmp_path / "tables"))
+    assert [(r.run_id, r.tool) for r in good.collect()] == [('a "b', "t")]
+    assert sorted((r.run_id or "", r.writer, r.malformed) for r in bad.collect()) == [
+        ("", "w", '{"tool":"y'), ('a "b', "w", '{"run":"a \\"b","tool":{"x":1')]
+
+
 def test_an_empty_stream_has_empty_tables(spark, tmp_path):
     (tmp_path / "log").mkdir()
     good, bad = ST.split_log(ST.call_log_stream(spark, str(tmp_path / "log")), str(tmp_path / "tables"))
