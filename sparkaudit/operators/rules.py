@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkaudit import catalogs_rules as K
-from sparkaudit.operators.dims import contains_join
+from sparkaudit.operators.dims import contains_many
 
 LINE_SPLIT = r"\r\n|\n|\r"
 RESULT = ("struct<check_id:string,path:string,start:struct<line:int>,"
@@ -121,6 +121,6 @@ def extra_source_hits(files: DataFrame, sources: DataFrame) -> DataFrame:
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     lines = files.where(ext.isin(*K.EXTRA_EXTS)).select(
         "repo", F.col("path").alias("file"), F.posexplode(F.split("content", LINE_SPLIT)).alias("pos", "text"))
-    texts = contains_join(lines.select("text").distinct(), keyed, "text", "word").where(
+    texts = contains_many(lines.select("text").distinct(), keyed, "text", "word").where(
         F.regexp(F.col("text"), F.col("pattern"))).select("text", "source")
     return lines.join(texts, "text").select("source", "repo", "file", (F.col("pos") + 1).alias("line"))

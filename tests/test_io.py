@@ -123,6 +123,16 @@ def test_one_name_with_nearly_all_registrations(spark):
     assert hot.sources == ["s3", "s2", "s1", "s0"] and hot.vuln_types == ["v4", "v3", "v2", "v1", "v0"]
 
 
+def test_extra_sources_on_a_long_line(spark):
+    """Many patterns on a minified file of one line: its grams are listed once and don't carry the line."""
+    line = " ".join(f"x{i} handler_{i}(a)" for i in range(0, 60000, 3)) + " Queue and take7"
+    files = spark.createDataFrame([("r", "a.js", "one\n" + line), ("r", "b.js", "handler_5 x"), ("r", "c.md", line)], "repo string, path string, content string")
+    sources = spark.createDataFrame([(f"handler_{i}",) for i in range(50000, 52000)] + [("handler_5",), ("Queue::take7",), ("no",)], "source string")
+    got = sorted((r.source, r.file, r.line) for r in U.extra_source_hits(files, sources).collect())
+    want = [(f"handler_{i}", "a.js", 2) for i in range(50000, 52000) if f"handler_{i}" in line]
+    assert got == sorted([*want, ("handler_5", "a.js", 2), ("handler_5", "b.js", 1), ("Queue::take7", "a.js", 2)])
+
+
 def test_rule_patterns():
     assert U.rule_regex('$CURSOR.execute("..." % $VAR)') == r'[\w.]+\.execute\(".*?"\s*%\s*[\w.]+\)'
 
