@@ -3,6 +3,7 @@ import random
 from collections import deque
 
 from sparkaudit.operators import graph as G
+from sparkaudit.operators import surface as W
 
 
 def test_reach_matches_bfs(spark):
@@ -80,3 +81,41 @@ def test_many_starts_in_words(spark):
     assert sorted(map(tuple, near.collect())) == sorted(map(tuple, far.collect()))
     assert near.where("node = 't2'").count() <= 200 // G.WORD + 1 + keys.rdd.getNumPartitions()
     assert {(r.key, r.depth) for r in G.keys_of(near.where("node = 't2'"), keys).collect()} == {(f"k{i}", 3) for i in range(200)}
+
+
+def test_trails_write_only_halves(spark, monkeypatch):
+    """A hub between many starts and many ends: whole trails are not written, only the two halves."""
+    rows = []
+
+    def counted(df):
+        rows.append(df.count())
+        return df
+
+    monkeypatch.setattr(G, "checkpointed", counted)
+    monkeypatch.setattr(G, "written", counted, raising=False)
+    pairs = [(f"s{i}", "hub") for i in range(40)] + [("hub", f"m{i}") for i in range(40)] + [(f"m{i}", "eval") for i in range(40)]
+    nodes, edges = graph_of(spark, pairs, {f"s{i}": "/controller/s" for i in range(40)})
+    assert G.paths_with_chain(nodes, edges, "controller", ["eval"], 8).count() == 1600
+    assert max(rows) <= len(pairs)
+
+
+def test_topic_flows_match_a_walk(spark):
+    """Cycles and self-calls count, names repeat, over two words of names; only the first eight are kept."""
+    rnd = random.Random(5)
+    ids = [f"v{i}" for i in range(160)]
+    name = {v: rnd.choice(["runGuard", "exec", "plain"]) + str(i % 90) for i, v in enumerate(ids)}
+    pairs = sorted({(rnd.choice(ids), rnd.choice(ids)) for _ in range(240)} | {("v0", "v0"), ("v1", "v2"), ("v2", "v1")} | {("v3", v) for v in ids[4:150]})
+    nodes = spark.createDataFrame([(v, name[v], f"/{v}", 1, "Method") for v in ids], "node_id string, name string, file string, line int, type string")
+    edges = spark.createDataFrame([(a, b, "CALLS") for a, b in pairs], "src string, dst string, kind string")
+    want = {}
+    for v in ids:
+        level, called = {v}, set()
+        for _ in range(3):
+            level = {b for a, b in pairs if a in level}
+            called |= {name[w] for w in level}
+        for t in ("guard", "exec"):
+            some = sorted(c for c in called if t in name[v].lower() or t in c.lower())
+            if some:
+                want[t, f"/{v}"] = some[:8]
+    topics = spark.createDataFrame([("guard",), ("exec",)], "topic string")
+    assert {(r.topic, r.file): r.related for r in W.topic_flows(nodes, edges, topics, 3).collect()} == want
