@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from sparkaudit import catalogs as K
 from sparkaudit import catalogs_surface as S
+from sparkaudit.operators import graph as G
 from sparkaudit.operators import models as M
 from sparkaudit.operators.dims import contains_join
-from sparkaudit.operators.graph import reach
+from sparkaudit.operators.ranking import with_position
 from sparkaudit.operators.rollup import split_camel
+from sparkaudit.session import checkpointed
 
 
 def _sources(files: DataFrame) -> DataFrame:
@@ -71,26 +73,47 @@ def topic_flows(nodes: DataFrame, edges: DataFrame, topics: DataFrame, max_depth
     """(topic, flow, function, file, line, related): functions with a call path of 1..max_depth steps where
     their own or the called name contains the topic; the first ``related`` called names in order.
 
-    Names meet topics by keyed containment on distinct names.  The two sides of the rule are
-    expanded apart: forward from functions that carry the topic, backward from names that do.
+    Names meet topics by keyed containment on distinct names.  What is handed from a node to its callers is the set
+    of called *names* in words of 64 (see ``graph``), never pairs of functions: the names that carry a topic over all
+    edges, and every name over the edges that start at a function which one that carries a topic reaches.
     """
     named = contains_join(nodes.select(F.lower("name").alias("low")).distinct(), topics.select("topic").distinct(), "low", "topic")
-    hits = nodes.withColumn("low", F.lower("name")).join(named, "low").select("topic", "node_id")
-    # the key of a walk is the topic with its starting node
-    starts = hits.select(F.to_json(F.struct("topic", "node_id")).alias("key"), F.col("node_id").alias("node"))
-    key = F.from_json("key", "topic string, node_id string")
-    ahead = reach(edges, starts, max_depth).withColumn("k", key).select(
-        "k.topic", F.col("k.node_id").alias("fn"), F.col("node").alias("to"))
-    back = reach(edges, starts, max_depth, backward=True).withColumn("k", key).select(
-        "k.topic", F.col("node").alias("fn"), F.col("k.node_id").alias("to"))
-    pairs = ahead.unionByName(back).distinct()
-    names = nodes.select(F.col("node_id").alias("to"), F.col("name").alias("called"))
-    called = pairs.join(names, "to").select("topic", "fn", "called").distinct()
-    nth = Window.partitionBy("topic", "fn").orderBy("called")
-    few = called.withColumn("n", F.row_number().over(nth)).where(F.col("n") <= related).groupBy("topic", "fn").agg(
-        F.array_sort(F.collect_list("called")).alias("related"))
-    return few.join(nodes.select(F.col("node_id").alias("fn"), F.col("name").alias("function"), "file", "line"), "fn").select(
-        "topic", F.concat(F.initcap("topic"), F.lit("Flow")).alias("flow"), "function", "file", "line", "related")
+    hits = checkpointed(nodes.withColumn("low", F.lower("name")).join(named, "low").select("topic", F.col("node_id").alias("node"), "name"))
+    back = G.edges_once(edges, backward=True)
+    tagged = _first_called(back, hits.select(F.col("topic").alias("under"), "node", F.col("name").alias("called")), max_depth, related)
+
+    one = hits.select("node", F.lit(0).cast("long").alias("word"), F.lit(1).cast("long").alias("bits")).distinct()
+    ahead = checkpointed(G.reach_words(back.select(F.col("next").alias("node"), F.col("node").alias("next")), one, max_depth)
+                         .select("node").distinct())
+    inside = checkpointed(back.join(ahead.withColumnRenamed("node", "next"), "next", "left_semi").select("node", "next"))
+    every = nodes.select(F.lit("").alias("under"), F.col("node_id").alias("node"), F.col("name").alias("called"))
+    own = _first_called(inside, every.join(ahead, "node", "left_semi"), max_depth, related)
+    own = own.drop("under").join(hits.select("node", F.col("topic").alias("under")).distinct(), "node").select("node", "under", "first")
+
+    few = tagged.unionByName(own).groupBy("node", "under").agg(
+        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("first")))), 1, related).alias("related"))
+    return few.join(nodes.select(F.col("node_id").alias("node"), F.col("name").alias("function"), "file", "line"), "node").select(
+        F.col("under").alias("topic"), F.concat(F.initcap("under"), F.lit("Flow")).alias("flow"), "function", "file", "line", "related")
+
+
+def _first_called(back: DataFrame, seeds: DataFrame, max_depth: int, n: int) -> DataFrame:
+    """(node, under, first): of the names of ``seeds`` (under, node, called) that a node reaches by 1..max_depth calls,
+    the first ``n`` in order.  ``back``: (node, next), from a function to its callers.
+
+    Names are numbered in their order, so the words of a node hold its names in order.
+    """
+    ranked = with_position(seeds.select("under", "called").distinct(), "pos", ["under"], "called")
+    words = checkpointed(ranked.withColumn("part", F.expr(f"(pos - 1) div {G.WORD}")).groupBy("under", "part").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "called"))), lambda s: s["called"]).alias("names"))
+        .withColumn("word", F.monotonically_increasing_id()))
+    bits = words.select("under", "word", F.posexplode("names").alias("bit", "called"))
+    start = seeds.join(bits, ["under", "called"]).groupBy("node", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    callers = back.join(start, "node").groupBy(F.col("next").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+    reached = G.reach_words(back, callers, max_depth - 1).groupBy("node", "word").agg(F.bit_or("fresh").alias("bits"))
+    set_bits = F.filter(F.sequence(F.lit(0), F.lit(G.WORD - 1)), lambda i: F.expr("1L") == F.call_function("getbit", F.col("bits"), i))
+    here = F.transform(F.slice(set_bits, 1, n), lambda i: F.get("names", i))
+    return reached.join(words, "word").select("node", "under", "part", here.alias("here")).groupBy("node", "under").agg(
+        F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "here"))), lambda s: s["here"])), 1, n).alias("first"))
 
 
 # --- J8, J10, A14, U9 ------------------------------------------------------------------
