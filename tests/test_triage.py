@@ -127,3 +127,14 @@ def test_patterns_under_one_folder_have_keys_of_their_own(spark):
     assert candidates < 200 * texts.count()  # by their first characters all 10^5 would meet each text
     got = contains_join(texts, pats, "text", "pat").select("want", "id").collect()
     assert sorted(map(tuple, got)) == [(k, k) for k in range(3, n, 10000)]
+
+
+def test_context_texts_come_from_all_records(spark, sf_small, monkeypatch):
+    """The queries that score unique paths don't remove duplicates a second time to list the context texts."""
+    from sparkaudit.operators import triage as T
+    from sparkaudit.plans import q_triage as Q
+    given, score = [], T.triage_score
+    monkeypatch.setattr(T, "triage_score", lambda *a, **k: (given.append(len(a) > 3 and a[3] is not None), score(*a, **k))[1])
+    for query in (Q.q_triage_score, Q.q_top_paths, Q.q_verify_queue_order):
+        query(spark, sf_small)
+    assert given == [True] * 3
