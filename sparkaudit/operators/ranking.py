@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkaudit.session import written
+from sparkaudit.session import checkpointed, written
+
+#: Ranges of groups (a key, two longs) that may be broadcast.
+BROADCAST_RANGES = 200_000
 
 
 def in_ranges(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
@@ -37,6 +40,9 @@ def with_position(df: DataFrame, name: str, group: list[str], fine: str, lead: C
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     firsts = ordered.groupBy(*key).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).withColumn(
         "_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    firsts = checkpointed(firsts)
+    if firsts.count() <= BROADCAST_RANGES:  # the rows stay where they are
+        firsts = F.broadcast(firsts)
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]
     joined = ordered.alias("l").join(firsts.alias("r"), same).select("l.*", "_first", "_before")
     return joined.withColumn(name, (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("long")).drop(
