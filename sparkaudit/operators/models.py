@@ -24,8 +24,12 @@ def clean_field_name(raw: Column) -> Column:
 
 def tag_model_fields(decls: DataFrame) -> DataFrame:
     """decls(model_name, file, pos, raw) -> per model distinct cleaned
-    fields (declaration order), sensitive fields, mass-assignment risks."""
-    c = decls.select("model_name", "file", "pos", clean_field_name(F.col("raw")).alias("f")).where(
+    fields (declaration order), sensitive fields, mass-assignment risks.
+
+    Declarations are dealt by model first: a small file is one task, whose table of
+    distinct fields would hold all models.
+    """
+    c = decls.select("model_name", "file", "pos", "raw").repartition("model_name", "file").select("model_name", "file", "pos", clean_field_name(F.col("raw")).alias("f")).where(
         F.col("f").isNotNull())
     first = c.groupBy("model_name", "file", "f").agg(F.min("pos").alias("pos"))
     g = first.groupBy("model_name", "file").agg(
