@@ -119,3 +119,35 @@ def test_topic_flows_match_a_walk(spark):
                 want[t, f"/{v}"] = some[:8]
     topics = spark.createDataFrame([("guard",), ("exec",)], "topic string")
     assert {(r.topic, r.file): r.related for r in W.topic_flows(nodes, edges, topics, 3).collect()} == want
+
+
+def test_names_meet_before_words_are_opened(spark, monkeypatch):
+    """Many callers share a name: what is opened grows with the names, not with the callers, and equal edges change nothing."""
+    opened = []
+    keys_of = G.keys_of
+
+    def counted(reached, keys):
+        opened.append(reached.count())
+        return keys_of(reached, keys)
+
+    monkeypatch.setattr(G, "keys_of", counted)
+    pairs = [(f"h{i}", "mid") for i in range(300)] + [("mid", "eval"), ("eval", "h0")]
+    edges = spark.createDataFrame([(a, b, "CALLS") for a, b in pairs * 2], "src string, dst string, kind string")
+    nodes = spark.createDataFrame([(f"h{i}", f"handle{i % 3}", "/controller/x", 1, "Method") for i in range(300)]
+                                  + [("mid", "mid", "/m", 1, "Method"), ("eval", "eval", "/e", 1, "Function")],
+                                  "node_id string, name string, file string, line int, type string")
+    entries = nodes.where("file = '/controller/x'").select("name")
+    got = {(r.from_name, r.to_name): r.depth for r in G.paths_broad(nodes, edges, entries, ["eval"], 5).collect()}
+    want = {(f"handle{i}", t): d for i in range(3) for t, d in (("mid", 1), ("eval", 2))} | {("mid", "eval"): 1}
+    want |= {("handle1", "handle0"): 3, ("handle2", "handle0"): 3}
+    assert got == want
+    assert max(opened) < 40
+
+
+def test_few_start_keys_are_not_dealt_by_key(spark):
+    """Words are opened and starts numbered by a broadcast of the few keys: no task gets all rows of one key."""
+    e = spark.createDataFrame([(f"a{i}", "b") for i in range(50)], "node string, next string")
+    starts = spark.createDataFrame([("k", f"a{i}") for i in range(50)], "key string, node string")
+    keys, words = G.start_words(starts)
+    plan = G.keys_of(G.reach_words(e, words, 2), keys)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
