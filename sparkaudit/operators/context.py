@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from sparkaudit.catalogs import CONTEXT_KEYS, KV_RE, SECTION_KINDS
 from sparkaudit.operators.classify import vuln_from_text
+from sparkaudit.session import written
+
 
 def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -181,10 +183,12 @@ def normalize_context(docs: DataFrame) -> DataFrame:
 
     Entries that aren't objects are left out, except API names and sources,
     which may be plain strings.  ``detail`` is a sink's confidence, a source's
-    note, a flow's description, a parameter's name.
+    note, a flow's description, a parameter's name.  The documents are written
+    once, as a union of lists that still lie by document gives all of a
+    partition's lists to one task.
     """
     text = F.col("text")
-    good = docs.where(looks_structured(text))
+    good = written(docs.where(looks_structured(text)).select("doc_id", "text"))
 
     def entries(key, kind):
         listed = F.try_variant_get(F.try_parse_json(text), f"$.{key}", "array<variant>")
@@ -218,9 +222,15 @@ LISTS = ("custom_sinks", "custom_sources", "sensitive_flows", "non_http_sources"
 
 
 def context_summary(docs: DataFrame) -> DataFrame:
-    """Per document the size of each context list and a notes flag: one aggregate over all entries."""
+    """Per document the size of each context list and a notes flag: one aggregate over all entries.
+
+    Documents, items and structured entries are written once; each list then reads files in splits of bounded size,
+    where lists that still lie by document would be read by one task a partition, all of them together.
+    """
+    docs = written(docs.select("doc_id", "text"))
     secs = sections(docs)
-    it = items(secs)
+    it = written(items(secs))
+    structured = written(normalize_context(docs).select("doc_id", "kind", "name"))
     sources = context_sources(it)
 
     def tagged(df, kind, name=None):
@@ -232,8 +242,8 @@ def context_summary(docs: DataFrame) -> DataFrame:
             .unionByName(tagged(context_function_params(secs, it), "function_params"))
             .unionByName(tagged(secs.where((F.col("kind") == "notes") & (F.trim("body") != "")), "notes"))
             .unionByName(docs.select("doc_id", F.lit("doc").alias("kind"), F.lit(None).cast("string").alias("name")))
-            .unionByName(normalize_context(docs).select("doc_id", "kind", F.when(F.col("kind") == "non_http_sources", F.col("name")).alias("name")))
-            .unionByName(normalize_context(docs).where("kind = 'custom_sources' and name <> ''").select(
+            .unionByName(structured.select("doc_id", "kind", F.when(F.col("kind") == "non_http_sources", F.col("name")).alias("name")))
+            .unionByName(structured.where("kind = 'custom_sources' and name <> ''").select(
                 "doc_id", F.lit("non_http_sources").alias("kind"), "name")))
     counts = [F.count_distinct(F.when(F.col("kind") == k, F.col("name"))).alias(k) if k == "non_http_sources"
               else F.count_if(F.col("kind") == k).alias(k) for k in LISTS]
