@@ -1,10 +1,10 @@
 """Quality rules: fixed base rules, and an isolation forest on rule statistics.
 
-The forest is grown on a sample of labelled documents, the bad ones thinned to
-``RARE`` of the good ones, as isolation needs anomalies to be few: every tree
-takes a subsample and splits a random feature at a random place until points
+The forest is grown from all labelled documents: every tree draws a subsample of its
+own among them, the bad ones thinned to ``RARE`` of the good ones, as isolation needs
+anomalies to be few, and splits a random feature at a random place until points
 stand alone.  Documents that few splits isolate are anomalous.  The threshold
-on the anomaly is calibrated on the whole labelled sample: it keeps at least
+on the anomaly is calibrated on all labelled documents, scored on Spark: it keeps at least
 ``KEEP`` of the documents labelled good, and within that rejects as many of the
 bad ones as it can.  The forest is a bounded object that goes to every task; documents
 are scored in batches where they are.
@@ -23,15 +23,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkaudit.llm.common import checkpointed, text_slices
 from sparkaudit.llm.textstats import COUNTS, MORE, features, measure, statistics
 
-#: Labelled documents that the forest is grown and calibrated on, at most: those with the smallest hashes.
-MAX_LABELLED = 20_000
 TREES = 200
+#: Labelled documents that a tree draws: all of them have the same chance in each tree, but for the thinning.
 SUBSAMPLE = 512
 RARE = 0.02
 KEEP = 0.99
@@ -56,17 +55,17 @@ def usual_path(n: float) -> float:
     return 0.0 if n <= 1 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
-def grow(points: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED) -> Forest:
+def grow(samples: list[np.ndarray], seed: int = SEED) -> Forest:
+    """A tree for each sample of points."""
     rng = np.random.default_rng(seed)
-    limit = math.ceil(math.log2(max(2, min(subsample, len(points)))))
+    limit = math.ceil(math.log2(max(2, *map(len, samples))))
     feature, cut, child, roots = [], [], [], []
 
     def node() -> int:
         feature.append(0), cut.append(0.0), child.append(0)
         return len(cut) - 1
 
-    for _ in range(trees):
-        sample = points[rng.choice(len(points), min(subsample, len(points)), replace=False)]
+    for sample in samples:
         roots.append(node())
         todo = [(roots[-1], sample, 0)]
         while todo:
@@ -99,45 +98,91 @@ def anomaly(forest: Forest, points: np.ndarray, subsample: int = SUBSAMPLE) -> n
     return 2.0 ** (-total / len(forest.root) / usual_path(subsample))
 
 
-def fit(points: np.ndarray, good: np.ndarray, keep: float = KEEP, rare: float = RARE, **options) -> Forest | None:
-    """A forest whose threshold keeps ``keep`` of the good points at least, or None without both labels.
-
-    Among the thresholds allowed, the one with the best balance of kept good and rejected bad
-    points; midway between the points on either side of it.
-    """
-    if not good.any() or good.all():
-        return None
-    bad = np.flatnonzero(~good)
-    few = bad[:max(1, int(rare * good.sum()))]  # the sample comes in the order of a hash
-    forest = grow(points[np.append(np.flatnonzero(good), few)], **options)
-    score = anomaly(forest, points)
-    order = np.sort(score)
-    cuts = np.append((order[1:] + order[:-1]) / 2, order[-1])
-    kept = np.searchsorted(np.sort(score[good]), cuts, "right") / good.sum()
-    caught = 1 - np.searchsorted(np.sort(score[~good]), cuts, "right") / (~good).sum()
-    allowed = np.where(kept >= keep, kept + caught, -1)
-    return forest._replace(threshold=float(cuts[int(np.argmax(allowed))]))
-
-
 def base_failed(s: dict[str, np.ndarray]) -> np.ndarray:
     return (s["n_words"] < LEAST_WORDS) | (100 * s["n_repeat_words"] > MOST_REPEATED * s["n_words"])
 
 
-def labelled_sample(measured: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the labelled documents with the smallest hashes, at most ``most``."""
+def labelled(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, statistics ..., good) of every labelled document."""
     marks = (labels.where("quality is not null").groupBy(F.col("doc_id").alias("label_id"))
              .agg(F.max("quality").alias("quality")))
-    rows = (measured.join(marks, F.col("doc_id") == F.col("label_id")).drop("label_id")
-            .orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(most).toArrow())
-    found = {c: rows.column(c).to_numpy() for c in COUNTS + MORE}
-    return features(found), rows.column("quality").to_numpy() == 1
+    return measured.join(marks, F.col("doc_id") == F.col("label_id")).select(
+        "doc_id", *COUNTS, *MORE, (F.col("quality") == 1).alias("good"))
+
+
+def draw(rows: DataFrame, n_good: int, n_bad: int) -> list[np.ndarray]:
+    """The points of each tree, drawn among all ``rows``: those whose hashes for that tree are smallest."""
+    few = min(n_bad, max(1, int(RARE * n_good)))
+    size = min(SUBSAMPLE, n_good + few)
+    bad = np.random.default_rng(SEED).binomial(size, few / (n_good + few), TREES)
+    good, span = size - bad, 1 << 32
+
+    def near(most: int, n: int) -> int:
+        """Hashes up to this one hold ``most`` of n rows, by far; no other row is shuffled."""
+        return min(span, int((most + 8 * math.sqrt(most) + 16) / n * span))
+
+    def place(tree):
+        return F.pmod(F.xxhash64(F.lit(SEED), tree, F.col("doc_id")), F.lit(span))
+
+    cut = F.when(F.col("good"), F.lit(near(int(good.max()), n_good))).otherwise(F.lit(near(int(bad.max()), n_bad)))
+    near_rows = rows.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: place(t) < cut)))
+    wanted = F.when(F.col("good"), F.lit(good.tolist())).otherwise(F.lit(bad.tolist()))[F.col("tree")]
+    order = Window.partitionBy("tree", "good").orderBy(place(F.col("tree")), "doc_id")
+    drawn = near_rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= wanted).toArrow()
+    points, tree = features({c: drawn.column(c).to_numpy() for c in COUNTS + MORE}), drawn.column("tree").to_numpy()
+    return [points[tree == t] for t in np.unique(tree)]
+
+
+def scored(rows: DataFrame, forest: Forest) -> DataFrame:
+    """(anomaly, n_good, n_bad) of ``rows``: how many have each score."""
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = features({c: batch.column(c).to_numpy() for c in COUNTS + MORE})
+            yield pa.RecordBatch.from_arrays([pa.array(anomaly(shared.value, points)), batch.column("good")], ["anomaly", "good"])
+
+    return rows.mapInArrow(run, "anomaly double, good boolean").groupBy("anomaly").agg(
+        F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad"))
+
+
+def calibrated(scores: DataFrame, keep: float = KEEP) -> float:
+    """The threshold that keeps ``keep`` of the good at least, by all ``scores`` (anomaly, n_good, n_bad).
+
+    Among those allowed, the one with the best balance of kept good and rejected bad; midway between
+    the scores on either side of it.  Scores lie in ranges, and only a sum for each range is gathered.
+    """
+    ranged = checkpointed(scores.repartitionByRange("anomaly").withColumn("range", F.spark_partition_id()))
+    sums = (ranged.groupBy("range").agg(F.min("anomaly").alias("low"), F.sum("n_good").alias("good"), F.sum("n_bad").alias("bad"))
+            .orderBy("low").collect())
+    all_good, all_bad = sum(r.good for r in sums), sum(r.bad for r in sums)
+    before, good, bad = [], 0, 0
+    for r, after in zip(sums, [*sums[1:], None]):
+        before.append((r.range, good, bad, after.low if after else None))
+        good, bad = good + r.good, bad + r.bad
+    starts = ranged.sparkSession.createDataFrame(before, "range int, good long, bad long, after double")
+    upto = Window.partitionBy("range").orderBy("anomaly")
+    kept = (F.col("good") + F.sum("n_good").over(upto)) / F.lit(all_good)
+    caught = 1 - (F.col("bad") + F.sum("n_bad").over(upto)) / F.lit(all_bad)
+    above = F.coalesce(F.lead("anomaly").over(upto), "after", "anomaly")
+    cuts = ranged.join(F.broadcast(starts), "range").select(
+        kept.alias("kept"), caught.alias("caught"), ((F.col("anomaly") + above) / 2).alias("cut"))
+    return cuts.where(F.col("kept") >= keep).agg(F.max_by("cut", F.struct(F.col("kept") + F.col("caught"), -F.col("cut")))).first()[0]
 
 
 def train(measured: DataFrame, labels: DataFrame) -> Forest | None:
-    """The base rules decide on short and repetitive texts alone, so the forest sees the others."""
+    """The forest and its threshold, or None without both labels.
+
+    The base rules decide on short and repetitive texts alone, so the forest sees the others.
+    """
     passed = measured.where(F.col("n_words") >= LEAST_WORDS).where(
         100 * F.col("n_repeat_words") <= MOST_REPEATED * F.col("n_words"))
-    return fit(*labelled_sample(passed, labels))
+    rows = checkpointed(labelled(passed, labels))
+    n_good, n_bad = rows.agg(F.count_if("good"), F.count_if(~F.col("good"))).first()
+    if not n_good or not n_bad:
+        return None
+    forest = grow(draw(rows, n_good, n_bad))
+    return forest._replace(threshold=calibrated(scored(rows, forest)))
 
 
 def judge(measured: DataFrame, forest: Forest | None) -> DataFrame:
