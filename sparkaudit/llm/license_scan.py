@@ -3,9 +3,9 @@
 A paragraph is a line, in windows of 64 words where it is longer.  Its sparse
 features are word 1- to 3-grams; a multinomial logistic regression tells the
 licence families and ``unknown`` apart.  It is trained on notices of each
-family, on pieces of them, on sentences that only sound alike, and on a sample
-of the corpus, without the paragraphs that name a known licence or cover most
-of a notice.  Probabilities count as a licence beyond a threshold calibrated
+family, on pieces of them, on sentences that only sound alike, and on all paragraphs
+of the corpus, without those that name a known licence or cover most
+of a notice: paragraphs without a feature are all alike, so one row of their number's weight stands for them.  Probabilities count as a licence beyond a threshold calibrated
 on paragraphs left out of training; a prediction is confirmed if the paragraph
 shares enough 3-grams with a notice of that family (of as many words as the
 shorter one has, where that is one or two words).
@@ -36,8 +36,12 @@ from sparkaudit.llm.license_texts import FAMILIES, IDENTIFIERS, OTHERS, PHRASES,
 
 WORD = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 WINDOW, STRIDE = 64, 32
-#: Documents and paragraphs of the corpus that the model learns ``unknown`` from: those with the smallest hashes.
-SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 400, 4_000
+#: All paragraphs of the corpus weigh as so many sentences that only sound alike, at most.
+CORPUS_WEIGHT = 3_000.0
+#: Training rows of a task.
+TASK_ROWS = 50_000
+#: Nothing is learned from a sample of the corpus; a test sets this to show that shares don't depend on it.
+SAMPLE_DOCS = None
 #: A feature that more of all paragraphs of the corpus have is none.
 MOST_COMMON = 0.005
 #: Each family weighs the same in training, however many notices it has, and ``unknown`` so many times that.
@@ -161,64 +165,89 @@ def pattern(words: list[str]) -> str:
     return "(?<![a-z0-9])(?:" + "|".join(branches) + ")(?![a-z0-9])"
 
 
-def training_rows(docs: DataFrame) -> DataFrame:
-    """(family, words, of_corpus, kept_out): notices, their pieces, look-alikes and a sample of the corpus."""
+def kept_out(words: Column) -> Column:
+    """Whether a paragraph of the corpus is left out of training, for the calibration."""
+    return F.pmod(F.xxhash64(F.lit(2), words), F.lit(4)) == 0
+
+
+def training_rows(docs: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(family, words, of_corpus, kept_out): notices, their pieces, look-alikes and the corpus, all paragraphs or ``parts``."""
     spark = docs.sparkSession
     known = notices(spark).select("family", words_of(F.col("text")).alias("words"))
     piece = known.where(F.size("words") > PIECE).select("family", F.explode(F.transform(
         F.sequence(F.lit(1), F.size("words") - PIECE + 1), lambda i: F.slice("words", i, F.lit(PIECE)))).alias("words"))
     other = _rows(spark, [(t,) for t in OTHERS], ["text"]).select(
         F.lit(UNKNOWN).alias("family"), words_of(F.col("text")).alias("words"))
-    # ids first, so that no task gathers texts
-    ids = checkpointed(docs.where("text is not null").select("doc_id").distinct()
-                       .orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(SAMPLE_DOCS))
-    some = (docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id", "left_semi")
-            .dropDuplicates(["doc_id"]))
-    corpus = (paragraphs(some).orderBy(F.xxhash64("words"), "doc_id", "line", "part").limit(SAMPLE_PARAGRAPHS)
-              # a notice in the sample is no example of unknown
-              .where(~is_notice(F.col("words")))
+    # a notice in the corpus is no example of unknown
+    corpus = ((paragraphs(docs) if parts is None else parts).where(~is_notice(F.col("words")))
               .select(F.lit(UNKNOWN).alias("family"), "words"))
     rows = known.union(piece).union(other).withColumn("of_corpus", F.lit(False)).union(
         corpus.withColumn("of_corpus", F.lit(True)))
-    return rows.withColumn("kept_out", F.col("of_corpus") & (F.pmod(F.xxhash64(F.lit(2), "words"), F.lit(4)) == 0))
+    return rows.withColumn("kept_out", F.col("of_corpus") & kept_out(F.col("words")))
 
 
-def background_shares(docs: DataFrame) -> DataFrame:
-    """(gram, share): how many of all paragraphs that are no notices have each gram of the notices."""
-    wanted, every = sorted(set().union(*notice_grams())), ""
+def background(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """((gram, share), n, n_kept_out): how many of all paragraphs that are no notices have each gram of the notices;
+    their number, and that of those left out of training."""
+    wanted, every, out = sorted(set().union(*notice_grams())), "", "\n"
     hits = F.col("hits")  # a projection of its own: looked up once a paragraph, for the test and for the counts
     found = paragraphs(docs).select("words", grams_among(F.col("words"), wanted).alias("hits"))
-    grams = F.when(is_notice(F.col("words"), hits), F.array().cast("array<string>")).otherwise(F.concat(F.array(F.lit(every)), hits))
+    marks = F.when(kept_out(F.col("words")), F.array(F.lit(every), F.lit(out))).otherwise(F.array(F.lit(every)))
+    grams = F.when(is_notice(F.col("words"), hits), F.array().cast("array<string>")).otherwise(F.concat(marks, hits))
     counts = checkpointed(found.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
-    total = counts.where(F.col("gram") == every).agg(F.max("n")).first()[0] or 1
-    return counts.where(F.col("gram") != every).select("gram", (F.col("n") / F.lit(total)).alias("share"))
+    totals = {r.gram: r.n for r in counts.where(F.col("gram").isin(every, out)).collect()}
+    shares = counts.where(~F.col("gram").isin(every, out)).select("gram", (F.col("n") / F.lit(totals.get(every, 0) or 1)).alias("share"))
+    return shares, totals.get(every, 0), totals.get(out, 0)
+
+
+def background_shares(docs: DataFrame) -> DataFrame:
+    """(gram, share) of ``background``."""
+    return background(docs)[0]
+
+
+def feature_parts(docs: DataFrame, words: list[str]) -> DataFrame:
+    """The paragraphs that may have a feature, written once."""
+    return checkpointed(paragraphs(docs, words).dropDuplicates(["doc_id", "line", "part"]))
 
 
 def train(docs: DataFrame) -> Model:
+    return train_on_all(docs)[0]
+
+
+def train_on_all(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and the paragraphs that may have a feature."""
     spark = docs.sparkSession
-    rows = checkpointed(training_rows(docs).withColumn("grams", grams_of(F.col("words"))))
-    background = background_shares(docs)
-    known = rows.where(f"family <> '{UNKNOWN}'").select(F.explode("grams").alias("gram")).distinct()
-    rare = known.join(background, "gram", "left").fillna(0.0, ["share"]).where(F.col("share") <= MOST_COMMON)
+    shares, n_corpus, n_out = background(docs)
+    known = notices(spark).select(F.explode(grams_of(words_of(F.col("text")))).alias("gram")).distinct()
+    rare = known.join(shares, "gram", "left").fillna(0.0, ["share"]).where(F.col("share") <= MOST_COMMON)
     # of each feature's words the one that the corpus has least; a feature of common words is none
     features = checkpointed(
         rare.select("gram", F.explode(F.split("gram", " ")).alias("word"))
-        .join(background.select(F.col("gram").alias("word"), F.col("share").alias("often")), "word", "left")
+        .join(shares.select(F.col("gram").alias("word"), F.col("share").alias("often")), "word", "left")
         .groupBy("gram").agg(F.min(F.struct(F.coalesce("often", F.lit(0.0)).alias("often"), -F.length("word"), "word")).alias("x"))
         .where(F.col("x.often") <= MOST_COMMON).select("gram", "x.word"))
     words = [r.word for r in features.select("word").distinct().orderBy("word").collect()]
     vocabulary = [r.gram for r in features.select("gram").orderBy("gram").collect()]
     classes = [*sorted(FAMILIES), UNKNOWN]
+    parts = feature_parts(docs, words)
+    rows = checkpointed(training_rows(docs, parts).withColumn("grams", grams_of(F.col("words"))))
+    seen = rows.agg(F.count(F.lit(1)), F.count_if(F.col("of_corpus") & ~F.col("kept_out")), F.count_if("kept_out")).first()
+    # what no part shows has no feature; a corpus of many paragraphs doesn't outweigh the look-alikes
+    bare, bare_out = max(0, n_corpus - n_out - seen[1]), max(0, n_out - seen[2])
+    scale = min(1.0, CORPUS_WEIGHT / max(1, bare + seen[1]))
     index = F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, float(i))]), F.col("family"))
-    learned = rows.where("not kept_out")
-    own = F.when((F.col("family") != UNKNOWN) & (F.size("words") <= NAME_WORDS), F.lit(NAME_WEIGHT)).otherwise(F.lit(1.0))
+    alike = spark.range(1).select(F.lit(UNKNOWN).alias("family"), F.array().cast("array<string>").alias("words"),
+                                  F.array().cast("array<string>").alias("grams"), F.lit(scale * bare).alias("times"))
+    learned = rows.where("not kept_out").select("family", "words", "grams", F.when(
+        F.col("of_corpus"), F.lit(scale)).otherwise(F.lit(1.0)).alias("times")).union(alike)
+    own = F.col("times") * F.when((F.col("family") != UNKNOWN) & (F.size("words") <= NAME_WORDS), F.lit(NAME_WEIGHT)).otherwise(F.lit(1.0))
     sizes = learned.groupBy("family").agg(F.sum(own).alias("n"))
     weight = F.when(F.col("family") == UNKNOWN, F.lit(UNKNOWN_WEIGHT)).otherwise(F.lit(1.0)) * own / F.col("n")
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").setBinary(True).transform(
         learned.join(F.broadcast(sizes), "family").select("grams", index.alias("label"), weight.alias("weight")))
     fitted = LogisticRegression(family="multinomial", weightCol="weight", regParam=REGULARISATION, maxIter=60,
                                 standardization=False).fit(
-        checkpointed(vectors.select("label", "weight", "features").coalesce(1)))
+        checkpointed(vectors.select("label", "weight", "features").coalesce(1 + seen[0] // TASK_ROWS)))
     matrix, intercepts = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray().tolist()
     weights = _table(spark, [(g, [float(x) for x in matrix[:, i]]) for i, g in enumerate(vocabulary)],
                      "gram string, w array<double>")
@@ -228,14 +257,16 @@ def train(docs: DataFrame) -> Model:
     # calibration: at most one in a thousand of the corpus paragraphs left out passes for a licence
     out = rows.where("kept_out").select(F.monotonically_increasing_id().alias("doc_id"), F.lit(0).alias("line"),
                                         F.lit(0).alias("part"), "words")
-    return model._replace(threshold=max(LEAST_PROBABILITY, passed_by(checkpointed(out), model)))
+    return model._replace(threshold=max(LEAST_PROBABILITY, passed_by(checkpointed(out), model, without=bare_out))), parts
 
 
-def passed_by(parts: DataFrame, model: Model, share: float = 0.001) -> float:
-    """The probability that this share of all ``parts`` exceed; those without a feature have 0."""
-    scored = classify(parts, model).select("doc_id", "line", "part", "probability")
-    every = parts.select("doc_id", "line", "part").join(scored, ["doc_id", "line", "part"], "left")
-    return every.agg(F.percentile(F.coalesce("probability", F.lit(0.0)), 1 - share)).first()[0] or 0.0
+def passed_by(parts: DataFrame, model: Model, share: float = 0.001, without: int = 0) -> float:
+    """The probability that this share of all ``parts`` exceed, and of so many others ``without`` a feature; those have 0."""
+    found = classify(parts, model).groupBy("probability").agg(F.count(F.lit(1)).alias("n"))
+    found = checkpointed(found)
+    rest = parts.count() + without - (found.agg(F.sum("n")).first()[0] or 0)
+    every = found.union(parts.sparkSession.range(1).select(F.lit(0.0), F.lit(rest).cast("long")).where(F.lit(rest > 0)))
+    return every.agg(F.percentile("probability", 1 - share, F.col("n"))).first()[0] or 0.0
 
 
 def _table(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
@@ -290,9 +321,8 @@ def compare(parts: DataFrame, model: Model) -> DataFrame:
             .groupBy("doc_id", "line", "part", "family").agg(F.max("similarity").alias("similarity")))
 
 
-def findings(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, line, part, family, probability, similarity, confirmed) of paragraphs that name a licence."""
-    parts = checkpointed(paragraphs(docs, model.words).dropDuplicates(["doc_id", "line", "part"]))
+def findings(parts: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, line, part, family, probability, similarity, confirmed) of the ``feature_parts`` that name a licence."""
     named = classify(parts, model).where(F.col("probability") >= model.threshold).alias("a")
     same = compare(parts, model).alias("b")
     on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.line") == F.col("b.line")) & (
@@ -308,7 +338,8 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     (paragraphs that name one), probability (the highest)."""
     key = F.coalesce("doc_id", F.xxhash64(F.lit("text"), F.coalesce("text", F.lit(""))))
     docs = docs.select(F.col("doc_id").alias("given_id"), key.alias("doc_id"), "text")
-    found = findings(docs.drop("given_id"), train(docs.drop("given_id"))).groupBy(F.col("doc_id").alias("found_id")).agg(
+    model, parts = train_on_all(docs.drop("given_id"))
+    found = findings(parts, model).groupBy(F.col("doc_id").alias("found_id")).agg(
         F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("sure"),
         F.array_sort(F.collect_set("family")).alias("named"),
         F.countDistinct("line").alias("n_paragraphs"), F.max("probability").alias("probability"))
