@@ -53,6 +53,25 @@ def test_halves_with_and_without_broadcasts(spark, monkeypatch, bound):
     assert got == trails(both, ["x"], {"eval"}, 9) and len(got) > 1
 
 
+def test_edges_are_dealt_in_passes_of_bounded_size(spark, monkeypatch):
+    """Numbers stay apart between passes: parallel edges, a self-loop and a cycle give the same trails as in one pass."""
+    monkeypatch.setattr(G, "EDGES_A_PASS", 3)
+    rows, written = [], G.written
+
+    def counted(df):
+        out = written(df)
+        if "edge" in out.columns:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "written", counted)
+    pairs = [("x", "y"), ("y", "x"), ("x", "eval"), ("x", "eval"), ("y", "y"), ("eval", "x"), ("y", "z"), ("z", "x"), ("a", "y"), ("b", "z")]
+    nodes, edges = graph_of(spark, pairs, {"x": "/app/controller/x.py", "b": "/controller/b"})
+    got = sorted(map(tuple, G.paths_with_chain(nodes, edges, "controller", ["eval"], 6).collect()))
+    assert got == trails(pairs, ["x", "b"], {"eval"}, 6)
+    assert len(rows) == 4 and max(rows) < len(pairs)
+
+
 def test_edges_by_number_are_the_rows_of_the_view(spark, tmp_path):
     """Repeated keys, missing keys and rows without both keys; one shuffle instead of three."""
     for name, cols, rows in (
